@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.pii import DETECTORS, Detector, detect
@@ -95,86 +96,102 @@ def flat_sensitive_values(doc: Column) -> Column:
 
 # --- JSON of any depth: Python walks the structure, Spark redacts the strings ---------------
 
-_KEY = re.compile(SENSITIVE_KEY, re.IGNORECASE)
 
+@lru_cache(maxsize=1)
+def _json_walkers():
+    """Work on JSON text: UDFs for its sensitive values and its open strings, and a function that exchanges the latter.
+
+    Everything they call is local, so they travel to executors that do not have this package.
+    """
+    sensitive_key = re.compile(SENSITIVE_KEY, re.IGNORECASE)
+    mark = SENSITIVE_MARK
+
+    def is_sensitive(key):
+        return key is not None and sensitive_key.search(key) is not None
+
+    def load(doc):
+        """The JSON value and True; text that is no JSON counts as one plain string."""
+        try:
+            return json.loads(doc), True
+        except ValueError:
+            return doc, False
+
+    def scalars(value, key=None):
+        # Lists inherit the key they stand under, objects use the keys of their own fields.
+        if isinstance(value, dict):
+            for name, item in value.items():
+                yield from scalars(item, name)
+        elif isinstance(value, list):
+            for item in value:
+                yield from scalars(item, key)
+        elif value is not None and is_sensitive(key):
+            yield str(value)
+
+    def exchange(value, change, key=None):
+        # Whole values under sensitive keys are masked; every other string goes through ``change``.
+        if is_sensitive(key):
+            return mark
+        if isinstance(value, str):
+            return change(value)
+        if isinstance(value, list):
+            return [exchange(item, change) for item in value]
+        if isinstance(value, dict):
+            return {name: exchange(item, change, name) for name, item in value.items()}
+        return value
+
+    def sensitive_values(doc):
+        return [] if doc is None else list(dict.fromkeys(scalars(load(doc)[0])))
+
+    def open_strings(doc):
+        if doc is None:
+            return None
+        found = []
+        exchange(load(doc)[0], lambda s: found.append(s) or s)
+        return found
 
-def _sensitive(key: str | None) -> bool:
-    return key is not None and _KEY.search(key) is not None
-
-
-def _scalars_under_sensitive_keys(value, key: str | None = None) -> Iterator[str]:
-    # Lists inherit the key they stand under, objects use the keys of their own fields.
-    if isinstance(value, dict):
-        for name, item in value.items():
-            yield from _scalars_under_sensitive_keys(item, name)
-    elif isinstance(value, list):
-        for item in value:
-            yield from _scalars_under_sensitive_keys(item, key)
-    elif value is not None and _sensitive(key):
-        yield str(value)
-
+    def with_strings(doc, strings):
+        if doc is None:
+            return None
+        rest = iter(strings)
+        value, is_json = load(doc)
+        changed = exchange(value, lambda _: next(rest))
+        return json.dumps(changed, ensure_ascii=False) if is_json else changed
 
-def _map_open_strings(value, change, key: str | None = None):
-    """Copy the value; mask whole values under sensitive keys, pass other strings to ``change``."""
-    if _sensitive(key):
-        return SENSITIVE_MARK
-    if isinstance(value, str):
-        return change(value)
-    if isinstance(value, list):
-        return [_map_open_strings(item, change) for item in value]
-    if isinstance(value, dict):
-        return {name: _map_open_strings(item, change, name) for name, item in value.items()}
-    return value
+    def values_of(docs: pd.Series) -> pd.Series:
+        return docs.map(sensitive_values)
 
+    def strings_of(docs: pd.Series) -> pd.Series:
+        return docs.map(open_strings)
 
-def _load(doc: str) -> tuple[object, bool]:
-    """The JSON value and True; text that is no JSON counts as one plain string."""
-    try:
-        return json.loads(doc), True
-    except ValueError:
-        return doc, False
+    return F.pandas_udf(values_of, "array<string>"), F.pandas_udf(strings_of, "array<string>"), with_strings
 
 
-@F.pandas_udf("array<string>")
-def json_sensitive_values(docs: pd.Series) -> pd.Series:
+def json_sensitive_values(doc: Column) -> Column:
     """Distinct scalars under sensitive keys, at any depth."""
-    return docs.map(lambda d: [] if d is None else list(dict.fromkeys(_scalars_under_sensitive_keys(_load(d)[0]))))
-
-
-@F.pandas_udf("array<string>")
-def json_open_strings(docs: pd.Series) -> pd.Series:
-    """Strings of the document that stand under no sensitive key, in document order."""
-
-    def collect(d):
-        if d is None:
-            return None
-        found: list[str] = []
-        _map_open_strings(_load(d)[0], lambda s: found.append(s) or s)
-        return found
-
-    return docs.map(collect)
-
+    return _json_walkers()[0](doc)
 
-@F.pandas_udf("string")
-def json_with_strings(docs: pd.Series, strings: pd.Series) -> pd.Series:
-    """The document with its open strings exchanged, in document order, and sensitive fields masked."""
 
-    def rebuild(d, replacements):
-        if d is None:
-            return None
-        rest = iter(replacements)
-        value, is_json = _load(d)
-        changed = _map_open_strings(value, lambda _: next(rest))
-        return json.dumps(changed, ensure_ascii=False) if is_json else changed
+def redact_json(
+    rows: DataFrame,
+    column: str,
+    sensitive_values: Column | None = None,
+    detectors: Iterable[Detector] = DETECTORS,
+) -> DataFrame:
+    """The rows with the JSON values of ``column``, of any depth, redacted."""
+    _, open_strings, with_strings = _json_walkers()
+    detectors = tuple(detectors)
+    safe = rows.withColumn("_safe", open_strings(column)).withColumn(
+        "_safe", F.transform("_safe", lambda s: redact_text(s, sensitive_values, detectors))
+    )
 
-    return pd.Series([rebuild(d, r) for d, r in zip(docs, strings)], dtype="object")
+    def rebuild(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            place = batch.schema.get_field_index(column)
+            docs, strings = batch.column(place).to_pylist(), batch.column("_safe").to_pylist()
+            redacted = pa.array([with_strings(d, s) for d, s in zip(docs, strings)], pa.string())
+            columns = [redacted if i == place else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_safe"]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "_safe"])
 
-def redact_json(
-    doc: Column, sensitive_values: Column | None = None, detectors: Iterable[Detector] = DETECTORS
-) -> Column:
-    """Redact a JSON value of any depth."""
-    return json_with_strings(
-        doc,
-        F.transform(json_open_strings(doc), lambda s: redact_text(s, sensitive_values, detectors)),
-    )
+    return safe.mapInArrow(rebuild, rows.schema)

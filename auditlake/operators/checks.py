@@ -244,6 +244,11 @@ CHECK_TYPES: dict[str, Evaluator] = {
 }
 
 
+def only(*names: str) -> dict[str, Evaluator]:
+    """The check-type table cut to the kinds a catalog is known to hold; any other kind is then unknown."""
+    return {name: CHECK_TYPES[name] for name in names}
+
+
 def register_check_type(
     name: str, evaluator: Evaluator, check_types: dict[str, Evaluator] | None = None
 ) -> dict[str, Evaluator]:
@@ -308,15 +313,15 @@ def evaluate_attempts(
     no_findings = F.array().cast(FINDINGS_TYPE)
 
     def found(text: Column, scope: str) -> Column:
+        if "no_pii_leak" not in check_types:
+            return no_findings
         return F.when(_wants(catalog, ("no_pii_leak",), scope), detect(text, detectors=detectors)).otherwise(no_findings)
 
     row = F.struct(
         agent.alias("agent"),
         everything.alias("everything"),
-        F.lower(agent).alias("agent_folded"),
-        F.when(
-            _wants(catalog, PHRASE_TYPES, "all"), F.lower(everything)
-        ).alias("everything_folded"),
+        F.when(_wants(catalog, PHRASE_TYPES, "agent"), F.lower(agent)).alias("agent_folded"),
+        F.when(_wants(catalog, PHRASE_TYPES, "all"), F.lower(everything)).alias("everything_folded"),
         found(agent, "agent").alias("agent_findings"),
         found(everything, "all").alias("all_findings"),
         (F.col("tools") if "tools" in have else F.array().cast("array<string>")).alias("tools"),
@@ -471,7 +476,8 @@ def screen_turns(
     """
     local = with_check_defaults(checks).filter(turn_local())
     hits = _screened(turns, local, known_patterns, keys, with_text=False)
-    return results_of(evaluate_attempts(hits, local, known_patterns=known_patterns), keys)
+    kinds = only("regex", *PHRASE_TYPES, *TOOL_TYPES)
+    return results_of(evaluate_attempts(hits, local, kinds, known_patterns=known_patterns), keys)
 
 
 def evaluate_turns(

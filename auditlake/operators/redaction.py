@@ -164,9 +164,10 @@ def redact_turns(
     calls = turns.withColumn("_calls", _calls_as_json(F.coalesce("tool_calls", F.array())))
     marked = with_sensitive_values(calls, keys, ["content", "_calls"], values, limit=limit)
     shape = "array<struct<name:string,arguments:variant,result:variant>>"
-    redacted = F.from_json(redact_json(F.col("_calls"), F.col("sensitive"), detectors), shape)
+    redacted = F.from_json("_calls", shape)
     return (
-        marked.withColumn("content", redact_text(F.col("content"), F.col("sensitive"), detectors))
+        redact_json(marked, "_calls", F.col("sensitive"), detectors)
+        .withColumn("content", redact_text(F.col("content"), F.col("sensitive"), detectors))
         .withColumn(
             "tool_calls",
             F.transform(

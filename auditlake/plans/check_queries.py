@@ -34,7 +34,10 @@ def _shown(results):
 def _on_conversations(types):
     def query(spark, sf):
         evaluated = ck.evaluate_turns(
-            src.turns(spark, sf), src.rules(spark, types), known_patterns=src.known_patterns()
+            src.turns(spark, sf),
+            src.rules(spark, types),
+            check_types=ck.only(*types),
+            known_patterns=src.known_patterns() if "regex" in types else (),
         )
         return _shown(ck.results_of(evaluated))
 
@@ -114,7 +117,6 @@ def screened_turns(spark, sf):
     results = ck.screen_turns(
         src.turns(spark, sf),
         src.rules(spark, ["required_phrase", "prohibited_phrase"]),
-        known_patterns=src.known_patterns(),
     )
     return _shown(results)
 
@@ -153,7 +155,10 @@ def _on_documents(types):
     def query(spark, sf):
         rows = document_rules()
         evaluated = ck.evaluate_attempts(
-            document_attempts(spark, sf), src.rules(spark, types, rows), known_patterns=src.known_patterns(rows)
+            document_attempts(spark, sf),
+            src.rules(spark, types, rows),
+            ck.only(*types),
+            known_patterns=src.known_patterns(rows) if "regex" in types else (),
         )
         return _shown(ck.results_of(evaluated))
 
@@ -221,7 +226,7 @@ def latency_checks(spark, sf):
         .withColumn("content", F.lit("yes"))
     )
     attempts = agent.join(ck.judge_answers(judge), K, "left")
-    results = ck.results_of(ck.evaluate_attempts(attempts, src.rules(spark, rows=latency_rules())))
+    results = ck.results_of(ck.evaluate_attempts(attempts, src.rules(spark, rows=latency_rules()), ck.only("max_latency", "llm_judge")))
     return results.filter("type = 'max_latency'").select(*K, "check_pos", "check_id", "passed")
 
 
@@ -254,7 +259,7 @@ def json_answers(spark, sf):
         F.col("event_id").cast("int").alias("attempt"), text.alias("agent_text"),
     )
     rule = src.rule_rows()[0] | {"scenario_id": "answers", "check_pos": 0, "check_id": "json", "type": "json_valid", "scope": "agent"}
-    results = ck.results_of(ck.evaluate_attempts(attempts, src.rules(spark, rows=[rule])))
+    results = ck.results_of(ck.evaluate_attempts(attempts, src.rules(spark, rows=[rule]), ck.only("json_valid")))
     return results.select(*K, "check_id", "passed", "message")
 
 
@@ -440,7 +445,7 @@ def ends_with_period(check, seen):
 
 
 def custom_check_type(spark, sf):
-    types = ck.register_check_type("ends_with_period", ends_with_period)
+    types = ck.register_check_type("ends_with_period", ends_with_period, ck.only("json_valid"))
     rule = src.rule_rows()[0] | {"check_pos": 0, "check_id": "period", "type": "ends_with_period", "patterns": [], "scope": "agent"}
     rows = [rule | {"scenario_id": lang} for lang in ("en", "fr", "de", "es")]
     evaluated = ck.evaluate_attempts(document_attempts(spark, sf), src.rules(spark, rows=rows), types)

@@ -107,7 +107,7 @@ def sorted_json(details: Column) -> Column:
 
 def audit_rows(events: DataFrame, detectors=DETECTORS) -> DataFrame:
     """Audit rows ready to append: details redacted. ``events``: event_id, created_at, event_type, details (JSON)."""
-    return events.select("event_id", "created_at", "event_type", redact_json(F.col("details"), None, detectors).alias("details"))
+    return redact_json(events.select("event_id", "created_at", "event_type", "details"), "details", None, detectors)
 
 
 def list_audit_events(events: DataFrame, limit: int = 100) -> DataFrame:
