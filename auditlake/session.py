@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings: time zone for timestamp text, adaptive execution for skewed
 # joins, and duplicate JSON keys accepted by the JSON validity test.
@@ -34,3 +36,17 @@ def local_session(app: str = "auditlake", cores: str = "*", shuffle_partitions:
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the checkpoint folder the cluster names.
+
+    For results that several aggregations read, such as evaluated attempts: without it each of them would scan
+    the transcripts again. The files outlive lost executors.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # Unset only in tests and on a single machine; a cluster sets spark.checkpoint.dir to a shared folder.
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditlake-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
