@@ -8,8 +8,9 @@ Two ways to the same results:
 ``evaluate_turns``     flat turns; the first two combined, so that text is gathered only for
                        attempts whose scenario has a check that needs the joined text.
 
-The catalog is joined on scenario_id without a hint: Spark broadcasts it when its size is below
-the session's threshold and shuffles (splitting skewed scenarios) when it is not.
+The catalog is joined on scenario_id without a hint: Spark broadcasts it when its size, which it knows
+of files and of local tables, is below the session's threshold, so that no transcript text is
+shuffled; above it Spark shuffles and splits skewed scenarios.
 """
 
 from __future__ import annotations
@@ -394,8 +395,12 @@ def nested_attempts(transcripts: DataFrame) -> DataFrame:
 
 
 def results_of(attempts: DataFrame, keys: Sequence[str] = ATTEMPT_KEY) -> DataFrame:
-    """One row per check result of attempts holding ``check_results``."""
-    return attempts.select(*keys, F.inline("check_results"))
+    """One row per check result of attempts holding ``check_results``.
+
+    Outer, with the empty row dropped behind: for a plain generator Spark infers a filter on the array and
+    evaluates all checks a second time in it.
+    """
+    return attempts.select(*keys, F.inline_outer("check_results")).filter(F.col("check_pos").isNotNull())
 
 
 # --- flat turns ----------------------------------------------------------------------------

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import local_table
+
 # Accepted labels, required control families, the tag of adversarial scenarios, the personas.
 LABELS = ("violation_expected", "benign_control")
 REQUIRED_TAGS = ("prompt_injection", "tool_use", "identity", "fraud", "escalation")
@@ -68,6 +70,6 @@ def catalog_tags(scenarios: DataFrame) -> DataFrame:
 
 def missing_tags(spark, scenarios: DataFrame, required: Sequence[str] = REQUIRED_TAGS) -> DataFrame:
     """Required tags that no scenario carries."""
-    wanted = spark.createDataFrame([(t,) for t in required], "tag string")
+    wanted = local_table(spark, [(t,) for t in required], "tag string")
     present = scenarios.select(F.explode("tags").alias("tag")).distinct()
     return wanted.join(present, "tag", "left_anti")

@@ -140,7 +140,7 @@ def document_rules() -> list[dict]:
 
 
 def document_attempts(spark, sf):
-    d = src.table(spark, sf, "documents")
+    d = src.texts(spark, sf, "documents")
     return d.select(
         F.col("source").alias("run_id"), F.col("lang").alias("scenario_id"), F.col("doc_id").cast("int").alias("attempt"),
         F.col("text").alias("agent_text"),
@@ -462,7 +462,7 @@ SECRET = Detector("secret_token", r'token = "([0-9a-f]+)"', group=1, needs=lambd
 def custom_detector(spark, sf):
     from auditlake.operators.profile import findings_of
 
-    found = findings_of(src.table(spark, sf, "documents"), "text", ["doc_id"], ["secret_token"], register(SECRET))
+    found = findings_of(src.texts(spark, sf, "documents"), "text", ["doc_id"], ["secret_token"], register(SECRET))
     return found.select("doc_id", "type", "value", "preview")
 
 

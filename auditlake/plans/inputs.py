@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.session import configure
+from auditlake.session import configure, local_table, spread
 
 SEVERITIES = ["info", "low", "medium", "high", "critical"]
 
@@ -18,12 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are scanned, on all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 # --- conversations as turns ------------------------------------------------------------------
 # 3 runs of 16 scenarios; conversations with the same remainders are repeated attempts.
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = texts(spark, sf_dir, "conversations")
     return c.select(
         F.concat(F.lit("run_"), (F.col("conv_id") % 3).cast("string")).alias("run_id"),
         F.concat(F.lit("s"), F.lpad((F.col("conv_id") % 16).cast("string"), 2, "0")).alias("scenario_id"),
@@ -114,7 +119,7 @@ _RULE_FIELDS = [part.split()[0] for part in RULE_TYPES.split(", ")]
 
 def rules(spark: SparkSession, types: list[str] | None = None, rows: list[dict] | None = None) -> DataFrame:
     chosen = [r for r in (rows if rows is not None else rule_rows()) if types is None or r["type"] in types]
-    return spark.createDataFrame([tuple(r[f] for f in _RULE_FIELDS) for r in chosen], RULE_TYPES)
+    return local_table(spark, [tuple(r[f] for f in _RULE_FIELDS) for r in chosen], RULE_TYPES)
 
 
 def known_patterns(rows: list[dict] | None = None) -> list[str]:
@@ -302,7 +307,7 @@ WEIGHT_SQL = "CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' T
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = texts(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
 
     def digits(number, n: int):

@@ -54,7 +54,7 @@ ITEM_ATTEMPTS_SQL = f"""{src.RESULTS_SQL}, {src.SCENARIOS_SQL}, summary AS (
 def document_attempts(spark, sf):
     """Labelled documents: a document holding personal data violates; toxic ones are expected to."""
     labels = src.table(spark, sf, "labels")
-    d = src.table(spark, sf, "documents").select("doc_id", "lang", "source", F.size(pii.detect(F.col("text"))).alias("found"))
+    d = src.texts(spark, sf, "documents").select("doc_id", "lang", "source", F.size(pii.detect(F.col("text"))).alias("found"))
     label = F.when(F.col("toxic") == 1, F.lit("violation_expected")).when(F.col("quality") == 1, F.lit("benign_control"))
     found = F.col("found").cast("bigint")
     return d.join(labels, "doc_id").select(

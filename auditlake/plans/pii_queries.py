@@ -54,7 +54,7 @@ SELECT order_id, CAST(finding_pos AS INTEGER) AS finding_pos, f.kind AS type, f.
 
 
 def documents(spark, sf):
-    found = profile.findings_of(src.table(spark, sf, "documents"), "text", ["doc_id"])
+    found = profile.findings_of(src.texts(spark, sf, "documents"), "text", ["doc_id"])
     return found.select("doc_id", "type", "value")
 
 
@@ -63,7 +63,7 @@ SELECT doc_id, f.kind AS type, f.value AS value FROM hits"""
 
 
 def pages(spark, sf):
-    found = profile.findings_of(src.table(spark, sf, "pages"), "html", ["page_id"])
+    found = profile.findings_of(src.texts(spark, sf, "pages"), "html", ["page_id"])
     return found.select("page_id", "type", "value", "preview")
 
 
@@ -73,7 +73,7 @@ SELECT page_id, f.kind AS type, f.value AS value, {src.preview_sql('f.kind', 'f.
 
 def previews(spark, sf):
     """Safe previews per document, sorted."""
-    d = src.table(spark, sf, "documents").withColumn("found", pii.detect(F.col("text")))
+    d = src.texts(spark, sf, "documents").withColumn("found", pii.detect(F.col("text")))
     return d.filter(F.size("found") > 0).select("doc_id", F.array_join(pii.previews(F.col("found")), ", ").alias("previews"))
 
 
@@ -83,7 +83,7 @@ SELECT doc_id, string_agg(preview, ', ' ORDER BY preview) AS previews FROM p GRO
 
 
 def document_profile(spark, sf):
-    return profile.pii_profile(src.table(spark, sf, "documents"), "text", ["source", "lang"])
+    return profile.pii_profile(src.texts(spark, sf, "documents"), "text", ["source", "lang"])
 
 
 DOCUMENT_PROFILE = f"""WITH hits AS (SELECT source, lang, unnest({src.findings_sql('text')}) AS f FROM documents)
@@ -102,7 +102,7 @@ SELECT source, f.kind AS type, count(*) AS findings FROM hits GROUP BY ALL"""
 
 
 def redacted_documents(spark, sf):
-    d = src.table(spark, sf, "documents")
+    d = src.texts(spark, sf, "documents")
     return redaction.redact_columns(d.select("doc_id", "text"), ["doc_id"], ["text"])
 
 
@@ -120,7 +120,7 @@ SELECT order_id, source, CASE WHEN len(fs) = 0 THEN text ELSE {src.redact_sql('t
 
 def leak_audit(spark, sf):
     """Documents with findings before redaction, and the findings left after it."""
-    d = src.table(spark, sf, "documents").select("doc_id", "text")
+    d = src.texts(spark, sf, "documents").select("doc_id", "text")
     marked = redaction.redact_columns(d.withColumn("clean", F.col("text")), ["doc_id"], ["clean"])
     return marked.select(
         F.size(pii.detect(F.col("text"))).alias("before"), F.size(pii.detect(F.col("clean"))).alias("after")

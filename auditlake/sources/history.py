@@ -14,13 +14,13 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from auditlake.functions.pii import DETECTORS
 from auditlake.functions.redact import redact_json
 from auditlake.schemas import AUDIT_EVENTS, RUNS
 
 SUMMARY = ["run_id", "created_at", "agent_model", "judge_model", "pass_rate", "total_runs", "violations"]
+RUN_COLUMNS = [*SUMMARY, "payload"]
 
 
 # --- transforms ----------------------------------------------------------------------------
@@ -152,8 +152,7 @@ class RunHistory:
         generations = self._generations()
         if not generations:
             return None
-        schema = T.StructType.fromDDL(f"{RUNS}, saved_at timestamp, run_date date")
-        return self.spark.read.schema(schema).parquet(self._generation_path(generations[-1]))
+        return self.spark.read.schema(f"{RUNS}, saved_at timestamp, run_date date").parquet(self._generation_path(generations[-1]))
 
     def _write(self, saves: DataFrame, path: str, mode: str) -> None:
         saves.withColumn("run_date", F.to_date("created_at")).write.partitionBy("run_date").mode(mode).parquet(path)
@@ -224,6 +223,3 @@ class RunHistory:
         if not self._fs().exists(self._path(f"{self.root}/audit_events")):
             return self.spark.createDataFrame([], AUDIT_EVENTS)
         return self.spark.read.schema(AUDIT_EVENTS).parquet(f"{self.root}/audit_events")
-
-
-RUN_COLUMNS = [f.name for f in T.StructType.fromDDL(RUNS).fields]
