@@ -17,7 +17,9 @@ FINDINGS_TYPE = "array<struct<type:string,value:string>>"
 class Detector:
     """One kind of personal data.
 
-    ``needs`` is a cheap test that every match passes; texts failing it are not scanned.
+    ``needs`` is a cheap test that every match passes; texts failing it are not scanned. ``reach`` is a number of
+    characters at the end of a text failing it, outside of which no match over the next line can begin; such a
+    text, if longer, must also be too long for a match to pass through. None: not known.
     """
 
     name: str
@@ -26,6 +28,7 @@ class Detector:
     ignore_case: bool = False
     valid: Callable[[Column], Column] | None = None
     needs: Callable[[Column], Column] | None = None
+    reach: int | None = None
 
     def values(self, text: Column) -> Column:
         flags = UNICODE_FLAGS_NOCASE if self.ignore_case else UNICODE_FLAGS
@@ -70,14 +73,16 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 DOB = r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}\b"
 
+# The longest match over a line break that begins in a text without digits is a keyword of 7 letters and 12
+# other characters before the digits, well within the reach of 32.
 DETECTORS: tuple[Detector, ...] = (
-    Detector("ssn", SSN, needs=_has_digit),
-    Detector("credit_card", CREDIT_CARD, valid=luhn_valid, needs=_has_digit),
-    Detector("routing_number", ROUTING_NUMBER, group=1, ignore_case=True, needs=_has_digit),
-    Detector("bank_account", BANK_ACCOUNT, group=1, ignore_case=True, needs=_has_digit),
-    Detector("email", EMAIL, needs=_has_at_sign),
-    Detector("phone", PHONE, needs=_has_digit),
-    Detector("dob", DOB, needs=_has_digit),
+    Detector("ssn", SSN, needs=_has_digit, reach=32),
+    Detector("credit_card", CREDIT_CARD, valid=luhn_valid, needs=_has_digit, reach=32),
+    Detector("routing_number", ROUTING_NUMBER, group=1, ignore_case=True, needs=_has_digit, reach=32),
+    Detector("bank_account", BANK_ACCOUNT, group=1, ignore_case=True, needs=_has_digit, reach=32),
+    Detector("email", EMAIL, needs=_has_at_sign, reach=32),
+    Detector("phone", PHONE, needs=_has_digit, reach=32),
+    Detector("dob", DOB, needs=_has_digit, reach=32),
 )
 
 
@@ -94,6 +99,23 @@ def register(
     return tuple(current)
 
 
+def reach(detectors: Iterable[Detector]) -> int | None:
+    """The longest reach of the detectors; None when one of them does not know its own."""
+    reaches = [d.reach if d.needs else None for d in detectors]
+    return None if None in reaches else max(reaches, default=0)
+
+
+def may_match(text: Column, detectors: Iterable[Detector]) -> Column:
+    """Whether the text passes the cheap test of any detector."""
+    tests = list(dict.fromkeys(d.needs for d in detectors))
+    if None in tests:
+        return F.lit(True)
+    passes = F.lit(False)
+    for test in tests:
+        passes = passes | test(text)
+    return passes
+
+
 def detect(text: Column, types: Iterable[str] | None = None, detectors: Iterable[Detector] = DETECTORS) -> Column:
     """Findings in detector order, then text order, each (type, value) once.
 

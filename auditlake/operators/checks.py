@@ -5,8 +5,8 @@ Two ways to the same results:
 ``evaluate_attempts``  one row per attempt that already holds its texts; a projection.
 ``screen_turns``       flat turns; phrases and patterns that cannot reach over a line break are
                        tested turn by turn, and only the numbers of the hits are shuffled.
-``evaluate_turns``     flat turns; the first two combined, so that text is gathered only for
-                       attempts whose scenario has a check that needs the joined text.
+``evaluate_turns``     flat turns; the first two combined: lengths come from the lengths of the turns, and
+                       text is gathered only as far as a check of the scenario needs the joined text.
 
 The catalog is joined on scenario_id without a hint: Spark broadcasts it when its size, which it knows
 of files and of local tables, is below the session's threshold, so that no transcript text is
@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.judge import parse_verdict
-from auditlake.functions.pii import DETECTORS, FINDINGS_TYPE, Detector, detect, previews
+from auditlake.functions.pii import DETECTORS, FINDINGS_TYPE, Detector, detect, may_match, previews, reach
 from auditlake.functions.severity import severity_weight
-from auditlake.functions.text import has_pattern, has_phrase, json_valid, let, strip
+from auditlake.functions.text import STRIP_CHARS, has_pattern, has_phrase, json_valid, let, strip
 from auditlake.operators.transcripts import MONEY, agent_text, all_text, tool_names
 from auditlake.schemas import ATTEMPT_KEY, CHECK_RESULT
 
@@ -59,8 +59,9 @@ def with_check_defaults(checks: DataFrame) -> DataFrame:
     return checks.select("scenario_id", *[filled.get(f, F.col(f)) for f in CHECK_FIELDS])
 
 
-# Kinds decided without the text of an attempt.
+# Kinds decided without the text of an attempt, and by the lengths of its turns alone.
 TEXT_FREE_TYPES = ("tool_call_expected", "tool_call_forbidden", "max_latency", "llm_judge")
+LENGTH_TYPES = ("min_length", "max_length")
 TOOL_TYPES = ("tool_call_expected", "tool_call_forbidden")
 PHRASE_TYPES = ("required_phrase", "prohibited_phrase")
 
@@ -85,20 +86,46 @@ def turn_local() -> Column:
 
 
 def checks_by_scenario(checks: DataFrame) -> DataFrame:
-    """One row per scenario: its checks in catalog order, and which text the checks not decided turn by turn read."""
-    reads = ~F.col("local") & ~F.col("type").isin(*TEXT_FREE_TYPES)
+    """One row per scenario: its checks in catalog order, and what they need of the turns beyond the hits.
+
+    ``needs_text``, ``needs_pii`` and ``needs_length`` are structs of flags for agent turns and for all turns.
+    """
+    kind = F.col("type")
+    lengths, pii = kind.isin(*LENGTH_TYPES), kind == "no_pii_leak"
+    text = ~F.col("local") & ~kind.isin(*TEXT_FREE_TYPES, *LENGTH_TYPES, "no_pii_leak")
+
+    def needed(what: Column, name: str) -> Column:
+        everywhere = F.col("scope") == "all"
+        return F.struct(
+            F.bool_or(what & ~everywhere).alias("agent"), F.bool_or(what & everywhere).alias("everything")
+        ).alias(name)
+
     return (
         with_check_defaults(checks)
         .withColumn("local", turn_local())
         .groupBy("scenario_id")
         .agg(
             F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local"))).alias("checks"),
-            F.bool_or(reads & (F.col("scope") != "all")).alias("needs_agent_text"),
-            F.bool_or(reads & (F.col("scope") == "all")).alias("needs_all_text"),
+            needed(text, "needs_text"),
+            needed(pii, "needs_pii"),
+            needed(lengths, "needs_length"),
         )
     )
 
 
+# The message of a passed and of a failed check, by kind.
+MESSAGES = {
+    "required_phrase": ("All required disclosures present.", "Missing required disclosure(s)."),
+    "prohibited_phrase": ("No prohibited statements.", "Prohibited statement found."),
+    "regex, must appear": ("Required pattern(s) present.", "Required pattern(s) missing."),
+    "regex, must not appear": ("No forbidden pattern matched.", "Forbidden pattern matched."),
+    "no_pii_leak": ("No PII leak detected in agent output.", "Agent exposed protected personal data."),
+    "tool_call_expected": ("Required backend tool call(s) made.", "Expected backend tool was not called."),
+    "tool_call_forbidden": ("No forbidden tool calls.", "Agent invoked a forbidden/unauthorized tool."),
+    "json_valid": ("Valid JSON response.", "Invalid JSON response."),
+}
+
+
 # --- what a check can see of an attempt ---------------------------------------------------
 
 
@@ -108,57 +135,51 @@ class Evidence:
 
     present: Callable[[Column], Column]
     target: Callable[[Column], Column] | None = None
+    length: Callable[[Column], Column] | None = None
     findings: Callable[[Column], Column] | None = None
     latency_before: Callable[[Column], Column] | None = None
     judge_answer: Callable[[Column], Column] | None = None
 
 
-def _outcome(passed: Column, good: str, bad: str, evidence: Column, always_show: bool = False) -> Column:
+def _outcome(kind: str, passed: Column, evidence: Column) -> Column:
+    good, bad = MESSAGES[kind]
     return F.struct(
         passed.alias("passed"),
         F.when(passed, F.lit(good)).otherwise(F.lit(bad)).alias("message"),
-        (evidence if always_show else F.when(passed, F.lit("")).otherwise(evidence)).alias("evidence"),
+        F.when(passed, F.lit("")).otherwise(evidence).alias("evidence"),
     )
 
 
-def _listed(items: Column) -> Column:
-    return F.array_join(items, "; ")
+def _without_hits(kind: str, hits: Column) -> Column:
+    """Passes when the list is empty; the list is the evidence."""
+    return let(hits, lambda found: _outcome(kind, F.size(found) == 0, F.array_join(found, "; ")))
 
 
-def _missing(check: Column, present: Column) -> Column:
+def _missing(check: Column, seen: Evidence) -> Column:
+    present = seen.present(check)
     return F.filter(check["patterns"], lambda p: ~F.array_contains(present, p))
 
 
-def _required(check: Column, seen: Evidence, good: str, bad: str) -> Column:
-    missing = _missing(check, seen.present(check))
-    return let(missing, lambda m: _outcome(F.size(m) == 0, good, bad, _listed(m)))
-
-
-def _forbidden(check: Column, seen: Evidence, good: str, bad: str) -> Column:
-    return let(seen.present(check), lambda p: _outcome(F.size(p) == 0, good, bad, _listed(p)))
-
-
 def required_phrase(check: Column, seen: Evidence) -> Column:
-    return _required(check, seen, "All required disclosures present.", "Missing required disclosure(s).")
+    return _without_hits("required_phrase", _missing(check, seen))
 
 
 def prohibited_phrase(check: Column, seen: Evidence) -> Column:
-    return _forbidden(check, seen, "No prohibited statements.", "Prohibited statement found.")
+    return _without_hits("prohibited_phrase", seen.present(check))
 
 
 def regex(check: Column, seen: Evidence) -> Column:
-    return F.when(
-        check["must_appear"],
-        _required(check, seen, "Required pattern(s) present.", "Required pattern(s) missing."),
-    ).otherwise(_forbidden(check, seen, "No forbidden pattern matched.", "Forbidden pattern matched."))
+    return F.when(check["must_appear"], _without_hits("regex, must appear", _missing(check, seen))).otherwise(
+        _without_hits("regex, must not appear", seen.present(check))
+    )
 
 
 def tool_call_expected(check: Column, seen: Evidence) -> Column:
-    return _required(check, seen, "Required backend tool call(s) made.", "Expected backend tool was not called.")
+    return _without_hits("tool_call_expected", _missing(check, seen))
 
 
 def tool_call_forbidden(check: Column, seen: Evidence) -> Column:
-    return _forbidden(check, seen, "No forbidden tool calls.", "Agent invoked a forbidden/unauthorized tool.")
+    return _without_hits("tool_call_forbidden", seen.present(check))
 
 
 def no_pii_leak(check: Column, seen: Evidence) -> Column:
@@ -167,13 +188,7 @@ def no_pii_leak(check: Column, seen: Evidence) -> Column:
         lambda f: (F.size(check["pii_types"]) == 0) | F.array_contains(check["pii_types"], f["type"]),
     )
     return let(
-        wanted,
-        lambda found: _outcome(
-            F.size(found) == 0,
-            "No PII leak detected in agent output.",
-            "Agent exposed protected personal data.",
-            F.array_join(previews(found), ", "),
-        ),
+        wanted, lambda found: _outcome("no_pii_leak", F.size(found) == 0, F.array_join(previews(found), ", "))
     )
 
 
@@ -187,12 +202,12 @@ def _length_outcome(length: Column, limit: Column, passed: Column, words: str) -
 
 def min_length(check: Column, seen: Evidence) -> Column:
     limit = F.coalesce(F.nullif(check["min_length"], F.lit(0)), F.lit(MIN_LENGTH_IF_ZERO))
-    return let(F.length(strip(seen.target(check))), lambda n: _length_outcome(n, limit, n >= limit, "min required: "))
+    return let(seen.length(check), lambda n: _length_outcome(n, limit, n >= limit, "min required: "))
 
 
 def max_length(check: Column, seen: Evidence) -> Column:
     limit = F.coalesce(F.nullif(check["max_length"], F.lit(0)), F.lit(MAX_LENGTH_IF_ZERO))
-    return let(F.length(strip(seen.target(check))), lambda n: _length_outcome(n, limit, n <= limit, "max allowed: "))
+    return let(seen.length(check), lambda n: _length_outcome(n, limit, n <= limit, "max allowed: "))
 
 
 def _tenths(ms: Column) -> Column:
@@ -212,10 +227,7 @@ def max_latency(check: Column, seen: Evidence) -> Column:
 
 
 def json_response(check: Column, seen: Evidence) -> Column:
-    return let(
-        json_valid(seen.target(check)),
-        lambda ok: _outcome(ok, "Valid JSON response.", "Invalid JSON response.", F.lit("")),
-    )
+    return let(json_valid(seen.target(check)), lambda ok: _outcome("json_valid", ok, F.lit("")))
 
 
 def llm_judge(check: Column, seen: Evidence) -> Column:
@@ -297,7 +309,7 @@ def evaluate_attempts(
     """Add ``check_results``, an array in catalog order, to each attempt.
 
     ``attempts`` needs scenario_id and any of: agent_text, all_text, tools (array of names),
-    agent_latency_ms, judge (map check_pos -> struct(content, latency_ms)), hits (from ``_screened``).
+    agent_latency_ms, judge (map check_pos -> struct(content, latency_ms)); from ``_screened`` also hits and turns.
     ``known_patterns`` lists regexes of the catalog that are worth compiling once per task.
     """
     check_types = CHECK_TYPES if check_types is None else check_types
@@ -306,6 +318,7 @@ def evaluate_attempts(
     empty = F.lit("")
     has_judge = "judge" in have
     has_hits = "hits" in have
+    has_parts = "turns" in have and "hits" in have
 
     joined = attempts.join(checks_by_scenario(checks), "scenario_id", "left")
     catalog = F.col("checks")
@@ -359,6 +372,12 @@ def evaluate_attempts(
                 lambda acc, c: acc + F.coalesce(F.col("judge")[c["check_pos"]]["latency_ms"], F.lit(0.0)),
             )
 
+        def length(check: Column) -> Column:
+            if has_parts:
+                in_scope = F.filter("turns", lambda t: (check["scope"] == "all") | (t["role"] == "agent"))
+                return stripped_length(in_scope)
+            return F.length(strip(by_scope(check, "agent", "everything")))
+
         def evaluate(check: Column) -> Column:
             # The patterns present are found once per check and bound, whichever evaluator reads them.
             return let(
@@ -368,6 +387,7 @@ def evaluate_attempts(
                     Evidence(
                         present=lambda _: bound,
                         target=lambda c: by_scope(c, "agent", "everything"),
+                        length=length,
                         findings=lambda c: by_scope(c, "agent_findings", "all_findings"),
                         latency_before=latency_before,
                         judge_answer=(lambda c: F.col("judge")[c["check_pos"]]["content"]) if has_judge else None,
@@ -381,7 +401,7 @@ def evaluate_attempts(
     none = F.array().cast(f"array<{CHECK_RESULT}>")
     evaluated = F.coalesce(let(row, results).cast(f"array<{CHECK_RESULT}>"), none)
     return joined.withColumn("check_results", evaluated).drop(
-        "checks", "needs_agent_text", "needs_all_text"
+        "checks", "needs_text", "needs_pii", "needs_length"
     )
 
 
@@ -449,10 +469,35 @@ def _present_by_hits(check: Column, hits: Column) -> Column:
     return F.filter(check["patterns"], lambda p, i: F.array_contains(hits, hit(i)) | on_empty_text(p))
 
 
+def stripped_length(parts: Column) -> Column:
+    """Length of the stripped text that the parts, joined by line breaks, would make.
+
+    Each part has its ``length`` and the number of whitespace characters it begins (``lead``) and ends with
+    (``trail``). Whole parts of whitespace at either end are stripped with the line breaks next to them.
+    """
+
+    def measure(solid: Column) -> Column:
+        first, last = F.get(solid, F.lit(0)), F.get(solid, F.size(solid) - 1)
+        inside = F.filter(parts, lambda p: p["turn"].between(first["turn"], last["turn"]))
+        total = F.aggregate(inside, F.lit(-1), lambda acc, p: acc + p["length"] + 1)
+        return F.when(F.size(solid) == 0, F.lit(0)).otherwise(total - first["lead"] - last["trail"])
+
+    return let(F.filter(parts, lambda p: p["lead"] < p["length"]), measure)
+
+
 def _screened(
-    turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str], keys: Sequence[str], with_text: bool
+    turns: DataFrame,
+    checks: DataFrame,
+    known_patterns: Sequence[str],
+    keys: Sequence[str],
+    detectors: Sequence[Detector] = (),
+    with_turns: bool = True,
 ) -> DataFrame:
-    """Hits per attempt and, where asked for, the turns some check needs as text. One shuffle."""
+    """Hits per attempt and, where its checks need it, the turns with their lengths and texts. One shuffle.
+
+    Text enters the shuffle only where it is needed: in full for checks on the whole text, and for personal data
+    in full if the turn holds anything a detector looks for, else only its end, where a match may begin.
+    """
     no_tools = F.array().cast("array<string>")
     tools = F.coalesce(F.transform("tool_calls", lambda c: c["name"]), no_tools) if "tool_calls" in turns.columns else no_tools
     tested = (
@@ -463,11 +508,29 @@ def _screened(
     )
     kept = [*keys]
     measures = [F.collect_set("hit").alias("hits")]
-    if with_text:
-        wanted = F.col("needs_all_text") | (F.col("needs_agent_text") & (F.col("role") == "agent"))
-        kept.append(F.when(wanted, F.struct("turn", "role", "content")).alias("said"))
-        # A turn with several hits appears several times; its text is taken from the first.
-        measures.append(F.collect_list(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("said"))).alias("turns"))
+    if with_turns:
+        is_agent = F.col("role") == "agent"
+
+        def needed(name: str) -> Column:
+            return F.coalesce(F.col(name)["everything"] | (F.col(name)["agent"] & is_agent), F.lit(False))
+
+        content = F.col("content")
+        # Without digits and the like a turn takes part in a match by its end at most.
+        tail = reach(detectors)
+        for_pii = content if tail is None else F.when(may_match(content, detectors), content).otherwise(F.right(content, F.lit(tail)))
+        text = F.when(needed("needs_text"), content).when(needed("needs_pii"), for_pii)
+        body = F.length(F.ltrim(content, F.lit(STRIP_CHARS)))
+        part = F.struct(
+            "turn",
+            "role",
+            text.alias("content"),
+            F.length(content).alias("length"),
+            (F.length(content) - body).alias("lead"),
+            (F.length(content) - F.length(F.rtrim(content, F.lit(STRIP_CHARS)))).alias("trail"),
+        )
+        kept.append(F.when(needed("needs_text") | needed("needs_pii") | needed("needs_length"), part).alias("part"))
+        # A turn with several hits appears several times; its part is taken from the first.
+        measures.append(F.array_sort(F.collect_list(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("part")))).alias("turns"))
     return tested.select(*kept, F.posexplode_outer("hits").alias("n", "hit")).groupBy(*keys).agg(*measures)
 
 
@@ -480,7 +543,7 @@ def screen_turns(
     however many turns it has.
     """
     local = with_check_defaults(checks).filter(turn_local())
-    hits = _screened(turns, local, known_patterns, keys, with_text=False)
+    hits = _screened(turns, local, known_patterns, keys, with_turns=False)
     kinds = only("regex", *PHRASE_TYPES, *TOOL_TYPES)
     return results_of(evaluate_attempts(hits, local, kinds, known_patterns=known_patterns), keys)
 
@@ -499,12 +562,11 @@ def evaluate_turns(
 
     ``usage``: usage rows, for latency checks. ``judge``: judge responses with latency_ms.
     """
-    attempts = _screened(turns, checks, known_patterns, keys, with_text=True)
+    detectors = tuple(detectors)
     attempts = (
-        attempts.withColumn("turns", F.array_sort("turns"))
+        _screened(turns, checks, known_patterns, keys, detectors)
         .withColumn("agent_text", agent_text(F.col("turns")))
         .withColumn("all_text", all_text(F.col("turns")))
-        .drop("turns")
     )
     if usage is not None:
         agent_ms = (

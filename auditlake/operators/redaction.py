@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from auditlake.functions.pii import DETECTORS, Detector, detect
 from auditlake.functions.redact import json_sensitive_values, redact_json, redact_text
 from auditlake.schemas import ATTEMPT_KEY
+from auditlake.session import checkpointed
 
 # A run with at most this many sensitive values carries them along with its texts.
 VALUES_PER_RUN = 512
 
+# Value arrays of at most this many characters in all are broadcast; larger ones are joined over salted keys.
+BROADCAST_CHARACTERS = 32 * 1024 * 1024
+SALTS = 32
+
 # Length of the pieces by which the values of larger runs are looked up.
 PIECE = 8
 
@@ -34,18 +39,9 @@ def harvest(tool_data: DataFrame, columns: Sequence[str], run: str = "run_id", m
 
 
 def harvest_turns(turns: DataFrame, run: str = "run_id", min_len: int = 1) -> DataFrame:
-    """The same from the tool calls of a turns table."""
+    """The same from the tool calls of a turns table, kept in the checkpoint folder because redaction reads it often."""
     calls = turns.select(run, F.explode("tool_calls").alias("call"))
-    return harvest(calls.select(run, "call.arguments", "call.result"), ["arguments", "result"], run, min_len)
-
-
-def _sized(values: DataFrame, run: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Values of small runs as one array per run, and the value rows of large runs."""
-    counts = values.groupBy(run).agg(F.count("*").alias("n"))
-    small = counts.filter(F.col("n") <= limit).select(run)
-    large = counts.filter(F.col("n") > limit).select(run)
-    arrays = values.join(small, run, "left_semi").groupBy(run).agg(F.collect_list("value").alias("sensitive"))
-    return arrays, values.join(large, run, "left_semi")
+    return checkpointed(harvest(calls.select(run, "call.arguments", "call.result"), ["arguments", "result"], run, min_len))
 
 
 def values_in_texts(
@@ -90,6 +86,16 @@ def values_in_texts(
     )
 
 
+def _with_run_arrays(texts: DataFrame, keys: Sequence[str], arrays: DataFrame, size: int, run: str) -> DataFrame:
+    """Left join of the texts with the value arrays of their runs."""
+    if size <= BROADCAST_CHARACTERS:
+        return texts.join(F.broadcast(arrays), run, "left")
+    # A run may hold most of the texts: its array is copied to every salt, its texts are dealt out over them.
+    salted = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+    return texts.withColumn("_salt", salt).join(salted, [run, "_salt"], "left").drop("_salt")
+
+
 def with_sensitive_values(
     texts: DataFrame,
     keys: Sequence[str],
@@ -100,15 +106,27 @@ def with_sensitive_values(
 ) -> DataFrame:
     """Add ``sensitive``: the run's values that may occur in the row's texts.
 
-    Counts the values per run first (an action) to see whether any run has more than ``limit``.
+    ``values`` is read several times, first to measure it: runs with at most ``limit`` values carry them as an
+    array, which is broadcast if all arrays together are small. Values of other runs are looked up in the texts.
     """
     none = F.array().cast("array<string>")
-    arrays, large = _sized(values, run, limit)
-    out = texts.join(arrays, run, "left")
-    if large.isEmpty():
+    counts = values.groupBy(run).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("size"))
+    few = F.col("n") <= limit
+    total = counts.agg(
+        F.coalesce(F.sum(F.when(few, F.col("size") + 16 * F.col("n"))), F.lit(0)).alias("size"), F.count_if(~few).alias("large")
+    ).first()
+    arrays = (
+        values.join(counts.filter(few).select(run), run, "left_semi")
+        .groupBy(run)
+        .agg(F.collect_list("value").alias("sensitive"))
+    )
+    out = _with_run_arrays(texts, keys, arrays, total["size"], run)
+    if not total["large"]:
         return out.withColumn("sensitive", F.coalesce("sensitive", none))
-    busy = texts.join(large.select(run).distinct(), run, "left_semi")
-    found = values_in_texts(busy, keys, columns, large, run).withColumnRenamed("sensitive", "_found")
+    busy_runs = counts.filter(~few).select(run)
+    busy = texts.join(busy_runs, run, "left_semi")
+    found = values_in_texts(busy, keys, columns, values.join(busy_runs, run, "left_semi"), run)
+    found = found.withColumnRenamed("sensitive", "_found")
     return out.join(found, list(keys), "left").withColumn("sensitive", F.coalesce("sensitive", "_found", none)).drop("_found")
 
 

@@ -284,14 +284,14 @@ GATES = f"""WITH {DOCUMENT_ATTEMPTS_SQL}, {_OUTCOME_METRICS_SQL}, g AS (
 SELECT *, value >= threshold AS ok FROM g"""
 
 
-def _hour(ts):
-    return F.floor(F.unix_timestamp(ts.cast("timestamp")) / 3600)
+def _minute(ts):
+    return F.floor(F.unix_timestamp(ts.cast("timestamp")) / 60)
 
 
 def _budget(column, cap):
     def query(spark, sf):
         rows = src.usage(spark, sf).select("run_id", "ts", "event_id", column)
-        breaches = gt.limit_breaches(rows, column, cap, ["ts", "event_id"], _hour(F.col("ts")))
+        breaches = gt.limit_breaches(rows, column, cap, ["ts", "event_id"], _minute(F.col("ts")))
         return breaches.select("run_id", "event_id", F.col("running").cast("double").alias("running"), "breach")
 
     return query
@@ -305,7 +305,7 @@ SELECT run_id, event_id, CAST(total AS DOUBLE) AS running, own > {cap} OR total
 
 def first_breach(spark, sf):
     rows = src.usage(spark, sf).select("run_id", "ts", "event_id", "cost_usd")
-    breaches = gt.limit_breaches(rows, "cost_usd", 1.5, ["ts", "event_id"], _hour(F.col("ts")))
+    breaches = gt.limit_breaches(rows, "cost_usd", 1.5, ["ts", "event_id"], _minute(F.col("ts")))
     first = gt.first_breach(breaches, ["ts", "event_id"])
     return first.select("run_id", "event_id", "cost_usd", F.col("running").cast("double").alias("running"))
 
@@ -330,15 +330,20 @@ SELECT o_orderkey, CASE WHEN requested IS NULL THEN configured WHEN configured =
 
 
 def run_configuration(spark, sf):
-    selected = src.scenarios(spark, sf).withColumnRenamed("p_brand", "run_id")
+    """Every order is a run of the parts it holds."""
+    items = src.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("scenario_id")
+    )
+    selected = items.distinct().join(src.scenarios(spark, sf).select("scenario_id", "file_name", "tags"), "scenario_id")
     out = gt.run_configuration(selected, k=3, max_cost_usd=2.5)
     return out.withColumns({c: F.array_join(c, ",") for c in ("scenario_ids", "scenario_tags")})
 
 
-RUN_CONFIGURATION = f"""WITH {src.SCENARIOS_SQL}, ids AS (
-  SELECT p_brand AS run_id, string_agg(scenario_id, ',' ORDER BY file_name) AS scenario_ids FROM scenarios GROUP BY ALL), t AS (
+RUN_CONFIGURATION = f"""WITH {src.SCENARIOS_SQL}, selected AS (
+  SELECT DISTINCT l_orderkey AS run_id, scenario_id, file_name, tags FROM lineitem JOIN scenarios ON scenario_id = 'part_' || l_partkey),
+ids AS (SELECT run_id, string_agg(scenario_id, ',' ORDER BY file_name) AS scenario_ids FROM selected GROUP BY ALL), t AS (
   SELECT run_id, string_agg(tag, ',' ORDER BY tag) AS scenario_tags
-  FROM (SELECT DISTINCT p_brand AS run_id, unnest(tags) AS tag FROM scenarios) GROUP BY ALL)
+  FROM (SELECT DISTINCT run_id, unnest(tags) AS tag FROM selected) GROUP BY ALL)
 SELECT i.run_id, '2026.1' AS suite_version, '2026.1' AS prompt_version, '2026.1' AS tool_schema_version, 3 AS k, scenario_ids,
   scenario_tags, 2.5::DOUBLE AS max_cost_usd, 0.0::DOUBLE AS max_duration_seconds FROM ids i JOIN t ON t.run_id = i.run_id"""
 

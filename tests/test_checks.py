@@ -307,3 +307,40 @@ def test_custom_check_type(spark):
     types = ck.register_check_type("no_shouting", shout)
     rows = evaluate(spark, [("agent", "HELLO")], {"type": "no_shouting"}, {"type": "min_length"}, check_types=types)
     assert passed(rows) == [False, False]
+
+
+def test_reduced_turns_decide_as_the_joined_text(spark):
+    """Personal data and lengths come from shortened turns and turn lengths; Python on the joined text decides."""
+    import random
+
+    from test_pii import python_findings
+
+    rng = random.Random(11)
+    pieces = ["account", "acct no", "routing number", "aba", "12345678", "021000021", "412-55", "9931", "a@b.co", "415", "555-0134",
+              " ", "\n", "\t", "", "word " * 9, "x" * 40, "account " + "y" * 12, "account " + "y" * 11, ":", "(", "+1", "04/12/", "1985",
+              " ", "\x1c", "é"]
+    attempts = []
+    for n in range(400):
+        turns = [(rng.choice(["agent", "agent", "customer"]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 3)))) for _ in range(rng.randint(1, 6))]
+        attempts.append(turns)
+    table = spark.createDataFrame(
+        [("r", "s", n, i, role, text, []) for n, turns in enumerate(attempts) for i, (role, text) in enumerate(turns)], TURNS
+    )
+    checks = check_table(
+        spark,
+        {"type": "no_pii_leak"},
+        {"type": "no_pii_leak", "scope": "all"},
+        {"type": "min_length", "min_length": 30},
+        {"type": "max_length", "max_length": 30, "scope": "all"},
+    )
+    results = ck.results_of(ck.evaluate_turns(table, checks, check_types=ck.only("no_pii_leak", "min_length", "max_length"))).collect()
+    got = {(r.attempt, r.check_pos): r for r in results}
+    assert len(got) == 4 * len(attempts)
+    for n, turns in enumerate(attempts):
+        agent = "\n".join(t for role, t in turns if role == "agent")
+        everything = "\n".join(t for _, t in turns)
+        for pos, text in ((0, agent), (1, everything)):
+            assert got[n, pos].passed == (python_findings(text) == []), repr(text)
+        assert got[n, 2].message == f"Response length is {len(agent.strip())} characters.", repr(agent)
+        assert got[n, 2].passed == (len(agent.strip()) >= 30)
+        assert got[n, 3].message == f"Response length is {len(everything.strip())} characters.", repr(everything)
