@@ -24,8 +24,9 @@ VALUES_PER_RUN = 512
 BROADCAST_CHARACTERS = 32 * 1024 * 1024
 SALTS = 32
 
-# Length of the pieces by which the values of larger runs are looked up.
+# Length of the pieces by which the values of larger runs are looked up, and how many rows of them are broadcast.
 PIECE = 8
+BROADCAST_ROWS = 200_000
 
 
 def harvest(tool_data: DataFrame, columns: Sequence[str], run: str = "run_id", min_len: int = 1) -> DataFrame:
@@ -44,6 +45,11 @@ def harvest_turns(turns: DataFrame, run: str = "run_id", min_len: int = 1) -> Da
     return checkpointed(harvest(calls.select(run, "call.arguments", "call.result"), ["arguments", "result"], run, min_len))
 
 
+def _broadcast_if_few(rows: DataFrame) -> DataFrame:
+    """Mark short rows for broadcast after counting that they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def values_in_texts(
     texts: DataFrame, keys: Sequence[str], columns: Sequence[str], values: DataFrame, run: str = "run_id"
 ) -> DataFrame:
@@ -51,41 +57,50 @@ def values_in_texts(
 
     A text offers the short pieces that start at each of its positions; those that start a value of the run point
     to the lengths worth cutting there, and the cuts are matched with the values by equality. The work grows with
-    the text and its own matches, not with texts times values.
+    the text and its own matches, not with texts times values. The distinct pieces are counted first: when they
+    are few they are broadcast, and only positions that start a value leave the scan.
     """
     keys = list(keys)
     wanted = values.filter(F.length("value") > 0).withColumn("piece", F.left(F.col("value"), F.lit(PIECE)))
     shapes = wanted.groupBy(run, "piece").agg(F.collect_set(F.length("value")).alias("lengths"))
+    shapes = _broadcast_if_few(shapes)
+    known = _broadcast_if_few(values.select(run, "value"))
     in_use = wanted.agg(F.collect_set(F.length("piece"))).scalar()
     carried = list(dict.fromkeys([*keys, run]))
     whole = texts.select(*carried, F.concat_ws("\n", *columns).alias("text")).filter(F.length("text") > 0)
-
-    def pieces(text: Column, sizes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text))
-        return F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(sizes, lambda n: F.struct(i.alias("start"), F.substring(text, i, n).alias("piece"))),
-            )
-        )
-
-    offered = whole.withColumn("sizes", in_use).select(*carried, F.inline(pieces(F.col("text"), F.col("sizes"))))
+    offered = whole.withColumn("sizes", in_use).select(*carried, F.explode(_pieces(F.col("text"), F.col("sizes"))).alias("piece"))
     spots = (
         offered.join(shapes, [run, "piece"])
-        .select(*carried, "start", F.explode("lengths").alias("length"))
         .groupBy(*carried)
-        .agg(F.collect_set(F.struct("start", "length")).alias("spots"))
+        .agg(F.collect_list(F.struct("piece", "lengths")).alias("spots"))
     )
-    cuts = F.array_distinct(F.transform("spots", lambda s: F.substring(F.col("text"), s["start"], s["length"])))
+    cuts = F.flatten(F.transform("spots", lambda s: F.flatten(F.transform(s["lengths"], lambda n: _cuts(F.col("text"), s["piece"], n)))))
     return (
         spots.join(whole, carried)
-        .select(*carried, F.explode(cuts).alias("value"))
-        .join(values.select(run, "value"), [run, "value"], "left_semi")
+        .select(*carried, F.explode(F.array_distinct(cuts)).alias("value"))
+        .join(known, [run, "value"], "left_semi")
         .groupBy(*keys)
         .agg(F.collect_list("value").alias("sensitive"))
     )
 
 
+def _pieces(text: Column, sizes: Column) -> Column:
+    """Distinct substrings of the text of the given sizes. A look-ahead captures one at every position."""
+    none = F.array().cast("array<string>")
+    by_size = [
+        F.when(F.array_contains(sizes, n), F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(none)
+        for n in range(1, PIECE + 1)
+    ]
+    return F.array_distinct(F.concat(*by_size))
+
+
+def _cuts(text: Column, piece: Column, length: Column) -> Column:
+    """Substrings of the given length that start with the piece."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(piece, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    rest = F.concat(F.lit(".{"), (length - F.length(piece)).cast("string"), F.lit("}))"))
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=("), quoted, rest), F.lit(1))
+
+
 def _with_run_arrays(texts: DataFrame, keys: Sequence[str], arrays: DataFrame, size: int, run: str) -> DataFrame:
     """Left join of the texts with the value arrays of their runs."""
     if size <= BROADCAST_CHARACTERS:

@@ -156,7 +156,7 @@ TAGGED_RUNS_FILTER_FIRST = f"""WITH {_HAVING_SQL} SELECT {_LISTED} FROM (SELECT
 
 def _audit(spark, sf):
     """Orders as audit events whose details hold a password and a contact."""
-    o = src.table(spark, sf, "orders")
+    o = src.texts(spark, sf, "orders")
     details = F.create_map(
         F.lit("run_id"), F.concat(F.lit("run_"), F.col("o_custkey").cast("string")),
         F.lit("password"), F.col("o_orderpriority"),
@@ -181,7 +181,8 @@ AUDIT_ROWS = f"""WITH {_AUDIT_SQL} SELECT event_id, created_at, event_type,
 
 
 def list_audit_events(spark, sf):
-    listed = _texted(hs.list_audit_events(hs.audit_rows(_audit(spark, sf)), 25))
+    newest = _audit(spark, sf).orderBy(F.desc("created_at"), F.desc("event_id")).limit(25)
+    listed = _texted(hs.list_audit_events(hs.audit_rows(newest), 25))
     return listed.select(
         "event_id", "created_at", "event_type", F.col("details")["run_id"].alias("run"), F.col("details")["password"].alias("password")
     )

@@ -189,7 +189,7 @@ REDACTED_JSON = """SELECT c_custkey, '{"profile": {"name": "' || c_name || '", "
 
 def redacted_flat_json(spark, sf):
     """Event properties with a PIN and a contact added, as a flat object."""
-    e = src.table(spark, sf, "events")
+    e = src.texts(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
     doc = F.concat(
         F.lit('{"k": '), k, F.lit(', "pin": "'), k, F.lit('", "contact": "user'), F.col("user_id").cast("string"),
@@ -213,7 +213,7 @@ def _account_turns(spark, sf):
     A run is a customer group, so that one run holds the accounts of many customers; the account of the next
     customer of the group is named too, whose own tool call may be in any other attempt of the run.
     """
-    o = src.table(spark, sf, "orders")
+    o = src.texts(spark, sf, "orders")
     run = F.concat(F.lit("group_"), (F.col("o_custkey") % 5).cast("string"))
 
     def account(number):
