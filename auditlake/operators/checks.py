@@ -326,18 +326,21 @@ def evaluate_attempts(
     everything = F.coalesce(F.col("all_text"), empty) if "all_text" in have else empty
     no_findings = F.array().cast(FINDINGS_TYPE)
 
-    def found(text: Column, scope: str) -> Column:
+    def findings() -> Column:
+        """Findings of the agent text and of the whole text; of neither when no check asks for them."""
         if "no_pii_leak" not in check_types:
-            return no_findings
-        return F.when(_wants(catalog, ("no_pii_leak",), scope), detect(text, detectors=detectors)).otherwise(no_findings)
+            return F.array(no_findings, no_findings)
+        scanned = F.array(
+            *[F.when(_wants(catalog, ("no_pii_leak",), s), t) for s, t in (("agent", agent), ("all", everything))]
+        )
+        return F.transform(scanned, lambda t: F.when(t.isNull(), no_findings).otherwise(detect(t, detectors=detectors)))
 
     row = F.struct(
         agent.alias("agent"),
         everything.alias("everything"),
         F.when(_wants(catalog, PHRASE_TYPES, "agent"), F.lower(agent)).alias("agent_folded"),
         F.when(_wants(catalog, PHRASE_TYPES, "all"), F.lower(everything)).alias("everything_folded"),
-        found(agent, "agent").alias("agent_findings"),
-        found(everything, "all").alias("all_findings"),
+        findings().alias("findings"),
         (F.col("tools") if "tools" in have else F.array().cast("array<string>")).alias("tools"),
         (F.col("agent_latency_ms") if "agent_latency_ms" in have else F.lit(0.0)).cast("double").alias("latency"),
     )
@@ -388,7 +391,7 @@ def evaluate_attempts(
                         present=lambda _: bound,
                         target=lambda c: by_scope(c, "agent", "everything"),
                         length=length,
-                        findings=lambda c: by_scope(c, "agent_findings", "all_findings"),
+                        findings=lambda c: F.get(r["findings"], F.when(c["scope"] == "all", F.lit(1)).otherwise(F.lit(0))),
                         latency_before=latency_before,
                         judge_answer=(lambda c: F.col("judge")[c["check_pos"]]["content"]) if has_judge else None,
                     ),

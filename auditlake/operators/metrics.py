@@ -185,7 +185,8 @@ def value_at_fraction(
 
 def latency_percentiles(usage: DataFrame, latency: str = "latency_ms") -> DataFrame:
     """Upper median and 90 % latency, not interpolated (M14, M15)."""
-    return value_at_fraction(usage, latency, {"p50_latency_ms": 0.5, "p90_latency_ms": 0.9})
+    latencies = usage.select(*RUN, F.col(latency).cast("double").alias("ms"))
+    return value_at_fraction(latencies, "ms", {"p50_latency_ms": 0.5, "p90_latency_ms": 0.9})
 
 
 def usage_metrics(usage: DataFrame) -> DataFrame:

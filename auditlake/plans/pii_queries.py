@@ -8,6 +8,7 @@ from auditlake.functions import pii
 from auditlake.functions import redact as rd
 from auditlake.operators import profile, redaction
 from auditlake.plans import inputs as src
+from auditlake.sources.transcripts import redacted_artifacts as redacted_run
 
 DOC_KINDS = ("credit_card", "email", "phone")
 
@@ -248,6 +249,26 @@ def redacted_turns_by_array(spark, sf):
     return clean.select("run_id", "scenario_id", "content")
 
 
+def redacted_artifacts(spark, sf):
+    """Orders as recorded attempts whose evidence names accounts of other attempts, as they leave for a report."""
+    t = _account_turns(spark, sf).withColumn("run_id", F.concat("run_id", F.lit("_"), F.substring("content", 12, 3)))
+    evidence = F.concat(F.lit("said: "), F.col("content"))
+    result = F.struct(
+        F.lit(0).alias("check_pos"), F.lit("c").alias("check_id"), F.lit("regex").alias("type"), F.lit(False).alias("passed"),
+        F.lit("high").alias("severity"), F.array(F.lit("R")).alias("regulations"), F.lit("Found.").alias("message"),
+        evidence.alias("evidence"),
+    )
+    run = t.select(
+        "run_id", "scenario_id", "attempt", F.concat(F.lit("About "), F.substring("content", 5, 11)).alias("title"),
+        F.array(F.struct("role", "content", "tool_calls")).alias("turns"), F.array(result).alias("check_results"),
+    )
+    clean = redacted_run(run)
+    return clean.select(
+        "run_id", "scenario_id", "title", F.col("turns")[0]["content"].alias("content"),
+        F.col("turns")[0]["tool_calls"][0]["result"].alias("result"), F.col("check_results")[0]["evidence"].alias("evidence"),
+    )
+
+
 _ACCOUNTS_SQL = """accounts AS (
   SELECT 'group_' || (o_custkey % 5) AS run_id, 'order_' || o_orderkey AS scenario_id, o_orderstatus,
          'ACME' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS mine,
@@ -259,10 +280,16 @@ _CLEAN_SQL = """'See [REDACTED:SENSITIVE]/' || CASE WHEN EXISTS (SELECT 1 FROM a
 REDACTED_TURNS = f"""WITH {_ACCOUNTS_SQL} SELECT run_id, scenario_id, {_CLEAN_SQL}, 'get_account' AS tool,
   '{{"account_id":"[REDACTED:SENSITIVE]","status":"' || o_orderstatus || '"}}' AS result FROM accounts a"""
 
-REDACTED_TURNS_BY_ARRAY = f"""WITH {_ACCOUNTS_SQL.replace("AS run_id", "|| '_' || substr(lpad(CAST(o_custkey AS VARCHAR), 7, '0'), 4, 3) AS run_id")}
+_SMALL_RUNS_SQL = _ACCOUNTS_SQL.replace("AS run_id", "|| '_' || substr(lpad(CAST(o_custkey AS VARCHAR), 7, '0'), 4, 3) AS run_id")
+REDACTED_TURNS_BY_ARRAY = f"""WITH {_SMALL_RUNS_SQL}
 SELECT run_id, scenario_id, {_CLEAN_SQL} FROM accounts a"""
 
 
+REDACTED_ARTIFACTS = f"""WITH {_SMALL_RUNS_SQL}, c AS (SELECT *, {_CLEAN_SQL} FROM accounts a)
+SELECT run_id, scenario_id, 'About [REDACTED:SENSITIVE]' AS title, content,
+  '{{"account_id":"[REDACTED:SENSITIVE]","status":"' || o_orderstatus || '"}}' AS result, 'said: ' || content AS evidence FROM c"""
+
+
 QUERIES = {
     **{f"pii_{d.name}": (_kind_on_messages(d.name), _kind_on_messages_sql(d.name)) for d in pii.DETECTORS},
     "pii_luhn": (luhn, LUHN),
@@ -280,5 +307,6 @@ QUERIES = {
     "redacted_json": (redacted_json, REDACTED_JSON),
     "redacted_flat_json": (redacted_flat_json, REDACTED_FLAT_JSON),
     "redacted_turns": (redacted_turns, REDACTED_TURNS),
+    "redacted_artifacts": (redacted_artifacts, REDACTED_ARTIFACTS),
     "redacted_turns_by_array": (redacted_turns_by_array, REDACTED_TURNS_BY_ARRAY),
 }
