@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import let, strip
+from auditlake.functions.text import STRIP_CHARS, let, strip
 
 # The instruction sent to the judge, and the frame of its user message.
 JUDGE_SYSTEM = (
@@ -33,7 +33,9 @@ MISLEADING_MARKERS = (
 MISLEADING_REASON = "Detected misleading or coercive language inconsistent with fair-dealing standards."
 CLEAR_REASON = "Statements are clear, accurate, and non-misleading."
 
-RESPONSE_BLOCK = r'(?Uds)AGENT RESPONSE:\s*"""\s*(.*?)\s*"""'
+# A response is opened and closed by three quotes; the first closing ones end it.
+RESPONSE_BLOCK = r'(?Uds)AGENT RESPONSE:\s*"""\s*.*?"""'
+RESPONSE_OPENING = r'(?Ud)^AGENT RESPONSE:\s*"""\s*'
 
 
 def judge_message(rubric: Column, agent_text: Column) -> Column:
@@ -42,9 +44,13 @@ def judge_message(rubric: Column, agent_text: Column) -> Column:
 
 def response_block(message: Column) -> Column:
     """The quoted agent response of a judge message; the whole message where there is none."""
-    return F.when(
-        F.rlike(message, F.lit(RESPONSE_BLOCK)), F.regexp_extract(message, RESPONSE_BLOCK, 1)
-    ).otherwise(message)
+
+    def inner(block: Column) -> Column:
+        opened = F.regexp_replace(block, RESPONSE_OPENING, "")
+        text = F.rtrim(F.left(opened, F.length(opened) - 3), F.lit(STRIP_CHARS))
+        return F.when(block == "", message).otherwise(text)
+
+    return let(F.regexp_extract(message, RESPONSE_BLOCK, 0), inner)
 
 
 def marker_judge(message: Column, markers=MISLEADING_MARKERS) -> Column:

@@ -162,6 +162,19 @@ def redact_columns(
     return marked.withColumns({c: redact_text(F.col(c), F.col("sensitive"), detectors) for c in columns}).drop("sensitive")
 
 
+# Tool calls read back from JSON: arguments and results may be anything.
+_CALLS = "array<struct<name:string,arguments:variant,result:variant>>"
+
+
+def _calls_from_json(calls: Column) -> Column:
+    return F.transform(
+        calls,
+        lambda c: F.struct(
+            c["name"].alias("name"), F.to_json(c["arguments"]).alias("arguments"), F.to_json(c["result"]).alias("result")
+        ),
+    )
+
+
 def _calls_as_json(calls: Column) -> Column:
     """Tool calls as one JSON text; arguments that are no JSON become a JSON string."""
 
@@ -196,26 +209,50 @@ def redact_turns(
     keys = [*ATTEMPT_KEY, "turn"]
     calls = turns.withColumn("_calls", _calls_as_json(F.coalesce("tool_calls", F.array())))
     marked = with_sensitive_values(calls, keys, ["content", "_calls"], values, limit=limit)
-    shape = "array<struct<name:string,arguments:variant,result:variant>>"
-    redacted = F.from_json("_calls", shape)
     return (
         redact_json(marked, "_calls", F.col("sensitive"), detectors)
         .withColumn("content", redact_text(F.col("content"), F.col("sensitive"), detectors))
-        .withColumn(
-            "tool_calls",
-            F.transform(
-                redacted,
-                lambda c: F.struct(
-                    c["name"].alias("name"),
-                    F.to_json(c["arguments"]).alias("arguments"),
-                    F.to_json(c["result"]).alias("result"),
-                ),
-            ),
-        )
+        .withColumn("tool_calls", _calls_from_json(F.from_json("_calls", _CALLS)))
         .select(*turns.columns)
     )
 
 
+def redact_recorded(
+    recorded: DataFrame, values: DataFrame, detectors: Iterable[Detector] = DETECTORS, limit: int = VALUES_PER_RUN
+) -> DataFrame:
+    """Redacted copy of recorded attempts: title, contents and tool calls of ``turns``, messages and evidence of
+    ``check_results``. The arrays are redacted in place; nothing is exploded or shuffled."""
+    detectors = tuple(detectors)
+    calls = F.transform("turns", lambda t: _calls_as_json(F.coalesce(t["tool_calls"], F.array())))
+    contents = F.transform("turns", lambda t: t["content"])
+    findings = F.transform("check_results", lambda r: F.concat_ws("\n", r["message"], r["evidence"]))
+    said = F.concat_ws("\n", "title", F.array_join(contents, "\n"), F.array_join(findings, "\n"))
+    none = F.array().cast("array<string>")
+    rows = recorded.withColumn(
+        "_calls", F.concat(F.lit("["), F.array_join(F.coalesce(calls, none), ","), F.lit("]"))
+    ).withColumn("_said", said)
+    marked = with_sensitive_values(rows, ATTEMPT_KEY, ["_said", "_calls"], values, limit=limit).drop("_said")
+
+    def safe(text: Column) -> Column:
+        return redact_text(text, F.col("sensitive"), detectors)
+
+    redacted = redact_json(marked, "_calls", F.col("sensitive"), detectors).withColumn(
+        "_calls", F.from_json("_calls", f"array<{_CALLS}>")
+    )
+    turns = F.transform(
+        "turns",
+        lambda t, i: F.struct(
+            t["role"].alias("role"),
+            safe(t["content"]).alias("content"),
+            _calls_from_json(F.get("_calls", i)).alias("tool_calls"),
+        ),
+    )
+    results = F.transform(
+        "check_results", lambda r: r.withField("message", safe(r["message"])).withField("evidence", safe(r["evidence"]))
+    )
+    return redacted.withColumns({"title": safe(F.col("title")), "turns": turns, "check_results": results}).select(*recorded.columns)
+
+
 def remaining_leaks(
     redacted: DataFrame, columns: Sequence[str], detectors: Iterable[Detector] = DETECTORS
 ) -> DataFrame:

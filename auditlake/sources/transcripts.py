@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.operators.redaction import harvest_turns, redact_columns, redact_turns
+from auditlake.operators.redaction import harvest_turns, redact_recorded
 from auditlake.schemas import ATTEMPT_KEY, RECORDED_ATTEMPT
 
 
@@ -26,24 +26,8 @@ def turns_of(recorded: DataFrame) -> DataFrame:
 
 
 def redacted_artifacts(recorded: DataFrame) -> DataFrame:
-    """Recorded attempts with every turn, tool call and check message redacted."""
-    turns = turns_of(recorded)
-    values = harvest_turns(turns)
-    turns = redact_turns(turns, values=values)
-    back = (
-        turns.groupBy(*ATTEMPT_KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content", "tool_calls"))).alias("s"))
-        .select(
-            *ATTEMPT_KEY,
-            F.transform("s", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"), t["tool_calls"].alias("tool_calls"))).alias("turns"),
-        )
-    )
-    results = recorded.select(*ATTEMPT_KEY, F.inline("check_results"))
-    redacted = redact_columns(results, [*ATTEMPT_KEY, "check_pos"], ["message", "evidence"], values)
-    fields = [c for c in redacted.columns if c not in ATTEMPT_KEY]
-    checked = redacted.groupBy(*ATTEMPT_KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("check_results"))
-    plain = redact_columns(recorded.drop("turns", "check_results"), ATTEMPT_KEY, ["title"], values)
-    return plain.join(back, ATTEMPT_KEY, "left").join(checked, ATTEMPT_KEY, "left")
+    """Recorded attempts with every turn, tool call, title and check message redacted, each run by its own values."""
+    return redact_recorded(recorded, harvest_turns(turns_of(recorded)))
 
 
 def write_artifacts(recorded: DataFrame, path: str, redact: bool = True) -> None:

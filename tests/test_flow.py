@@ -13,6 +13,7 @@ from auditlake.operators import judging as jd
 from auditlake.operators import metrics as mt
 from auditlake.operators import reports as rp
 from auditlake.operators import transcripts as tr
+from auditlake.operators.redaction import harvest_turns, redact_recorded
 from auditlake.schemas import ATTEMPT_KEY
 from auditlake.sources import catalog as ct
 from auditlake.sources import transcripts as recorded
@@ -200,6 +201,11 @@ def test_recorded_runs_round_trip_and_leave_redacted(spark, catalog, tmp_path):
     assert "412-55-9931" not in text and "[REDACTED:SSN]" in text
     assert '"to_account\\":\\"[REDACTED:SENSITIVE]' in text and "X-1" not in text
     assert "412-55-9931" in str([r.turns for r in back.collect()])
+    values = harvest_turns(recorded.turns_of(back))
+    by_array, by_lookup = (redact_recorded(back, values, limit=n).orderBy("scenario_id").collect() for n in (512, 0))
+    assert by_array == by_lookup
+    bare = redact_recorded(back.withColumn("check_results", F.lit(None).cast(back.schema["check_results"].dataType)), values, limit=0)
+    assert [r.turns for r in bare.orderBy("scenario_id").collect()] == [r.turns for r in by_array]
     again = recorded.read_recorded(spark, clean)
     assert sorted((r.scenario_id, len(r.turns), len(r.check_results)) for r in again.collect()) == sorted(
         (r.scenario_id, len(r.turns), len(r.check_results)) for r in back.collect()
