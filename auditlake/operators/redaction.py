@@ -135,14 +135,16 @@ def with_sensitive_values(
         .groupBy(run)
         .agg(F.collect_list("value").alias("sensitive"))
     )
-    out = _with_run_arrays(texts, keys, arrays, total["size"], run)
     if not total["large"]:
-        return out.withColumn("sensitive", F.coalesce("sensitive", none))
-    busy_runs = counts.filter(~few).select(run)
-    busy = texts.join(busy_runs, run, "left_semi")
-    found = values_in_texts(busy, keys, columns, values.join(busy_runs, run, "left_semi"), run)
-    found = found.withColumnRenamed("sensitive", "_found")
-    return out.join(found, list(keys), "left").withColumn("sensitive", F.coalesce("sensitive", "_found", none)).drop("_found")
+        return _with_run_arrays(texts, keys, arrays, total["size"], run).withColumn("sensitive", F.coalesce("sensitive", none))
+    # Only the texts of the large runs are shuffled; the others are read apart from them.
+    large = counts.filter(~few).select(run)
+    large = F.broadcast(large) if total["large"] <= BROADCAST_ROWS else large
+    others = _with_run_arrays(texts.join(large, run, "left_anti"), keys, arrays, total["size"], run)
+    busy = texts.join(large, run, "left_semi")
+    found = values_in_texts(busy, keys, columns, values.join(large, run, "left_semi"), run)
+    both = others.unionByName(busy.join(found, list(keys), "left"))
+    return both.withColumn("sensitive", F.coalesce("sensitive", none))
 
 
 def redact_columns(
