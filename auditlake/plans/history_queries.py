@@ -62,13 +62,14 @@ def run_summaries(spark, sf):
         F.max("l_shipdate").cast("timestamp").alias("created_at")
     )
     metrics = mt.outcome_metrics(mq.item_attempts(spark, sf))
-    return _texted(hs.summarize_runs(runs, metrics))
+    rows = _texted(hs.summarize_runs(runs, metrics))
+    return rows.withColumn("payload", F.get_json_object("payload", "$.possible_weight").cast("bigint"))
 
 
 RUN_SUMMARIES = f"""WITH {mq.ITEM_ATTEMPTS_SQL}, {mq._OUTCOME_METRICS_SQL}, runs AS (
   SELECT 'run_' || l_returnflag AS run_id, max(l_shipdate) AS created_at FROM lineitem GROUP BY ALL)
 SELECT r.run_id, strftime(created_at, '{STAMP_SQL}') AS created_at, {mq._ROUND_4.format('pass_rate')} AS pass_rate, total_runs,
-  total_violations AS violations FROM runs r LEFT JOIN outcome o ON o.run_id = r.run_id"""
+  total_violations AS violations, possible_weight AS payload FROM runs r LEFT JOIN outcome o ON o.run_id = r.run_id"""
 
 
 # --- listings ------------------------------------------------------------------------------------

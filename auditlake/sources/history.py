@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.pii import DETECTORS
 from auditlake.functions.redact import redact_json
+from auditlake.operators.reports import rounded_metrics
 from auditlake.schemas import AUDIT_EVENTS, RUNS
 
 SUMMARY = ["run_id", "created_at", "agent_model", "judge_model", "pass_rate", "total_runs", "violations"]
@@ -29,7 +30,8 @@ RUN_COLUMNS = [*SUMMARY, "payload"]
 def latest_saves(saves: DataFrame, order: str = "saved_at", key: str = "run_id") -> DataFrame:
     """The last save of each run. Merged before the shuffle, so many saves of one run cost one row per task."""
     rest = [c for c in saves.columns if c != key]
-    ranked = F.struct(order, *[c for c in rest if c != order])
+    # Saves of the same instant are told apart by a hash of their content, whatever the partitioning.
+    ranked = F.struct(order, F.xxhash64(*[c for c in rest if c != order]))
     return saves.groupBy(key).agg(F.max_by(F.struct(*rest), ranked).alias("r")).select(key, "r.*").select(*saves.columns)
 
 
@@ -90,11 +92,20 @@ def runs_with_tag(
 
 
 def summarize_runs(runs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The summary columns of the history, from run metrics. ``runs``: run_id, created_at, models, payload."""
-    from auditlake.operators.reports import rounded_metrics
+    """Rows for the history: summary columns taken from the run metrics, and all metrics as JSON payload.
 
-    shown = rounded_metrics(metrics).select("run_id", "pass_rate", "total_runs", F.col("total_violations").alias("violations"))
-    return runs.join(shown, "run_id", "left")
+    ``runs``: run_id, created_at, agent_model, judge_model. The attempts of a run are no part of its row, which
+    would grow with the run; they are stored by ``transcripts.write_artifacts``.
+    """
+    shown = rounded_metrics(metrics)
+    rows = shown.select(
+        "run_id",
+        "pass_rate",
+        "total_runs",
+        F.col("total_violations").alias("violations"),
+        F.to_json(F.struct(*[c for c in shown.columns if c != "run_id"])).alias("payload"),
+    )
+    return runs.join(rows, "run_id", "left")
 
 
 # --- audit events --------------------------------------------------------------------------
@@ -177,7 +188,8 @@ class RunHistory:
         generations = self._generations()
         target = self._generation_path(generations[-1] if generations else 0)
         self._write(runs.select(*RUN_COLUMNS).withColumn("saved_at", stamp), target, "append")
-        saved = runs.select(
+        # Read back, so that the runs are computed once.
+        saved = self._saves().filter(F.col("saved_at") == stamp).select(
             F.concat(F.lit("run_saved:"), "run_id", F.lit(":"), stamp.cast("string")).alias("event_id"),
             stamp.alias("created_at"),
             F.lit("run_saved").alias("event_type"),

@@ -31,6 +31,7 @@ def redacted_artifacts(recorded: DataFrame) -> DataFrame:
 
 
 def write_artifacts(recorded: DataFrame, path: str, redact: bool = True) -> None:
-    """One JSON object per attempt, a directory per run."""
+    """One JSON object per attempt, a directory per run; runs written before are replaced, other runs stay."""
     out = redacted_artifacts(recorded) if redact else recorded
-    out.drop("created_ts").withColumn("run", F.col("run_id")).write.partitionBy("run").mode("append").json(path)
+    out = out.drop("created_ts").withColumn("run", F.col("run_id"))
+    out.write.partitionBy("run").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)

@@ -99,6 +99,27 @@ def test_latest_save_of_many(spark):
     assert [tuple(r) for r in hs.latest_saves(rows).collect()] == [("hot", 4999, 9998)]
 
 
+def test_rows_of_the_history_come_from_the_metrics(spark, history):
+    metrics = spark.createDataFrame([("r", 1 / 3, 3, 2, 0.5)], "run_id string, pass_rate double, total_runs bigint, total_violations bigint, weighted_score double")
+    plain = runs(spark, ("r", "2026-07-01T00:00:00", 0.0)).select("run_id", "created_at", "agent_model", "judge_model")
+    history.save(hs.summarize_runs(plain, metrics), NOW)
+    row = history.runs().first()
+    assert (row.pass_rate, row.total_runs, row.violations, json.loads(row.payload)["weighted_score"]) == (0.3333, 3, 2, 0.5)
+
+
+def test_saving_computes_the_runs_once(spark, history):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = runs(spark, ("a", "2026-07-01T00:00:00", 1.0), ("b", "2026-07-01T00:00:00", 1.0))
+    history.save(rows.mapInArrow(count, rows.schema), NOW)
+    assert seen.value == 2 and history.audit_events().count() == 2
+
+
 def test_stream_of_runs_is_saved_once_per_run(spark, history, tmp_path):
     inbox = str(tmp_path / "inbox")
     runs(spark, ("a", "2026-07-01T00:00:00", 1.0), ("b", "2026-07-02T00:00:00", 0.4)).write.json(inbox)
