@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -39,26 +40,33 @@ def has_phrase(text: Column, folded: Column, phrase: Column, case_sensitive: Col
     return F.when(case_sensitive, F.contains(text, phrase)).otherwise(F.contains(folded, F.lower(phrase)))
 
 
+# Python's end-of-text anchor, not itself escaped.
+_END_ANCHOR = r"(?<!\\)((?:\\\\)*)\\Z"
+
+
+def java_pattern(pattern: Column) -> Column:
+    """A pattern written for Python in Java syntax: named groups and the end-of-text anchor differ."""
+    return F.regexp_replace(F.replace(pattern, F.lit("(?P<"), F.lit("(?<")), _END_ANCHOR, r"$1\\z")
+
+
+def _java(pattern: str) -> str:
+    return re.sub(_END_ANCHOR, r"\1\\z", pattern.replace("(?P<", "(?<"))
+
+
 def has_pattern(text: Column, pattern: Column, case_sensitive: Column, known: Sequence[str] = ()) -> Column:
     """Regex search. Patterns listed in ``known`` are compiled once per task;
     any other pattern is compiled as it is met."""
-    search = F.rlike(
-        text,
-        F.concat(F.when(case_sensitive, F.lit(UNICODE_FLAGS)).otherwise(F.lit(UNICODE_FLAGS_NOCASE)), pattern),
-    )
+    flags = F.when(case_sensitive, F.lit(UNICODE_FLAGS)).otherwise(F.lit(UNICODE_FLAGS_NOCASE))
+    search = F.rlike(text, F.concat(flags, java_pattern(pattern)))
     branch = None
     for p in known:
-        for sensitive, flags in ((True, UNICODE_FLAGS), (False, UNICODE_FLAGS_NOCASE)):
-            condition = (pattern == F.lit(p)) & (case_sensitive == F.lit(sensitive))
-            hit = F.rlike(text, F.lit(flags + p))
-            branch = F.when(condition, hit) if branch is None else branch.when(condition, hit)
+        hit = F.when(case_sensitive, F.rlike(text, F.lit(UNICODE_FLAGS + _java(p)))).otherwise(
+            F.rlike(text, F.lit(UNICODE_FLAGS_NOCASE + _java(p)))
+        )
+        branch = F.when(pattern == p, hit) if branch is None else branch.when(pattern == p, hit)
     return search if branch is None else branch.otherwise(search)
 
 
-def code_points(text: Column) -> Column:
-    return F.length(text)
-
-
 def json_valid(text: Column) -> Column:
     """True when the text is exactly one JSON value (scalars allowed, repeated keys allowed).
 

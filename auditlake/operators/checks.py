@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.judge import parse_verdict
 from auditlake.functions.pii import DETECTORS, FINDINGS_TYPE, Detector, detect, may_match, previews, reach
 from auditlake.functions.severity import severity_weight
-from auditlake.functions.text import STRIP_CHARS, has_pattern, has_phrase, json_valid, let, strip
+from auditlake.functions.text import STRIP_CHARS, has_pattern, has_phrase, java_pattern, json_valid, let, strip
 from auditlake.operators.transcripts import MONEY, agent_text, all_text, tool_names
 from auditlake.schemas import ATTEMPT_KEY, CHECK_RESULT
 
@@ -462,7 +462,7 @@ def _present_by_hits(check: Column, hits: Column) -> Column:
     """Patterns of the check that some turn satisfies, or that empty text satisfies."""
 
     def on_empty_text(p: Column) -> Column:
-        return F.when(check["type"] == "regex", F.rlike(F.lit(""), p)).otherwise(
+        return F.when(check["type"] == "regex", F.rlike(F.lit(""), java_pattern(p))).otherwise(
             ~check["type"].isin(*TOOL_TYPES) & (p == "")
         )
 
@@ -488,6 +488,35 @@ def stripped_length(parts: Column) -> Column:
     return let(F.filter(parts, lambda p: p["lead"] < p["length"]), measure)
 
 
+def _tested(turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str]) -> DataFrame:
+    """Turns with the checks of their scenario and the hits of those that are decided turn by turn."""
+    no_tools = F.array().cast("array<string>")
+    tools = F.coalesce(F.transform("tool_calls", lambda c: c["name"]), no_tools) if "tool_calls" in turns.columns else no_tools
+    return (
+        turns.withColumn("content", F.coalesce(F.col("content"), F.lit("")))
+        .withColumn("tools", tools)
+        .join(checks_by_scenario(checks), "scenario_id", "left")
+        .withColumn("hits", _turn_hits(known_patterns))
+    )
+
+
+def forbidden_in_turns(
+    turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str] = (), keys: Sequence[str] = ATTEMPT_KEY
+) -> DataFrame:
+    """One row per turn and forbidden phrase, line-bound pattern or tool in it. Without a shuffle, so for streams too."""
+    kind = F.col("type")
+    forbidding = kind.isin("prohibited_phrase", "tool_call_forbidden") | ((kind == "regex") & ~F.col("must_appear"))
+    chosen = with_check_defaults(checks).filter(turn_local() & forbidding)
+    check = F.get(F.filter("checks", lambda c: c["check_pos"] == F.col("hit")["check_pos"]), F.lit(0))
+    return (
+        _tested(turns, chosen, known_patterns)
+        .select(*keys, "turn", "checks", F.explode_outer("hits").alias("hit"))
+        .filter(F.col("hit").isNotNull())
+        .select(*keys, "turn", check.alias("c"), F.col("hit.pattern_pos").alias("pattern_pos"))
+        .select(*keys, "turn", "c.check_id", "c.type", "c.severity", F.get("c.patterns", F.col("pattern_pos")).alias("evidence"))
+    )
+
+
 def _screened(
     turns: DataFrame,
     checks: DataFrame,
@@ -501,14 +530,6 @@ def _screened(
     Text enters the shuffle only where it is needed: in full for checks on the whole text, and for personal data
     in full if the turn holds anything a detector looks for, else only its end, where a match may begin.
     """
-    no_tools = F.array().cast("array<string>")
-    tools = F.coalesce(F.transform("tool_calls", lambda c: c["name"]), no_tools) if "tool_calls" in turns.columns else no_tools
-    tested = (
-        turns.withColumn("content", F.coalesce(F.col("content"), F.lit("")))
-        .withColumn("tools", tools)
-        .join(checks_by_scenario(checks), "scenario_id", "left")
-        .withColumn("hits", _turn_hits(known_patterns))
-    )
     kept = [*keys]
     measures = [F.collect_set("hit").alias("hits")]
     if with_turns:
@@ -534,6 +555,7 @@ def _screened(
         kept.append(F.when(needed("needs_text") | needed("needs_pii") | needed("needs_length"), part).alias("part"))
         # A turn with several hits appears several times; its part is taken from the first.
         measures.append(F.array_sort(F.collect_list(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("part")))).alias("turns"))
+    tested = _tested(turns, checks, known_patterns)
     return tested.select(*kept, F.posexplode_outer("hits").alias("n", "hit")).groupBy(*keys).agg(*measures)
 
 

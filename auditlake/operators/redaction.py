@@ -18,7 +18,7 @@ from auditlake.schemas import ATTEMPT_KEY
 from auditlake.session import checkpointed
 
 # A run with at most this many sensitive values carries them along with its texts.
-VALUES_PER_RUN = 512
+VALUES_PER_RUN = 256
 
 # Value arrays of at most this many characters in all are broadcast; larger ones are joined over salted keys.
 BROADCAST_CHARACTERS = 32 * 1024 * 1024

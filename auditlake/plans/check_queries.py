@@ -121,6 +121,17 @@ def screened_turns(spark, sf):
     return _shown(results)
 
 
+def forbidden_in_turns(spark, sf):
+    """Every turn with the forbidden phrases in it."""
+    return ck.forbidden_in_turns(src.turns(spark, sf), src.rules(spark, ["prohibited_phrase"]))
+
+
+FORBIDDEN_IN_TURNS = f"""WITH {src.TURNS_SQL}, {src.rules_sql(["prohibited_phrase"])}, said AS (
+  SELECT run_id, t.scenario_id, attempt, turn, role, content AS target, r.* EXCLUDE (scenario_id)
+  FROM turns t JOIN rules r ON r.scenario_id = t.scenario_id WHERE scope = 'all' OR role = 'agent')
+SELECT run_id, scenario_id, attempt, turn, check_id, type, severity, unnest({_list(_HAS)}) AS evidence FROM said"""
+
+
 # --- documents as agent texts, one scenario per language ---------------------------------------
 
 
@@ -487,6 +498,7 @@ QUERIES |= {
         )
         for kind in ("prohibited_phrase", "regex", "no_pii_leak", "max_length")
     },
+    "forbidden_in_turns": (forbidden_in_turns, FORBIDDEN_IN_TURNS),
     "check_tool_calls": (tool_checks, TOOL_CHECKS),
     "check_max_latency": (latency_checks, LATENCY_CHECKS),
     "check_json_answers": (json_answers, JSON_ANSWERS),

@@ -7,7 +7,7 @@ run, so a batch that is delivered again changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from auditlake.functions.pii import DETECTORS, Detector, detect, previews
+from auditlake.operators.checks import forbidden_in_turns
 from auditlake.schemas import ATTEMPT_KEY
 from auditlake.sources.history import RunHistory
 
@@ -30,6 +31,11 @@ def pii_alerts(turns: DataFrame, detectors: Iterable[Detector] = DETECTORS) -> D
     )
 
 
+def forbidden_alerts(turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str] = ()) -> DataFrame:
+    """Forbidden phrases, line-bound patterns and tools in single turns, joined with a static checks table."""
+    return forbidden_in_turns(turns, checks, known_patterns)
+
+
 def save_stream(runs: DataFrame, history: RunHistory, checkpoint: str, now=lambda: datetime.now(UTC)) -> StreamingQuery:
     """Append a stream of finished runs to the history, all available data, then stop."""
     return (

@@ -84,7 +84,7 @@ def test_regex(spark):
 
 PATTERNS = [
     r"\$\s?\d+", r"a\W+b", "x[^y]z", r"^two", r"one$", "(?s)one.two", r"\Bne\b", "one\ntwo", "a.b", r"\bone\b",
-    "(?:on|of)e", r"\S+e", "z*",
+    "(?:on|of)e", r"\S+e", "z*", r"(?P<word>t)wo", r"two\Z", r"\\Z",
 ]
 PARTS = [["cost is $", "5 a", "b xx", "zone"], ["one", "two"], ["a", "b"], ["x", "z"], ["someone", "tw"], ["", ""]]
 

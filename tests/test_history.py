@@ -132,6 +132,28 @@ def test_stream_of_runs_is_saved_once_per_run(spark, history, tmp_path):
     assert {(r.run_id, r.pass_rate) for r in history.runs().collect()} == {("a", 1.0), ("b", 0.8)}
 
 
+def test_stream_of_turns_reports_what_is_forbidden(spark, tmp_path):
+    from conftest import check_table
+
+    inbox = str(tmp_path / "turns")
+    rows = [("r", "s", 0, 0, "customer", "too old", []), ("r", "s", 0, 1, "agent", "Too OLD, act now", [("pay", "{}", None)]), ("r", "t", 0, 0, "agent", "too old", [])]
+    spark.createDataFrame(rows, TURNS).write.parquet(inbox)
+    checks = check_table(
+        spark,
+        {"type": "required_phrase", "patterns": ["too old"]},
+        {"type": "prohibited_phrase", "patterns": ["young", "too old"], "severity": "high"},
+        {"type": "regex", "patterns": ["act +now"], "must_appear": False},
+        {"type": "regex", "patterns": ["act now"]},
+        {"type": "tool_call_forbidden", "patterns": ["pay"]},
+    )
+    alerts = st.forbidden_alerts(spark.readStream.schema(TURNS).parquet(inbox), checks)
+    query = alerts.writeStream.format("memory").queryName("forbidden").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.turn, r.check_id, r.severity, r.evidence) for r in spark.table("forbidden").collect()) == [
+        (1, "c1", "high", "too old"), (1, "c2", "medium", "act +now"), (1, "c4", "medium", "pay")
+    ]
+
+
 def test_stream_of_turns_raises_alerts(spark, tmp_path):
     inbox = str(tmp_path / "turns")
     rows = [("r", "s", 0, 0, "customer", "my SSN is 412-55-9931", []), ("r", "s", 0, 1, "agent", "SSN 412-55-9931", []), ("r", "s", 0, 2, "agent", "fine", [])]
