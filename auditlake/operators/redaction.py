@@ -45,6 +45,15 @@ def harvest_turns(turns: DataFrame, run: str = "run_id", min_len: int = 1) -> Da
     return checkpointed(harvest(calls.select(run, "call.arguments", "call.result"), ["arguments", "result"], run, min_len))
 
 
+def harvest_contexts(run_scenarios: DataFrame, scenarios: DataFrame, min_len: int = 1) -> DataFrame:
+    """Distinct (run_id, value) of the sensitive values in the contexts of a run's scenarios.
+
+    Not part of the default harvest; unite it with ``harvest_turns`` to mask secrets no tool call returned.
+    """
+    contexts = run_scenarios.select("run_id", "scenario_id").distinct().join(scenarios.select("scenario_id", "context"), "scenario_id")
+    return harvest(contexts, ["context"], min_len=min_len)
+
+
 def _broadcast_if_few(rows: DataFrame) -> DataFrame:
     """Mark short rows for broadcast after counting that they are few."""
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows

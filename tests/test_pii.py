@@ -221,3 +221,15 @@ def test_no_leak_remains(spark):
     assert redaction.remaining_leaks(redaction.redact_turns(t), ["content"]).count() == 0
     assert redaction.remaining_leaks(t, ["content"]).count() == t.count()
     assert t.select(*ATTEMPT_KEY).distinct().count() == 80
+
+
+def test_values_of_scenario_contexts_on_request(spark):
+    t = turns_table(spark, [("agent", "The code is R-8291-4492, short 7")])
+    scenarios = spark.createDataFrame([("s", '{"account": {"recovery_code": "R-8291-4492", "pin": 7}}'), ("other", '{"pin": "code"}')], "scenario_id string, context string")
+    assert redaction.redact_turns(t).first().content == "The code is R-8291-4492, short 7"
+    values = redaction.harvest_contexts(t, scenarios)
+    assert {tuple(r) for r in values.collect()} == {("r", "R-8291-4492"), ("r", "7")}
+    both = redaction.harvest_turns(t).union(values)
+    assert redaction.redact_turns(t, values=both).first().content == "The code is [REDACTED:SENSITIVE], short [REDACTED:SENSITIVE]"
+    longer = redaction.harvest_contexts(t, scenarios, min_len=3)
+    assert redaction.redact_turns(t, values=longer).first().content == "The code is [REDACTED:SENSITIVE], short 7"
