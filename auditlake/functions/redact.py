@@ -99,7 +99,7 @@ def flat_sensitive_values(doc: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _json_walkers():
-    """Work on JSON text: UDFs for its sensitive values and its open strings, and a function that exchanges the latter.
+    """Pandas UDFs over JSON text: its sensitive values, its open strings, and the text with those exchanged.
 
     Everything they call is local, so they travel to executors that do not have this package.
     """
@@ -163,7 +163,16 @@ def _json_walkers():
     def strings_of(docs: pd.Series) -> pd.Series:
         return docs.map(open_strings)
 
-    return F.pandas_udf(values_of, "array<string>"), F.pandas_udf(strings_of, "array<string>"), with_strings
+    def rebuilt(docs: pd.Series, strings: pd.Series) -> pd.Series:
+        return pd.Series([with_strings(d, s) for d, s in zip(docs, strings)], dtype="object")
+
+    return (
+        F.pandas_udf(values_of, "array<string>"),
+        # Declared nondeterministic so that Spark keeps what is computed from the strings out of the arguments of
+        # the last UDF, where it does not reliably recognise the lambdas again.
+        F.pandas_udf(strings_of, "array<string>").asNondeterministic(),
+        F.pandas_udf(rebuilt, "string"),
+    )
 
 
 def json_sensitive_values(doc: Column) -> Column:
@@ -180,18 +189,5 @@ def redact_json(
     """The rows with the JSON values of ``column``, of any depth, redacted."""
     _, open_strings, with_strings = _json_walkers()
     detectors = tuple(detectors)
-    safe = rows.withColumn("_safe", open_strings(column)).withColumn(
-        "_safe", F.transform("_safe", lambda s: redact_text(s, sensitive_values, detectors))
-    )
-
-    def rebuild(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            place = batch.schema.get_field_index(column)
-            docs, strings = batch.column(place).to_pylist(), batch.column("_safe").to_pylist()
-            redacted = pa.array([with_strings(d, s) for d, s in zip(docs, strings)], pa.string())
-            columns = [redacted if i == place else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_safe"]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "_safe"])
-
-    return safe.mapInArrow(rebuild, rows.schema)
+    safe = F.transform(open_strings(column), lambda s: redact_text(s, sensitive_values, detectors))
+    return rows.withColumn("_safe", safe).withColumn(column, with_strings(column, "_safe")).drop("_safe")
