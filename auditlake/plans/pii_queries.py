@@ -10,9 +10,6 @@ from auditlake.operators import profile, redaction
 from auditlake.plans import inputs as src
 from auditlake.sources.transcripts import redacted_artifacts as redacted_run
 
-DOC_KINDS = ("credit_card", "email", "phone")
-
-
 # --- one detector at a time -----------------------------------------------------------------
 
 

@@ -119,13 +119,15 @@ def _replayed(spark, sf):
         .filter("n < 12")
         .select("scenario_id", F.transform(F.sequence(F.lit(0), F.col("n") % 3), reply).alias("script"))
     )
-    return tr.replay(spoken, scripts, K)
+    prompts = t.filter("role = 'system'").select(*K, F.col("content").alias("system_prompt"))
+    return tr.system_turns(prompts, K).unionByName(tr.replay(spoken, scripts, K))
 
 
 REPLAYED_SQL = f"""{src.TURNS_SQL}, spoken AS (
   SELECT run_id, scenario_id, attempt, turn // 2 AS i, content, CAST(scenario_id[2:3] AS INTEGER) AS n
   FROM turns WHERE role = 'customer'), replayed AS (
   SELECT run_id, scenario_id, attempt, CAST(i * 2 + 1 AS INTEGER) AS turn, 'customer' AS role, content FROM spoken
+  UNION ALL SELECT run_id, scenario_id, attempt, 0, 'system', content FROM turns WHERE role = 'system'
   UNION ALL
   SELECT run_id, scenario_id, attempt, CAST(i * 2 + 2 AS INTEGER), 'agent',
          CASE WHEN n < 12 THEN 'reply ' || least(i, n % 3) || ' of ' || scenario_id ELSE {src.sql_value(tr.DEFAULT_REPLY)} END
