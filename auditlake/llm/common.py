@@ -24,12 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     On a local master without that setting a temporary folder is chosen once and set; on a cluster its absence
     is an error, since a machine's own folder would be lost with the machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="auditlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -56,7 +56,9 @@ def open_filesystem(uri: str):
     """pyarrow's file system and path for a folder given as URI or plain path."""
     import pyarrow.fs as pafs
 
-    return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+    if uri.startswith("file:") or ":/" not in uri:
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def text_or_empty(column: Column) -> Column:
