@@ -89,10 +89,9 @@ def by_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[dict[str, list
     `make` is called once per task and returns the function from {column: values} to {column: values}; the order
     of the output columns is that of `ddl`. Batches are short, so that long texts do not add up.
     """
-    schema_of = ddl
+    schema = arrow_schema(ddl)
 
     def run(batches):
-        schema = arrow_schema(schema_of)
         step = make()
         for batch in sliced(batches):
             out = step(batch.to_pydict())
