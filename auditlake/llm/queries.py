@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import licenses
+from auditlake.llm import licenses, packing, token_files
 from auditlake.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file on this machine; every worker has the same package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -25,5 +32,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_license_scan": op1_license_scan}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, folder)
+
+
+def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_token_files": op2_token_files,
+    "op6_power_of_two_packing": op6_power_of_two_packing,
+}
 ORACLES: dict[str, str] = {}
