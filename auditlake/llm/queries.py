@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import licenses, packing, token_files
+from auditlake.llm import licenses, packing, quality, token_files, warc
 from auditlake.llm.common import table
 
 
@@ -37,6 +37,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    found = warc.read_archives(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def held_out(remainder: int, of: int):
+    """Whether crc32 of the id as text leaves this remainder; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == remainder, F.lit(False))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score_quality(docs, labels, usable=~held_out(2, 4))
+    return scored.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
@@ -44,6 +61,21 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
+    "op5_warc": op5_warc,
+    "op7_quality_rules": op7_quality_rules,
     "op6_power_of_two_packing": op6_power_of_two_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        with payload as (select page_id, coalesce(html, '') as body from pages),
+        hashed as (select page_id, strlen(body) as payload_bytes, sha1(body) as hex from payload),
+        firsts as (select hex, payload_bytes, min(page_id) as first from hashed group by all)
+        select h.page_id, h.payload_bytes::bigint as payload_bytes,
+            array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h.hex, (g * 5 + 1)::int, 5))::bigint >> b) & 31) + 1)::int, 1)
+            ), '')), '') as payload_digest,
+            case when h.page_id = f.first then 'response' else 'revisit' end as record_type,
+            case when h.page_id = f.first then null else f.first end as refers_to
+        from hashed h join firsts f on h.hex = f.hex and h.payload_bytes = f.payload_bytes
+    """,
+}
