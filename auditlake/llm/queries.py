@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import licenses, lm, packing, quality, token_files, warc
+from auditlake.llm import hamming, licenses, lm, packing, quality, token_files, warc
 from auditlake.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score_texts(table(spark, sf_dir, "documents"), training=~held_out(1, 5))
     return scored.select("doc_id", held_out(1, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -69,6 +73,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_quality_rules": op7_quality_rules,
     "op10_log_bilinear": op10_log_bilinear,
+    "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op6_power_of_two_packing": op6_power_of_two_packing,
 }
 ORACLES: dict[str, str] = {
