@@ -27,7 +27,8 @@ _SIMPLE = re.compile(f" ?[!-~{_LETTER}]+")
 _SIMPLE_WITH_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+")
 _SIMPLE_WITHOUT_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ {_LETTER}0-9]+")
 
-REMEMBERED = 400_000  # entries of each table of one Python worker
+REMEMBERED = 300_000  # pieces in each table of one Python worker
+CORES = 1_000_000  # runs of letters, digits or signs in its table of those; each costs the tokenizer a call
 LONGEST_REMEMBERED = 64  # characters; longer pieces hardly come again
 
 _encoders: dict[str, Encoder] = {}
@@ -36,14 +37,14 @@ _encoders: dict[str, Encoder] = {}
 class _Table(dict):
     """Ids by piece; a missing piece is made, and kept while there is room."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.make(piece)
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
@@ -61,7 +62,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             self.kind = self._kind(json.load(file))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cores = _Table(self._direct)
+        self.cores = _Table(self._direct, CORES)
         self.plain = _Table(self._piece)
         self.spaced = _Table(lambda piece: self._piece(" " + piece))
         self.lowered = _Table(lambda piece: self.cores[piece.lower()])
