@@ -89,11 +89,10 @@ def near_duplicates(
     links = saved(_linked(codes, vectors_of, threshold, radius), "vector-links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     reach = components(links.where("low <> id").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    members = usable.select("id", "label", "vector").join(
-        classes.select("label", "vector", "first", "weight").alias("c"), ["label", "vector"]
-    ).select("id", "first", "weight")
-    members = members.join(counts.select(F.col("id").alias("first"), "links"), "first", "left")
-    members = members.join(reach.select(F.col("node").alias("first"), "component"), "first", "left").select(
+    # What a class knows comes together first, so that a class of very many rows is joined once and can be split.
+    known = classes.join(counts.withColumnRenamed("id", "first"), "first", "left")
+    known = saved(known.join(reach.withColumnRenamed("node", "first"), "first", "left"), "class-links")
+    members = usable.join(known, ["label", "vector"]).select(
         "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")
     )
     # An id that stands on several rows has the links of all of them.

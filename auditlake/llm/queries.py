@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import hamming, licenses, lm, packing, quality, token_files, warc
+from auditlake.llm import chosen_path, hamming, licenses, lm, packing, quality, token_files, warc
 from auditlake.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(table(spark, sf_dir, "pages"))
     found = warc.read_archives(spark, folder)
@@ -70,6 +74,7 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
+    "op3_chosen_path_join": op3_chosen_path_join,
     "op5_warc": op5_warc,
     "op7_quality_rules": op7_quality_rules,
     "op10_log_bilinear": op10_log_bilinear,
