@@ -27,6 +27,10 @@ _SIMPLE = re.compile(f" ?[!-~{_LETTER}]+")
 _SIMPLE_WITH_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+")
 _SIMPLE_WITHOUT_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ {_LETTER}0-9]+")
 
+# Byte-level merges work on printable characters: a byte that prints stands for itself, the others follow from 256 on.
+_PRINTS = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+_BYTES = [chr(b) if _PRINTS[b] else chr(256 + b - sum(_PRINTS[:b])) for b in range(256)]
+
 REMEMBERED = 300_000  # pieces in each table of one Python worker
 CORES = 1_000_000  # runs of letters, digits or signs in its table of those; each costs the tokenizer a call
 LONGEST_REMEMBERED = 64  # characters; longer pieces hardly come again
@@ -62,7 +66,8 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             self.kind = self._kind(json.load(file))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cores = _Table(self._direct, CORES)
+        self.model = self.tokenizer.model
+        self.cores = _Table(self._core, CORES)
         self.plain = _Table(self._piece)
         self.spaced = _Table(lambda piece: self._piece(" " + piece))
         self.lowered = _Table(lambda piece: self.cores[piece.lower()])
@@ -82,6 +87,11 @@ class Encoder:
     def _direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _core(self, core: str) -> bytes:
+        """Ids of a single unit of the merges, by the model alone."""
+        text = core.encode("utf-8").decode("latin-1").translate(_BYTES)
+        return array("I", [token.id for token in self.model.tokenize(text)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if not _SIMPLE.fullmatch(piece):
             return self._direct(piece)
