@@ -70,7 +70,6 @@ class Encoder:
         self.cores = _Table(self._core, CORES)
         self.plain = _Table(self._piece)
         self.spaced = _Table(lambda piece: self._piece(" " + piece))
-        self.lowered = _Table(lambda piece: self.cores[piece.lower()])
 
     @staticmethod
     def _kind(spec: dict) -> str | None:
@@ -97,7 +96,7 @@ class Encoder:
             return self._direct(piece)
         if self.kind == "with space":
             return b"".join(map(self.cores.__getitem__, _SIMPLE_WITH_SPACE.findall(piece)))
-        return b"".join(map(self.lowered.__getitem__, _SIMPLE_WITHOUT_SPACE.findall(piece)))
+        return b"".join(map(self.cores.__getitem__, _SIMPLE_WITHOUT_SPACE.findall(piece.lower())))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "with space":
