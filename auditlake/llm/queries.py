@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import chosen_path, hamming, licenses, lm, packing, quality, token_files, warc
+from auditlake.llm import chosen_path, decontaminate, hamming, licenses, lm, packing, quality, token_files, warc
 from auditlake.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_quality_rules": op7_quality_rules,
     "op10_log_bilinear": op10_log_bilinear,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op6_power_of_two_packing": op6_power_of_two_packing,
 }
