@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import chosen_path, decontaminate, hamming, licenses, lm, packing, quality, token_files, warc
+from auditlake.llm import chosen_path, decontaminate, hamming, licenses, lm, packing, quality, repeats, token_files, warc
 from auditlake.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(table(spark, sf_dir, "pages"))
     found = warc.read_archives(spark, folder)
@@ -79,6 +83,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
     "op3_chosen_path_join": op3_chosen_path_join,
+    "op4_repeated_strings": op4_repeated_strings,
     "op5_warc": op5_warc,
     "op7_quality_rules": op7_quality_rules,
     "op10_log_bilinear": op10_log_bilinear,
