@@ -236,3 +236,19 @@ def _links(compared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     carried = sets.join(own, "id")
     rows = in_blocks(compared, sizes).join(carried, "id")
     return by_group(rows, ["bucket", "left", "right"], "id long, links long, low long", _compare(threshold))
+
+
+def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with all their columns, but of each class of similar texts only that with the smallest id.
+
+    Of rows with one id a single row stays; rows without an id cannot be named and all stay.
+    """
+    classes = saved(similar_texts(docs, threshold, id_col=id_col, text_col=text_col), "classes")
+    # Any other column may have the name of ours, so the id is compared under a name of its own.
+    others = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_other"))
+    kept = docs.join(others, docs[id_col].cast("long") == F.col("_other"), "left_anti")
+    again = saved(kept.select(kept[id_col].alias("_again")).groupBy("_again").count().where("count > 1 and _again is not null").select("_again"), "repeated-ids")
+    if not again.take(1):
+        return kept
+    repeated = kept.join(again, kept[id_col] == F.col("_again"), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, kept[id_col] == F.col("_again"), "left_anti").union(repeated)

@@ -176,3 +176,10 @@ def contaminated(
     found = by_rows(hit.select("row", "doc_id", "text").join(of_row, "row").select("doc_id", "text", "pairs"), ddl, score)
     best = F.max_by(F.struct("score", "first_word", "end_word", "rarest"), F.struct("score", -F.col("first_word"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no test item; rows without an id are not searched and stay."""
+    found = contaminated(docs, items, threshold, id_col=id_col, text_col=text_col)
+    leaks = saved(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, docs[id_col].cast("long") == F.col("_leak"), "left_anti")

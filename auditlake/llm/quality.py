@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents_of, saved
+from auditlake.llm.common import documents_of, saved, text_or_empty
 
 SAMPLE = 20_000  # labelled rows that the rules are learned from, at most
 TREES = 24
@@ -63,13 +63,14 @@ class RuleModel:
     rules: list[tuple[tuple[int, bool, float], ...]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score between 0 and 1 as an expression over the statistics' columns."""
+    def column(self, values: dict[str, Column] | None = None) -> Column:
+        """The score between 0 and 1 as an expression over the statistics: given ones, or columns of their names."""
+        values = {name: F.col(name) for name in STATISTICS} if values is None else values
         total = F.lit(self.bias)
         for rule, weight in zip(self.rules, self.weights):
             test = F.lit(True)
             for number, above, threshold in rule:
-                value = F.col(STATISTICS[number])
+                value = values[STATISTICS[number]]
                 test = test & (value > threshold if above else value <= threshold)
             total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -177,12 +178,17 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", *[made[name].cast("double").alias(name) for name in STATISTICS])
 
 
-def learn(measured: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
-    """A model from at most `sample` labelled rows, chosen by a hash of the id; others' labels are never read."""
+def _sample(labels: DataFrame, usable: Column, label_col: str, sample: int) -> DataFrame:
+    """doc_id and y of usable labels; where there are many, about `sample` of them by a hash of the id."""
     given = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("double").alias("y"))
     given = given.where(F.col("y").isin(0.0, 1.0) & usable).where(F.col("doc_id").isNotNull())
     share = min(1.0, 1.2 * sample / max(given.count(), 1))
-    given = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    return given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+
+
+def learn(measured: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
+    """A model from at most `sample` labelled rows, chosen by a hash of the id; labels that are not usable are never read."""
+    given = _sample(labels, usable, label_col, sample)
     rows = measured.join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", *STATISTICS).limit(sample).select("y", *STATISTICS).collect()
     data = np.array([tuple(r) for r in rows], float).reshape(len(rows), 1 + len(STATISTICS))
     return fit(data[:, 1:], data[:, 0])
@@ -201,3 +207,18 @@ def score_quality(
     measured = saved(with_statistics(docs, id_col, text_col), "statistics")
     model = learn(measured, labels, F.lit(True) if usable is None else usable, label_col)
     return measured.select("doc_id", model.column().alias("score"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is `threshold` or more.
+
+    Learned from all usable labels as in score_quality; with none, every row stays. Statistics are taken once of each
+    text, and beforehand of the sampled labelled ones.
+    """
+    wanted = _sample(labels, F.lit(True), label_col, SAMPLE).select("doc_id").distinct()
+    sampled = documents_of(docs, id_col, text_col).join(wanted, "doc_id", "left_semi")
+    model = learn(with_statistics(sampled), labels, F.lit(True), label_col)
+    made = statistics(text_or_empty(docs[text_col]))
+    # A variable of a lambda is computed once, where columns would be computed again for every rule.
+    given = F.array(F.struct(*[made[name].cast("double").alias(name) for name in STATISTICS]))
+    return docs.where(F.element_at(F.transform(given, lambda s: model.column({name: s[name] for name in STATISTICS})), 1) >= threshold)

@@ -215,21 +215,13 @@ def _counted(classes: DataFrame, length: int) -> DataFrame:
     return by_rows(found, "c1 long, c2 long, x1 long, x2 long, spans array<struct<start: int, end: int>>", make_spans)
 
 
-def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE
-) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept text where asked for.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("body"))
 
-    Every byte is removed that a string of `length` bytes covers which also starts anywhere else, in the same text or
-    another; strings overlap, and all are judged on the input. Texts are UTF-8 bytes and strings do not cross texts;
-    n_spans counts the maximal removed runs. Null texts count as empty; texts shorter than `length` lose
-    nothing; null ids and repeated rows stay, and rows repeated with their text are two texts with equal strings.
-    The kept text (column `text`) has what cuts left of a character replaced by U+FFFD. Other columns are not read;
-    an empty table gives an empty result. Beginnings and contexts are compared by 128-bit fingerprints, the rounds
-    between them by bytes.
-    """
-    spark_docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
-    keyed = spark_docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("body"))
+
+def _cut(keyed: DataFrame, length: int, with_text: bool, large: int) -> DataFrame:
+    """key, n_removed, n_spans, digest of the texts that lose bytes, and the kept text where asked for."""
     core = length - reach_of(length) + 1
 
     def make():
@@ -287,10 +279,24 @@ def remove_repeats(
         return step
 
     ddl = "key long, n_removed long, n_spans long, digest string" + (", kept string" if with_text else "")
-    cut = by_rows(texts.select("key", "body").dropDuplicates(["key"]).join(covered, "key"), ddl, make_cut)
-    cut = saved(cut, "cut-texts")
+    cut = by_rows(texts.dropDuplicates(["key"]).select("key", "body").join(covered, "key"), ddl, make_cut)
+    return saved(cut, "cut-texts")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Every byte is removed that a string of `length` bytes covers which also starts anywhere else, in the same text or
+    another; strings overlap, and all are judged on the input. Texts are UTF-8 bytes and strings do not cross texts;
+    n_spans counts the maximal removed runs. Null texts count as empty; texts shorter than `length` lose
+    nothing; null ids and repeated rows stay, and rows repeated with their text are two texts with equal strings.
+    Other columns are not read; an empty table gives an empty result. Beginnings and contexts are compared by
+    128-bit fingerprints, the rounds between them by bytes.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    cut = _cut(keyed, length, False, large)
     # Texts without a repeat never leave the scan; only their size and digest are joined.
-    rows = keyed.select("doc_id", "key", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"), *([F.col("body").cast("string").alias("body")] if with_text else []))
+    rows = keyed.select("doc_id", "key", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
     rows = rows.join(cut, "key", "left")
     return rows.select(
         "doc_id",
@@ -298,5 +304,16 @@ def remove_repeats(
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("digest", "whole").alias("kept_sha256"),
-        *([F.coalesce("kept", "body").alias("text")] if with_text else []),
     )
+
+
+def replace_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
+    """The rows of `docs` with all their columns, the text without the bytes that remove_repeats counts.
+
+    A character that loses some of its bytes becomes U+FFFD. Texts that lose nothing stay as they are, null ones too.
+    """
+    cut = _cut(_keyed(docs, id_col, text_col), length, True, large).select("key", "kept")
+    key = F.xxhash64(docs[id_col].cast("long"), text_or_empty(docs[text_col])).alias("key")
+    rows = docs.select(key, F.struct("*").alias("row")).join(cut, "key", "left")
+    text = F.coalesce(F.col("kept"), F.col("row")[text_col]).alias(text_col)
+    return rows.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
