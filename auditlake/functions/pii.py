@@ -100,8 +100,8 @@ def register(
 
 
 def reach(detectors: Iterable[Detector]) -> int | None:
-    """The longest reach of the detectors; None when one of them does not know its own."""
-    reaches = [d.reach if d.needs else None for d in detectors]
+    """The longest reach of the detectors; None when one of them does not know its own, as any but the built-in ones."""
+    reaches = [d.reach if d.needs and d in DETECTORS else None for d in detectors]
     return None if None in reaches else max(reaches, default=0)
 
 

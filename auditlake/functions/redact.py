@@ -87,9 +87,14 @@ def redact_flat_json(
 
 def flat_sensitive_values(doc: Column) -> Column:
     """Scalars held under sensitive keys of a JSON object without nesting."""
-    fields = F.from_json(doc, "map<string,string>")
+    fields = F.map_filter(F.from_json(doc, "map<string,variant>"), lambda k, v: is_sensitive_key(k) & v.cast("string").isNotNull())
+
+    def text(value: Column) -> Column:
+        # A truth value reads True or False, as from nested JSON.
+        return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(value.cast("string"))).otherwise(value.cast("string"))
+
     return F.coalesce(
-        F.map_values(F.map_filter(fields, lambda k, v: is_sensitive_key(k) & v.isNotNull())),
+        F.transform(F.map_values(fields), text),
         F.array().cast("array<string>"),
     )
 
@@ -180,6 +185,11 @@ def json_sensitive_values(doc: Column) -> Column:
     return _json_walkers()[0](doc)
 
 
+def json_strings(doc: Column) -> Column:
+    """The strings that redaction searches, unescaped: all that stand under no sensitive key."""
+    return F.coalesce(_json_walkers()[1](doc), F.array().cast("array<string>"))
+
+
 def redact_json(
     rows: DataFrame,
     column: str,

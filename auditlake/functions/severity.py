@@ -14,4 +14,5 @@ def severity_weight(severity: Column) -> Column:
     for name, weight in SEVERITY_WEIGHTS.items():
         value = F.lit(weight).cast("bigint")
         branch = F.when(severity == name, value) if branch is None else branch.when(severity == name, value)
-    return branch
+    unknown = F.raise_error(F.concat(F.lit("Unknown severity: "), severity)).cast("bigint")
+    return branch.when(severity.isNull(), F.lit(None).cast("bigint")).otherwise(unknown)

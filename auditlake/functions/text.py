@@ -40,17 +40,32 @@ def has_phrase(text: Column, folded: Column, phrase: Column, case_sensitive: Col
     return F.when(case_sensitive, F.contains(text, phrase)).otherwise(F.contains(folded, F.lower(phrase)))
 
 
-# Python's end-of-text anchor, not itself escaped.
-_END_ANCHOR = r"(?<!\\)((?:\\\\)*)\\Z"
+# What Python writes otherwise than Java, as (pattern, replacement) in the syntax both regex engines share; {1} stands
+# for a reference to the first group. Every expression first skips a backslash with the character after it.
+_SKIP = r"(?<!\\)((?:\\\\)*)"
+_TRANSLATIONS = [
+    (_SKIP + r"\\Z", r"{1}\\z"),
+    (_SKIP + r"\(\?P<", r"{1}(?<"),
+    (_SKIP + r"\(\?P=(\w+)\)", r"{1}\\k<{2}>"),
+    # A repetition without its lower bound, and a brace that begins no repetition.
+    (_SKIP + r"\{,(\d+)\}", r"{1}{0,{2}}"),
+    (_SKIP + r"\{(?!\d+(?:,\d*)?\})", r"{1}\\{"),
+    # A bracket within a character class, one in each pass.
+    *[(_SKIP + r"(\[\^?\]?(?:\\.|[^\[\]\\])*)\[", r"{1}{2}\\[")] * 4,
+]
 
 
 def java_pattern(pattern: Column) -> Column:
-    """A pattern written for Python in Java syntax: named groups and the end-of-text anchor differ."""
-    return F.regexp_replace(F.replace(pattern, F.lit("(?P<"), F.lit("(?<")), _END_ANCHOR, r"$1\\z")
+    """A pattern written for Python in Java syntax."""
+    for search, replacement in _TRANSLATIONS:
+        pattern = F.regexp_replace(pattern, search, replacement.replace("{1}", "$1").replace("{2}", "$2"))
+    return pattern
 
 
 def _java(pattern: str) -> str:
-    return re.sub(_END_ANCHOR, r"\1\\z", pattern.replace("(?P<", "(?<"))
+    for search, replacement in _TRANSLATIONS:
+        pattern = re.sub(search, replacement.replace("{1}", r"\g<1>").replace("{2}", r"\g<2>"), pattern)
+    return pattern
 
 
 def has_pattern(text: Column, pattern: Column, case_sensitive: Column, known: Sequence[str] = ()) -> Column:

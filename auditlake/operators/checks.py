@@ -85,14 +85,21 @@ def turn_local() -> Column:
     )
 
 
-def checks_by_scenario(checks: DataFrame) -> DataFrame:
+def replaced_kinds(check_types: dict[str, Evaluator] | None) -> list[str]:
+    """Built-in kinds that a table evaluates otherwise. What those read is unknown, so they get the whole text."""
+    given = check_types or {}
+    return [name for name in given if name in CHECK_TYPES and given[name] is not CHECK_TYPES[name]]
+
+
+def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = ()) -> DataFrame:
     """One row per scenario: its checks in catalog order, and what they need of the turns beyond the hits.
 
     ``needs_text``, ``needs_pii`` and ``needs_length`` are structs of flags for agent turns and for all turns.
     """
     kind = F.col("type")
     lengths, pii = kind.isin(*LENGTH_TYPES), kind == "no_pii_leak"
-    text = ~F.col("local") & ~kind.isin(*TEXT_FREE_TYPES, *LENGTH_TYPES, "no_pii_leak")
+    own = kind.isin(*replaced)
+    text = own | (~F.col("local") & ~kind.isin(*TEXT_FREE_TYPES, *LENGTH_TYPES, "no_pii_leak"))
 
     def needed(what: Column, name: str) -> Column:
         everywhere = F.col("scope") == "all"
@@ -102,7 +109,7 @@ def checks_by_scenario(checks: DataFrame) -> DataFrame:
 
     return (
         with_check_defaults(checks)
-        .withColumn("local", turn_local())
+        .withColumn("local", turn_local() & ~own)
         .groupBy("scenario_id")
         .agg(
             F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local"))).alias("checks"),
@@ -320,7 +327,7 @@ def evaluate_attempts(
     has_hits = "hits" in have
     has_parts = "turns" in have and "hits" in have
 
-    joined = attempts.join(checks_by_scenario(checks), "scenario_id", "left")
+    joined = attempts.join(checks_by_scenario(checks, replaced_kinds(check_types)), "scenario_id", "left")
     catalog = F.col("checks")
     agent = F.coalesce(F.col("agent_text"), empty) if "agent_text" in have else empty
     everything = F.coalesce(F.col("all_text"), empty) if "all_text" in have else empty
@@ -488,14 +495,14 @@ def stripped_length(parts: Column) -> Column:
     return let(F.filter(parts, lambda p: p["lead"] < p["length"]), measure)
 
 
-def _tested(turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str]) -> DataFrame:
+def _tested(turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str], replaced: Sequence[str] = ()) -> DataFrame:
     """Turns with the checks of their scenario and the hits of those that are decided turn by turn."""
     no_tools = F.array().cast("array<string>")
     tools = F.coalesce(F.transform("tool_calls", lambda c: c["name"]), no_tools) if "tool_calls" in turns.columns else no_tools
     return (
         turns.withColumn("content", F.coalesce(F.col("content"), F.lit("")))
         .withColumn("tools", tools)
-        .join(checks_by_scenario(checks), "scenario_id", "left")
+        .join(checks_by_scenario(checks, replaced), "scenario_id", "left")
         .withColumn("hits", _turn_hits(known_patterns))
     )
 
@@ -524,6 +531,7 @@ def _screened(
     keys: Sequence[str],
     detectors: Sequence[Detector] = (),
     with_turns: bool = True,
+    replaced: Sequence[str] = (),
 ) -> DataFrame:
     """Hits per attempt and, where its checks need it, the turns with their lengths and texts. One shuffle.
 
@@ -555,7 +563,7 @@ def _screened(
         kept.append(F.when(needed("needs_text") | needed("needs_pii") | needed("needs_length"), part).alias("part"))
         # A turn with several hits appears several times; its part is taken from the first.
         measures.append(F.array_sort(F.collect_list(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("part")))).alias("turns"))
-    tested = _tested(turns, checks, known_patterns)
+    tested = _tested(turns, checks, known_patterns, replaced)
     return tested.select(*kept, F.posexplode_outer("hits").alias("n", "hit")).groupBy(*keys).agg(*measures)
 
 
@@ -589,7 +597,7 @@ def evaluate_turns(
     """
     detectors = tuple(detectors)
     attempts = (
-        _screened(turns, checks, known_patterns, keys, detectors)
+        _screened(turns, checks, known_patterns, keys, detectors, replaced=replaced_kinds(check_types))
         .withColumn("agent_text", agent_text(F.col("turns")))
         .withColumn("all_text", all_text(F.col("turns")))
     )
@@ -607,8 +615,15 @@ def evaluate_turns(
 
 
 def judge_answers(judge: DataFrame, keys: Sequence[str] = ATTEMPT_KEY) -> DataFrame:
-    """Judge responses of an attempt as a map from check_pos."""
-    answer = F.struct("check_pos", F.struct("content", "latency_ms").alias("answer"))
+    """Judge responses of an attempt as a map from check_pos.
+
+    Of several responses to one request the last counts: by ``received_at`` if the table has that column, else the one
+    of the largest latency and content, whatever their order.
+    """
+    given = F.struct("content", "latency_ms")
+    order = F.struct(*(["received_at"] if "received_at" in judge.columns else []), "latency_ms", "content")
+    judge = judge.groupBy(*keys, "check_pos").agg(F.max_by(given, order).alias("answer"))
+    answer = F.struct("check_pos", "answer")
     return judge.groupBy(*keys).agg(F.map_from_entries(F.collect_list(answer)).alias("judge"))
 
 
@@ -644,7 +659,7 @@ def with_outcome(attempts: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
 
     def weight(results: Column) -> Column:
-        return F.aggregate(results, zero, lambda acc, r: acc + severity_weight(r["severity"]))
+        return F.aggregate(results, zero, lambda acc, r: acc + F.coalesce(severity_weight(r["severity"]), zero))
 
     return (
         attempts.withColumn("passed", F.forall("check_results", lambda r: r["passed"]))

@@ -130,14 +130,27 @@ def regulation_coverage(results: DataFrame, registry: DataFrame) -> DataFrame:
     return with_coverage(results.select(*RUN).distinct(), results, registry)
 
 
-# Values are put in buckets that keep their order, 4096 per doubling: at most some 10^5 buckets per run whatever
-# the number of rows, and few distinct values in each.
+# Values are put in buckets that keep their order, 4096 per doubling of their size; the bucket of a wanted place is
+# cut again into equal parts between its own smallest and largest value.
 _BUCKETS_PER_DOUBLING = 4096
+_PARTS = 65_536
+_DOUBLINGS = 1100  # more than a double has below 1
 
 
 def order_bucket(value: Column) -> Column:
     """A number that never falls as the value rises."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * _BUCKETS_PER_DOUBLING)).cast("bigint")
+    size = F.floor(F.log2(F.abs(value)) * _BUCKETS_PER_DOUBLING) + _DOUBLINGS * _BUCKETS_PER_DOUBLING
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * size).cast("bigint")
+
+
+def _located(counts: DataFrame, keys: list[str], at: str, carried: list[str]) -> DataFrame:
+    """Of counts (keys, name, place, at, n, ..) the rows in which the place lies; place then counts from their start."""
+    upto = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        counts.withColumn("upto", upto)
+        .filter((F.col("place") >= F.col("upto") - F.col("n")) & (F.col("place") < F.col("upto")))
+        .select(*keys, "name", at, (F.col("place") - F.col("upto") + F.col("n")).alias("place"), *carried)
+    )
 
 
 def value_at_fraction(
@@ -145,8 +158,9 @@ def value_at_fraction(
 ) -> DataFrame:
     """Exact order statistics per key: the element at 0-based place int(n * fraction) of the sorted values.
 
-    Equal values are counted before the shuffle. Counts per order-keeping bucket locate the bucket of each
-    wanted place; only the values of those buckets are ranked. No task sees all values of a key.
+    Equal values are counted before the shuffle. Counts per order-keeping bucket locate the bucket of each wanted place,
+    counts per part of that bucket the part; only the values of the parts are ranked. Values that lie close
+    together, small ones or ones with a common offset, share a bucket but spread over its parts.
     """
     keys = list(keys)
     counted = (
@@ -155,31 +169,23 @@ def value_at_fraction(
         .agg(F.count("*").alias("n"))
         .withColumn("bucket", order_bucket(F.col("v")))
     )
-    in_order = Window.partitionBy(*keys).orderBy("bucket")
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("fraction")) for n, f in fractions.items()]))
     buckets = (
         counted.groupBy(*keys, "bucket")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         .withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    )
-    places = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.floor(F.col("total") * F.lit(fraction)).alias("place"))
-            for name, fraction in fractions.items()
-        ]
-    )
-    before = F.col("upto") - F.col("n")
-    wanted = (
-        buckets.select(*keys, "bucket", before.alias("before"), "upto", F.explode(places).alias("w"))
-        .filter((F.col("w.place") >= F.col("before")) & (F.col("w.place") < F.col("upto")))
-        .select(*keys, "bucket", F.col("w.name").alias("name"), (F.col("w.place") - F.col("before")).alias("place"))
-    )
-    ranked = Window.partitionBy(*keys, "bucket", "name").orderBy("v")
-    picked = (
-        counted.join(wanted, [*keys, "bucket"])
-        .withColumn("upto", F.sum("n").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter((F.col("place") >= F.col("upto") - F.col("n")) & (F.col("place") < F.col("upto")))
-    )
+        .withColumn("w", wanted)
+        .select(*keys, "bucket", "n", "low", "high", "w.name", F.floor(F.col("total") * F.col("w.fraction")).alias("place"))
+    )
+    bucket = _located(buckets, keys, "bucket", ["low", "high"])
+    width = F.col("high").cast("double") - F.col("low").cast("double")
+    offset = F.col("v").cast("double") - F.col("low").cast("double")
+    part = F.when(width > 0, F.floor(offset / width * _PARTS)).otherwise(F.lit(0)).cast("bigint")
+    inside = counted.join(bucket, [*keys, "bucket"]).withColumn("part", part)
+    parts = inside.groupBy(*keys, "name", "part").agg(F.sum("n").alias("n"), F.first("place").alias("place"))
+    found = _located(parts, keys, "part", [])
+    values = inside.select(*keys, "name", "part", "v", "n").join(found, [*keys, "name", "part"])
+    picked = _located(values, keys, "v", [])
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in fractions])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.pii import DETECTORS, Detector, detect
-from auditlake.functions.redact import json_sensitive_values, redact_json, redact_text
+from auditlake.functions.redact import SENSITIVE_MARK, json_sensitive_values, json_strings, redact_json, redact_text
 from auditlake.schemas import ATTEMPT_KEY
 from auditlake.session import checkpointed
 
@@ -120,6 +120,11 @@ def _with_run_arrays(texts: DataFrame, keys: Sequence[str], arrays: DataFrame, s
     return texts.withColumn("_salt", salt).join(salted, [run, "_salt"], "left").drop("_salt")
 
 
+def _may_meet_a_marker(value: Column) -> Column:
+    """Values that may occur in a text only once another value in it is masked: parts of the marker or over its edge."""
+    return F.contains(F.lit(SENSITIVE_MARK), value) | F.contains(value, F.lit("[")) | F.contains(value, F.lit("]"))
+
+
 def with_sensitive_values(
     texts: DataFrame,
     keys: Sequence[str],
@@ -131,7 +136,9 @@ def with_sensitive_values(
     """Add ``sensitive``: the run's values that may occur in the row's texts.
 
     ``values`` is read several times, first to measure it: runs with at most ``limit`` values carry them as an
-    array, which is broadcast if all arrays together are small. Values of other runs are looked up in the texts.
+    array, which is broadcast if all arrays together are small. Values of other runs are looked up in the texts, and the
+    few that may occur in a marker are carried along; a value that is in neither changes nothing, so redaction
+    gives one result whatever the limit. ``columns`` hold the strings as they are redacted, not escaped.
     """
     none = F.array().cast("array<string>")
     counts = values.groupBy(run).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("size"))
@@ -152,7 +159,10 @@ def with_sensitive_values(
     others = _with_run_arrays(texts.join(large, run, "left_anti"), keys, arrays, total["size"], run)
     busy = texts.join(large, run, "left_semi")
     found = values_in_texts(busy, keys, columns, values.join(large, run, "left_semi"), run)
-    both = others.unionByName(busy.join(found, list(keys), "left"))
+    marked = values.join(large, run, "left_semi").filter(_may_meet_a_marker(F.col("value"))).groupBy(run).agg(F.collect_set("value").alias("_marked"))
+    busy = busy.join(found, list(keys), "left").join(marked, run, "left")
+    together = F.array_union(F.coalesce("sensitive", none), F.coalesce("_marked", none))
+    both = others.unionByName(busy.withColumn("sensitive", together).drop("_marked"))
     return both.withColumn("sensitive", F.coalesce("sensitive", none))
 
 
@@ -219,7 +229,8 @@ def redact_turns(
     values = harvest_turns(turns) if values is None else values
     keys = [*ATTEMPT_KEY, "turn"]
     calls = turns.withColumn("_calls", _calls_as_json(F.coalesce("tool_calls", F.array())))
-    marked = with_sensitive_values(calls, keys, ["content", "_calls"], values, limit=limit)
+    calls = calls.withColumn("_open", F.array_join(json_strings(F.col("_calls")), "\n"))
+    marked = with_sensitive_values(calls, keys, ["content", "_open"], values, limit=limit)
     return (
         redact_json(marked, "_calls", F.col("sensitive"), detectors)
         .withColumn("content", redact_text(F.col("content"), F.col("sensitive"), detectors))
@@ -242,7 +253,8 @@ def redact_recorded(
     rows = recorded.withColumn(
         "_calls", F.concat(F.lit("["), F.array_join(F.coalesce(calls, none), ","), F.lit("]"))
     ).withColumn("_said", said)
-    marked = with_sensitive_values(rows, ATTEMPT_KEY, ["_said", "_calls"], values, limit=limit).drop("_said")
+    rows = rows.withColumn("_open", F.array_join(json_strings(F.col("_calls")), "\n"))
+    marked = with_sensitive_values(rows, ATTEMPT_KEY, ["_said", "_open"], values, limit=limit).drop("_said", "_open")
 
     def safe(text: Column) -> Column:
         return redact_text(text, F.col("sensitive"), detectors)

@@ -152,23 +152,23 @@ SELECT DISTINCT id FROM registry WHERE id NOT IN (SELECT regulations[2] FROM res
 
 
 def malformed_scenarios(spark, sf):
-    """A scenario's checks are its line items of high discount."""
-    li = src.table(spark, sf, "lineitem").filter("l_discount >= 0.1")
-    checks = li.select(F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("scenario_id"))
+    """A line item is a check of its part's scenario if its discount is high, else of none."""
+    part = F.concat(F.lit("part_"), F.col("l_partkey").cast("string"))
+    checks = src.table(spark, sf, "lineitem").select(F.when(F.col("l_discount") >= 0.1, part).otherwise("none").alias("scenario_id"))
     return gv.malformed_scenarios(src.scenarios(spark, sf), checks)
 
 
 MALFORMED_SCENARIOS = f"""WITH {src.SCENARIOS_SQL}, s AS (
-  SELECT scenario_id, scenario_id NOT IN (SELECT 'part_' || l_partkey FROM lineitem WHERE l_discount >= 0.1) AS no_checks,
+  SELECT scenario_id, scenario_id NOT IN (SELECT CASE WHEN l_discount >= 0.1 THEN 'part_' || l_partkey ELSE 'none' END FROM lineitem) AS no_checks,
     label NOT IN ('violation_expected', 'benign_control') AS bad_label FROM scenarios)
 SELECT * FROM s WHERE no_checks OR bad_label"""
 
 
 def adversarial_without_scripts(spark, sf):
-    li = src.table(spark, sf, "lineitem").filter("l_quantity >= 45")
-    scripts = li.select(
+    many, flag = F.col("l_quantity") >= 45, F.col("l_returnflag")
+    scripts = src.table(spark, sf, "lineitem").select(
         F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("scenario_id"),
-        F.when(F.col("l_returnflag") == "A", F.lit("compliant")).when(F.col("l_returnflag") == "R", F.lit("naive")).alias("persona"),
+        F.when(many & (flag == "A"), F.lit("compliant")).when(many & (flag == "R"), F.lit("naive")).alias("persona"),
     )
     out = gv.adversarial_without_scripts(src.scenarios(spark, sf), scripts)
     return out.withColumn("missing_personas", F.array_join("missing_personas", ","))

@@ -57,7 +57,7 @@ def document_attempts(spark, sf):
     d = src.texts(spark, sf, "documents").select("doc_id", "lang", "source", F.size(pii.detect(F.col("text"))).alias("found"))
     label = F.when(F.col("toxic") == 1, F.lit("violation_expected")).when(F.col("quality") == 1, F.lit("benign_control"))
     found = F.col("found").cast("bigint")
-    return d.join(labels, "doc_id").select(
+    return d.join(labels, "doc_id", "left").select(
         F.col("lang").alias("run_id"), F.col("source").alias("scenario_id"), F.col("doc_id").alias("attempt"),
         label.alias("label"), (found == 0).alias("passed"), found.alias("violations"),
         (found * 7).alias("violation_weight"), (found * 7 + 3).alias("possible_weight"),
@@ -66,7 +66,7 @@ def document_attempts(spark, sf):
 
 DOCUMENT_ATTEMPTS_SQL = f"""found AS (
   SELECT d.doc_id, lang, source, len({src.findings_sql('text')}) AS n, quality, toxic
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id), attempts AS (
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), attempts AS (
   SELECT lang AS run_id, source AS scenario_id, doc_id AS attempt,
     CASE WHEN toxic = 1 THEN 'violation_expected' WHEN quality = 1 THEN 'benign_control' END AS label,
     n = 0 AS passed, n AS violations, n * 7 AS violation_weight, n * 7 + 3 AS possible_weight FROM found)"""

@@ -62,10 +62,13 @@ CATALOG_FILE = (
     "naive:array<struct<text:string,tool_calls:array<struct<name:string,arguments:string>>>>>"
 )
 
-# The JSON shape of a recorded run, one object per attempt.
+# The JSON shape of a recorded run, one object per attempt. Configuration and metrics are open-ended and stay JSON text.
+USED = "struct<prompt_tokens:bigint,completion_tokens:bigint,model_calls:bigint,cost_usd:double,latency_ms:double>"
+
 RECORDED_ATTEMPT = (
     "run_id string, created_at string, agent_model string, judge_model string, scenario_id string, title string, "
     "label string, attempt int, passed boolean, "
     f"turns array<struct<role:string,content:string,tool_calls:array<{TOOL_CALL}>>>, "
-    f"check_results array<{CHECK_RESULT}>"
+    f"check_results array<{CHECK_RESULT}>, "
+    f"model string, usage {USED}, agent_usage {USED}, judge_usage {USED}, configuration string, metrics string"
 )

@@ -48,8 +48,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        # Unset only in tests and on a single machine; a cluster sets spark.checkpoint.dir to a shared folder.
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditlake-")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            # Sensitive values pass through here: never a folder of one machine of a cluster.
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="auditlake-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

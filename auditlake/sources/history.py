@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.pii import DETECTORS
-from auditlake.functions.redact import redact_json
+from auditlake.functions.redact import json_sensitive_values, redact_json
 from auditlake.operators.reports import rounded_metrics
 from auditlake.schemas import AUDIT_EVENTS, RUNS
 
@@ -64,8 +64,8 @@ def cutoff_literal(before: datetime) -> Column:
 
 
 def split_by_age(runs: DataFrame, before: datetime) -> tuple[DataFrame, DataFrame]:
-    """(kept, purged): purged runs were created before the cutoff."""
-    old = F.col("created_at") < cutoff_literal(before)
+    """(kept, purged): purged runs were created before the cutoff; a run without a date is kept."""
+    old = F.coalesce(F.col("created_at") < cutoff_literal(before), F.lit(False))
     return runs.filter(~old), runs.filter(old)
 
 
@@ -91,6 +91,12 @@ def runs_with_tag(
     return list_runs(runs, limit).join(having, "run_id", "left_semi").orderBy(F.desc("created_at"), "run_id")
 
 
+def redacted_payloads(runs: DataFrame, detectors: Iterable = DETECTORS) -> DataFrame:
+    """Runs whose payload, JSON of any depth, is redacted by its own sensitive values and by the detectors."""
+    own = runs.withColumn("_own", json_sensitive_values(F.col("payload")))
+    return redact_json(own, "payload", F.col("_own"), detectors).select(*runs.columns)
+
+
 def summarize_runs(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Rows for the history: summary columns taken from the run metrics, and all metrics as JSON payload.
 
@@ -182,19 +188,29 @@ class RunHistory:
             return self.spark.createDataFrame([], RUNS).select(*columns)
         return latest_saves(saves.select(*columns, "saved_at")).drop("saved_at")
 
-    def save(self, runs: DataFrame, saved_at: datetime, retention_days: int | None = None) -> int:
-        """Add runs (schema RUNS, payload already redacted). Returns how many runs the retention removed."""
+    def save(
+        self, runs: DataFrame, saved_at: datetime, retention_days: int | None = None, redact: bool = True, save_id: str | None = None
+    ) -> int:
+        """Add runs (schema RUNS). Returns how many runs the retention removed.
+
+        Payloads are redacted, each by the sensitive values in it, unless ``redact`` is off. ``save_id`` names the save:
+        when one of that name comes again, for instance a batch that is delivered twice, it adds no audit event.
+        """
+        if redact:
+            runs = redacted_payloads(runs, self.detectors)
         stamp = cutoff_literal(saved_at)
         generations = self._generations()
         target = self._generation_path(generations[-1] if generations else 0)
         self._write(runs.select(*RUN_COLUMNS).withColumn("saved_at", stamp), target, "append")
         # Read back, so that the runs are computed once.
         saved = self._saves().filter(F.col("saved_at") == stamp).select(
-            F.concat(F.lit("run_saved:"), "run_id", F.lit(":"), stamp.cast("string")).alias("event_id"),
+            F.concat(F.lit("run_saved:"), "run_id", F.lit(":"), F.lit(save_id) if save_id else stamp.cast("string")).alias("event_id"),
             stamp.alias("created_at"),
             F.lit("run_saved").alias("event_type"),
             F.to_json(F.struct("agent_model", "run_id")).alias("details"),
         )
+        if save_id:
+            saved = saved.join(self.audit_events().filter("event_type = 'run_saved'").select("event_id"), "event_id", "left_anti")
         self.append_audit(saved)
         if retention_days is None:
             return 0
@@ -222,7 +238,7 @@ class RunHistory:
             F.lit(f"{event_type}:{stamp}").alias("event_id"),
             cutoff_literal(now).alias("created_at"),
             F.lit(event_type).alias("event_type"),
-            sorted_json(F.create_map(*[F.lit(str(x)) for kv in {**details, "count": count}.items() for x in kv])).alias("details"),
+            F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted({**details, "count": count}.items())])).alias("details"),
         )
         self.append_audit(row)
         return count

@@ -25,6 +25,23 @@ def turns_of(recorded: DataFrame) -> DataFrame:
     return recorded.select(*ATTEMPT_KEY, F.posexplode("turns").alias("turn", "t")).select(*ATTEMPT_KEY, "turn", "t.*")
 
 
+def usage_of(recorded: DataFrame) -> DataFrame:
+    """Usage rows of recorded attempts, one for the agent and one for the judge where they are recorded.
+
+    An attempt that records its total alone counts as the agent's.
+    """
+    split = F.col("agent_usage").isNotNull() | F.col("judge_usage").isNotNull()
+    agent = F.when(split, F.col("agent_usage")).otherwise(F.col("usage"))
+    parts = F.array(
+        F.struct(F.lit("agent").alias("source"), agent.alias("u")), F.struct(F.lit("judge").alias("source"), F.col("judge_usage").alias("u"))
+    )
+    rows = recorded.select(*ATTEMPT_KEY, F.explode(F.filter(parts, lambda p: p["u"].isNotNull())).alias("p"))
+    return rows.select(
+        *ATTEMPT_KEY, "p.source", F.lit(None).cast("int").alias("check_pos"),
+        "p.u.prompt_tokens", "p.u.completion_tokens", "p.u.cost_usd", "p.u.latency_ms", "p.u.model_calls",
+    )
+
+
 def redacted_artifacts(recorded: DataFrame) -> DataFrame:
     """Recorded attempts with every turn, tool call, title and check message redacted, each run by its own values."""
     return redact_recorded(recorded, harvest_turns(turns_of(recorded)))

@@ -2,7 +2,7 @@
 
 A turn can be judged by itself for forbidden phrases, patterns that stay within a line and personal data, so
 alerts need no state. Saves of finished runs are appended batch by batch; the history keeps the last save of a
-run, so a batch that is delivered again changes nothing.
+run, and a save carries the number of its batch, so a batch that is delivered again changes nothing.
 """
 
 from __future__ import annotations
@@ -36,10 +36,15 @@ def forbidden_alerts(turns: DataFrame, checks: DataFrame, known_patterns: Sequen
     return forbidden_in_turns(turns, checks, known_patterns)
 
 
-def save_stream(runs: DataFrame, history: RunHistory, checkpoint: str, now=lambda: datetime.now(UTC)) -> StreamingQuery:
-    """Append a stream of finished runs to the history, all available data, then stop."""
+def save_stream(
+    runs: DataFrame, history: RunHistory, checkpoint: str, now=lambda: datetime.now(UTC), name: str = "stream"
+) -> StreamingQuery:
+    """Append a stream of finished runs to the history, all available data, then stop.
+
+    ``name`` and the batch's number identify a save; streams that save to one history need names of their own.
+    """
     return (
-        runs.writeStream.foreachBatch(lambda batch, _: history.save(batch, now()))
+        runs.writeStream.foreachBatch(lambda batch, number: history.save(batch, now(), save_id=f"{name}:{number}"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

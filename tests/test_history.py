@@ -54,7 +54,7 @@ def test_purge(spark, history):
     files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(history.root + "/runs").select("path").collect()
     assert files and not any("run_date=2020" in f.path for f in files)
     event = history.audit_events().filter("event_type = 'runs_purged'").first()
-    assert json.loads(event.details) == {"before": "2025-01-01T00:00:00+00:00", "count": "1"}
+    assert json.loads(event.details) == {"before": "2025-01-01T00:00:00+00:00", "count": 1}
     assert history.purge(datetime(2025, 1, 1, tzinfo=UTC), NOW) == 0
     assert history.audit_events().filter("event_type = 'runs_purged'").count() == 1
 
@@ -162,3 +162,62 @@ def test_stream_of_turns_raises_alerts(spark, tmp_path):
     query = alerts.writeStream.format("memory").queryName("alerts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.turn, r.evidence) for r in spark.table("alerts").collect()] == [(1, "ssn:****9931")]
+
+
+def _saved_run(spark, payload, run_id="r1", created=None):
+    from datetime import UTC, datetime
+
+    when = created or datetime(2024, 5, 1, tzinfo=UTC)
+    return spark.createDataFrame([(run_id, when, "a", "j", 1.0, 1, 0, payload)], RUNS_SCHEMA)
+
+
+RUNS_SCHEMA = (
+    "run_id string, created_at timestamp, agent_model string, judge_model string, pass_rate double, total_runs bigint, violations bigint, payload string"
+)
+
+
+def test_saved_payloads_hold_no_secrets(spark, tmp_path):
+    import json
+    from datetime import UTC, datetime
+
+    from auditlake.sources.history import RunHistory
+
+    now = datetime(2024, 6, 1, tzinfo=UTC)
+    payload = json.dumps({"note": "mail a.b@example.com, ssn 123-45-6789, code pa\"ss", "args": {"password": 'pa"ss'}, "n": 3})
+    history = RunHistory(spark, str(tmp_path / "h"))
+    history.save(_saved_run(spark, payload), now)
+    stored = history.runs().first().payload
+    assert "example.com" not in stored and "6789" not in stored and 'pa\\"ss' not in stored and json.loads(stored)["n"] == 3
+    raw = RunHistory(spark, str(tmp_path / "raw"))
+    raw.save(_saved_run(spark, payload), now, redact=False)
+    assert raw.runs().first().payload == payload
+
+
+def test_a_batch_delivered_again_adds_no_audit_event(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    from auditlake.sources.history import RunHistory
+
+    history = RunHistory(spark, str(tmp_path / "h"))
+    for minute in (0, 5):
+        history.save(_saved_run(spark, "{}"), datetime(2024, 6, 1, 0, minute, tzinfo=UTC), save_id="stream:7")
+    assert history.audit_events().count() == 1 and history.runs().count() == 1
+    history.save(_saved_run(spark, "{}"), datetime(2024, 6, 2, tzinfo=UTC), save_id="stream:8")
+    assert history.audit_events().count() == 2
+
+
+def test_runs_without_a_date_survive_a_purge_and_the_count_is_a_number(spark, tmp_path):
+    import json
+    from datetime import UTC, datetime
+
+    from auditlake.sources.history import RunHistory
+
+    now = datetime(2024, 6, 1, tzinfo=UTC)
+    history = RunHistory(spark, str(tmp_path / "h"))
+    old = _saved_run(spark, "{}", "old", datetime(2020, 1, 1, tzinfo=UTC))
+    undated = spark.createDataFrame([("none", None, "a", "j", 1.0, 1, 0, "{}")], RUNS_SCHEMA)
+    history.save(old.union(undated).union(_saved_run(spark, "{}", "new")), now)
+    assert history.purge(datetime(2023, 1, 1, tzinfo=UTC), now) == 1
+    assert {r.run_id for r in history.runs().collect()} == {"none", "new"}
+    event = history.audit_events().where("event_type = 'runs_purged'").first()
+    assert json.loads(event.details)["count"] == 1
