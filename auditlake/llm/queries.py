@@ -91,7 +91,25 @@ QUERIES = {
     "op9_embedding_near_duplicates": op9_embedding_near_duplicates,
     "op6_power_of_two_packing": op6_power_of_two_packing,
 }
+# Plain comparisons of all pairs, for small scales: what is reachable over links.
+_REACH = """reach(id, r) as (
+            select id, id from ids union select reach.id, links.b from reach join links on reach.r = links.a),
+        low as (select id, min(r) as low from reach group by id),
+        counts as (select a as id, count(*) as n from links group by a)"""
+
 ORACLES: dict[str, str] = {
+    "op3_chosen_path_join": f"""
+        with recursive split as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '') as w from documents),
+        grams as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_transform(range(len(w) - 4), lambda i: array_to_string(w[(i + 1)::bigint:(i + 5)::bigint], ' ')) end) as g from split),
+        sizes as (select doc_id, count(*) as n from grams group by doc_id),
+        pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b on a.g = b.g where a.doc_id <> b.doc_id group by all),
+        links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)),
+        ids as (select distinct doc_id as id from documents),
+        {_REACH}
+        select low.id as doc_id, low as class_id, coalesce(n, 0) as n_links from low left join counts on counts.id = low.id
+    """,
     "op5_warc": """
         with payload as (select page_id, coalesce(html, '') as body from pages),
         hashed as (select page_id, strlen(body) as payload_bytes, sha1(body) as hex from payload),
@@ -104,4 +122,15 @@ ORACLES: dict[str, str] = {
             case when h.page_id = f.first then null else f.first end as refers_to
         from hashed h join firsts f on h.hex = f.hex and h.payload_bytes = f.payload_bytes
     """,
+    "op9_embedding_near_duplicates": f"""
+        with recursive v as (
+            select vec_id, label, embedding::double[] as e from embeddings
+            where label is not null and embedding is not null and list_sum(list_transform(embedding::double[], lambda x: x * x)) > 0),
+        links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id
+            where list_cosine_similarity(x.e, y.e) >= 0.93),
+        ids as (select vec_id as id from embeddings),
+        {_REACH}
+        select low.id as vec_id, coalesce(n, 0) as n_links, low as component_id, low.id = low as kept
+        from low left join counts on counts.id = low.id
+    """,
 }

@@ -1,0 +1,5 @@
+import os
+import sys
+
+# Helpers of the whole test suite lie one folder up.
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
