@@ -1,11 +1,12 @@
 """Similarity join of texts by Jaccard of their word shingles, along chosen paths.
 
-Every set chooses shingles at random, a shingle by its own hash and so that a set of n chooses about c / (t * n) of
-them at threshold t. Sets that share a chosen shingle meet in a bucket; two sets above the threshold choose at least
+Every set chooses shingles at random, each by its own hash, so that a set of n shingles chooses about c / t of them
+at threshold t. Sets that share a chosen shingle meet in a bucket; two sets above the threshold choose at least
 c shingles together on average. Runs with new hashes are added until pairs at the threshold meet with the target
-probability. A bucket that is too large splits again by further chosen shingles, unless one of these keeps more than
-half of it: such a bucket holds copies of one another and is compared as it is, as are buckets at the last depth.
-Buckets are compared exactly, in blocks.
+probability. A bucket that is too large splits again by others of its members' chosen shingles, unless one of these
+keeps more than half of it: such a bucket holds copies of one another and is compared as it is, as are buckets at the
+last depth. Buckets are compared in blocks, first by small sketches and by which bucket a pair counts in, then exactly,
+with the sets of those members only that have a pair left.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ RECALL = 0.9999  # of pairs at the threshold; more similar pairs meet more often
 CHOSEN = 2.0  # shingles that a pair at the threshold chooses together in a run, on average
 LARGE = 256  # members of a bucket that is compared without splitting
 DEPTH = 3
+ONWARD = 4.0  # shingles by which a pair at the threshold goes on together from a bucket that splits, on average
+BINS = 64  # of a sketch; each holds a byte of the smallest hash that falls into it, 0 where none does
+ALIKE = 0.4  # share of equal bins from which a pair is compared exactly; six deviations below the threshold's
 
 
 def runs_for(recall: float, chosen: float = CHOSEN) -> int:
@@ -41,68 +45,116 @@ def chosen(tokens: np.ndarray, size: int, salt: int, share: float) -> np.ndarray
     return tokens[mixed(tokens ^ mixed(np.array([salt], np.uint64))) < limit]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """One-permutation sketch: of each sixty-fourth of the hashes a byte of the smallest one."""
+    hashes = np.sort(mixed(tokens ^ np.uint64(0x9E3779B97F4A7C15)))
+    part = (hashes >> np.uint64(58)).astype(int)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    out = np.zeros(BINS, np.uint8)
+    out[part[first]] = 1 + (hashes[first] >> np.uint64(20)) % np.uint64(255)
+    return out.tobytes()
+
+
 def _described(docs: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
     """Identity of each text's set, its size, and the shingles it chooses in any run."""
     runs = runs_for(recall)
 
     def make():
         def step(rows):
-            out = {"doc_id": rows["doc_id"], "high": [], "low": [], "size": [], "first": []}
+            out = {"doc_id": rows["doc_id"], "high": [], "low": [], "size": [], "first": [], "sketch": []}
             for text in rows["text"]:
                 tokens = shingle_set(text, words)
                 whole = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 out["high"].append((whole >> 64) - (1 << 63))
                 out["low"].append((whole & ((1 << 64) - 1)) - (1 << 63))
                 out["size"].append(len(tokens))
+                out["sketch"].append(sketch(tokens))
                 picks = [chosen(tokens, len(tokens), run, CHOSEN / threshold) for run in range(runs)] if len(tokens) else []
                 out["first"].append(np.unique(np.concatenate(picks)).view(np.int64) if picks else np.empty(0, np.int64))
             return out
 
         return step
 
-    return by_rows(docs, "doc_id long, high long, low long, size long, first array<long>", make)
+    return by_rows(docs, "doc_id long, high long, low long, size long, first array<long>, sketch binary", make)
+
 
+def _bucketed(members: DataFrame, large: int) -> DataFrame:
+    """Sizes of the buckets with at least two members.
+
+    Of buckets with the same members that are compared as they are, one stays. Large ones all stay: each splits by
+    other shingles, and a pair that one of them parts meets in another.
+    """
+    who = [F.sum(F.xxhash64("id", F.lit(i)) % (1 << 40)).alias(f"who{i}") for i in range(2)]
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *who).where("n > 1")
+    again = F.when(F.col("n") > large, F.col("bucket"))
+    return sizes.groupBy("n", "who0", "who1", again.alias("own")).agg(F.min("bucket").alias("bucket")).select("bucket", "n")
 
-def _bucketed(members: DataFrame) -> DataFrame:
-    """Sizes of the buckets with at least two members, one bucket of those with the same members."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("who"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("whose"))
-    return sizes.where("n > 1").groupBy("n", "who", "whose").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
 
+def _split(members: DataFrame, sizes: DataFrame, classes: DataFrame, depth: int, large: int, share: float) -> DataFrame:
+    """Members (bucket, id) of the buckets that are compared, after splitting large ones.
 
-def _split(members: DataFrame, sizes: DataFrame, sets: DataFrame, threshold: float, depth: int, large: int) -> DataFrame:
-    """Members (bucket, id) of the buckets that are compared, after splitting large ones."""
-    kept = members.join(sizes.where(F.col("n") <= large).select("bucket"), "bucket")
+    `members` has the path of a bucket, the shingles chosen so far. A member goes on by its chosen shingles that are
+    not on the path and whose hash with the bucket falls below `share`.
+    """
+    kept = members.join(sizes.where(F.col("n") <= large).select("bucket"), "bucket").select("bucket", "id")
     big = saved(members.join(sizes.where(F.col("n") > large), "bucket"), "large-buckets")
     if not big.take(1):
         return kept
     if depth == 0:
         return kept.union(big.select("bucket", "id"))
-
-    def make():
-        def step(rows):
-            out = {"bucket": [], "parent": [], "n": [], "id": []}
-            for paths, parents, tokens in zip(rows["paths"], rows["id"], rows["tokens"]):
-                tokens = np.array(tokens, np.int64).view(np.uint64)
-                for path in paths:
-                    salt = path["bucket"] & ((1 << 64) - 1)
-                    picks = chosen(tokens, len(tokens), salt, CHOSEN / threshold)
-                    children = mixed(picks ^ mixed(np.array([salt ^ 0x5851F42D4C957F2D], np.uint64))).view(np.int64)
-                    out["bucket"] += children.tolist()
-                    out["parent"] += [path["bucket"]] * len(children)
-                    out["n"] += [path["n"]] * len(children)
-                    out["id"] += [parents] * len(children)
-            return out
-
-        return step
-
-    paths = big.groupBy("id").agg(F.collect_list(F.struct("bucket", "n")).alias("paths"))
-    children = saved(by_rows(paths.join(sets, "id").select("id", "paths", "tokens"), "bucket long, parent long, n long, id long", make), "child-buckets")
+    onward = F.filter(
+        F.array_except("first", "path"), lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(1 << 20)) < int(share * (1 << 20))
+    )
+    children = big.join(classes.select("id", "first"), "id").select("id", "path", "n", F.col("bucket").alias("parent"), F.explode(onward).alias("t"))
+    children = saved(children.select("id", "parent", "n", F.xxhash64("parent", "t").alias("bucket"), F.array_append("path", F.col("t")).alias("path")), "child-buckets")
     per_child = children.groupBy("parent", "n", "bucket").agg(F.count(F.lit(1)).alias("m"))
     # A child that keeps most of its parent says that splitting does not help.
-    whole = saved(per_child.groupBy("parent").agg(F.max(F.col("m") / F.col("n")).alias("share")).where("share > 0.5").select("parent"), "whole-buckets")
+    whole = per_child.groupBy("parent").agg(F.max(F.col("m") / F.col("n")).alias("most")).where("most > 0.5").select("parent")
+    whole = saved(whole, "whole-buckets")
     kept = kept.union(big.join(whole.withColumnRenamed("parent", "bucket"), "bucket").select("bucket", "id"))
-    below = saved(children.join(whole, "parent", "left_anti").select("bucket", "id"), "buckets-below")
-    return kept.union(_split(below, saved(_bucketed(below), "bucket-sizes"), sets, threshold, depth - 1, large))
+    below = saved(children.join(whole, "parent", "left_anti").select("bucket", "id", "path"), "buckets-below")
+    return kept.union(_split(below, saved(_bucketed(below, large), "bucket-sizes"), classes, depth - 1, large, share))
+
+
+def _own_pairs(group, threshold: float) -> np.ndarray:
+    """The pairs of the group's two blocks that count in this bucket, as a matrix: no smaller bucket holds both."""
+    bucket, left, right = (group[k][0].as_py() for k in ("bucket", "left", "right"))
+    ids, side, size = (group[k].to_numpy() for k in ("id", "side", "size"))
+    pairs = (side == left)[:, None] & (side == right)[None, :]
+    pairs = np.triu(pairs, 1) if left == right else pairs
+    pairs &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
+    own = group["buckets"].combine_chunks()
+    numbers, owner = own.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(own.offsets.to_numpy()))
+    before = numbers < bucket
+    if before.any():
+        known, column = np.unique(numbers[before], return_inverse=True)
+        member = np.zeros((len(ids), len(known)), np.float32)
+        member[owner[before], column] = 1
+        pairs &= ~(member @ member.T > 0)
+    return pairs
+
+
+def _candidates(threshold: float):
+    """Members of a pair of blocks that have a pair which counts here and whose sketches are alike."""
+
+    def compare(group):
+        if group.num_rows < 2:
+            return None
+        pairs = _own_pairs(group, threshold)
+        if not pairs.any():
+            return None
+        some = np.flatnonzero(pairs.any(0) | pairs.any(1))
+        pairs = pairs[np.ix_(some, some)]
+        sketches = np.frombuffer(b"".join(group["sketch"].combine_chunks().take(some).to_pylist()), np.uint8).reshape(len(some), BINS)
+        equal = np.zeros(pairs.shape, np.uint8)
+        for column in sketches.T:
+            equal += (column[:, None] == column[None, :]) & (column > 0)[:, None]
+        empty = (sketches == 0).astype(np.float32)
+        pairs &= equal >= ALIKE * (BINS - empty @ empty.T)
+        at = some[pairs.any(0) | pairs.any(1)]
+        return {k: group[k].to_numpy()[at] for k in ("bucket", "left", "right", "side", "id")} if len(at) else None
+
+    return compare
 
 
 def _compare(threshold: float):
@@ -129,21 +181,10 @@ def _compare(threshold: float):
         return shared
 
     def compare(group):
-        bucket, left, right = (group[k][0].as_py() for k in ("bucket", "left", "right"))
-        ids, weight, side, size = (group[k].to_numpy() for k in ("id", "weight", "side", "size"))
-        pairs = (side == left)[:, None] & (side == right)[None, :]
-        pairs = np.triu(pairs, 1) if left == right else pairs
-        pairs &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
-        # Pairs that meet in a smaller bucket are counted there.
-        own = group["buckets"].combine_chunks()
-        lengths = np.diff(own.offsets.to_numpy())
-        numbers, owner = own.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lengths)
-        before = numbers < bucket
-        if before.any():
-            known, column = np.unique(numbers[before], return_inverse=True)
-            member = np.zeros((len(ids), len(known)), np.float32)
-            member[owner[before], column] = 1
-            pairs &= ~(member @ member.T > 0)
+        # Rows repeated with an id and a set come several times.
+        group = group.take(np.unique(group["id"].to_numpy(), return_index=True)[1])
+        ids, weight, size = (group[k].to_numpy() for k in ("id", "weight", "size"))
+        pairs = _own_pairs(group, threshold)
         if not pairs.any():
             return None
         some = np.flatnonzero(pairs.any(0) | pairs.any(1))
@@ -184,14 +225,14 @@ def similar_texts(
     docs = documents_of(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     described = saved(_described(docs, words, threshold, recall), "described")
     members = described.select("doc_id", "high", "low", "size").distinct()
-    first = described.where("size > 0").groupBy("high", "low", "size").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("weight"), F.first("first").alias("first"))
+    first = described.where("size > 0").groupBy("high", "low", "size").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("weight"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
     classes = saved(first, "set-classes")
     buckets = classes.select("id", F.explode("first").alias("bucket"))
-    sizes = saved(_bucketed(buckets), "bucket-sizes")
-    buckets = saved(buckets.join(sizes.select("bucket"), "bucket").select("bucket", "id"), "buckets")
-    sets = saved(_sets(docs, buckets, classes, words), "sets")
-    compared = saved(_split(buckets, sizes, sets, threshold, depth - 1, large).distinct(), "compared-buckets")
-    links = saved(_links(compared, sets, threshold), "links")
+    sizes = saved(_bucketed(buckets, large), "bucket-sizes")
+    buckets = buckets.join(sizes.select("bucket"), "bucket").select("bucket", "id", F.array("bucket").alias("path"))
+    share = min(1.0, ONWARD / (runs_for(recall) * CHOSEN))
+    compared = saved(_split(saved(buckets, "buckets"), sizes, classes, depth - 1, large, share).distinct(), "compared-buckets")
+    links = saved(_links(docs, compared, classes, threshold, words), "links")
 
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     reach = components(links.where("low <> id").select(F.col("id").alias("a"), F.col("low").alias("b")))
@@ -206,10 +247,8 @@ def similar_texts(
     return found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").cast("long").alias("n_links"))
 
 
-def _sets(docs: DataFrame, buckets: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """id, weight, size, tokens of the members of buckets; their texts are read again, the others' are not kept."""
-    wanted = buckets.select("id").distinct().join(classes.select("id", "weight", "size", "high", "low"), "id")
-    rows = docs.withColumnRenamed("doc_id", "id").join(wanted, "id")
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, weight, size, tokens of the classes in `wanted`; their texts are read again, the others' sets are not kept."""
 
     def make():
         def step(rows):
@@ -226,16 +265,23 @@ def _sets(docs: DataFrame, buckets: DataFrame, classes: DataFrame, words: int) -
 
         return step
 
-    made = by_rows(rows.select("id", "weight", "high", "low", "text"), "id long, weight long, size long, tokens array<long>", make)
-    return made.dropDuplicates(["id"])
+    rows = docs.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "weight", "high", "low", "text")
+    return by_rows(rows, "id long, weight long, size long, tokens array<long>", make)
 
 
-def _links(compared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _links(docs: DataFrame, compared: DataFrame, classes: DataFrame, threshold: float, words: int) -> DataFrame:
+    """id, links, low: for members of a bucket the documents linked there, and the smallest member reached."""
+    keys = ["bucket", "left", "right"]
     sizes = saved(compared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "compared-sizes")
-    own = compared.join(sizes, "bucket").groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
-    carried = sets.join(own, "id")
-    rows = in_blocks(compared, sizes).join(carried, "id")
-    return by_group(rows, ["bucket", "left", "right"], "id long, links long, low long", _compare(threshold))
+    own = compared.join(sizes.select("bucket"), "bucket").groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
+    own = saved(own, "own-buckets")
+    rows = in_blocks(compared, sizes).join(own.join(classes.select("id", "size", "sketch"), "id"), "id")
+    left = by_group(rows, keys, "bucket long, left int, right int, side int, id long", _candidates(threshold))
+    left = saved(left, "candidates")
+    wanted = left.select("id").distinct().join(classes.select("id", "weight", "high", "low"), "id")
+    sets = saved(_sets(docs, saved(wanted, "wanted"), words), "sets")
+    rows = left.join(own, "id").join(sets, "id")
+    return by_group(rows, keys, "id long, links long, low long", _compare(threshold))
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

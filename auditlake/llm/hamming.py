@@ -21,6 +21,7 @@ PART = 8
 RADIUS = 15  # 2 * BITS / PART - 1: what the tables find without fail
 SAMPLE = 20_000  # vectors of each length that a rotation is learned from, at most
 ROUNDS = 30
+BLOCK = 128  # members; rows are short, and small blocks spread a large group of copies over many tasks
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def _linked(codes: DataFrame, vectors: DataFrame, threshold: float, radius: int)
         return {name: group[name].to_numpy()[some] for name in ("bucket", "left", "right", "side", "table", "id", "code")}
 
     ddl = "bucket long, left int, right int, side int, table long, id long, code long"
-    found = saved(by_group(in_blocks(rows, sizes), ["bucket", "left", "right"], ddl, candidates), "hamming-candidates")
+    found = saved(by_group(in_blocks(rows, sizes, BLOCK), ["bucket", "left", "right"], ddl, candidates), "hamming-candidates")
     # Vectors travel only to the comparisons that have a candidate.
     carried = found.join(vectors.select("id", "weight", "vector", "label"), "id")
 
