@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.severity import SEVERITY_WEIGHTS
 from auditlake.operators.transcripts import MONEY
+from auditlake.session import checkpointed
 
 # Fixed value: name under which failed checks without a regulation are counted.
 UNSPECIFIED = "UNSPECIFIED"
@@ -79,10 +80,24 @@ def outcome_metrics(attempts: DataFrame) -> DataFrame:
     )
 
 
+def tally(results: DataFrame) -> DataFrame:
+    """Equal results counted: run, severity, passed, regulations and n. As many rows per run as its catalog has kinds
+    of outcome; the functions below take it in place of the results, which several of them would read again."""
+    return results.groupBy(*RUN, "severity", "passed", "regulations").agg(F.count("*").alias("n"))
+
+
+def _times(results: DataFrame) -> Column:
+    return F.col("n") if "n" in results.columns else F.lit(1).cast("bigint")
+
+
 def violations_by_severity(results: DataFrame) -> DataFrame:
     """One column of failed checks per severity (M10)."""
+    times, none = _times(results), F.lit(0).cast("bigint")
     return results.groupBy(*RUN).agg(
-        *[F.count_if(~F.col("passed") & (F.col("severity") == s)).alias(f"violations_{s}") for s in SEVERITY_WEIGHTS]
+        *[
+            F.sum(F.when(~F.col("passed") & (F.col("severity") == s), times).otherwise(none)).alias(f"violations_{s}")
+            for s in SEVERITY_WEIGHTS
+        ]
     )
 
 
@@ -91,9 +106,9 @@ def violations_by_regulation(results: DataFrame) -> DataFrame:
     cited = F.when(F.size("regulations") > 0, F.col("regulations")).otherwise(F.array(F.lit(UNSPECIFIED)))
     return (
         results.filter(~F.col("passed"))
-        .select(*RUN, F.explode(cited).alias("regulation"))
+        .select(*RUN, _times(results).alias("n"), F.explode(cited).alias("regulation"))
         .groupBy(*RUN, "regulation")
-        .agg(F.count("*").alias("violations"))
+        .agg(F.sum("n").alias("violations"))
     )
 
 
@@ -226,7 +241,11 @@ def usage_metrics(usage: DataFrame) -> DataFrame:
 def run_metrics(
     attempts: DataFrame, results: DataFrame, registry: DataFrame, usage: DataFrame | None = None, k: int = 1
 ) -> DataFrame:
-    """All metrics of each run in one row (M22). A run without attempts has no row."""
+    """All metrics of each run in one row (M22). A run without attempts has no row.
+
+    The results are read once, for a tally that the counts of severities and regulations and the coverage share.
+    """
+    results = checkpointed(tally(results))
     outcome = outcome_metrics(attempts).withColumn("k", F.lit(k))
     counts = violations_by_regulation(results)
     ordered = F.array_sort(
