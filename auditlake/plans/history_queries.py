@@ -193,7 +193,24 @@ LIST_AUDIT_EVENTS = f"""WITH {_AUDIT_SQL} SELECT event_id, created_at, event_typ
 FROM audit ORDER BY created_at DESC, event_id DESC LIMIT 25"""
 
 
+def saved_payloads(spark, sf):
+    """Every document as the payload of a run, with a password of its own, as a save stores it."""
+    secret = F.concat(F.lit('s"'), F.col("doc_id").cast("string"), F.lit("\\x"))
+    result = F.struct(secret.alias("password"), F.concat(F.lit("it is "), secret, F.lit(".")).alias("note"), F.col("n_chars").alias("chars"))
+    runs = src.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("run_id"), secret.alias("secret"), F.to_json(F.struct("lang", result.alias("result"))).alias("payload")
+    )
+    stored = hs.redacted_payloads(runs).withColumn("r", F.from_json("payload", "lang string, result struct<password:string,note:string,chars:bigint>"))
+    left = F.contains(F.col("payload"), F.concat(F.lit('s\\"'), F.col("run_id"), F.lit("\\\\x")))
+    return stored.select("run_id", "r.lang", F.col("r.result.password").alias("password"), F.col("r.result.note").alias("note"), F.col("r.result.chars").alias("chars"), left.alias("leak"))
+
+
+SAVED_PAYLOADS = """SELECT CAST(doc_id AS VARCHAR) AS run_id, lang, '[REDACTED:SENSITIVE]' AS password,
+  'it is [REDACTED:SENSITIVE].' AS note, n_chars AS chars, false AS leak FROM documents"""
+
+
 QUERIES = {
+    "history_saved_payloads": (saved_payloads, SAVED_PAYLOADS),
     "history_latest_saves": (upserted_runs, UPSERTED_RUNS),
     "history_upsert": (upsert, UPSERTED_RUNS),
     "history_run_summaries": (run_summaries, RUN_SUMMARIES),

@@ -161,6 +161,33 @@ PERSONA_SCRIPT = f"""WITH {src.RUNS_SQL} SELECT run_id, agent_model,
   CASE WHEN agent_model LIKE '%naive%' THEN 'naive' ELSE 'compliant' END AS persona FROM runs"""
 
 
+def recorded_usage(spark, sf):
+    """Line items written as recorded attempts with their usage, the judge's on shipped ones only, and read back."""
+    used = F.struct(
+        F.col("l_quantity").cast("bigint").alias("prompt_tokens"), F.col("l_linenumber").cast("bigint").alias("completion_tokens"),
+        F.lit(1).alias("model_calls"), F.col("l_linenumber").cast("double").alias("latency_ms"), F.lit(0.5).alias("cost_usd"),
+    )
+    written = src.table(spark, sf, "lineitem").select(
+        F.to_json(
+            F.struct(
+                F.col("l_returnflag").alias("run_id"), F.col("l_partkey").cast("string").alias("scenario_id"),
+                F.col("l_orderkey").cast("int").alias("attempt"), used.alias("agent_usage"),
+                F.when(F.col("l_linestatus") == "F", used).alias("judge_usage"),
+            )
+        ).alias("payload")
+    )
+    usage = recorded.usage_of(recorded.parse_recorded(written))
+    return usage.groupBy("run_id", "source").agg(
+        *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "model_calls", "latency_ms", "cost_usd")]
+    )
+
+
+RECORDED_USAGE = """WITH u AS (SELECT l_returnflag AS run_id, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n, l_linestatus FROM lineitem),
+  p AS (SELECT *, 'agent' AS source FROM u UNION ALL SELECT *, 'judge' FROM u WHERE l_linestatus = 'F')
+SELECT run_id, source, CAST(sum(q) AS BIGINT) AS prompt_tokens, CAST(sum(n) AS BIGINT) AS completion_tokens, count(*) AS model_calls,
+  CAST(sum(n) AS DOUBLE) AS latency_ms, count(*) * 0.5::DOUBLE AS cost_usd FROM p GROUP BY ALL"""
+
+
 def parsed_transcripts(spark, sf):
     """Conversations written as recorded-attempt JSON and read back."""
     t = src.turns(spark, sf)
@@ -192,4 +219,5 @@ QUERIES = {
     "scripted_usage": (scripted_usage, SCRIPTED_USAGE),
     "persona_script": (persona_script, PERSONA_SCRIPT),
     "parsed_transcripts": (parsed_transcripts, PARSED_TRANSCRIPTS),
+    "recorded_usage": (recorded_usage, RECORDED_USAGE),
 }
