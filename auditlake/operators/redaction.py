@@ -242,19 +242,23 @@ def redact_turns(
 def redact_recorded(
     recorded: DataFrame, values: DataFrame, detectors: Iterable[Detector] = DETECTORS, limit: int = VALUES_PER_RUN
 ) -> DataFrame:
-    """Redacted copy of recorded attempts: title, contents and tool calls of ``turns``, messages and evidence of
-    ``check_results``. The arrays are redacted in place; nothing is exploded or shuffled."""
+    """Redacted copy of recorded attempts: every string but the keys, which are the ids of run, scenario, attempt and
+    check. The arrays are redacted in place; nothing is exploded or shuffled."""
     detectors = tuple(detectors)
+    plain = [c for c in ("title", "label", "agent_model", "judge_model", "model") if c in recorded.columns]
+    open_ended = [c for c in ("configuration", "metrics") if c in recorded.columns]
     calls = F.transform("turns", lambda t: _calls_as_json(F.coalesce(t["tool_calls"], F.array())))
     contents = F.transform("turns", lambda t: t["content"])
     findings = F.transform("check_results", lambda r: F.concat_ws("\n", r["message"], r["evidence"]))
-    said = F.concat_ws("\n", "title", F.array_join(contents, "\n"), F.array_join(findings, "\n"))
+    said = F.concat_ws("\n", *plain, F.array_join(contents, "\n"), F.array_join(findings, "\n"))
     none = F.array().cast("array<string>")
     rows = recorded.withColumn(
         "_calls", F.concat(F.lit("["), F.array_join(F.coalesce(calls, none), ","), F.lit("]"))
     ).withColumn("_said", said)
-    rows = rows.withColumn("_open", F.array_join(json_strings(F.col("_calls")), "\n"))
+    rows = rows.withColumn("_open", F.array_join(F.concat(*[json_strings(F.col(c)) for c in ("_calls", *open_ended)]), "\n"))
     marked = with_sensitive_values(rows, ATTEMPT_KEY, ["_said", "_open"], values, limit=limit).drop("_said", "_open")
+    for column in open_ended:
+        marked = redact_json(marked, column, F.col("sensitive"), detectors)
 
     def safe(text: Column) -> Column:
         return redact_text(text, F.col("sensitive"), detectors)
@@ -273,7 +277,8 @@ def redact_recorded(
     results = F.transform(
         "check_results", lambda r: r.withField("message", safe(r["message"])).withField("evidence", safe(r["evidence"]))
     )
-    return redacted.withColumns({"title": safe(F.col("title")), "turns": turns, "check_results": results}).select(*recorded.columns)
+    texts = {c: safe(F.col(c)) for c in plain}
+    return redacted.withColumns({**texts, "turns": turns, "check_results": results}).select(*recorded.columns)
 
 
 def remaining_leaks(

@@ -98,7 +98,10 @@ def test_usage_configuration_and_metrics_survive_a_round_trip(spark, tmp_path):
     recorded = transcripts.parse_recorded(spark.createDataFrame([(json.dumps(whole),)], "payload string"))
     transcripts.write_artifacts(recorded, str(tmp_path / "a"))
     back = transcripts.read_recorded(spark, str(tmp_path / "a")).first()
-    assert (back.agent_usage.prompt_tokens, back.judge_usage.cost_usd, back.configuration, back.metrics, back.model) == (5, 0.5, '{"k":3}', '{"pass_rate":1.0}', "m")
+    assert (back.agent_usage.prompt_tokens, back.judge_usage.cost_usd, json.loads(back.configuration), json.loads(back.metrics), back.model) == (5, 0.5, {"k": 3}, {"pass_rate": 1.0}, "m")
+    secret = json.dumps({**whole, "turns": [{"role": "agent", "content": "x", "tool_calls": [{"name": "t", "arguments": '{"password":"hush1"}'}]}], "agent_model": "m-hush1", "configuration": '{"note":"hush1"}'})
+    shown = transcripts.redacted_artifacts(transcripts.parse_recorded(spark.createDataFrame([(secret,)], "payload string"))).first()
+    assert "hush1" not in str(shown.agent_model) + str(shown.configuration) and shown.run_id == "r"
     usage = transcripts.usage_of(transcripts.read_recorded(spark, str(tmp_path / "a")))
     assert {(r.source, r.prompt_tokens) for r in usage.collect()} == {("agent", 5), ("judge", 5)}
     assert "agent_usage" in RECORDED_ATTEMPT
