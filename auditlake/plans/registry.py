@@ -27,5 +27,6 @@ HEADLINE = (
     "run_metrics", "run_metrics_items", "checks_dispatched", "check_phrases_turn_by_turn", "check_tool_calls",
     "documents_no_pii_leak", "documents_regex", "pii_document_profile", "pii_message_profile", "redacted_documents",
     "redacted_messages", "violations_by_regulation", "price_percentiles", "usage_metrics", "budget_cost",
-    "attempt_outcomes", "history_latest_saves", "unknown_regulations",
+    "attempt_outcomes", "history_latest_saves", "unknown_regulations", "redacted_turns", "redacted_artifacts",
+    "redacted_flat_json", "audit_rows",
 )
