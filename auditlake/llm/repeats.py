@@ -107,29 +107,52 @@ def removed(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """The rows of anchors whose beginnings are repeated: beginning, context and bytes around."""
-    reach = reach_of(length)
-    core = length - reach + 1
+    """The anchors whose beginnings are repeated: fingerprints of beginning (c1, c2) and context (x1, x2), and its reach."""
+    core = length - reach_of(length) + 1
 
     def make():
         def step(batch):
-            names = ("key", "place", "c1", "c2", "x1", "x2", "nearest", "farthest", "left", "right")
+            names = ("key", "place", "c1", "c2", "x1", "x2", "nearest", "farthest")
             out = {name: [] for name in names}
             for key, data, wanted in zip(batch["key"], batch["body"], batch["places"]):
                 place, first, last = anchors(data, length)
                 for i in np.flatnonzero(np.isin(place, wanted)).tolist():
                     p, nearest, farthest = int(place[i]), int(place[i] - last[i]), int(place[i] - first[i])
-                    left, right = data[p - farthest : p], data[p + core : p + length - nearest]
-                    context = xxhash.xxh3_128_intdigest(bytes([nearest & 255, nearest >> 8, farthest & 255, farthest >> 8]) + left + right)
-                    values = (key, p, *_two_longs(xxhash.xxh3_128_intdigest(data[p : p + core])), *_two_longs(context), nearest, farthest, left, right)
+                    around = data[p - farthest : p] + data[p + core : p + length - nearest]
+                    context = xxhash.xxh3_128_intdigest(bytes([nearest & 255, nearest >> 8, farthest & 255, farthest >> 8]) + around)
+                    values = (key, p, *_two_longs(xxhash.xxh3_128_intdigest(data[p : p + core])), *_two_longs(context), nearest, farthest)
                     for name, value in zip(names, values):
                         out[name].append(value)
             return out
 
         return step
 
-    ddl = "key long, place int, c1 long, c2 long, x1 long, x2 long, nearest int, farthest int, left binary, right binary"
-    return by_rows(rows, ddl, make)
+    return by_rows(rows, "key long, place int, c1 long, c2 long, x1 long, x2 long, nearest int, farthest int", make)
+
+
+def _with_bytes(classes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Contexts with the bytes around their beginnings, cut out of the text of one of their places."""
+    core = length - reach_of(length) + 1
+    names = ("c1", "c2", "x1", "x2", "times", "nearest", "farthest", "m")
+
+    def make():
+        def step(batch):
+            out = {name: [] for name in (*names, "left", "right")}
+            for data, wanted in zip(batch["body"], batch["wanted"]):
+                for row in wanted:
+                    p = row["place"]
+                    out["left"].append(data[p - row["farthest"] : p])
+                    out["right"].append(data[p + core : p + length - row["nearest"]])
+                    for name in names:
+                        out[name].append(row[name])
+            return out
+
+        return step
+
+    wanted = classes.select(F.col("at.key").alias("key"), F.struct(F.col("at.place").alias("place"), *names).alias("w"))
+    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    ddl = "c1 long, c2 long, x1 long, x2 long, times long, nearest int, farthest int, m long, left binary, right binary"
+    return by_rows(texts.select("key", "body").join(wanted, "key").select("body", "wanted"), ddl, make)
 
 
 def _padded(column: list[bytes], width: int, backwards: bool) -> np.ndarray:
@@ -244,13 +267,14 @@ def _cut(keyed: DataFrame, length: int, with_text: bool, large: int) -> DataFram
     contexts = saved(_contexts(texts, length), "contexts")
 
     names = ["c1", "c2", "x1", "x2"]
+    # Bytes travel only for blocks that hold different contexts, of each context once.
     classes = contexts.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("nearest", "farthest", "left", "right")]
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "place")).alias("at"), F.first("nearest").alias("nearest"), F.first("farthest").alias("farthest")
     )
     classes = saved(classes, "context-classes")
     blocks = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least"))
     blocks = saved(blocks.where("m > 1 and least = 1").select("c1", "c2", "m"), "mixed-blocks")
-    mixed_ = classes.join(blocks, ["c1", "c2"])
+    mixed_ = saved(_with_bytes(classes.join(blocks, ["c1", "c2"]), texts, length), "mixed-contexts")
     spans = _refined(mixed_.where(F.col("m") <= large), length).union(_counted(mixed_.where(F.col("m") > large), length))
     # A context that occurs twice has all its windows repeated.
     whole = F.array(F.struct((-F.col("farthest")).alias("start"), (length - F.col("nearest")).alias("end")))
