@@ -27,8 +27,9 @@ RECALL = 0.9999  # of pairs at the threshold; more similar pairs meet more often
 CHOSEN = 2.0  # shingles that a pair at the threshold chooses together in a run, on average
 LARGE = 256  # members of a bucket that is compared without splitting
 DEPTH = 3
-ONWARD = 4.0  # shingles by which a pair at the threshold goes on together from a bucket that splits, on average
+ONWARD = 2.5  # shingles by which a pair at the threshold goes on together from a bucket that splits, on average
 BINS = 64  # of a sketch; each holds a byte of the smallest hash that falls into it, 0 where none does
+BROADCAST = 500_000  # classes whose ids go to every task that reads texts, some 20 MB; more are joined by a shuffle
 ALIKE = 0.4  # share of equal bins from which a pair is compared exactly; six deviations below the threshold's
 
 
@@ -279,7 +280,9 @@ def _links(docs: DataFrame, compared: DataFrame, classes: DataFrame, threshold:
     left = by_group(rows, keys, "bucket long, left int, right int, side int, id long", _candidates(threshold))
     left = saved(left, "candidates")
     wanted = left.select("id").distinct().join(classes.select("id", "weight", "high", "low"), "id")
-    sets = saved(_sets(docs, saved(wanted, "wanted"), words), "sets")
+    wanted = saved(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    sets = saved(_sets(docs, wanted, words), "sets")
     rows = left.join(own, "id").join(sets, "id")
     return by_group(rows, keys, "id long, links long, low long", _compare(threshold))
 
