@@ -2,10 +2,10 @@
 
 Every set chooses shingles at random, each by its own hash, so that a set of n shingles chooses about c / t of them
 at threshold t. Sets that share a chosen shingle meet in a bucket; two sets above the threshold choose at least
-c shingles together on average. Runs with new hashes are added until pairs at the threshold meet with the target
-probability. A bucket that is too large splits again by others of its members' chosen shingles, unless one of these
-keeps more than half of it: such a bucket holds copies of one another and is compared as it is, as are buckets at the
-last depth. Buckets are compared in blocks, first by small sketches and by which bucket a pair counts in, then exactly,
+c shingles together on average. A bucket that is too large splits again by other shingles of its members, which every
+bucket chooses anew from a pool of each member's, unless one of these keeps more than half of it: such a bucket holds
+copies of one another and is compared as it is, as are buckets at the last depth. Runs with new hashes are added until
+pairs at the threshold meet with the target probability even if every bucket that they share splits at every depth. Buckets are compared in blocks, first by small sketches and by which bucket a pair counts in, then exactly,
 with the sets of those members only that have a pair left.
 """
 
@@ -27,15 +27,39 @@ RECALL = 0.9999  # of pairs at the threshold; more similar pairs meet more often
 CHOSEN = 2.0  # shingles that a pair at the threshold chooses together in a run, on average
 LARGE = 256  # members of a bucket that is compared without splitting
 DEPTH = 3
-ONWARD = 2.5  # shingles by which a pair at the threshold goes on together from a bucket that splits, on average
+ONWARD = 4.0  # shingles by which a pair at the threshold goes on together from a bucket that splits, on average
+POOL = 40.0  # shingles of a pair at the threshold from which each bucket that splits chooses those, on average
+POOLED = 1 << 32  # salt of the pool
 BINS = 64  # of a sketch; each holds a byte of the smallest hash that falls into it, 0 where none does
 BROADCAST = 500_000  # classes whose ids go to every task that reads texts, some 20 MB; more are joined by a shuffle
 ALIKE = 0.4  # share of equal bins from which a pair is compared exactly; six deviations below the threshold's
 
 
-def runs_for(recall: float, chosen: float = CHOSEN) -> int:
-    """Runs after which a pair at the threshold has met with this probability."""
-    return max(1, math.ceil(-math.log(1 - recall) / chosen))
+def missed(shared: float, splits: int = DEPTH - 1) -> float:
+    """Probability that a pair at the threshold meets in no bucket that is compared.
+
+    It shares this many buckets on average, all of them split this many times, and its pool is as small as chance
+    makes it: a pool of n sends it on by n * ONWARD / POOL shingles on average, in each bucket anew. With Poisson's
+    numbers in place of binomial ones, which are less often small.
+    """
+    total, chance = 0.0, math.exp(-POOL)
+    for n in range(1, int(4 * POOL)):
+        lost = 0.0  # probability that a bucket with the pair ends without it
+        for _ in range(splits):
+            lost = math.exp(-(n - 1) * ONWARD / POOL * (1 - lost))
+        total += chance * math.exp(-shared * (1 - lost))
+        chance *= POOL / n
+    return total
+
+
+def runs_for(recall: float, chosen: float = CHOSEN, splits: int = DEPTH - 1) -> int:
+    """Runs after which a pair at the threshold has met with this probability, whatever splits."""
+    runs = max(1, math.ceil(-math.log(1 - recall) / chosen))
+    while missed(runs * chosen, splits) > 1 - recall:
+        runs += 1
+        if runs > 1000:
+            raise ValueError(f"the pool is too small for a recall of {recall}")
+    return runs
 
 
 def chosen(tokens: np.ndarray, size: int, salt: int, share: float) -> np.ndarray:
@@ -56,13 +80,12 @@ def sketch(tokens: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _described(docs: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
-    """Identity of each text's set, its size, and the shingles it chooses in any run."""
-    runs = runs_for(recall)
+def _described(docs: DataFrame, words: int, threshold: float, runs: int) -> DataFrame:
+    """Identity of each text's set, its size, the shingles it chooses in any run, and its pool for splits."""
 
     def make():
         def step(rows):
-            out = {"doc_id": rows["doc_id"], "high": [], "low": [], "size": [], "first": [], "sketch": []}
+            out = {"doc_id": rows["doc_id"], "high": [], "low": [], "size": [], "first": [], "pool": [], "sketch": []}
             for text in rows["text"]:
                 tokens = shingle_set(text, words)
                 whole = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -72,11 +95,12 @@ def _described(docs: DataFrame, words: int, threshold: float, recall: float) ->
                 out["sketch"].append(sketch(tokens))
                 picks = [chosen(tokens, len(tokens), run, CHOSEN / threshold) for run in range(runs)] if len(tokens) else []
                 out["first"].append(np.unique(np.concatenate(picks)).view(np.int64) if picks else np.empty(0, np.int64))
+                out["pool"].append(chosen(tokens, len(tokens), POOLED, POOL / threshold).view(np.int64))
             return out
 
         return step
 
-    return by_rows(docs, "doc_id long, high long, low long, size long, first array<long>, sketch binary", make)
+    return by_rows(docs, "doc_id long, high long, low long, size long, first array<long>, pool array<long>, sketch binary", make)
 
 
 def _bucketed(members: DataFrame, large: int) -> DataFrame:
@@ -91,11 +115,26 @@ def _bucketed(members: DataFrame, large: int) -> DataFrame:
     return sizes.groupBy("n", "who0", "who1", again.alias("own")).agg(F.min("bucket").alias("bucket")).select("bucket", "n")
 
 
-def _split(members: DataFrame, sizes: DataFrame, classes: DataFrame, depth: int, large: int, share: float) -> DataFrame:
+def _onward(threshold: float, level: int):
+    """Shingles by which a member goes on from a bucket whose path has `level` of them.
+
+    Of its pool without the path, those whose hash with the bucket falls below a share. The share falls with the size,
+    so that a pair goes on by what the larger one's share leaves, ONWARD on average; small sets go on by all.
+    """
+    left = F.least(F.lit(POOL), threshold * F.col("size")) - level
+    share = F.when(left <= ONWARD, 1.0).otherwise(ONWARD / left) * (1 << 20)
+    pool = F.array_except("pool", "path")
+    onward = F.filter(pool, lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(1 << 20)) < share)
+    if level * (1 - threshold) < threshold:
+        return onward
+    # Sets so small that a similar one may share nothing beyond the path stay together.
+    return F.when(threshold * F.col("size") <= level, F.array_append(onward, F.lit(0).cast("long"))).otherwise(onward)
+
+
+def _split(members: DataFrame, sizes: DataFrame, classes: DataFrame, depth: int, large: int, threshold: float, level: int = 1) -> DataFrame:
     """Members (bucket, id) of the buckets that are compared, after splitting large ones.
 
-    `members` has the path of a bucket, the shingles chosen so far. A member goes on by its chosen shingles that are
-    not on the path and whose hash with the bucket falls below `share`.
+    `members` has the path of a bucket, the `level` shingles chosen so far.
     """
     kept = members.join(sizes.where(F.col("n") <= large).select("bucket"), "bucket").select("bucket", "id")
     big = saved(members.join(sizes.where(F.col("n") > large), "bucket"), "large-buckets")
@@ -103,10 +142,8 @@ def _split(members: DataFrame, sizes: DataFrame, classes: DataFrame, depth: int,
         return kept
     if depth == 0:
         return kept.union(big.select("bucket", "id"))
-    onward = F.filter(
-        F.array_except("first", "path"), lambda t: F.pmod(F.xxhash64("bucket", t), F.lit(1 << 20)) < int(share * (1 << 20))
-    )
-    children = big.join(classes.select("id", "first"), "id").select("id", "path", "n", F.col("bucket").alias("parent"), F.explode(onward).alias("t"))
+    onward = F.explode(_onward(threshold, level)).alias("t")
+    children = big.join(classes.select("id", "size", "pool"), "id").select("id", "path", "n", F.col("bucket").alias("parent"), onward)
     children = saved(children.select("id", "parent", "n", F.xxhash64("parent", "t").alias("bucket"), F.array_append("path", F.col("t")).alias("path")), "child-buckets")
     per_child = children.groupBy("parent", "n", "bucket").agg(F.count(F.lit(1)).alias("m"))
     # A child that keeps most of its parent says that splitting does not help.
@@ -114,7 +151,7 @@ def _split(members: DataFrame, sizes: DataFrame, classes: DataFrame, depth: int,
     whole = saved(whole, "whole-buckets")
     kept = kept.union(big.join(whole.withColumnRenamed("parent", "bucket"), "bucket").select("bucket", "id"))
     below = saved(children.join(whole, "parent", "left_anti").select("bucket", "id", "path"), "buckets-below")
-    return kept.union(_split(below, saved(_bucketed(below, large), "bucket-sizes"), classes, depth - 1, large, share))
+    return kept.union(_split(below, saved(_bucketed(below, large), "bucket-sizes"), classes, depth - 1, large, threshold, level + 1))
 
 
 def _own_pairs(group, threshold: float) -> np.ndarray:
@@ -224,15 +261,14 @@ def similar_texts(
     No link is reported that is not there; pairs at the threshold are found with probability `recall` or more.
     """
     docs = documents_of(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    described = saved(_described(docs, words, threshold, recall), "described")
+    described = saved(_described(docs, words, threshold, runs_for(recall, splits=depth - 1)), "described")
     members = described.select("doc_id", "high", "low", "size").distinct()
-    first = described.where("size > 0").groupBy("high", "low", "size").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("weight"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
+    first = described.where("size > 0").groupBy("high", "low", "size").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("weight"), F.first("first").alias("first"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch"))
     classes = saved(first, "set-classes")
     buckets = classes.select("id", F.explode("first").alias("bucket"))
     sizes = saved(_bucketed(buckets, large), "bucket-sizes")
     buckets = buckets.join(sizes.select("bucket"), "bucket").select("bucket", "id", F.array("bucket").alias("path"))
-    share = min(1.0, ONWARD / (runs_for(recall) * CHOSEN))
-    compared = saved(_split(saved(buckets, "buckets"), sizes, classes, depth - 1, large, share).distinct(), "compared-buckets")
+    compared = saved(_split(saved(buckets, "buckets"), sizes, classes, depth - 1, large, threshold).distinct(), "compared-buckets")
     links = saved(_links(docs, compared, classes, threshold, words), "links")
 
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))

@@ -77,6 +77,31 @@ def test_runs_reach_the_recall():
     assert chosen_path.runs_for(0.9999) * chosen_path.CHOSEN >= 9.2
 
 
+def test_runs_reach_the_recall_after_all_splits():
+    for recall in (0.99, 0.999, 0.9999):
+        for splits in (0, 1, 2, 5):
+            assert chosen_path.missed(chosen_path.runs_for(recall, splits=splits) * chosen_path.CHOSEN, splits) <= 1 - recall
+
+
+def test_pairs_of_frequent_passages_meet_after_splits(spark):
+    # Every passage is in a fifth of the texts, so nearly all shared buckets hold far more than 16 and none is whole.
+    rng = random.Random(17)
+    passages = [[f"f{p}x{i}" for i in range(70)] for p in range(60)]
+    given = []
+    for _ in range(500):
+        own = [passages[p] for p in rng.sample(range(60), 12)]
+        near = [list(p) for p in own]
+        for p in rng.sample(range(24), 15):
+            near[p % 12][20 + p // 12 * 20] = f"e{rng.randrange(10**9)}"
+        del near[rng.randrange(12)][50:]
+        given += [" ".join(w for p in text for w in p) for text in (own, near)]
+    sets = [shingle_set(t) for t in given]
+    pairs = [i for i in range(0, len(sets), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(pairs) > 400
+    found = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.similar_texts(documents(spark, given), large=16).collect()}
+    assert [i for i in pairs if found[i + 1] != (i, 1)] == []
+
+
 def test_join_of_odd_rows(spark):
     docs = documents(spark, ["a b c", "a b c", "a b c", None, "", "a b c"], [1, 1, 2, 3, 4, None])
     rows = chosen_path.similar_texts(docs).orderBy("doc_id").collect()
