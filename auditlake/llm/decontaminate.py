@@ -3,7 +3,8 @@
 Word n-grams of test items are looked for in every text. A bit table of fixed size, made from the items' n-grams, lets
 the scan pass on only texts and places that may hold one; a join then says which. The places of an item in a text, from
 the rarest n-gram in the corpus to the commonest, make windows, and Smith-Waterman alignment of words scores each window,
-so that passages with replaced, dropped or added words still count.
+so that passages with replaced, dropped or added words still count: for a share of the item, or for the length of what
+is held of a long one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from auditlake.llm.shingles import mixed, word_hashes
 SEED = 4  # words of a seed; an item of fewer words is one seed
 BITS = 26  # the scan's bit table has 2 ** BITS bits, 8 MB
 THRESHOLD = 0.5
+RUN = 13  # words; a passage that scores as so many in a row counts whatever the item's length
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 
 
@@ -106,12 +108,14 @@ def contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     bits: int = BITS,
+    run_words: int = RUN,
 ) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, score, first_word, end_word, rarest.
 
     Words are lower-cased runs of letters, digits and characters outside ASCII. The score is that of the best local
-    alignment (match 2, mismatch and gap -1) against the score of the whole item; rows have `threshold` or more. The
-    words of the passage run from first_word up to end_word; rarest is the number of places of its rarest seed in the corpus. A
+    alignment (match 2, mismatch and gap -1) against the score of the whole item; rows have `threshold` or more, or
+    hold a part of a longer item that scores as `run_words` of its words in a row, with edits as many more. The words
+    of the passage run from first_word up to end_word; rarest is the number of places of its rarest seed in the corpus. A
     passage is found if it holds a run of `seed_words` words of the item (the whole of a shorter item). Null and
     empty texts and items give nothing; rows or items without an id cannot be named and are left out; repeated rows
     give one result for each id and item, the best. Other columns are not read; an empty table on either side gives an
@@ -164,7 +168,7 @@ def contaminated(
                 for pair in pairs:
                     item = np.array(pair["words"], np.int64)
                     share, first, end = best_passage(item, words, [d["diagonal"] for d in pair["diagonals"]])
-                    if share >= threshold:
+                    if share >= threshold or share * len(item) >= run_words - 1e-9:
                         values = (doc_id, pair["item_id"], share, first, end, pair["diagonals"][0]["common"])
                         for name, value in zip(names, values):
                             out[name].append(value)

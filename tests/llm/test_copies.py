@@ -209,6 +209,23 @@ def test_exact_edited_and_clean_documents(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in clean.collect()) == [-1, 2, 3, 5, 6]
 
 
+def test_parts_of_long_items_count_by_their_length(spark):
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(60)]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.4 else f"p{rng.randrange(4000)}" for _ in range(n)]
+    long, longer = [[rng.choice(common) if i % 3 == 0 else f"{name}{i}" for i in range(n)] for name, n in (("l", 100), ("m", 300))]
+    edited = longer[100:200]
+    for i in range(9, 100, 10):
+        edited[i] = "other"
+    parts = [long[30:79], longer[:140], longer[200:], long[67:], edited, long[50:63], longer[-13:], long[:6], longer[150:158]]
+    given = [" ".join(prose(80) + part + prose(80)) for part in parts] + [" ".join(prose(400)) for _ in range(60)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(longer))], "item_id long, text string")
+    rows = decontaminate.contaminated(documents(spark, given), items).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.item_id) for r in rows] == [(0, 1), (1, 2), (2, 2), (3, 1), (4, 2), (5, 1), (6, 2)]
+    assert all(r.score < 0.5 for r in rows) and rows[0].first_word <= 80 and rows[0].end_word >= 129
+    assert {r.doc_id for r in decontaminate.keep_clean(documents(spark, given), items).collect()} == set(range(7, len(given)))
+
+
 def test_decontamination_of_odd_rows(spark):
     items = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "item_id long, text string")
     docs = documents(spark, ["x a b c d e f", "a b c d e f", *edge_texts()], [1, 1, *range(10, 10 + len(edge_texts()))])
