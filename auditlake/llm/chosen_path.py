@@ -32,7 +32,12 @@ POOL = 40.0  # shingles of a pair at the threshold from which each bucket that s
 POOLED = 1 << 32  # salt of the pool
 BINS = 64  # of a sketch; each holds a byte of the smallest hash that falls into it, 0 where none does
 BROADCAST = 500_000  # classes whose ids go to every task that reads texts, some 20 MB; more are joined by a shuffle
-ALIKE = 0.4  # share of equal bins from which a pair is compared exactly; six deviations below the threshold's
+DEVIATIONS = 8  # by which the share of equal bins may fall below the threshold for a pair that is compared exactly
+
+
+def alike(threshold: float) -> float:
+    """Share of equal bins from which a pair is compared exactly; 0 for all pairs."""
+    return max(0.0, threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / BINS))
 
 
 def missed(shared: float, splits: int = DEPTH - 1) -> float:
@@ -188,7 +193,7 @@ def _candidates(threshold: float):
         for column in sketches.T:
             equal += (column[:, None] == column[None, :]) & (column > 0)[:, None]
         empty = (sketches == 0).astype(np.float32)
-        pairs &= equal >= ALIKE * (BINS - empty @ empty.T)
+        pairs &= equal >= alike(threshold) * (BINS - empty @ empty.T) - 1e-9
         at = some[pairs.any(0) | pairs.any(1)]
         return {k: group[k].to_numpy()[at] for k in ("bucket", "left", "right", "side", "id")} if len(at) else None
 

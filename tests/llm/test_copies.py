@@ -102,6 +102,16 @@ def test_pairs_of_frequent_passages_meet_after_splits(spark):
     assert [i for i in pairs if found[i + 1] != (i, 1)] == []
 
 
+def test_pairs_at_a_lower_threshold_pass_the_sketches(spark):
+    rng = random.Random(5)
+    given = []
+    for i in range(300):
+        own = [f"s{i}x{k}" for k in range(300)]
+        given += [" ".join(own), " ".join(own[:204] + [f"t{rng.randrange(10**9)}" for _ in range(96)])]
+    rows = chosen_path.similar_texts(documents(spark, given), threshold=0.5).collect()
+    assert sorted(r.doc_id for r in rows if r.n_links != 1) == []
+
+
 def test_join_of_odd_rows(spark):
     docs = documents(spark, ["a b c", "a b c", "a b c", None, "", "a b c"], [1, 1, 2, 3, 4, None])
     rows = chosen_path.similar_texts(docs).orderBy("doc_id").collect()
