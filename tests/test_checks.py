@@ -4,8 +4,8 @@ import json
 import re
 
 import pytest
-from conftest import check_table, turns_table
 from pyspark.sql import functions as F
+from tables import check_table, turns_table
 
 from auditlake.operators import checks as ck
 from auditlake.operators import judging as jd

@@ -3,8 +3,8 @@
 import json
 
 import pytest
-from conftest import turns_table
 from pyspark.sql import functions as F
+from tables import turns_table
 
 from auditlake.functions import judge as jf
 from auditlake.operators import checks as ck

@@ -133,7 +133,7 @@ def test_stream_of_runs_is_saved_once_per_run(spark, history, tmp_path):
 
 
 def test_stream_of_turns_reports_what_is_forbidden(spark, tmp_path):
-    from conftest import check_table
+    from tables import check_table
 
     inbox = str(tmp_path / "turns")
     rows = [("r", "s", 0, 0, "customer", "too old", []), ("r", "s", 0, 1, "agent", "Too OLD, act now", [("pay", "{}", None)]), ("r", "t", 0, 0, "agent", "too old", [])]

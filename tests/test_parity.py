@@ -5,8 +5,8 @@ import random
 import re
 
 import pytest
-from conftest import check_table, turns_table
 from pyspark.sql import functions as F
+from tables import check_table, turns_table
 
 from auditlake.functions.redact import flat_sensitive_values, json_sensitive_values
 from auditlake.functions.severity import severity_weight

@@ -5,8 +5,8 @@ import random
 import re
 
 import pytest
-from conftest import turns_table
 from pyspark.sql import functions as F
+from tables import turns_table
 
 from auditlake.functions import pii
 from auditlake.functions import redact as rd
