@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Ite
             yield batch.slice(at, rows)
 
 
+def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many bytes in one column, of one row where that row alone has more."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype="i8")
+        at = 0
+        while at < batch.num_rows:
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, until - at)
+            at = until
+
+
 def by_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Map batches of columns to batches of columns in Python.
 
