@@ -44,6 +44,18 @@ def mask_values(text: Column, values: Column) -> Column:
     )
 
 
+def masking_steps(text: Column, values: Column) -> Column:
+    """What the text is after each replacement of ``mask_values``."""
+    usable = F.filter(F.array_sort(F.array_distinct(values)), lambda v: F.length(v) > 0)
+    start = F.array().cast("array<string>")
+
+    def step(done: Column, value: Column) -> Column:
+        before = F.when(F.size(done) == 0, text).otherwise(F.element_at(done, -1))
+        return F.concat(done, F.array(F.replace(before, value, F.lit(SENSITIVE_MARK))))
+
+    return F.aggregate(_longest_first(usable, lambda v: v), start, step)
+
+
 def mask_findings(text: Column, findings: Column) -> Column:
     """Replace every finding value, longest first, by a marker naming its kind."""
     return F.aggregate(

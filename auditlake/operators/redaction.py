@@ -1,8 +1,8 @@
 """Redaction of recorded runs.
 
 Values found under sensitive keys of a run's tool data are masked in every text of that run. Runs with few
-such values carry them as an array; for a run with more, each text is matched against them by an equality
-join on short pieces of text, so that neither the run's values nor its texts meet in one task.
+such values carry them as an array; for a run with more, fingerprints of all values are looked up in one walk over
+each text and the hits are joined with the values, so that neither the run's values nor its texts meet in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.pii import DETECTORS, Detector, detect
-from auditlake.functions.redact import SENSITIVE_MARK, json_sensitive_values, json_strings, redact_json, redact_text
+from auditlake.functions.lookup import occurrences
+from auditlake.functions.redact import (
+    SENSITIVE_MARK,
+    json_sensitive_values,
+    json_strings,
+    masking_steps,
+    redact_json,
+    redact_text,
+)
 from auditlake.schemas import ATTEMPT_KEY
 from auditlake.session import checkpointed
 
@@ -24,8 +32,7 @@ VALUES_PER_RUN = 256
 BROADCAST_CHARACTERS = 32 * 1024 * 1024
 SALTS = 32
 
-# Length of the pieces by which the values of larger runs are looked up, and how many rows of them are broadcast.
-PIECE = 8
+# Large runs whose ids are broadcast.
 BROADCAST_ROWS = 200_000
 
 
@@ -54,60 +61,35 @@ def harvest_contexts(run_scenarios: DataFrame, scenarios: DataFrame, min_len: in
     return harvest(contexts, ["context"], min_len=min_len)
 
 
-def _broadcast_if_few(rows: DataFrame) -> DataFrame:
-    """Mark short rows for broadcast after counting that they are few."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def _strings(texts: DataFrame, columns: Sequence[str]) -> Column:
+    """The strings of the columns, each of which holds one string or an array of them."""
+    none = F.array().cast("array<string>")
+    one = [F.array(c) if texts.schema[c].dataType.simpleString() == "string" else F.coalesce(F.col(c), none) for c in columns]
+    return F.concat(*one)
 
 
 def values_in_texts(
     texts: DataFrame, keys: Sequence[str], columns: Sequence[str], values: DataFrame, run: str = "run_id"
 ) -> DataFrame:
-    """Per text row the values of its run that occur in it: (keys, sensitive).
+    """Per text row the values of its run that masking meets in it: (keys, sensitive).
 
-    A text offers the short pieces that start at each of its positions; those that start a value of the run point
-    to the lengths worth cutting there, and the cuts are matched with the values by equality. The work grows with
-    the text and its own matches, not with texts times values. The distinct pieces are counted first: when they
-    are few they are broadcast, and only positions that start a value leave the scan.
+    The texts are walked once, whatever the number of values (see ``functions.lookup``). A value with a bracket, or that
+    is a part of the marker, may first occur once another one is masked: rows with a hit are masked step by step and
+    every step is looked up again, until nothing new is found.
     """
     keys = list(keys)
-    wanted = values.filter(F.length("value") > 0).withColumn("piece", F.left(F.col("value"), F.lit(PIECE)))
-    shapes = wanted.groupBy(run, "piece").agg(F.collect_set(F.length("value")).alias("lengths"))
-    shapes = _broadcast_if_few(shapes)
-    known = _broadcast_if_few(values.select(run, "value"))
-    in_use = wanted.agg(F.collect_set(F.length("piece"))).scalar()
     carried = list(dict.fromkeys([*keys, run]))
-    whole = texts.select(*carried, F.concat_ws("\n", *columns).alias("text")).filter(F.length("text") > 0)
-    offered = whole.withColumn("sizes", in_use).select(*carried, F.explode(_pieces(F.col("text"), F.col("sizes"))).alias("piece"))
-    spots = (
-        offered.join(shapes, [run, "piece"])
-        .groupBy(*carried)
-        .agg(F.collect_list(F.struct("piece", "lengths")).alias("spots"))
-    )
-    cuts = F.flatten(F.transform("spots", lambda s: F.flatten(F.transform(s["lengths"], lambda n: _cuts(F.col("text"), s["piece"], n)))))
-    return (
-        spots.join(whole, carried)
-        .select(*carried, F.explode(F.array_distinct(cuts)).alias("value"))
-        .join(known, [run, "value"], "left_semi")
-        .groupBy(*keys)
-        .agg(F.collect_list("value").alias("sensitive"))
-    )
-
-
-def _pieces(text: Column, sizes: Column) -> Column:
-    """Distinct substrings of the text of the given sizes. A look-ahead captures one at every position."""
-    none = F.array().cast("array<string>")
-    by_size = [
-        F.when(F.array_contains(sizes, n), F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(none)
-        for n in range(1, PIECE + 1)
-    ]
-    return F.array_distinct(F.concat(*by_size))
-
-
-def _cuts(text: Column, piece: Column, length: Column) -> Column:
-    """Substrings of the given length that start with the piece."""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(piece, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    rest = F.concat(F.lit(".{"), (length - F.length(piece)).cast("string"), F.lit("}))"))
-    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=("), quoted, rest), F.lit(1))
+    whole = texts.select(*carried, _strings(texts, columns).alias("strings"))
+    found = checkpointed(occurrences(whole, keys, run, "strings", values))
+    marked = values.filter(_may_meet_a_marker(F.col("value")))
+    fresh = found
+    while not marked.isEmpty() and not fresh.isEmpty():
+        known = found.join(fresh.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.collect_set("value").alias("known"))
+        steps = F.flatten(F.transform("strings", lambda s: masking_steps(s, F.col("known"))))
+        again = whole.join(known, keys).select(*carried, steps.alias("strings"))
+        fresh = checkpointed(occurrences(again, keys, run, "strings", marked).join(found, [*carried, "value"], "left_anti"))
+        found = found.unionByName(fresh)
+    return found.groupBy(*keys).agg(F.collect_list("value").alias("sensitive"))
 
 
 def _with_run_arrays(texts: DataFrame, keys: Sequence[str], arrays: DataFrame, size: int, run: str) -> DataFrame:
@@ -136,9 +118,9 @@ def with_sensitive_values(
     """Add ``sensitive``: the run's values that may occur in the row's texts.
 
     ``values`` is read several times, first to measure it: runs with at most ``limit`` values carry them as an
-    array, which is broadcast if all arrays together are small. Values of other runs are looked up in the texts, and the
-    few that may occur in a marker are carried along; a value that is in neither changes nothing, so redaction
-    gives one result whatever the limit. ``columns`` hold the strings as they are redacted, not escaped.
+    array, which is broadcast if all arrays together are small. Values of other runs are looked up in the texts; a value
+    that masking does not meet changes nothing, so redaction gives one result whatever the limit. ``columns`` hold the
+    strings, or arrays of strings, as they are redacted, not escaped.
     """
     none = F.array().cast("array<string>")
     counts = values.groupBy(run).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("size"))
@@ -159,10 +141,8 @@ def with_sensitive_values(
     others = _with_run_arrays(texts.join(large, run, "left_anti"), keys, arrays, total["size"], run)
     busy = texts.join(large, run, "left_semi")
     found = values_in_texts(busy, keys, columns, values.join(large, run, "left_semi"), run)
-    marked = values.join(large, run, "left_semi").filter(_may_meet_a_marker(F.col("value"))).groupBy(run).agg(F.collect_set("value").alias("_marked"))
-    busy = busy.join(found, list(keys), "left").join(marked, run, "left")
-    together = F.array_union(F.coalesce("sensitive", none), F.coalesce("_marked", none))
-    both = others.unionByName(busy.withColumn("sensitive", together).drop("_marked"))
+    busy = busy.join(found, list(keys), "left")
+    both = others.unionByName(busy)
     return both.withColumn("sensitive", F.coalesce("sensitive", none))
 
 
@@ -229,7 +209,7 @@ def redact_turns(
     values = harvest_turns(turns) if values is None else values
     keys = [*ATTEMPT_KEY, "turn"]
     calls = turns.withColumn("_calls", _calls_as_json(F.coalesce("tool_calls", F.array())))
-    calls = calls.withColumn("_open", F.array_join(json_strings(F.col("_calls")), "\n"))
+    calls = calls.withColumn("_open", json_strings(F.col("_calls")))
     marked = with_sensitive_values(calls, keys, ["content", "_open"], values, limit=limit)
     return (
         redact_json(marked, "_calls", F.col("sensitive"), detectors)
@@ -249,13 +229,13 @@ def redact_recorded(
     open_ended = [c for c in ("configuration", "metrics") if c in recorded.columns]
     calls = F.transform("turns", lambda t: _calls_as_json(F.coalesce(t["tool_calls"], F.array())))
     contents = F.transform("turns", lambda t: t["content"])
-    findings = F.transform("check_results", lambda r: F.concat_ws("\n", r["message"], r["evidence"]))
-    said = F.concat_ws("\n", *plain, F.array_join(contents, "\n"), F.array_join(findings, "\n"))
     none = F.array().cast("array<string>")
+    findings = F.flatten(F.transform("check_results", lambda r: F.array(r["message"], r["evidence"])))
+    said = F.concat(F.array(*plain).cast("array<string>"), F.coalesce(contents, none), F.coalesce(findings, none))
     rows = recorded.withColumn(
         "_calls", F.concat(F.lit("["), F.array_join(F.coalesce(calls, none), ","), F.lit("]"))
     ).withColumn("_said", said)
-    rows = rows.withColumn("_open", F.array_join(F.concat(*[json_strings(F.col(c)) for c in ("_calls", *open_ended)]), "\n"))
+    rows = rows.withColumn("_open", F.concat(*[json_strings(F.col(c)) for c in ("_calls", *open_ended)]))
     marked = with_sensitive_values(rows, ATTEMPT_KEY, ["_said", "_open"], values, limit=limit).drop("_said", "_open")
     for column in open_ended:
         marked = redact_json(marked, column, F.col("sensitive"), detectors)
