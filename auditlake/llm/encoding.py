@@ -35,7 +35,7 @@ REMEMBERED = 300_000  # pieces in each table of one Python worker
 CORES = 1_000_000  # runs of letters, digits or signs in its table of those; each costs the tokenizer a call
 LONGEST_REMEMBERED = 64  # characters; longer pieces hardly come again
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class _Table(dict):
@@ -57,14 +57,20 @@ class _Table(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # As in the library: the strings of special tokens become these tokens, unless they shall be ordinary text.
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as file:
-            self.kind = self._kind(json.load(file))
+            spec = json.load(file)
+        added = [t for t in spec.get("added_tokens", []) if not (special_as_text and t["special"])]
+        # Tokens outside the merges are found in the whole text; a text that may hold one goes to the tokenizer as it is.
+        self.openings = sorted({t["content"][:2] for t in added})
+        plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in added)
+        self.kind = self._kind(spec) if plain else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.model = self.tokenizer.model
         self.cores = _Table(self._core, CORES)
@@ -99,11 +105,8 @@ class Encoder:
         return b"".join(map(self.cores.__getitem__, _SIMPLE_WITHOUT_SPACE.findall(piece.lower())))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "with space":
-            return [self._with_space(text) for text in texts]
-        if self.kind == "without space":
-            return [self._without_space(text) for text in texts]
-        return [self._direct(text) for text in texts]
+        pieces = {"with space": self._with_space, "without space": self._without_space}.get(self.kind, self._direct)
+        return [self._direct(text) if any(o in text for o in self.openings) else pieces(text) for text in texts]
 
     def _with_space(self, text: str) -> bytes:
         if " ".join(text.split()) != text.replace("\n", " "):
@@ -120,8 +123,9 @@ class Encoder:
         return b"".join(map(self.plain.__getitem__, _WITHOUT_SPACE.findall(text) if odd else text.split()))
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder per file, meaning of special tokens and Python worker."""
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -17,7 +17,6 @@ def direct(path, given, end):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [np.array([*x.ids, end], "<u4") for x in tokenizer.encode_batch([t or "" for t in given], add_special_tokens=False)]
 
 
@@ -82,6 +81,16 @@ def test_pieces_give_the_ids_of_the_whole_text(path):
     assert [x + end for x in encoder.encode(given)] == [x.tobytes() for x in direct(path, given, 7)]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_strings_of_special_tokens(path):
+    given = ["a <|endoftext|> b", "a<|startoftext|>b <| x", "<|endoftext|>" * 2000, "<|EndOfText|>"]
+    end = np.array([7], "<u4").tobytes()
+    assert [x + end for x in Encoder(path).encode(given)] == [x.tobytes() for x in direct(path, given, 7)]
+    as_text = Encoder(path, special_as_text=True).encode(given)
+    assert all(len(x) > len(y) for x, y in zip(as_text[2:3], Encoder(path).encode(given[2:3])))
+    assert max(np.frombuffer(as_text[0], "<u4")) < 49406
+
+
 def test_token_files_round_trip(spark):
     given = texts() + edge_texts()
     order = list(range(len(given)))
