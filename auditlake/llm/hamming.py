@@ -44,9 +44,14 @@ def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed:
 
 
 def _usable(embedding) -> Column:
-    norm = F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return embedding.isNotNull() & (F.size(embedding) > 0) & F.coalesce(finite, F.lit(False)) & (norm > 0)
+    return embedding.isNotNull() & (F.size(embedding) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(embedding, lambda x: x != 0)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square is lost or too large."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _parts(codes: np.ndarray) -> np.ndarray:
@@ -80,7 +85,11 @@ def near_duplicates(
     are compared once, with the number of their rows as weight.
     """
     label = vectors[label_col].cast("string") if label_col else F.lit("")
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), label.alias("label"), vectors[vector_col].cast("array<float>").alias("vector"))
+    own = vectors[vector_col]
+    # Single-precision components stay as they are; anything else is compared in double precision as it is.
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
+        own = own.cast("array<double>")
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), label.alias("label"), own.alias("vector"))
     usable = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector"))).distinct()
     # Equal vectors of one label become one: its smallest id and the number of rows.
     classes = usable.groupBy("label", "vector").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"))
@@ -113,7 +122,7 @@ def _coded(classes: DataFrame) -> DataFrame:
         some = classes.where((F.size("vector") == length) & (F.pmod(F.xxhash64("first"), F.lit(1 << 20)) <= share))
         some = some.select("first", "vector").limit(SAMPLE).toArrow()
         x = np.array(some["vector"].to_pylist(), float).reshape(some.num_rows, length)[np.argsort(some["first"].to_numpy())]
-        models[length] = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
+        models[length] = learn_rotation(_unit(x))
     ddl = "id long, label string, length int, code long"
     schema = arrow_schema(ddl)
 
@@ -125,7 +134,7 @@ def _coded(classes: DataFrame) -> DataFrame:
                 part = batch.take(pa.array(at))
                 x = part["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
                 mean, projection = models[int(length)]
-                bits = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0
+                bits = (_unit(x) - mean) @ projection >= 0
                 code = np.packbits(bits, axis=1).view("<i8").reshape(-1)
                 yield pa.RecordBatch.from_arrays([part["first"], part["label"], pa.array(np.full(len(at), length, np.int32)), pa.array(code)], schema=schema)
 
@@ -175,8 +184,7 @@ def _linked(codes: DataFrame, vectors: DataFrame, threshold: float, radius: int)
         vectors = group["vector"].combine_chunks()
         for kind in np.unique(same):  # one, unless two buckets share a hash
             at = np.flatnonzero(same == kind)
-            x = np.array(vectors.take(at).to_pylist(), float)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(np.array(vectors.take(at).to_pylist(), float))
             linked[np.ix_(at, at)] = x @ x.T >= threshold
         linked &= np.bitwise_count((code[:, None] ^ code[None, :]).view("<u8")) <= radius
         linked &= (side == left)[:, None] & (side == right)[None, :]

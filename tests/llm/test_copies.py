@@ -295,6 +295,13 @@ def test_vectors_that_link_with_nothing(spark):
     assert hamming.near_duplicates(given.limit(0)).count() == 0
 
 
+def test_double_components_keep_their_range(spark):
+    rows = [(1, [1.0, 2.0], 1), (2, [1e39, 2e39], 1), (3, [1e-60, 2e-60], 1), (4, [1e-300, 2e-300], 1), (5, [1e300, 2e300], 1), (6, [2.0, -1.0], 1)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hamming.near_duplicates(given).collect()}
+    assert got == {i: (4, 1) for i in range(1, 6)} | {6: (0, 6)}
+
+
 def test_codes_within_the_radius_always_share_a_table():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 62, 2000).astype("<i8")
