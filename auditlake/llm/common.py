@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -54,13 +54,28 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark understands the path; without a scheme that is Spark's default one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def open_filesystem(uri: str):
-    """pyarrow's file system and path for a folder given as URI or plain path."""
+    """pyarrow's file system and path for a qualified folder (see `qualified`).
+
+    Folders that only Spark's own connectors reach are refused: files would have to go elsewhere, unseen by others.
+    """
     import pyarrow.fs as pafs
 
-    if uri.startswith("file:") or ":/" not in uri:
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    scheme, colon, path = uri.partition(":")
+    if not colon:
+        raise ValueError(f"{uri} has no file system; qualify it with Spark first")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + path.lstrip("/")
+    names = {"s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs"}
+    if scheme not in names:
+        raise ValueError(f"files cannot be written to {scheme} folders; give a folder of {', '.join(['file', *names])}")
+    return pafs.FileSystem.from_uri(names[scheme] + ":" + path)
 
 
 def text_or_empty(column: Column) -> Column:

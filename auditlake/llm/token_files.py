@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import arrow_schema, documents_of, new_folder, open_filesystem, saved, sliced
+from auditlake.llm.common import arrow_schema, documents_of, new_folder, open_filesystem, qualified, saved, sliced
 from auditlake.llm.encoding import encoder
 
 MAGIC = b"TOKENID1"
@@ -131,11 +131,12 @@ def write_tokens(
     """Write the ids of all documents, each ended by `end_id`, in ascending id order; the folder is returned.
 
     Null texts count as empty and have the end id alone; rows without an id come first; repeated rows and ids
-    stay, each as its own document; an empty table gives a folder without shards. A task streams its range of ids
+    stay, each as its own document; an empty table gives a folder without shards. The folder must be one that pyarrow
+    reaches as well as Spark (local or mounted, HDFS, S3, GCS); any other is refused. A task streams its range of ids
     and holds one slice of rows. A shard gets its name when it is complete, so a task that runs again replaces it.
     """
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "tokens")
+    folder = qualified(spark, folder) if folder else new_folder(spark, "tokens")
     docs = documents_of(docs, id_col, text_col)
     width = 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
     dictionary = _sample(docs, tokenizer, end_id, width)
@@ -159,7 +160,7 @@ def write_tokens(
             bytes_ = shard.at
             shard.close()
             filesystem.move(f"{base}/_{part}-{attempt}", f"{base}/{name}")
-            done.append((name, part * 10_000 + len(done), len(shard.ids), sum(shard.counts), bytes_))
+            done.append((name, (part << 32) + len(done), len(shard.ids), sum(shard.counts), bytes_))
 
         for batch in sliced(batches, 256):
             rows = batch.to_pydict()
@@ -187,6 +188,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
 
     `start` counts the ids of all documents before it. Each shard is read by its index, one frame at a time.
     """
+    folder = qualified(spark, folder)
     filesystem, base = open_filesystem(folder)
     with filesystem.open_input_stream(f"{base}/dictionary") as file:
         dictionary = file.read()

@@ -18,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import arrow_schema, new_folder, open_filesystem, saved, sliced, text_or_empty
+from auditlake.llm.common import arrow_schema, new_folder, open_filesystem, qualified, saved, sliced, text_or_empty
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "urn:x-page:"
 
@@ -122,22 +123,60 @@ def _until_blank(members: Members) -> bytes:
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    pairs = (line.split(":", 1) for line in raw.decode().split("\r\n")[1:] if line)
-    return {k.strip().lower(): v.strip() for k, v in pairs}
+    pairs = (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:] if line)
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+
+
+def _is_http(head: dict[str, str]) -> bool:
+    return head.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+
+
+class _Digest:
+    """A stated digest and the hash of the bytes that shall have it; algorithms this Python lacks are not checked."""
+
+    def __init__(self, stated: str | None):
+        name, _, value = (stated or "").rpartition(":")
+        self.value, self.hash = value, None
+        if stated and (name or "sha1").lower() in hashlib.algorithms_available:
+            self.hash = hashlib.new((name or "sha1").lower())
+
+    def update(self, data: bytes) -> None:
+        if self.hash:
+            self.hash.update(data)
+
+    def fits(self) -> bool:
+        if not self.hash:
+            return True
+        raw = self.hash.digest()
+        return self.value.upper().rstrip("=") in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+
+
+def _length(value: str | None) -> int | None:
+    return int(value) if value and value.strip().isdigit() else None
 
 
 def records(stream, with_payload: bool = False) -> Iterator[dict]:
-    """The records of an archive in order; ValueError where framing or a digest is wrong."""
+    """The records of an archive in order; ValueError where framing or a stated digest is wrong.
+
+    Any WARC/1.x archive with a gzip member per record, whoever wrote it: a block is framed by Content-Length. Of a block
+    of HTTP the payload begins after the message's headers, of any other it is the block. Records without the
+    page id of this library have a null page_id; digests are checked where the record states them.
+    """
     members = Members(stream)
     while members.begin():
         raw = _until_blank(members)
-        if not raw.startswith(VERSION + b"\r\n"):
+        if not raw.startswith(VERSIONS):
             raise ValueError("not a WARC record")
         head = _headers(raw)
-        left = int(head["content-length"])
-        http = _until_blank(members)
-        left -= len(http)
-        block, payload, kept, size = hashlib.sha1(http), hashlib.sha1(), [], 0
+        left = _length(head.get("content-length"))
+        if left is None or "warc-type" not in head:
+            raise ValueError("a record without type or Content-Length")
+        revisit = head["warc-type"] == "revisit"
+        stated = head.get("warc-payload-digest")
+        block, payload = _Digest(head.get("warc-block-digest")), _Digest(None if revisit else stated)
+        own, kept, size = hashlib.sha1(), [], 0
+        http = b"" if _is_http(head) else None  # the message's headers so far; None once the payload is reached
+        message = {}
         while left > 0:
             data = members.more()
             if not data:
@@ -146,28 +185,34 @@ def records(stream, with_payload: bool = False) -> Iterator[dict]:
                 members.back(data[left:])
                 data = data[:left]
             left -= len(data)
-            size += len(data)
             block.update(data)
+            if http is not None:
+                http += data
+                at = http.find(b"\r\n\r\n")
+                if at < 0:
+                    continue
+                message, data, http = _headers(http[:at]), http[at + 4 :], None
+            size += len(data)
+            own.update(data)
             payload.update(data)
             if with_payload:
                 kept.append(data)
         end = b""
         while more := members.more():
             end += more
-        if left < 0 or end != b"\r\n\r\n":
+        if end != b"\r\n\r\n":
             raise ValueError("a block is longer than its Content-Length")
-        stated = {k: head[f"warc-{k}-digest"].removeprefix("sha1:") for k in ("block", "payload")}
-        if base64.b32encode(block.digest()).decode() != stated["block"]:
+        if not block.fits():
             raise ValueError("a block does not have its digest")
-        revisit = head["warc-type"] == "revisit"
-        if not revisit and base64.b32encode(payload.digest()).decode() != stated["payload"]:
+        if not payload.fits():
             raise ValueError("a payload does not have its digest")
-        page, refers = head["warc-page-id"].removeprefix(PAGE), head.get("warc-refers-to-page-id", "").removeprefix(PAGE)
+        page, refers = head.get("warc-page-id", "").removeprefix(PAGE), head.get("warc-refers-to-page-id", "").removeprefix(PAGE)
+        short = (stated or "").rpartition(":")[2]
         yield {
-            "page_id": None if page == "none" else int(page),
-            "url": head["warc-target-uri"],
-            "payload_bytes": int(_headers(http)["content-length"]) if revisit else size,
-            "payload_digest": stated["payload"],
+            "page_id": _length(page) if not page.startswith("-") else -_length(page[1:]),
+            "url": head.get("warc-target-uri"),
+            "payload_bytes": _length(message.get("content-length")) if revisit else size,
+            "payload_digest": short if revisit else base64.b32encode(own.digest()).decode(),
             "record_type": head["warc-type"],
             "refers_to": int(refers) if refers else None,
             "payload": b"".join(kept) if with_payload else None,
@@ -187,7 +232,7 @@ def write_archives(
     it is complete.
     """
     spark = pages.sparkSession
-    folder = folder or new_folder(spark, "warc")
+    folder = qualified(spark, folder) if folder else new_folder(spark, "warc")
     rows = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), text_or_empty(pages[html_col]).cast("binary").alias("payload")
     ).select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
@@ -234,11 +279,25 @@ def write_archives(
     return folder
 
 
+def archives_in(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the archives of a folder: of its manifest or, where another program wrote it, all files *.warc.gz.
+
+    Of a listing only the names are read, by Spark's file source.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("archive")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+
+
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for.
 
-    A revisit's payload_bytes and payload_digest are those of the payload it stands for; its payload is null here.
+    A revisit's payload_bytes and payload_digest are those stated for the payload it stands for; its payload is null here.
+    Archives of other programs are read as well (see `records`); their page_id and refers_to are null.
     """
+    folder = qualified(spark, folder)
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (
         ", payload binary" if with_payload else ""
     )
@@ -261,5 +320,4 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    archives = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("archive")
-    return archives.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "archive").mapInArrow(read, ddl)
+    return archives_in(spark, folder).repartition(max(1, spark.sparkContext.defaultParallelism * 4), "archive").mapInArrow(read, ddl)

@@ -6,7 +6,7 @@ import io
 import pytest
 
 from auditlake.llm import warc
-from auditlake.llm.common import open_filesystem
+from auditlake.llm.common import open_filesystem, qualified
 
 
 def pages(spark, rows):
@@ -72,3 +72,64 @@ def test_the_reader_takes_any_chunks_and_refuses_damage():
     for wrong, why in ((whole.replace(b"abcdef", b"abcdeg"), "digest"), (whole.replace(b"abcdef", b"abc"), "Content-Length"), (whole.replace(b"abcdef", b"abcdefgh"), "Content-Length")):
         with pytest.raises(ValueError, match=why):
             list(warc.records(io.BytesIO(gzip.compress(wrong))))
+
+
+def foreign(kind, block, *, version="WARC/1.0", content_type=None, **headers):
+    """A record as other programs write it: no page id, other digests or none."""
+    lines = [version, f"WARC-Type: {kind}", "warc-record-id: <urn:uuid:x>", f"Content-Length: {len(block)}"]
+    lines += [f"Content-Type: {content_type}"] if content_type else []
+    lines += [f"{k.replace('_', '-')}: {v}" for k, v in headers.items()]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def archive_of_others():
+    message = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n<p>page</p>"
+    return [
+        foreign("warcinfo", b"software: other\r\n\r\nmore", content_type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.0\r\n\r\n", content_type="application/http; msgtype=request", WARC_Target_URI="http://a/"),
+        foreign("response", message, version="WARC/1.1", content_type="application/http;msgtype=response", WARC_Payload_Digest="sha1:" + digest("<p>page</p>")),
+        foreign("response", message, content_type="application/http", WARC_Block_Digest="sha256:" + hashlib.sha256(message).hexdigest()),
+        foreign("resource", b"\x00\xff" * 10, content_type="image/png", WARC_Payload_Digest="whirlwind:123"),
+        foreign("response", b"HTTP/1.0 204 No", content_type="application/http"),
+        foreign("metadata", b""),
+        foreign("revisit", b"HTTP/1.0 200 OK\r\n\r\n", content_type="application/http", WARC_Payload_Digest="sha1:ABC"),
+    ]
+
+
+def test_records_of_other_programs():
+    got = list(warc.records(Slow(b"".join(archive_of_others())), with_payload=True))
+    assert [(r["record_type"], r["payload"]) for r in got] == [
+        ("warcinfo", b"software: other\r\n\r\nmore"), ("request", b""), ("response", b"<p>page</p>"), ("response", b"<p>page</p>"),
+        ("resource", b"\x00\xff" * 10), ("response", b""), ("metadata", b""), ("revisit", b""),
+    ]
+    assert {r["page_id"] for r in got} == {None} and got[1]["url"] == "http://a/" and got[0]["url"] is None
+    assert got[3]["payload_digest"] == digest("<p>page</p>") and (got[7]["payload_bytes"], got[7]["payload_digest"]) == (None, "ABC")
+    wrong = foreign("response", b"HTTP/1.0 200 OK\r\n\r\nabc", content_type="application/http", WARC_Payload_Digest="sha1:" + digest("abd"))
+    with pytest.raises(ValueError, match="payload"):
+        list(warc.records(io.BytesIO(wrong)))
+    with pytest.raises(ValueError, match="without type"):
+        list(warc.records(io.BytesIO(gzip.compress(b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"))))
+
+
+def test_a_folder_of_another_program(spark, tmp_path):
+    for i, record in enumerate(archive_of_others()):
+        (tmp_path / f"a{i % 2}.warc.gz").open("ab").write(record)
+    (tmp_path / "readme.txt").write_text("no archive")
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r.record_type for r in rows) == ["metadata", "request", "resource", "response", "response", "response", "revisit", "warcinfo"]
+
+
+def test_negative_ids_and_very_long_payloads(spark):
+    rows = [(-7, "u", "y" * 3_000_000), (3, "u", "y" * 3_000_000)]
+    got = warc.read_archives(spark, warc.write_archives(pages(spark, rows))).orderBy("page_id").collect()
+    assert [(r.page_id, r.payload_bytes, r.refers_to) for r in got] == [(-7, 3_000_000, None), (3, 3_000_000, -7)]
+
+
+def test_folders_keep_the_file_system_spark_gives_them(spark):
+    assert qualified(spark, "/tmp/x") == "file:/tmp/x"
+    assert open_filesystem(qualified(spark, "/tmp/x"))[1] == "/tmp/x" and open_filesystem("file:///tmp/x")[1] == "/tmp/x"
+    for folder in ("viewfs://here/x", "abfss://here/x"):
+        with pytest.raises(ValueError, match="cannot be written"):
+            open_filesystem(folder)
+    with pytest.raises(ValueError, match="no file system"):
+        open_filesystem("/tmp/x")
