@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions.patterns import java_patterns, to_java
+
 # The characters Python's str.strip() removes.
 STRIP_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -40,44 +41,17 @@ def has_phrase(text: Column, folded: Column, phrase: Column, case_sensitive: Col
     return F.when(case_sensitive, F.contains(text, phrase)).otherwise(F.contains(folded, F.lower(phrase)))
 
 
-# What Python writes otherwise than Java, as (pattern, replacement) in the syntax both regex engines share; {1} stands
-# for a reference to the first group. Every expression first skips a backslash with the character after it.
-_SKIP = r"(?<!\\)((?:\\\\)*)"
-_TRANSLATIONS = [
-    (_SKIP + r"\\Z", r"{1}\\z"),
-    (_SKIP + r"\(\?P<", r"{1}(?<"),
-    (_SKIP + r"\(\?P=(\w+)\)", r"{1}\\k<{2}>"),
-    # A repetition without its lower bound, and a brace that begins no repetition.
-    (_SKIP + r"\{,(\d+)\}", r"{1}{0,{2}}"),
-    (_SKIP + r"\{(?!\d+(?:,\d*)?\})", r"{1}\\{"),
-    # A bracket within a character class, one in each pass.
-    *[(_SKIP + r"(\[\^?\]?(?:\\.|[^\[\]\\])*)\[", r"{1}{2}\\[")] * 4,
-]
-
-
-def java_pattern(pattern: Column) -> Column:
-    """A pattern written for Python in Java syntax."""
-    for search, replacement in _TRANSLATIONS:
-        pattern = F.regexp_replace(pattern, search, replacement.replace("{1}", "$1").replace("{2}", "$2"))
-    return pattern
-
-
-def _java(pattern: str) -> str:
-    for search, replacement in _TRANSLATIONS:
-        pattern = re.sub(search, replacement.replace("{1}", r"\g<1>").replace("{2}", r"\g<2>"), pattern)
-    return pattern
-
-
-def has_pattern(text: Column, pattern: Column, case_sensitive: Column, known: Sequence[str] = ()) -> Column:
-    """Regex search. Patterns listed in ``known`` are compiled once per task;
-    any other pattern is compiled as it is met."""
-    flags = F.when(case_sensitive, F.lit(UNICODE_FLAGS)).otherwise(F.lit(UNICODE_FLAGS_NOCASE))
-    search = F.rlike(text, F.concat(flags, java_pattern(pattern)))
-    branch = None
+def has_pattern(
+    text: Column, pattern: Column, case_sensitive: Column, known: Sequence[str] = (), compiled: Column | None = None
+) -> Column:
+    """Search for a pattern of Python's. Patterns listed in ``known`` are compiled once per task; any other one as it is
+    met, from ``compiled``, its form for Java's engine (see ``functions.patterns``)."""
+    if compiled is None:
+        compiled = F.get(java_patterns(F.array(pattern), case_sensitive, F.lit("")), F.lit(0))
+    search, branch = F.rlike(text, compiled), None
     for p in known:
-        hit = F.when(case_sensitive, F.rlike(text, F.lit(UNICODE_FLAGS + _java(p)))).otherwise(
-            F.rlike(text, F.lit(UNICODE_FLAGS_NOCASE + _java(p)))
-        )
+        exact, folded = (F.rlike(text, F.lit(to_java(p, case))) for case in (True, False))
+        hit = F.when(case_sensitive, exact).otherwise(folded)
         branch = F.when(pattern == p, hit) if branch is None else branch.when(pattern == p, hit)
     return search if branch is None else branch.otherwise(search)
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from auditlake.functions.judge import parse_verdict
 from auditlake.functions.pii import DETECTORS, FINDINGS_TYPE, Detector, detect, may_match, previews, reach
 from auditlake.functions.severity import severity_weight
-from auditlake.functions.text import STRIP_CHARS, has_pattern, has_phrase, java_pattern, json_valid, let, strip
+from auditlake.functions.patterns import java_patterns
+from auditlake.functions.text import STRIP_CHARS, has_pattern, has_phrase, json_valid, let, strip
 from auditlake.operators.transcripts import MONEY, agent_text, all_text, tool_names
 from auditlake.schemas import ATTEMPT_KEY, CHECK_RESULT
 
@@ -91,9 +92,12 @@ def replaced_kinds(check_types: dict[str, Evaluator] | None) -> list[str]:
     return [name for name in given if name in CHECK_TYPES and given[name] is not CHECK_TYPES[name]]
 
 
-def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = ()) -> DataFrame:
+def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = (), regex: bool = True) -> DataFrame:
     """One row per scenario: its checks in catalog order, and what they need of the turns beyond the hits.
 
+    The patterns of regex checks are translated here, once per check; a pattern Python would not compile stops the
+    query with the id of its check. ``regex`` is off where no such check is evaluated.
+
     ``needs_text``, ``needs_pii`` and ``needs_length`` are structs of flags for agent turns and for all turns.
     """
     kind = F.col("type")
@@ -107,12 +111,16 @@ def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = ()) -> DataF
             F.bool_or(what & ~everywhere).alias("agent"), F.bool_or(what & everywhere).alias("everything")
         ).alias(name)
 
+    translated = F.lit(None).cast("array<string>")
+    if regex:
+        translated = java_patterns(F.when(kind == "regex", F.col("patterns")), F.col("case_sensitive"), F.col("check_id"))
     return (
         with_check_defaults(checks)
         .withColumn("local", turn_local() & ~own)
+        .withColumn("compiled", translated)
         .groupBy("scenario_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local"))).alias("checks"),
+            F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local", "compiled"))).alias("checks"),
             needed(text, "needs_text"),
             needed(pii, "needs_pii"),
             needed(lengths, "needs_length"),
@@ -327,7 +335,8 @@ def evaluate_attempts(
     has_hits = "hits" in have
     has_parts = "turns" in have and "hits" in have
 
-    joined = attempts.join(checks_by_scenario(checks, replaced_kinds(check_types)), "scenario_id", "left")
+    catalog_rows = checks_by_scenario(checks, replaced_kinds(check_types), "regex" in check_types)
+    joined = attempts.join(catalog_rows, "scenario_id", "left")
     catalog = F.col("checks")
     agent = F.coalesce(F.col("agent_text"), empty) if "agent_text" in have else empty
     everything = F.coalesce(F.col("all_text"), empty) if "all_text" in have else empty
@@ -361,7 +370,8 @@ def evaluate_attempts(
             folded = by_scope(check, "agent_folded", "everything_folded")
             phrase = F.filter(check["patterns"], lambda p: has_phrase(text, folded, p, check["case_sensitive"]))
             pattern = F.filter(
-                check["patterns"], lambda p: has_pattern(text, p, check["case_sensitive"], known_patterns)
+                check["patterns"],
+                lambda p, i: has_pattern(text, p, check["case_sensitive"], known_patterns, F.get(check["compiled"], i)),
             )
             tool = F.filter(check["patterns"], lambda p: F.array_contains(r["tools"], p))
             by_text = (
@@ -449,7 +459,10 @@ def _turn_hits(known_patterns: Sequence[str]) -> Column:
                 numbered,
                 lambda n: F.when(check["type"].isin(*TOOL_TYPES), F.array_contains(r["tools"], n["p"]))
                 .when(~in_scope, F.lit(False))
-                .when(check["type"] == "regex", has_pattern(r["text"], n["p"], check["case_sensitive"], known_patterns))
+                .when(
+                    check["type"] == "regex",
+                    has_pattern(r["text"], n["p"], check["case_sensitive"], known_patterns, F.get(check["compiled"], n["i"])),
+                )
                 .otherwise(has_phrase(r["text"], r["folded"], n["p"], check["case_sensitive"])),
             )
             return F.transform(met, lambda n: F.struct(check["check_pos"].alias("check_pos"), n["i"].alias("pattern_pos")))
@@ -468,15 +481,15 @@ def _turn_hits(known_patterns: Sequence[str]) -> Column:
 def _present_by_hits(check: Column, hits: Column) -> Column:
     """Patterns of the check that some turn satisfies, or that empty text satisfies."""
 
-    def on_empty_text(p: Column) -> Column:
-        return F.when(check["type"] == "regex", F.rlike(F.lit(""), java_pattern(p))).otherwise(
+    def on_empty_text(p: Column, i: Column) -> Column:
+        return F.when(check["type"] == "regex", F.rlike(F.lit(""), F.get(check["compiled"], i))).otherwise(
             ~check["type"].isin(*TOOL_TYPES) & (p == "")
         )
 
     def hit(i: Column) -> Column:
         return F.struct(check["check_pos"].alias("check_pos"), i.alias("pattern_pos")).cast(HIT)
 
-    return F.filter(check["patterns"], lambda p, i: F.array_contains(hits, hit(i)) | on_empty_text(p))
+    return F.filter(check["patterns"], lambda p, i: F.array_contains(hits, hit(i)) | on_empty_text(p, i))
 
 
 def stripped_length(parts: Column) -> Column:
@@ -495,14 +508,16 @@ def stripped_length(parts: Column) -> Column:
     return let(F.filter(parts, lambda p: p["lead"] < p["length"]), measure)
 
 
-def _tested(turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str], replaced: Sequence[str] = ()) -> DataFrame:
+def _tested(
+    turns: DataFrame, checks: DataFrame, known_patterns: Sequence[str], replaced: Sequence[str] = (), regex: bool = True
+) -> DataFrame:
     """Turns with the checks of their scenario and the hits of those that are decided turn by turn."""
     no_tools = F.array().cast("array<string>")
     tools = F.coalesce(F.transform("tool_calls", lambda c: c["name"]), no_tools) if "tool_calls" in turns.columns else no_tools
     return (
         turns.withColumn("content", F.coalesce(F.col("content"), F.lit("")))
         .withColumn("tools", tools)
-        .join(checks_by_scenario(checks, replaced), "scenario_id", "left")
+        .join(checks_by_scenario(checks, replaced, regex), "scenario_id", "left")
         .withColumn("hits", _turn_hits(known_patterns))
     )
 
@@ -532,6 +547,7 @@ def _screened(
     detectors: Sequence[Detector] = (),
     with_turns: bool = True,
     replaced: Sequence[str] = (),
+    regex: bool = True,
 ) -> DataFrame:
     """Hits per attempt and, where its checks need it, the turns with their lengths and texts. One shuffle.
 
@@ -563,7 +579,7 @@ def _screened(
         kept.append(F.when(needed("needs_text") | needed("needs_pii") | needed("needs_length"), part).alias("part"))
         # A turn with several hits appears several times; its part is taken from the first.
         measures.append(F.array_sort(F.collect_list(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("part")))).alias("turns"))
-    tested = _tested(turns, checks, known_patterns, replaced)
+    tested = _tested(turns, checks, known_patterns, replaced, regex)
     return tested.select(*kept, F.posexplode_outer("hits").alias("n", "hit")).groupBy(*keys).agg(*measures)
 
 
@@ -597,7 +613,10 @@ def evaluate_turns(
     """
     detectors = tuple(detectors)
     attempts = (
-        _screened(turns, checks, known_patterns, keys, detectors, replaced=replaced_kinds(check_types))
+        _screened(
+            turns, checks, known_patterns, keys, detectors,
+            replaced=replaced_kinds(check_types), regex=check_types is None or "regex" in check_types,
+        )
         .withColumn("agent_text", agent_text(F.col("turns")))
         .withColumn("all_text", all_text(F.col("turns")))
     )
