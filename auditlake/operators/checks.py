@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.judge import parse_verdict
+from auditlake.functions.lookup import occurrences
+from auditlake.functions.patterns import java_patterns
 from auditlake.functions.pii import DETECTORS, FINDINGS_TYPE, Detector, detect, may_match, previews, reach
 from auditlake.functions.severity import severity_weight
-from auditlake.functions.patterns import java_patterns
 from auditlake.functions.text import STRIP_CHARS, has_pattern, has_phrase, json_valid, let, strip
 from auditlake.operators.transcripts import MONEY, agent_text, all_text, tool_names
 from auditlake.schemas import ATTEMPT_KEY, CHECK_RESULT
@@ -111,6 +112,12 @@ def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = (), regex: b
             F.bool_or(what & ~everywhere).alias("agent"), F.bool_or(what & everywhere).alias("everything")
         ).alias(name)
 
+    # Positions of the patterns that empty text satisfies, found once per check.
+    at_empty = F.when(
+        kind.isin(*PHRASE_TYPES), F.filter(F.sequence(F.lit(0), F.size("patterns")), lambda i: F.get("patterns", i) == "")
+    ).when(
+        kind == "regex", F.filter(F.sequence(F.lit(0), F.size("patterns")), lambda i: F.rlike(F.lit(""), F.get("compiled", i)))
+    )
     translated = F.lit(None).cast("array<string>")
     if regex:
         translated = java_patterns(F.when(kind == "regex", F.col("patterns")), F.col("case_sensitive"), F.col("check_id"))
@@ -118,9 +125,10 @@ def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = (), regex: b
         with_check_defaults(checks)
         .withColumn("local", turn_local() & ~own)
         .withColumn("compiled", translated)
+        .withColumn("at_empty", F.coalesce(at_empty, F.array().cast("array<int>")))
         .groupBy("scenario_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local", "compiled"))).alias("checks"),
+            F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local", "compiled", "at_empty"))).alias("checks"),
             needed(text, "needs_text"),
             needed(pii, "needs_pii"),
             needed(lengths, "needs_length"),
@@ -172,7 +180,10 @@ def _without_hits(kind: str, hits: Column) -> Column:
 
 def _missing(check: Column, seen: Evidence) -> Column:
     present = seen.present(check)
-    return F.filter(check["patterns"], lambda p: ~F.array_contains(present, p))
+    # Whether any is missing is a matter of hashing; which, in order and with repetitions, is looked up only then.
+    none = F.array().cast("array<string>")
+    some = F.size(F.array_except(check["patterns"], present)) > 0
+    return F.when(some, F.filter(check["patterns"], lambda p: ~F.array_contains(present, p))).otherwise(none)
 
 
 def required_phrase(check: Column, seen: Evidence) -> Column:
@@ -447,6 +458,45 @@ def results_of(attempts: DataFrame, keys: Sequence[str] = ATTEMPT_KEY) -> DataFr
 
 HIT = "struct<check_pos:int,pattern_pos:int>"
 
+# Phrases or tools of a check above which they are looked up all at once.
+WIDE = 64
+
+
+def _is_wide() -> Column:
+    return turn_local() & F.col("type").isin(*PHRASE_TYPES, *TOOL_TYPES) & (F.size("patterns") > WIDE)
+
+
+def _wide_hits(turns: DataFrame, wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hits (keys, hit) of checks with many phrases or tools.
+
+    Each turn is walked once, whatever the number of phrases of its scenario (see ``functions.lookup``); what is found is
+    joined with the phrases by equality. Tools called are joined with the tools named.
+    """
+    numbered = F.posexplode("patterns").alias("pattern_pos", "pattern")
+    named = wide.select("scenario_id", "check_pos", "type", "scope", "case_sensitive", numbered)
+    spoken, tools = named.filter(~F.col("type").isin(*TOOL_TYPES)), named.filter(F.col("type").isin(*TOOL_TYPES))
+
+    def group(exact: Column) -> Column:
+        return F.concat(F.when(exact, F.lit("exact:")).otherwise(F.lit("folded:")), F.col("scenario_id"))
+
+    value = F.when(F.col("case_sensitive"), F.col("pattern")).otherwise(F.lower("pattern"))
+    spoken = spoken.withColumns({"group": group(F.col("case_sensitive")), "value": value})
+    ways = F.array(*[F.struct(F.lit(e).alias("exact"), t.alias("text")) for e, t in ((True, F.col("content")), (False, F.lower("content")))])
+    texts = (
+        turns.join(wide.select("scenario_id").distinct(), "scenario_id", "left_semi")
+        .select(*keys, "role", F.explode(ways).alias("way"), "scenario_id")
+        .select(*keys, "role", group(F.col("way.exact")).alias("group"), F.array("way.text").alias("strings"))
+    )
+    said = occurrences(texts, [*keys, "role"], "group", "strings", spoken.select("group", "value")).join(
+        spoken.drop("scenario_id"), ["group", "value"]
+    )
+    said = said.filter((F.col("scope") == "all") | (F.col("role") == "agent"))
+    hit = F.struct("check_pos", "pattern_pos").cast(HIT).alias("hit")
+    if "tool_calls" not in turns.columns:
+        return said.select(*keys, hit)
+    called = turns.select(*dict.fromkeys([*keys, "scenario_id"]), F.explode("tool_calls.name").alias("pattern"))
+    used = called.join(tools, ["scenario_id", "pattern"])
+    return said.select(*keys, hit).unionByName(used.select(*keys, hit))
 
 def _turn_hits(known_patterns: Sequence[str]) -> Column:
     """Numbers of the (check, pattern) pairs that one turn satisfies."""
@@ -479,17 +529,9 @@ def _turn_hits(known_patterns: Sequence[str]) -> Column:
 
 
 def _present_by_hits(check: Column, hits: Column) -> Column:
-    """Patterns of the check that some turn satisfies, or that empty text satisfies."""
-
-    def on_empty_text(p: Column, i: Column) -> Column:
-        return F.when(check["type"] == "regex", F.rlike(F.lit(""), F.get(check["compiled"], i))).otherwise(
-            ~check["type"].isin(*TOOL_TYPES) & (p == "")
-        )
-
-    def hit(i: Column) -> Column:
-        return F.struct(check["check_pos"].alias("check_pos"), i.alias("pattern_pos")).cast(HIT)
-
-    return F.filter(check["patterns"], lambda p, i: F.array_contains(hits, hit(i)) | on_empty_text(p, i))
+    """Patterns of the check that some turn satisfies, or that empty text satisfies; from the hits, not pattern by pattern."""
+    own = F.transform(F.filter(hits, lambda h: h["check_pos"] == check["check_pos"]), lambda h: h["pattern_pos"])
+    return F.transform(F.array_sort(F.array_union(own, check["at_empty"])), lambda i: F.get(check["patterns"], i))
 
 
 def stripped_length(parts: Column) -> Column:
@@ -579,8 +621,14 @@ def _screened(
         kept.append(F.when(needed("needs_text") | needed("needs_pii") | needed("needs_length"), part).alias("part"))
         # A turn with several hits appears several times; its part is taken from the first.
         measures.append(F.array_sort(F.collect_list(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("part")))).alias("turns"))
-    tested = _tested(turns, checks, known_patterns, replaced, regex)
-    return tested.select(*kept, F.posexplode_outer("hits").alias("n", "hit")).groupBy(*keys).agg(*measures)
+    given = with_check_defaults(checks)
+    wide = given.filter(_is_wide() & ~F.col("type").isin(*replaced))
+    has_wide = given.agg(F.coalesce(F.max(F.size("patterns")), F.lit(0)) > WIDE).first()[0] and not wide.isEmpty()
+    tested = _tested(turns, given.filter(~_is_wide() | F.col("type").isin(*replaced)) if has_wide else checks, known_patterns, replaced, regex)
+    rows = tested.select(*kept, F.posexplode_outer("hits").alias("n", "hit"))
+    if has_wide:
+        rows = rows.unionByName(_wide_hits(turns, wide, keys).withColumn("n", F.lit(1)), allowMissingColumns=True)
+    return rows.groupBy(*keys).agg(*measures)
 
 
 def screen_turns(
