@@ -1,15 +1,15 @@
 """Run history and audit log on Parquet.
 
 The transforms (``latest_saves``, ``list_runs``, ``split_by_age`` ...) work on any DataFrame. ``RunHistory`` keeps
-the tables in a folder all executors reach: a save appends its rows, a read keeps the last save of each run_id,
-and a purge writes a new generation of the table without the purged runs before the old one is removed. A
-generation counts only when its write was committed, so a job lost half-way leaves the former state. One writer
-at a time.
+the tables in a folder all executors reach, each under a log of its files (see ``sources.tablelog``): a save adds
+files, a read keeps the last save of each run_id, and files that saves of the same runs have filled are merged. A purge
+rewrites the files that hold purged runs and no other. A change counts only when its version is in the log, so a job
+lost half-way leaves the former state; any number of writers may save and purge at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from auditlake.functions.pii import DETECTORS
 from auditlake.functions.redact import json_sensitive_values, redact_json
 from auditlake.operators.reports import rounded_metrics
-from auditlake.schemas import AUDIT_EVENTS, RUNS
+from auditlake.schemas import AUDIT_EVENTS, RECORDED_ATTEMPT, RUNS
+from auditlake.session import checkpointed
+from auditlake.sources.tablelog import Conflict, TableLog
+from auditlake.sources.transcripts import redacted_artifacts
 
 SUMMARY = ["run_id", "created_at", "agent_model", "judge_model", "pass_rate", "total_runs", "violations"]
 RUN_COLUMNS = [*SUMMARY, "payload"]
@@ -139,43 +142,28 @@ def list_audit_events(events: DataFrame, limit: int = 100) -> DataFrame:
 # --- storage -------------------------------------------------------------------------------
 
 
+ATTEMPTS = f"{RECORDED_ATTEMPT}, saved_at timestamp"
+SAVES = f"{RUNS}, saved_at timestamp"
+
+
+def latest_attempts(attempts: DataFrame) -> DataFrame:
+    """The attempts of the last save of each run."""
+    last = attempts.groupBy("run_id").agg(F.max("saved_at").alias("saved_at"))
+    return attempts.join(last, ["run_id", "saved_at"], "left_semi")
+
+
 class RunHistory:
-    """Runs and audit events under one folder."""
+    """Runs, their attempts and audit events under one folder."""
 
     def __init__(self, spark: SparkSession, root: str, detectors: Iterable = DETECTORS):
         self.spark = spark
         self.root = root.rstrip("/")
         self.detectors = tuple(detectors)
-
-    # Folder operations of the file system the root lives on.
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self):
-        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _generations(self) -> list[int]:
-        fs, base = self._fs(), self._path(f"{self.root}/runs")
-        if not fs.exists(base):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(base)]
-        numbers = sorted(int(n.removeprefix("gen=")) for n in names if n.startswith("gen="))
-        return [n for n in numbers if fs.exists(self._path(f"{self.root}/runs/gen={n}/_SUCCESS"))]
-
-    def _generation_path(self, n: int) -> str:
-        return f"{self.root}/runs/gen={n}"
-
-    def _saves(self) -> DataFrame | None:
-        generations = self._generations()
-        if not generations:
-            return None
-        return self.spark.read.schema(f"{RUNS}, saved_at timestamp, run_date date").parquet(self._generation_path(generations[-1]))
-
-    def _write(self, saves: DataFrame, path: str, mode: str) -> None:
-        saves.withColumn("run_date", F.to_date("created_at")).write.partitionBy("run_date").mode(mode).parquet(path)
+        self.run_log = TableLog(spark, f"{self.root}/runs", SAVES, "run_id", "created_at")
+        self.attempt_log = TableLog(spark, f"{self.root}/attempts", ATTEMPTS, "run_id", "saved_at", ["scenario_id", "attempt"])
 
     def runs(self) -> DataFrame:
-        """The current runs, payload included. A filter on run_id reaches the files."""
+        """The current runs, payload included."""
         return self._current(RUN_COLUMNS)
 
     def summaries(self) -> DataFrame:
@@ -183,10 +171,19 @@ class RunHistory:
         return self._current(SUMMARY)
 
     def _current(self, columns: list[str]) -> DataFrame:
-        saves = self._saves()
-        if saves is None:
-            return self.spark.createDataFrame([], RUNS).select(*columns)
-        return latest_saves(saves.select(*columns, "saved_at")).drop("saved_at")
+        return latest_saves(self.run_log.read().select(*columns, "saved_at")).drop("saved_at")
+
+    def get_run(self, run_id: str) -> DataFrame:
+        """The stored run, or no row; read from the files of its bucket that may hold it."""
+        return latest_saves(self.run_log.of_key(run_id)).select(*RUN_COLUMNS)
+
+    def get_attempts(self, run_id: str) -> DataFrame:
+        """The stored attempts of a run with turns, check results and usage, as they were last saved."""
+        return latest_attempts(self.attempt_log.of_key(run_id)).drop("saved_at")
+
+    def attempts(self) -> DataFrame:
+        """The attempts of all runs."""
+        return latest_attempts(self.attempt_log.read()).drop("saved_at")
 
     def save(
         self, runs: DataFrame, saved_at: datetime, retention_days: int | None = None, redact: bool = True, save_id: str | None = None
@@ -199,11 +196,9 @@ class RunHistory:
         if redact:
             runs = redacted_payloads(runs, self.detectors)
         stamp = cutoff_literal(saved_at)
-        generations = self._generations()
-        target = self._generation_path(generations[-1] if generations else 0)
-        self._write(runs.select(*RUN_COLUMNS).withColumn("saved_at", stamp), target, "append")
+        added = self.run_log.append(runs.select(*RUN_COLUMNS).withColumn("saved_at", stamp))
         # Read back, so that the runs are computed once.
-        saved = self._saves().filter(F.col("saved_at") == stamp).select(
+        saved = self.run_log.open([f["path"] for f in added]).select(
             F.concat(F.lit("run_saved:"), "run_id", F.lit(":"), F.lit(save_id) if save_id else stamp.cast("string")).alias("event_id"),
             stamp.alias("created_at"),
             F.lit("run_saved").alias("event_type"),
@@ -212,27 +207,30 @@ class RunHistory:
         if save_id:
             saved = saved.join(self.audit_events().filter("event_type = 'run_saved'").select("event_id"), "event_id", "left_anti")
         self.append_audit(saved)
+        self.run_log.compact(sorted({f["bucket"] for f in added}), latest_saves)
         if retention_days is None:
             return 0
         return self._purge(retention_cutoff(retention_days, saved_at), saved_at, "runs_retention_purged", {})
 
+    def save_attempts(self, recorded: DataFrame, saved_at: datetime, redact: bool = True) -> None:
+        """Store the attempts of runs (as ``transcripts.read_recorded`` gives them), redacted each run by its own values.
+
+        Attempts stored before for the same runs are replaced.
+        """
+        rows = redacted_artifacts(recorded, self.detectors) if redact else recorded
+        columns = self.attempt_log.open([]).drop("saved_at").columns
+        added = self.attempt_log.append(rows.select(*columns).withColumn("saved_at", cutoff_literal(saved_at)))
+        self.attempt_log.compact(sorted({f["bucket"] for f in added}), latest_attempts)
+
     def purge(self, before: datetime, now: datetime) -> int:
-        """Remove runs created before the cutoff and return their number."""
+        """Remove runs created before the cutoff, with their attempts, and return their number."""
         cutoff_literal(before)
         return self._purge(before, now, "runs_purged", {"before": before.isoformat()})
 
     def _purge(self, before: datetime, now: datetime, event_type: str, details: dict) -> int:
-        saves = self._saves()
-        if saves is None:
-            return 0
-        kept, purged = split_by_age(latest_saves(saves), before)
-        count = purged.count()
+        count = self._retried(lambda: self._purge_runs(before))
         if not count:
             return 0
-        old = self._generations()
-        self._write(kept.drop("run_date"), self._generation_path(old[-1] + 1), "overwrite")
-        for n in old:
-            self._fs().delete(self._path(self._generation_path(n)), True)
         stamp = now.astimezone(UTC).isoformat()
         row = self.spark.range(1).select(
             F.lit(f"{event_type}:{stamp}").alias("event_id"),
@@ -243,11 +241,47 @@ class RunHistory:
         self.append_audit(row)
         return count
 
+    def _retried(self, change: Callable[[], int], tries: int = 10) -> int:
+        """A change of files, begun anew when another writer replaced one of them first."""
+        for _ in range(tries - 1):
+            try:
+                return change()
+            except Conflict:
+                pass
+        return change()
+
+    def _purge_runs(self, before: datetime) -> int:
+        """Runs whose last save is older go, with all their saves; only files that hold one are rewritten or dropped."""
+        files = self.run_log.live()
+        old = files.filter(F.col("least_time") < cutoff_literal(before))
+        paths = [r.path for r in old.select("path").collect()]
+        if not paths:
+            return 0
+        everything = [r.path for r in files.select("path").collect()]
+        # Only ids and times are read, and of files without an old save only the runs that have one.
+        narrow = self.run_log.open(everything, place=True).select("run_id", "created_at", "saved_at", "at")
+        suspects = self.run_log.open(paths).filter(F.col("created_at") < cutoff_literal(before)).select("run_id").distinct()
+        saves = narrow.join(suspects, "run_id", "left_semi")
+        purged = checkpointed(split_by_age(latest_saves(saves.drop("at")), before)[1].select("run_id"))
+        count = purged.count()
+        if not count:
+            return 0
+        self._without(self.run_log, saves, purged, latest_saves)
+        attempts = [r.path for r in self.attempt_log.live().select("path").collect()]
+        self._without(self.attempt_log, self.attempt_log.open(attempts, place=True).select("run_id", "at"), purged, latest_attempts)
+        return count
+
+    def _without(self, log: TableLog, rows: DataFrame, purged: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the files that hold a purged run by files without them. ``rows`` has run_id and the file, ``at``."""
+        touched = [r.at for r in rows.join(purged, "run_id", "left_semi").select("at").distinct().collect()]
+        if touched:
+            log.replace(touched, keep(log.open(touched).join(purged, "run_id", "left_anti")))
+
     def append_audit(self, events: DataFrame) -> None:
         """Append audit events; details are redacted here."""
         audit_rows(events, self.detectors).write.mode("append").parquet(f"{self.root}/audit_events")
 
     def audit_events(self) -> DataFrame:
-        if not self._fs().exists(self._path(f"{self.root}/audit_events")):
+        if not self.run_log._fs().exists(self.run_log._path(f"{self.root}/audit_events")):
             return self.spark.createDataFrame([], AUDIT_EVENTS)
         return self.spark.read.schema(AUDIT_EVENTS).parquet(f"{self.root}/audit_events")

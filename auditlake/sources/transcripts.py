@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.pii import DETECTORS, Detector
 from auditlake.operators.redaction import harvest_turns, redact_recorded
 from auditlake.schemas import ATTEMPT_KEY, RECORDED_ATTEMPT
 
@@ -42,9 +45,9 @@ def usage_of(recorded: DataFrame) -> DataFrame:
     )
 
 
-def redacted_artifacts(recorded: DataFrame) -> DataFrame:
+def redacted_artifacts(recorded: DataFrame, detectors: Iterable[Detector] = DETECTORS) -> DataFrame:
     """Recorded attempts with every turn, tool call, title and check message redacted, each run by its own values."""
-    return redact_recorded(recorded, harvest_turns(turns_of(recorded)))
+    return redact_recorded(recorded, harvest_turns(turns_of(recorded)), detectors)
 
 
 def write_artifacts(recorded: DataFrame, path: str, redact: bool = True) -> None:

@@ -51,8 +51,8 @@ def test_purge(spark, history):
     history.save(runs(spark, ("old", "2020-01-01T00:00:00", 1.0), ("kept", "2030-01-01T00:00:00", 1.0)), NOW)
     assert history.purge(datetime(2025, 1, 1, tzinfo=UTC), NOW) == 1
     assert [r.run_id for r in history.runs().collect()] == ["kept"]
-    files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(history.root + "/runs").select("path").collect()
-    assert files and not any("run_date=2020" in f.path for f in files)
+    stored = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(history.root + "/runs/data")
+    assert [r.run_id for r in stored.collect()] == ["kept"]
     event = history.audit_events().filter("event_type = 'runs_purged'").first()
     assert json.loads(event.details) == {"before": "2025-01-01T00:00:00+00:00", "count": 1}
     assert history.purge(datetime(2025, 1, 1, tzinfo=UTC), NOW) == 0
@@ -65,10 +65,10 @@ def test_purge_does_not_bring_back_a_replaced_save(spark, history):
     assert history.purge(datetime(2025, 1, 1, tzinfo=UTC), NOW) == 1 and history.runs().count() == 0
 
 
-def test_uncommitted_generation_is_ignored(spark, history):
+def test_files_without_a_version_are_no_part_of_the_table(spark, history):
     history.save(runs(spark, ("r", "2026-07-01T00:00:00", 1.0)), NOW)
-    spark.range(1).write.parquet(history.root + "/runs/gen=1/part")  # no _SUCCESS at the top of gen=1
-    assert history._generations() == [0] and history.runs().count() == 1
+    history.run_log.write(runs(spark, ("lost", "2026-07-01T00:00:00", 1.0)).withColumn("saved_at", F.lit(NOW)))
+    assert [r.run_id for r in history.runs().collect()] == ["r"]
 
 
 def test_naive_cutoff_is_an_error(spark, history):
@@ -221,3 +221,121 @@ def test_runs_without_a_date_survive_a_purge_and_the_count_is_a_number(spark, tm
     assert {r.run_id for r in history.runs().collect()} == {"none", "new"}
     event = history.audit_events().where("event_type = 'runs_purged'").first()
     assert json.loads(event.details)["count"] == 1
+
+
+# --- the log of the table's files ---------------------------------------------------------------
+
+
+def paths_of(log):
+    return {r.path for r in log.live().select("path").collect()}
+
+
+def test_a_purge_leaves_files_without_purged_runs_as_they_are(spark, history):
+    for year in range(2018, 2026):
+        history.save(runs(spark, *[(f"run-{year}-{i}", f"{year}-03-01T00:00:00", 1.0) for i in range(6)]), NOW + timedelta(minutes=year))
+    before = paths_of(history.run_log)
+    assert history.purge(datetime(2020, 1, 1, tzinfo=UTC), NOW) == 12
+    after = paths_of(history.run_log)
+    old = {r.path for r in history.run_log.live(8).filter("least_time < '2020-01-01'").select("path").collect()}
+    assert before - old <= after and not old & after and len(before - old) > 10
+    assert history.runs().count() == 36
+
+
+def test_bytes_of_a_run_saved_a_hundred_times_stay_bounded(spark, tmp_path):
+    from auditlake.sources.tablelog import TableLog
+
+    log = TableLog(spark, str(tmp_path / "t"), hs.SAVES, "run_id", "created_at", grace=0)
+    row = runs(spark, ("r", "2026-07-01T00:00:00", 1.0)).coalesce(1)
+    sizes = []
+    for i in range(30):
+        added = log.append(row.withColumn("saved_at", F.lit(NOW + timedelta(minutes=i))))
+        log.compact([f["bucket"] for f in added], hs.latest_saves)
+        sizes.append(log.live().agg(F.sum("rows")).first()[0])
+    assert max(sizes) <= 8 and hs.latest_saves(log.read()).first().saved_at == (NOW + timedelta(minutes=29)).replace(tzinfo=None)
+    # Replaced files go from the disk as well, and so do the versions before a snapshot.
+    assert spark.read.option("recursiveFileLookup", True).parquet(log.root + "/data").count() < 20
+    assert len([n for n in log._names("_log") if n.endswith(".json")]) < 20
+
+
+def test_a_merge_leaves_the_files_of_readers(spark, tmp_path):
+    from auditlake.sources.tablelog import TableLog
+
+    log = TableLog(spark, str(tmp_path / "t"), hs.SAVES, "run_id", "created_at")
+    for i in range(8):
+        added = log.append(runs(spark, ("r", "2026-07-01T00:00:00", float(i))).coalesce(1).withColumn("saved_at", F.lit(NOW + timedelta(minutes=i))))
+    reader = log.read()
+    assert log.compact([f["bucket"] for f in added], hs.latest_saves) == 8
+    assert reader.count() == 8 and log.read().count() == 1
+
+
+def test_two_writers_do_not_lose_each_others_saves(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from auditlake.sources.tablelog import TableLog
+
+    logs = [TableLog(spark, str(tmp_path / "t"), hs.SAVES, "run_id", "created_at") for _ in range(2)]
+
+    def write(n):
+        for i in range(6):
+            logs[n].append(runs(spark, (f"w{n}-{i}", "2026-07-01T00:00:00", 1.0)).coalesce(1).withColumn("saved_at", F.lit(NOW)))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, range(2)))
+    assert {r.run_id for r in logs[0].read().collect()} == {f"w{n}-{i}" for n in range(2) for i in range(6)}
+    assert logs[0].version() == 12
+
+
+def test_a_change_of_files_another_writer_replaced_is_a_conflict(spark, history):
+    from auditlake.sources.tablelog import Conflict
+
+    history.save(runs(spark, ("a", "2020-01-01T00:00:00", 1.0), ("b", "2026-07-01T00:00:00", 1.0)), NOW)
+    log = history.run_log
+    held, version = sorted(paths_of(log)), log.version()
+    log.replace(held[:1], log.open([]))
+    with pytest.raises(Conflict):
+        log.commit([], held[:1])
+    assert log.read(version=log.version()).count() == 1 and log.live(version).count() == len(held)
+    # A purge that meets such a conflict begins anew.
+    calls = []
+    real = history._purge_runs
+    history._purge_runs = lambda before: calls.append(1) or (real(before) if len(calls) > 1 else (_ for _ in ()).throw(Conflict("first")))
+    assert history.purge(datetime(2025, 1, 1, tzinfo=UTC), NOW) in (0, 1) and len(calls) == 2
+
+
+def test_a_reader_begins_at_a_snapshot_and_ignores_an_unfinished_one(spark, tmp_path):
+    from auditlake.sources import tablelog
+
+    log = tablelog.TableLog(spark, str(tmp_path / "t"), hs.SAVES, "run_id", "created_at")
+    for i in range(tablelog.SNAPSHOT + 1):
+        log.commit([{"path": f"data/x/{i}.parquet", "bucket": i % 3, "rows": 1, "bytes": 10, "least_key": "a", "greatest_key": "z", "least_time": None, "greatest_time": None}])
+    assert log.live().count() == tablelog.SNAPSHOT + 1
+    spark.range(1).write.parquet(f"{log.root}/_snapshots/{tablelog.SNAPSHOT + 1}/part")
+    assert log.live().count() == tablelog.SNAPSHOT + 1
+    log.commit([], ["data/x/0.parquet"])
+    assert log.live().count() == tablelog.SNAPSHOT
+
+
+def test_a_run_is_read_whole_from_its_bucket(spark, history, tmp_path):
+    from auditlake.sources import transcripts as tr
+
+    def attempt(run, n, text):
+        turns = [{"role": "agent", "content": text, "tool_calls": [{"name": "get", "arguments": "{}", "result": '{"pin": "zz81"}'}]}]
+        return {"run_id": run, "scenario_id": f"s{n}", "attempt": 0, "title": "t", "passed": True, "turns": turns, "check_results": [], "usage": {"prompt_tokens": n}}
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    lines = [attempt(f"run-{i}", n, f"the pin is zz81, mail a@b.co {n}") for i in range(40) for n in range(3)]
+    (inbox / "a.json").write_text("\n".join(json.dumps(x) for x in lines))
+    history.save(runs(spark, *[(f"run-{i}", "2026-07-01T00:00:00", 1.0) for i in range(40)]), NOW)
+    history.save_attempts(tr.read_recorded(spark, str(inbox)), NOW)
+    got = history.get_attempts("run-7")
+    rows = got.orderBy("scenario_id").collect()
+    assert [r.turns[0].content for r in rows] == [f"the pin is [REDACTED:SENSITIVE], mail [REDACTED:EMAIL] {n}" for n in range(3)]
+    assert [r.usage.prompt_tokens for r in rows] == [0, 1, 2]
+    assert len(got.inputFiles()) == 1 < history.attempt_log.live().count() and history.get_run("run-7").first().pass_rate == 1.0
+    assert history.get_attempts("none").count() == 0 and history.get_run("none").count() == 0
+    # Saving a run again replaces its attempts; a purge takes them along.
+    (inbox / "a.json").write_text(json.dumps(attempt("run-7", 5, "again")))
+    history.save_attempts(tr.read_recorded(spark, str(inbox)), NOW + timedelta(minutes=1))
+    assert [r.turns[0].content for r in history.get_attempts("run-7").collect()] == ["again"]
+    assert history.purge(datetime(2030, 1, 1, tzinfo=UTC), NOW) == 40 and history.attempts().count() == 0
