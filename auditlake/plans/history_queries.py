@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
+from itertools import pairwise
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auditlake.operators import metrics as mt
 from auditlake.plans import inputs as src
 from auditlake.plans import metric_queries as mq
+from auditlake.schemas import RECORDED_ATTEMPT, TOOL_CALL
+from auditlake.session import shared_folder
 from auditlake.sources import history as hs
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -209,7 +214,59 @@ SAVED_PAYLOADS = """SELECT CAST(doc_id AS VARCHAR) AS run_id, lang, '[REDACTED:S
   'it is [REDACTED:SENSITIVE].' AS note, n_chars AS chars, false AS leak FROM documents"""
 
 
+# --- the store on files --------------------------------------------------------------------------------
+
+
+def _store(spark):
+    return hs.RunHistory(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+
+
+def stored_runs(spark, sf):
+    """Runs saved in three parts of the month, each save replacing the one before, and purged by age."""
+    history, saves = _store(spark), _saves(spark, sf).withColumn("payload", F.lit(None).cast("string"))
+    borders = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-03-01"]
+    for i, (first, end) in enumerate(pairwise(borders)):
+        part = saves.filter((F.col("created_at") >= F.lit(first).cast("timestamp")) & (F.col("created_at") < F.lit(end).cast("timestamp")))
+        history.save(hs.latest_saves(part).drop("saved_at"), datetime(2024, 3, 1, i, tzinfo=UTC), redact=False)
+    history.purge(CUTOFF, datetime(2024, 3, 2, tzinfo=UTC))
+    return _texted(history.runs().drop("payload"))
+
+
+STORED_RUNS = f"SELECT * FROM ({UPSERTED_RUNS}) WHERE created_at >= '2024-01-30 12:00:00'"
+
+
+def stored_attempts(spark, sf):
+    """Conversations stored as the attempts of four runs, two of them saved again without their system turns."""
+    turn = F.struct("turn", "role", F.col("text").alias("content"), F.array().cast(f"array<{TOOL_CALL}>").alias("tool_calls"))
+    recorded = (
+        src.table(spark, sf, "conversations")
+        .groupBy("conv_id")
+        .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+        .select(F.concat(F.lit("run_"), F.col("conv_id") % 4).alias("run_id"), F.col("conv_id").cast("string").alias("scenario_id"), "turns")
+        .withColumn("turns", F.transform("turns", lambda t: t.dropFields("turn")))
+    )
+    whole = recorded.select(*[_or_null(recorded, f) for f in StructType.fromDDL(RECORDED_ATTEMPT)])
+    history = _store(spark)
+    history.save_attempts(whole, datetime(2024, 3, 1, tzinfo=UTC), redact=False)
+    spoken = whole.withColumn("turns", F.filter("turns", lambda t: t["role"] != "system"))
+    history.save_attempts(spoken.filter("run_id in ('run_1', 'run_3')"), datetime(2024, 3, 2, tzinfo=UTC), redact=False)
+    both = history.get_attempts("run_0").unionByName(history.get_attempts("run_1"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["role"], t["content"])), "\n")
+    return both.select("run_id", F.col("scenario_id").cast("bigint").alias("conv_id"), F.size("turns").alias("n_turns"), F.md5(said).alias("turns_md5"))
+
+
+def _or_null(rows, field):
+    return F.col(field.name) if field.name in rows.columns else F.lit(None).cast(field.dataType).alias(field.name)
+
+
+STORED_ATTEMPTS = """SELECT 'run_' || conv_id % 4 AS run_id, conv_id, CAST(count(text) FILTER (kept) AS INTEGER) AS n_turns,
+  md5(coalesce(string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (kept), '')) AS turns_md5
+FROM (SELECT *, conv_id % 4 = 0 OR role <> 'system' AS kept FROM conversations WHERE conv_id % 4 < 2) GROUP BY conv_id"""
+
+
 QUERIES = {
+    "history_stored_runs": (stored_runs, STORED_RUNS),
+    "history_stored_attempts": (stored_attempts, STORED_ATTEMPTS),
     "history_saved_payloads": (saved_payloads, SAVED_PAYLOADS),
     "history_latest_saves": (upserted_runs, UPSERTED_RUNS),
     "history_upsert": (upsert, UPSERTED_RUNS),

@@ -40,21 +40,27 @@ def local_session(app: str = "auditlake", cores: str = "*", shuffle_partitions:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the checkpoint folder the cluster names.
-
-    For results that several aggregations read, such as evaluated attempts: without it each of them would scan
-    the transcripts again. The files outlive lost executors.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names, set for this session."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             # Sensitive values pass through here: never a folder of one machine of a cluster.
             if context.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="auditlake-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the checkpoint folder the cluster names.
+
+    For results that several aggregations read, such as evaluated attempts: without it each of them would scan
+    the transcripts again. The files outlive lost executors.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

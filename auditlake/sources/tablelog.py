@@ -21,11 +21,11 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 16  # of a new file's table; a file's row in the log has the number it was written with
 SNAPSHOT = 20
 
 FILE = (
-    "path string, bucket int, rows bigint, bytes bigint, least_key string, greatest_key string, "
+    "path string, bucket int, buckets int, rows bigint, bytes bigint, least_key string, greatest_key string, "
     "least_time timestamp, greatest_time timestamp"
 )
 ACTION = f"version bigint, op string, {FILE}"
@@ -42,9 +42,17 @@ class TableLog:
     """``key`` decides the bucket; ``time`` is the column whose range a file is known by."""
 
     def __init__(
-        self, spark: SparkSession, root: str, schema: str, key: str, time: str, order: Sequence[str] = (), grace: float = 3600.0
+        self,
+        spark: SparkSession,
+        root: str,
+        schema: str,
+        key: str,
+        time: str,
+        order: Sequence[str] = (),
+        grace: float = 3600.0,
+        buckets: int = BUCKETS,
     ):
-        self.grace = grace
+        self.grace, self.buckets = grace, buckets
         self.spark, self.root, self.schema, self.key, self.time = spark, root.rstrip("/"), schema, key, time
         self.order = [key, *order]
         self.lock = _locks.setdefault(self.root, threading.Lock())
@@ -98,23 +106,23 @@ class TableLog:
         inside = F.concat(F.lit("data/"), F.substring_index("_metadata.file_path", "/data/", -1))
         return rows.withColumn("at", inside) if place else rows
 
-    def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
     def of_key(self, key: str) -> DataFrame:
         """The rows of one key, from the files of its bucket that may hold it."""
-        here = (F.col("bucket") == self.bucket(F.lit(key))) & F.lit(key).between(F.col("least_key"), F.col("greatest_key"))
+        here = (F.col("bucket") == F.pmod(F.xxhash64(F.lit(key)), F.col("buckets"))) & F.lit(key).between(F.col("least_key"), F.col("greatest_key"))
         return self.read(here).filter(F.col(self.key) == key)
 
     def write(self, rows: DataFrame) -> list[dict]:
-        """Write files that are not yet part of the table, and describe them. The rows are computed once."""
+        """Write files that are not yet part of the table, and describe them. The rows are computed once.
+
+        Adaptive execution deals a bucket of many rows out to several tasks, and few rows of many buckets to one.
+        """
         folder = f"data/{uuid.uuid4().hex}"
-        dealt = rows.withColumn("_bucket", self.bucket(F.col(self.key)))
-        dealt = dealt.repartition("_bucket").sortWithinPartitions("_bucket", *self.order)
+        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+        dealt = dealt.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.order)
         dealt.write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         written = self.spark.read.schema(f"{self.schema}, _bucket int").parquet(f"{self.root}/{folder}")
         files = written.groupBy(F.col("_metadata.file_path").alias("at")).agg(
-            F.min("_bucket").alias("bucket"), F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"),
+            F.min("_bucket").alias("bucket"), F.lit(self.buckets).alias("buckets"), F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"),
             F.min(self.key).alias("least_key"), F.max(self.key).alias("greatest_key"),
             F.min(self.time).cast("string").alias("least_time"), F.max(self.time).cast("string").alias("greatest_time"),
         )
@@ -197,7 +205,7 @@ class TableLog:
         number of files merged. Lost to another writer, the merge is left for the next time.
         """
         tier = F.floor(F.log2(F.greatest(F.col("bytes"), F.lit(1 << 16))) / 2).alias("tier")
-        crowded = self.live().filter(F.col("bucket").isin(list(buckets))).groupBy("bucket", tier).agg(F.collect_list("path").alias("paths"))
+        crowded = self.live().filter(F.col("bucket").isin(list(buckets))).groupBy("bucket", "buckets", tier).agg(F.collect_list("path").alias("paths"))
         paths = [p for r in crowded.filter(F.size("paths") >= files).select("paths").collect() for p in r.paths]
         if paths:
             try:

@@ -307,7 +307,7 @@ def test_a_reader_begins_at_a_snapshot_and_ignores_an_unfinished_one(spark, tmp_
 
     log = tablelog.TableLog(spark, str(tmp_path / "t"), hs.SAVES, "run_id", "created_at")
     for i in range(tablelog.SNAPSHOT + 1):
-        log.commit([{"path": f"data/x/{i}.parquet", "bucket": i % 3, "rows": 1, "bytes": 10, "least_key": "a", "greatest_key": "z", "least_time": None, "greatest_time": None}])
+        log.commit([{"path": f"data/x/{i}.parquet", "bucket": i % 3, "buckets": 3, "rows": 1, "bytes": 10, "least_key": "a", "greatest_key": "z", "least_time": None, "greatest_time": None}])
     assert log.live().count() == tablelog.SNAPSHOT + 1
     spark.range(1).write.parquet(f"{log.root}/_snapshots/{tablelog.SNAPSHOT + 1}/part")
     assert log.live().count() == tablelog.SNAPSHOT + 1
