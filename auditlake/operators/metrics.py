@@ -171,37 +171,52 @@ def _located(counts: DataFrame, keys: list[str], at: str, carried: list[str]) ->
 def value_at_fraction(
     rows: DataFrame, value: str, fractions: dict[str, float], keys: Sequence[str] = RUN
 ) -> DataFrame:
-    """Exact order statistics per key: the element at 0-based place int(n * fraction) of the sorted values.
+    """Exact order statistics per key: the element at 0-based place int(n * fraction) of the sorted values."""
+    return values_at_fractions(rows, {value: fractions}, keys)
 
-    Equal values are counted before the shuffle. Counts per order-keeping bucket locate the bucket of each wanted place,
-    counts per part of that bucket the part; only the values of the parts are ranked. Values that lie close
+
+def values_at_fractions(
+    rows: DataFrame, wanted: dict[str, dict[str, float]], keys: Sequence[str] = RUN
+) -> DataFrame:
+    """The same for several columns of one type at once: ``wanted`` names the fractions of each column.
+
+    Two passes over the rows, whatever the number of columns and fractions. The first counts per order-keeping bucket, merged
+    before its shuffle, and locates the bucket of each wanted place; the second counts the equal values of those
+    buckets alone, which are kept, cut into equal parts, and ranked within the part of the place. Values that lie close
     together, small ones or ones with a common offset, share a bucket but spread over its parts.
     """
-    keys = list(keys)
-    counted = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("v"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("bucket", order_bucket(F.col("v")))
-    )
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("fraction")) for n, f in fractions.items()]))
+    keys, columns = list(keys), list(wanted)
+    given = rows.select(*keys, F.lit(columns[0]).alias("column"), F.col(columns[0]).alias("v"))
+    if len(columns) > 1:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns])
+        given = rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
+    given = given.filter(F.col("v").isNotNull()).withColumn("bucket", order_bucket(F.col("v")))
+    asked = [(c, n, f) for c, fractions in wanted.items() for n, f in fractions.items()]
+    all_asked = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(n).alias("name"), F.lit(f).alias("fraction")) for c, n, f in asked])
+    own = [*keys, "column"]
     buckets = (
-        counted.groupBy(*keys, "bucket")
-        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-        .withColumn("w", wanted)
-        .select(*keys, "bucket", "n", "low", "high", "w.name", F.floor(F.col("total") * F.col("w.fraction")).alias("place"))
+        given.groupBy(*own, "bucket")
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .withColumn("total", F.sum("n").over(Window.partitionBy(*own)))
+        .withColumn("w", F.explode(F.filter(all_asked, lambda w: w["column"] == F.col("column"))))
+        .select(*own, "bucket", "n", "low", "high", "w.name", F.floor(F.col("total") * F.col("w.fraction")).alias("place"))
     )
-    bucket = _located(buckets, keys, "bucket", ["low", "high"])
+    bucket = _located(buckets, own, "bucket", ["low", "high"])
     width = F.col("high").cast("double") - F.col("low").cast("double")
     offset = F.col("v").cast("double") - F.col("low").cast("double")
     part = F.when(width > 0, F.floor(offset / width * _PARTS)).otherwise(F.lit(0)).cast("bigint")
-    inside = counted.join(bucket, [*keys, "bucket"]).withColumn("part", part)
-    parts = inside.groupBy(*keys, "name", "part").agg(F.sum("n").alias("n"), F.first("place").alias("place"))
-    found = _located(parts, keys, "part", [])
-    values = inside.select(*keys, "name", "part", "v", "n").join(found, [*keys, "name", "part"])
-    picked = _located(values, keys, "v", [])
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in fractions])
+    # One row for each key and place on the other side: rows of other buckets leave with the join.
+    inside = checkpointed(
+        given.join(bucket, [*own, "bucket"])
+        .withColumn("part", part)
+        .groupBy(*own, "name", "part", "v")
+        .agg(F.count("*").alias("n"), F.first("place").alias("place"))
+    )
+    parts = inside.groupBy(*own, "name", "part").agg(F.sum("n").alias("n"), F.first("place").alias("place"))
+    found = _located(parts, own, "part", [])
+    values = inside.drop("place").join(found, [*own, "name", "part"])
+    picked = _located(values, own, "v", [])
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for _, n, _ in asked])
 
 
 def latency_percentiles(usage: DataFrame, latency: str = "latency_ms") -> DataFrame:
@@ -238,6 +253,46 @@ def usage_metrics(usage: DataFrame) -> DataFrame:
     )
 
 
+_COUNTED = "array<struct<regulation:string,violations:bigint>>"
+
+
+def result_metrics(results: DataFrame, registry: DataFrame) -> DataFrame:
+    """Violations by severity and by regulation, and the known regulations covered, in one row per run (M10-M12).
+
+    The results are read once. Equal ones are counted, what each count says of a severity or a regulation is added up, and the
+    sums of a run, as many as its catalog has severities and regulations, make its row.
+    """
+    counted = results if "n" in results.columns else tally(results)
+    failures = F.when(F.col("passed"), F.lit(0)).otherwise(F.col("n")).cast("bigint")
+
+    def said(what: str, names: Column, n: Column) -> Column:
+        return F.transform(names, lambda name: F.struct(F.lit(what).alias("what"), name.alias("name"), n.alias("n")))
+
+    cited = F.when(F.size("regulations") > 0, F.col("regulations")).otherwise(F.array(F.lit(UNSPECIFIED)))
+    no = F.lit(0).cast("bigint")
+    statements = F.concat(
+        said("severity", F.array("severity"), failures), said("cited", cited, failures), said("covered", F.col("regulations"), no)
+    )
+    sums = counted.select(*RUN, F.explode(statements).alias("s")).groupBy(*RUN, "s.what", "s.name").agg(F.sum("s.n").alias("n"))
+    known = registry.select(F.col("id").alias("name"), F.lit(True).alias("known")).distinct()
+    is_ = F.col("what") == "cited"
+    return (
+        sums.join(known, "name", "left")
+        .groupBy(*RUN)
+        .agg(
+            *[
+                F.coalesce(F.sum(F.when((F.col("what") == "severity") & (F.col("name") == s), F.col("n"))), no).alias(f"violations_{s}")
+                for s in SEVERITY_WEIGHTS
+            ],
+            F.array_sort(
+                F.collect_list(F.when(is_ & (F.col("n") > 0), F.struct((-F.col("n")).alias("k"), F.col("name"), F.col("n"))))
+            ).alias("violations_by_regulation"),
+            F.array_sort(F.collect_list(F.when((F.col("what") == "covered") & F.col("known"), F.col("name")))).alias("regulations_covered"),
+        )
+        .withColumn("violations_by_regulation", F.transform("violations_by_regulation", lambda e: F.struct(e["name"], e["n"])).cast(_COUNTED))
+    )
+
+
 def run_metrics(
     attempts: DataFrame, results: DataFrame, registry: DataFrame, usage: DataFrame | None = None, k: int = 1
 ) -> DataFrame:
@@ -245,21 +300,15 @@ def run_metrics(
 
     The results are read once, for a tally that the counts of severities and regulations and the coverage share.
     """
-    results = checkpointed(tally(results))
     outcome = outcome_metrics(attempts).withColumn("k", F.lit(k))
-    counts = violations_by_regulation(results)
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("violations")).alias("k"), F.col("regulation"), F.col("violations")))
-    )
-    by_regulation = counts.groupBy(*RUN).agg(
-        F.transform(ordered, lambda e: F.struct(e["regulation"], e["violations"])).alias("violations_by_regulation")
-    )
-    joined = outcome.join(violations_by_severity(results), RUN, "left").join(by_regulation, RUN, "left")
-    joined = with_coverage(joined, results, registry)
-    zero_counts = {f"violations_{s}": 0 for s in SEVERITY_WEIGHTS}
-    joined = joined.fillna(zero_counts).withColumn(
-        "violations_by_regulation",
-        F.coalesce("violations_by_regulation", F.array().cast("array<struct<regulation:string,violations:bigint>>")),
+    total = registry.agg(F.count_distinct("id")).scalar()
+    joined = (
+        outcome.join(result_metrics(results, registry), RUN, "left")
+        .fillna({f"violations_{s}": 0 for s in SEVERITY_WEIGHTS})
+        .withColumn("violations_by_regulation", F.coalesce("violations_by_regulation", F.array().cast(_COUNTED)))
+        .withColumn("regulations_covered", F.coalesce("regulations_covered", F.array().cast("array<string>")))
+        .withColumn("regulations_total", total)
+        .withColumn("compliance_coverage", ratio(F.size("regulations_covered"), F.col("regulations_total")))
     )
     if usage is None:
         return joined

@@ -177,6 +177,31 @@ USAGE_SQL = """usage AS (
   FROM events)"""
 
 
+def conversation_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of the conversations, a hundred events being the model calls of one: errors and sign-ups are the judge's."""
+    e = table(spark, sf_dir, "events").withColumn("conv_id", F.floor(F.col("event_id") / 100))
+    return e.select(
+        F.concat(F.lit("run_"), (F.col("conv_id") % 3).cast("string")).alias("run_id"),
+        F.concat(F.lit("s"), F.lpad((F.col("conv_id") % 16).cast("string"), 2, "0")).alias("scenario_id"),
+        F.floor(F.col("conv_id") / 48).cast("int").alias("attempt"),
+        F.when(F.col("event_type").isin("error", "signup"), F.lit("judge")).otherwise(F.lit("agent")).alias("source"),
+        (F.col("event_id") % 1000).alias("prompt_tokens"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("completion_tokens"),
+        (F.col("value") / 1000).alias("cost_usd"),
+        F.col("value").alias("latency_ms"),
+        F.lit(1).cast("bigint").alias("model_calls"),
+    )
+
+
+CONVERSATION_USAGE_SQL = """usage AS (
+  SELECT 'run_' || (event_id // 100 % 3) AS run_id, 's' || lpad(CAST(event_id // 100 % 16 AS VARCHAR), 2, '0') AS scenario_id,
+         CAST(event_id // 100 // 48 AS INTEGER) AS attempt,
+         CASE WHEN event_type IN ('error', 'signup') THEN 'judge' ELSE 'agent' END AS source,
+         event_id % 1000 AS prompt_tokens, CAST(json_extract_string(props, '$.k') AS BIGINT) AS completion_tokens,
+         value / 1000 AS cost_usd, value AS latency_ms, 1 AS model_calls
+  FROM events)"""
+
+
 def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as agent turns with one tool call each."""
     e = table(spark, sf_dir, "events")

@@ -159,9 +159,8 @@ SELECT run_id, v[len(v) // 2 + 1] AS p50_latency_ms, v[CAST(floor(len(v) * 0.9::
 def price_percentiles(spark, sf):
     """The same over the prices of all line items, a run per return flag, and over discounts with many equal values."""
     li = src.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "run_id")
-    price = mt.value_at_fraction(li, "l_extendedprice", {"p50_price": 0.5, "p90_price": 0.9, "p99_price": 0.99})
-    discount = mt.value_at_fraction(li, "l_discount", {"p50_discount": 0.5, "p90_discount": 0.9})
-    return price.join(discount, "run_id")
+    prices = {"p50_price": 0.5, "p90_price": 0.9, "p99_price": 0.99}
+    return mt.values_at_fractions(li, {"l_extendedprice": prices, "l_discount": {"p50_discount": 0.5, "p90_discount": 0.9}})
 
 
 PRICE_PERCENTILES = """WITH l AS (SELECT l_returnflag AS run_id, list(l_extendedprice ORDER BY l_extendedprice) AS p,
@@ -206,10 +205,14 @@ _SPLIT_SQL = f"split AS (SELECT run_id, scenario_id, attempt, {{}} FROM usage GR
 _USAGE_METRICS_SQL = f"usage_metrics AS (SELECT run_id, {_usage_columns_sql()} FROM split GROUP BY run_id)"
 
 
-def _split_sql() -> str:
+def _split_columns() -> str:
     from auditlake.plans.transcript_queries import SPLIT_COLUMNS_SQL
 
-    return _SPLIT_SQL.format(SPLIT_COLUMNS_SQL)
+    return SPLIT_COLUMNS_SQL
+
+
+def _split_sql() -> str:
+    return _SPLIT_SQL.format(_split_columns())
 
 
 USAGE_METRICS = f"WITH {src.USAGE_SQL}, {_split_sql()}, {_USAGE_METRICS_SQL} SELECT * FROM usage_metrics"
@@ -226,9 +229,9 @@ def _flat(metrics):
 
 
 def run_metrics(spark, sf):
-    """All metrics of the evaluated conversations. Their usage: one scripted agent call per agent turn."""
+    """All metrics of the evaluated conversations. Their usage is recorded in the events, a hundred for each of them."""
     attempts = checkpointed(conversation_attempts(spark, sf))
-    calls = src.turns(spark, sf).filter("role = 'agent'").select(*K, *tr.scripted_usage("agent"))
+    calls = src.conversation_usage(spark, sf)
     usage = attempts.select(*K).join(tr.split_usage(calls), K, "left").fillna(0)
     return _flat(mt.run_metrics(attempts, ck.results_of(attempts), _registry(spark, sf), usage, k=2))
 
@@ -240,20 +243,16 @@ severity AS (SELECT run_id, {_SEVERITY_COLUMNS_SQL} FROM results GROUP BY run_id
 regs AS (SELECT run_id, string_agg(regulation || '=' || violations, ',' ORDER BY violations DESC, regulation) AS violations_by_regulation
   FROM counts GROUP BY run_id),
 {_COVERAGE_SQL.replace('FROM results', 'FROM listed')},
-calls AS (SELECT t.run_id, t.scenario_id, t.attempt,
-    CAST((SELECT count(*) FROM turns u WHERE u.run_id = t.run_id AND u.scenario_id = t.scenario_id AND u.attempt = t.attempt
-      AND u.role = 'agent') AS BIGINT) AS n FROM texts t),
-latency AS (SELECT run_id, list(n * 2.0::DOUBLE ORDER BY n) AS v, CAST(sum(n) AS BIGINT) AS n, count(*) AS attempts FROM calls GROUP BY run_id)
+{src.CONVERSATION_USAGE_SQL}, called AS (SELECT run_id, scenario_id, attempt, {_split_columns()} FROM usage GROUP BY ALL),
+split AS (SELECT a.run_id, COLUMNS(c.* EXCLUDE (run_id, scenario_id, attempt)) FROM attempts a LEFT JOIN called c
+  ON c.run_id = a.run_id AND c.scenario_id = a.scenario_id AND c.attempt = a.attempt),
+spent AS (SELECT run_id, coalesce(COLUMNS(* EXCLUDE (run_id)), 0) FROM split), {_USAGE_METRICS_SQL.replace("FROM split", "FROM spent")},
+latency AS (SELECT run_id, list(latency_ms ORDER BY latency_ms) AS v FROM spent GROUP BY run_id)
 SELECT o.*, 2 AS k, violations_info, violations_low, violations_medium, violations_high, violations_critical,
   coalesce(violations_by_regulation, '') AS violations_by_regulation, regulations_covered, regulations_total, compliance_coverage,
-  0.0::DOUBLE AS cost_usd_total, 0.0::DOUBLE AS cost_usd_per_run, n * 2.0::DOUBLE AS latency_ms_total,
-  n * 2.0::DOUBLE / attempts AS latency_ms_per_run, n * 120 AS tokens_prompt, n * 80 AS tokens_completion, n AS model_calls,
-  0::BIGINT AS judge_tokens_prompt, 0::BIGINT AS judge_tokens_completion, 0.0::DOUBLE AS judge_cost_usd_total,
-  0.0::DOUBLE AS judge_latency_ms_total, 0::BIGINT AS judge_model_calls,
-  attempts / (n * 2.0::DOUBLE / 1000.0::DOUBLE) AS throughput_runs_per_sec,
-  v[len(v) // 2 + 1] AS p50_latency_ms, v[CAST(floor(len(v) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90_latency_ms
+  u.* EXCLUDE (run_id), v[len(v) // 2 + 1] AS p50_latency_ms, v[CAST(floor(len(v) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90_latency_ms
 FROM outcome o JOIN severity s ON s.run_id = o.run_id LEFT JOIN regs r ON r.run_id = o.run_id
-JOIN coverage c ON c.run_id = o.run_id JOIN latency l ON l.run_id = o.run_id"""
+JOIN coverage c ON c.run_id = o.run_id JOIN usage_metrics u ON u.run_id = o.run_id JOIN latency l ON l.run_id = o.run_id"""
 
 
 def item_run_metrics(spark, sf):
