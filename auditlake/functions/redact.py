@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.pii import DETECTORS, Detector, detect
 from auditlake.functions.text import let
+from auditlake.session import remembered
 
 # The marker and the pattern for names of secret or financial fields.
 SENSITIVE_MARK = "[REDACTED:SENSITIVE]"
@@ -77,6 +78,13 @@ def redact_text(
     return let(masked, lambda t: mask_findings(t, detect(t, detectors=detectors)))
 
 
+def redacted_column(name: str, sensitive_values: str | None = None, detectors: Iterable[Detector] = DETECTORS) -> Column:
+    """The same for a column, given by name as its run's sensitive values are; built once per JVM."""
+    detectors = tuple(detectors)
+    values = F.col(sensitive_values) if sensitive_values else None
+    return remembered(("redacted", name, sensitive_values, detectors), lambda: redact_text(F.col(name), values, detectors))
+
+
 # --- JSON objects without nesting: native -------------------------------------------------
 
 
@@ -205,11 +213,15 @@ def json_strings(doc: Column) -> Column:
 def redact_json(
     rows: DataFrame,
     column: str,
-    sensitive_values: Column | None = None,
+    sensitive_values: str | None = None,
     detectors: Iterable[Detector] = DETECTORS,
 ) -> DataFrame:
-    """The rows with the JSON values of ``column``, of any depth, redacted."""
+    """The rows with the JSON values of ``column``, of any depth, redacted; ``sensitive_values`` names a column of them."""
     _, open_strings, with_strings = _json_walkers()
     detectors = tuple(detectors)
-    safe = F.transform(open_strings(column), lambda s: redact_text(s, sensitive_values, detectors))
+    values = F.col(sensitive_values) if sensitive_values else None
+    safe = remembered(
+        ("redacted JSON", column, sensitive_values, detectors),
+        lambda: F.transform(open_strings(column), lambda s: redact_text(s, values, detectors)),
+    )
     return rows.withColumn("_safe", safe).withColumn(column, with_strings(column, "_safe")).drop("_safe")

@@ -29,6 +29,7 @@ from auditlake.functions.severity import severity_weight
 from auditlake.functions.text import STRIP_CHARS, has_pattern, has_phrase, json_valid, let, strip
 from auditlake.operators.transcripts import MONEY, agent_text, all_text, tool_names
 from auditlake.schemas import ATTEMPT_KEY, CHECK_RESULT
+from auditlake.session import remembered
 
 CHECK_FIELDS = [
     "check_pos", "check_id", "type", "severity", "regulations", "patterns", "case_sensitive", "must_appear", "scope",
@@ -102,9 +103,10 @@ def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = (), regex: b
     ``needs_text``, ``needs_pii`` and ``needs_length`` are structs of flags for agent turns and for all turns.
     """
     kind = F.col("type")
-    lengths, pii = kind.isin(*LENGTH_TYPES), kind == "no_pii_leak"
     own = kind.isin(*replaced)
-    text = own | (~F.col("local") & ~kind.isin(*TEXT_FREE_TYPES, *LENGTH_TYPES, "no_pii_leak"))
+
+    def text() -> Column:
+        return own | (~F.col("local") & ~kind.isin(*TEXT_FREE_TYPES, *LENGTH_TYPES, "no_pii_leak"))
 
     def needed(what: Column, name: str) -> Column:
         everywhere = F.col("scope") == "all"
@@ -112,28 +114,32 @@ def checks_by_scenario(checks: DataFrame, replaced: Sequence[str] = (), regex: b
             F.bool_or(what & ~everywhere).alias("agent"), F.bool_or(what & everywhere).alias("everything")
         ).alias(name)
 
-    # Positions of the patterns that empty text satisfies, found once per check.
-    at_empty = F.when(
-        kind.isin(*PHRASE_TYPES), F.filter(F.sequence(F.lit(0), F.size("patterns")), lambda i: F.get("patterns", i) == "")
-    ).when(
-        kind == "regex", F.filter(F.sequence(F.lit(0), F.size("patterns")), lambda i: F.rlike(F.lit(""), F.get("compiled", i)))
-    )
-    translated = F.lit(None).cast("array<string>")
-    if regex:
-        translated = java_patterns(F.when(kind == "regex", F.col("patterns")), F.col("case_sensitive"), F.col("check_id"))
-    return (
-        with_check_defaults(checks)
-        .withColumn("local", turn_local() & ~own)
-        .withColumn("compiled", translated)
-        .withColumn("at_empty", F.coalesce(at_empty, F.array().cast("array<int>")))
-        .groupBy("scenario_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local", "compiled", "at_empty"))).alias("checks"),
-            needed(text, "needs_text"),
-            needed(pii, "needs_pii"),
-            needed(lengths, "needs_length"),
-        )
-    )
+    def at_empty() -> Column:
+        """Positions of the patterns that empty text satisfies, found once per check."""
+        places = F.sequence(F.lit(0), F.size("patterns"))
+        by_phrase = F.filter(places, lambda i: F.get("patterns", i) == "")
+        by_pattern = F.filter(places, lambda i: F.rlike(F.lit(""), F.get("compiled", i)))
+        return F.when(kind.isin(*PHRASE_TYPES), by_phrase).when(kind == "regex", by_pattern)
+
+    def translated() -> Column:
+        if not regex:
+            return F.lit(None).cast("array<string>")
+        return java_patterns(F.when(kind == "regex", F.col("patterns")), F.col("case_sensitive"), F.col("check_id"))
+
+    made = {
+        "local": lambda: turn_local() & ~own,
+        "compiled": translated,
+        "at_empty": lambda: F.coalesce(at_empty(), F.array().cast("array<int>")),
+        "checks": lambda: F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS, "local", "compiled", "at_empty"))).alias("checks"),
+        "needs_text": lambda: needed(text(), "needs_text"),
+        "needs_pii": lambda: needed(kind == "no_pii_leak", "needs_pii"),
+        "needs_length": lambda: needed(kind.isin(*LENGTH_TYPES), "needs_length"),
+    }
+    part = {name: remembered(("catalog", name, tuple(replaced), regex), build) for name, build in made.items()}
+    rows = with_check_defaults(checks)
+    for name in ("local", "compiled", "at_empty"):
+        rows = rows.withColumn(name, part[name])
+    return rows.groupBy("scenario_id").agg(*[part[n] for n in ("checks", "needs_text", "needs_pii", "needs_length")])
 
 
 # The message of a passed and of a failed check, by kind.
@@ -341,13 +347,26 @@ def evaluate_attempts(
     check_types = CHECK_TYPES if check_types is None else check_types
     detectors = tuple(detectors)
     have = set(attempts.columns)
+    catalog_rows = checks_by_scenario(checks, replaced_kinds(check_types), "regex" in check_types)
+    joined = attempts.join(catalog_rows, "scenario_id", "left")
+    known_patterns = tuple(known_patterns)
+    key = ("check_results", frozenset(have & _READ), tuple(check_types.items()), detectors, known_patterns)
+    evaluated = remembered(key, lambda: _check_results(have, check_types, detectors, known_patterns))
+    return joined.withColumn("check_results", evaluated).drop("checks", "needs_text", "needs_pii", "needs_length")
+
+
+# Columns of an attempt that the checks read where it has them.
+_READ = {"agent_text", "all_text", "tools", "agent_latency_ms", "judge", "hits", "turns"}
+
+
+def _check_results(
+    have: set[str], check_types: dict[str, Evaluator], detectors: Sequence[Detector], known_patterns: Sequence[str]
+) -> Column:
+    """The results of an attempt that has these columns, for the checks of its scenario."""
     empty = F.lit("")
     has_judge = "judge" in have
     has_hits = "hits" in have
     has_parts = "turns" in have and "hits" in have
-
-    catalog_rows = checks_by_scenario(checks, replaced_kinds(check_types), "regex" in check_types)
-    joined = attempts.join(catalog_rows, "scenario_id", "left")
     catalog = F.col("checks")
     agent = F.coalesce(F.col("agent_text"), empty) if "agent_text" in have else empty
     everything = F.coalesce(F.col("all_text"), empty) if "all_text" in have else empty
@@ -430,10 +449,7 @@ def evaluate_attempts(
         return F.transform(catalog, evaluate)
 
     none = F.array().cast(f"array<{CHECK_RESULT}>")
-    evaluated = F.coalesce(let(row, results).cast(f"array<{CHECK_RESULT}>"), none)
-    return joined.withColumn("check_results", evaluated).drop(
-        "checks", "needs_text", "needs_pii", "needs_length"
-    )
+    return F.coalesce(let(row, results).cast(f"array<{CHECK_RESULT}>"), none)
 
 
 def nested_attempts(transcripts: DataFrame) -> DataFrame:
@@ -560,7 +576,7 @@ def _tested(
         turns.withColumn("content", F.coalesce(F.col("content"), F.lit("")))
         .withColumn("tools", tools)
         .join(checks_by_scenario(checks, replaced, regex), "scenario_id", "left")
-        .withColumn("hits", _turn_hits(known_patterns))
+        .withColumn("hits", remembered(("turn hits", tuple(known_patterns)), lambda: _turn_hits(known_patterns)))
     )
 
 

@@ -21,9 +21,10 @@ from auditlake.functions.redact import (
     masking_steps,
     redact_json,
     redact_text,
+    redacted_column,
 )
 from auditlake.schemas import ATTEMPT_KEY
-from auditlake.session import checkpointed
+from auditlake.session import checkpointed, remembered
 
 # A run with at most this many sensitive values carries them along with its texts.
 VALUES_PER_RUN = 256
@@ -158,9 +159,9 @@ def redact_columns(
     """A copy with the text columns redacted; ``values`` are the sensitive values per run."""
     detectors = tuple(detectors)
     if values is None:
-        return texts.withColumns({c: redact_text(F.col(c), None, detectors) for c in columns})
+        return texts.withColumns({c: redacted_column(c, None, detectors) for c in columns})
     marked = with_sensitive_values(texts, keys, columns, values, run, limit)
-    return marked.withColumns({c: redact_text(F.col(c), F.col("sensitive"), detectors) for c in columns}).drop("sensitive")
+    return marked.withColumns({c: redacted_column(c, "sensitive", detectors) for c in columns}).drop("sensitive")
 
 
 # Tool calls read back from JSON: arguments and results may be anything.
@@ -212,8 +213,8 @@ def redact_turns(
     calls = calls.withColumn("_open", json_strings(F.col("_calls")))
     marked = with_sensitive_values(calls, keys, ["content", "_open"], values, limit=limit)
     return (
-        redact_json(marked, "_calls", F.col("sensitive"), detectors)
-        .withColumn("content", redact_text(F.col("content"), F.col("sensitive"), detectors))
+        redact_json(marked, "_calls", "sensitive", detectors)
+        .withColumn("content", redacted_column("content", "sensitive", detectors))
         .withColumn("tool_calls", _calls_from_json(F.from_json("_calls", _CALLS)))
         .select(*turns.columns)
     )
@@ -238,26 +239,33 @@ def redact_recorded(
     rows = rows.withColumn("_open", F.concat(*[json_strings(F.col(c)) for c in ("_calls", *open_ended)]))
     marked = with_sensitive_values(rows, ATTEMPT_KEY, ["_said", "_open"], values, limit=limit).drop("_said", "_open")
     for column in open_ended:
-        marked = redact_json(marked, column, F.col("sensitive"), detectors)
+        marked = redact_json(marked, column, "sensitive", detectors)
 
     def safe(text: Column) -> Column:
         return redact_text(text, F.col("sensitive"), detectors)
 
-    redacted = redact_json(marked, "_calls", F.col("sensitive"), detectors).withColumn(
+    redacted = redact_json(marked, "_calls", "sensitive", detectors).withColumn(
         "_calls", F.from_json("_calls", f"array<{_CALLS}>")
     )
-    turns = F.transform(
-        "turns",
-        lambda t, i: F.struct(
-            t["role"].alias("role"),
-            safe(t["content"]).alias("content"),
-            _calls_from_json(F.get("_calls", i)).alias("tool_calls"),
-        ),
-    )
-    results = F.transform(
-        "check_results", lambda r: r.withField("message", safe(r["message"])).withField("evidence", safe(r["evidence"]))
-    )
-    texts = {c: safe(F.col(c)) for c in plain}
+
+    def safe_turns() -> Column:
+        return F.transform(
+            "turns",
+            lambda t, i: F.struct(
+                t["role"].alias("role"),
+                safe(t["content"]).alias("content"),
+                _calls_from_json(F.get("_calls", i)).alias("tool_calls"),
+            ),
+        )
+
+    def safe_results() -> Column:
+        return F.transform(
+            "check_results", lambda r: r.withField("message", safe(r["message"])).withField("evidence", safe(r["evidence"]))
+        )
+
+    turns = remembered(("recorded turns", detectors), safe_turns)
+    results = remembered(("recorded results", detectors), safe_results)
+    texts = {c: redacted_column(c, "sensitive", detectors) for c in plain}
     return redacted.withColumns({**texts, "turns": turns, "check_results": results}).select(*recorded.columns)
 
 

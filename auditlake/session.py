@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Run-time settings: time zone for timestamp text, adaptive execution for skewed
 # joins, and duplicate JSON keys accepted by the JSON validity test.
@@ -40,6 +42,27 @@ def local_session(app: str = "auditlake", cores: str = "*", shuffle_partitions:
     return spark
 
 
+_expressions: dict[tuple, tuple[object, Column]] = {}
+
+
+def remembered(key: tuple, build: Callable[[], Column]) -> Column:
+    """An expression over names alone, built once per JVM.
+
+    Building a large one takes thousands of calls from Python to the JVM, seconds in all, which an application that
+    evaluates batch after batch need not repeat. The key must say all that the expression depends on.
+    """
+    gateway = SparkContext._gateway
+    try:
+        known = _expressions.get((id(gateway), *key))
+    except TypeError:  # a part of the key that cannot be compared
+        return build()
+    if known is None:
+        if len(_expressions) >= 256:
+            _expressions.clear()
+        known = _expressions[(id(gateway), *key)] = gateway, build()
+    return known[1]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names, set for this session."""
     context = spark.sparkContext

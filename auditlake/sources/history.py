@@ -97,7 +97,7 @@ def runs_with_tag(
 def redacted_payloads(runs: DataFrame, detectors: Iterable = DETECTORS) -> DataFrame:
     """Runs whose payload, JSON of any depth, is redacted by its own sensitive values and by the detectors."""
     own = runs.withColumn("_own", json_sensitive_values(F.col("payload")))
-    return redact_json(own, "payload", F.col("_own"), detectors).select(*runs.columns)
+    return redact_json(own, "payload", "_own", detectors).select(*runs.columns)
 
 
 def summarize_runs(runs: DataFrame, metrics: DataFrame) -> DataFrame:
