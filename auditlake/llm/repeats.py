@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import arrow_schema, by_rows, saved, text_or_empty
+from auditlake.llm.common import arrow_schema, by_rows, discard, new_folder, saved, text_or_empty
 from auditlake.llm.shingles import mixed
 
 LENGTH = 400
@@ -246,6 +246,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _cut(keyed: DataFrame, length: int, with_text: bool, large: int) -> DataFrame:
     """key, n_removed, n_spans, digest of the texts that lose bytes, and the kept text where asked for."""
     core = length - reach_of(length) + 1
+    spark, folders = keyed.sparkSession, {}
+
+    def for_now(rows: DataFrame, name: str) -> DataFrame:
+        folders[name] = new_folder(spark, name)
+        return saved(rows, name, folders[name])
+
+    def done(*names: str) -> None:
+        """Remove tables after their last reader, so that they do not add up on disk."""
+        discard(spark, *[folders.pop(name) for name in names])
 
     def make():
         def step(batch):
@@ -259,28 +268,30 @@ def _cut(keyed: DataFrame, length: int, with_text: bool, large: int) -> DataFram
         return step
 
     long_enough = keyed.where(F.octet_length("body") >= length)
-    found = saved(by_rows(long_enough.select("key", "body"), "key long, places array<int>, cores array<long>", make), "anchors")
+    found = for_now(by_rows(long_enough.select("key", "body"), "key long, places array<int>, cores array<long>", make), "anchors")
     found = found.select("key", F.explode(F.arrays_zip("places", "cores")).alias("a")).select("key", "a.places", "a.cores")
-    often = saved(found.groupBy("cores").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cores"), "beginnings")
+    often = for_now(found.groupBy("cores").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cores"), "beginnings")
     places = found.join(often, "cores").groupBy("key").agg(F.collect_set("places").alias("places"))
-    texts = saved(long_enough.select("key", "body").join(places, "key"), "repeating-texts")
-    contexts = saved(_contexts(texts, length), "contexts")
+    texts = for_now(long_enough.select("key", "body").join(places, "key"), "repeating-texts")
+    done("anchors", "beginnings")
+    contexts = for_now(_contexts(texts, length), "contexts")
 
     names = ["c1", "c2", "x1", "x2"]
     # Bytes travel only for blocks that hold different contexts, of each context once.
     classes = contexts.groupBy(*names).agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "place")).alias("at"), F.first("nearest").alias("nearest"), F.first("farthest").alias("farthest")
     )
-    classes = saved(classes, "context-classes")
+    classes = for_now(classes, "context-classes")
     blocks = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least"))
-    blocks = saved(blocks.where("m > 1 and least = 1").select("c1", "c2", "m"), "mixed-blocks")
-    mixed_ = saved(_with_bytes(classes.join(blocks, ["c1", "c2"]), texts, length), "mixed-contexts")
+    blocks = for_now(blocks.where("m > 1 and least = 1").select("c1", "c2", "m"), "mixed-blocks")
+    mixed_ = for_now(_with_bytes(classes.join(blocks, ["c1", "c2"]), texts, length), "mixed-contexts")
     spans = _refined(mixed_.where(F.col("m") <= large), length).union(_counted(mixed_.where(F.col("m") > large), length))
     # A context that occurs twice has all its windows repeated.
     whole = F.array(F.struct((-F.col("farthest")).alias("start"), (length - F.col("nearest")).alias("end")))
     whole = classes.where("times > 1").select(*names, whole.alias("spans"))
     once = classes.where("times = 1").select(*names)
-    spans = saved(spans.join(once, names, "left_semi").union(whole).where(F.size("spans") > 0), "spans")
+    spans = for_now(spans.join(once, names, "left_semi").union(whole).where(F.size("spans") > 0), "spans")
+    done("context-classes", "mixed-blocks", "mixed-contexts")
 
     covered = contexts.select("key", "place", *names).join(spans, names)
     covered = covered.select("key", F.explode("spans").alias("s"), "place")
@@ -304,7 +315,9 @@ def _cut(keyed: DataFrame, length: int, with_text: bool, large: int) -> DataFram
 
     ddl = "key long, n_removed long, n_spans long, digest string" + (", kept string" if with_text else "")
     cut = by_rows(texts.dropDuplicates(["key"]).select("key", "body").join(covered, "key"), ddl, make_cut)
-    return saved(cut, "cut-texts")
+    cut = saved(cut, "cut-texts")
+    done(*list(folders))
+    return cut
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
