@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import chosen_path, decontaminate, packing, quality, repeats
-from auditlake.llm.common import saved, table
+from auditlake.llm.common import discard, new_folder, saved, table
 from auditlake.llm.queries import tokenizer_file
 
 # Passages repeated across documents are cut from about forty words on.
@@ -53,7 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage before it is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = new_folder(spark, f"pipeline-{name}")
+        docs = saved(stage(spark, docs, sf_dir), name, folder)
+        if before:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
