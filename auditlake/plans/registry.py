@@ -9,6 +9,7 @@ from auditlake.plans import (
     metric_queries,
     pii_queries,
     transcript_queries,
+    trend_queries,
 )
 
 ALL = {
@@ -18,6 +19,7 @@ ALL = {
     **metric_queries.QUERIES,
     **catalog_queries.QUERIES,
     **history_queries.QUERIES,
+    **trend_queries.QUERIES,
 }
 
 FLAGSHIP = "run_metrics"
