@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import pii
 from auditlake.functions import redact as rd
-from auditlake.operators import profile, redaction
+from auditlake.operators import leaks, profile, redaction
 from auditlake.plans import inputs as src
 from auditlake.sources.transcripts import redacted_artifacts as redacted_run
 
@@ -131,6 +131,21 @@ SELECT count(*) FILTER (WHERE len(fs) > 0) AS leaking_before,
        count(*) FILTER (WHERE len({src.findings_sql('clean')}) > 0) AS leaking_after FROM clean"""
 
 
+def leak_paths(spark, sf):
+    """Every finding in the tool results of customers, held as JSON within calls, with its path."""
+    call = F.struct(F.col("c_custkey").alias("number"), F.struct(F.col("doc").alias("body"), F.lit("none").alias("state")).alias("result"))
+    rows = _records(spark, sf).select("c_custkey", F.array(F.struct(F.lit(0).cast("bigint").alias("number"), F.lit(None).cast("struct<body:string,state:string>").alias("result")), call).alias("calls"))
+    found = leaks.leak_paths(rows, ["c_custkey"])
+    return found.groupBy("path", "type").agg(F.count("*").alias("found"), F.min("preview").alias("first_preview"))
+
+
+# The account number is announced by the name of its field, so it is found in the object as a whole.
+LEAK_PATHS = """WITH f AS (SELECT c_custkey, unnest(['email', 'phone', 'bank_account']) AS type FROM customer)
+SELECT 'calls[1].result.body' || CASE type WHEN 'email' THEN ':$.secret.hint' WHEN 'phone' THEN ':$.note' ELSE '' END AS path, type, count(*) AS found,
+  min(CASE type WHEN 'email' THEN 'email:****' ELSE type || ':****' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') END) AS first_preview
+FROM f GROUP BY ALL"""
+
+
 # Field names, some of them sensitive, to be combined with table values.
 FIELD_NAMES = [
     "account_id", "to_account", "pin", "spinner", "prompt_tokens", "api key", "API-KEY", "access_token", "tokens",
@@ -299,6 +314,7 @@ QUERIES = {
     "redacted_documents": (redacted_documents, REDACTED_DOCUMENTS),
     "redacted_messages": (redacted_messages, REDACTED_MESSAGES),
     "redaction_leak_audit": (leak_audit, LEAK_AUDIT),
+    "redaction_leak_paths": (leak_paths, LEAK_PATHS),
     "sensitive_keys": (sensitive_keys, SENSITIVE_KEYS),
     "sensitive_values": (harvested_values, HARVESTED_VALUES),
     "redacted_json": (redacted_json, REDACTED_JSON),
