@@ -1,11 +1,15 @@
 """Scoring texts by a log-bilinear language model, next to smoothed unigram counts.
 
 Counts of all training tokens are one aggregation. The most frequent words, up to a fixed number, go to every task;
-the others meet their counts in a join. The neural model predicts the next token's class from the two before it: a
-class is a frequent word, the end of text, or one of a few kinds of other words by their shape; within a kind a word
-has its smoothed share. Counts of class triples of the whole corpus, at most the cube of the number of classes, are
-the model's training data. It is trained in numpy by noise-contrastive estimation; for scoring, matrix products over
-all pairs of classes give log-probabilities that sum to one over known and unknown tokens.
+the others meet their counts in a join. The neural model predicts a token's class from the classes of the four
+tokens before it: a class is one of the frequent words, whose number grows with the root of the training tokens, the
+end of text, or one of a few kinds of other words by their shape; within a kind a word has its smoothed share.
+
+Classes lie in groups of like frequency. The sum of the context's vectors, one table for each place, predicts the group,
+and within the group the class, so that a token costs the root of the number of classes. Every training token is
+learned from: each task runs noise-contrastive updates over its own texts in numpy, and the parameters, of bounded
+size, are averaged over tasks by how often each was used, in rounds that start from the average before. For scoring, batched
+matrix products give log-probabilities that sum to one over known and unknown tokens.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +27,18 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import arrow_schema, by_rows, documents_of, saved, sliced
 
-HEAD = 128  # words that are classes of their own
+MOST_HEAD = 32_768  # words with vectors of their own, at most: some 25 MB of parameters in every task
 FREQUENT = 100_000  # words whose counts every task holds, at most
 LONGEST_FREQUENT = 64  # bytes; longer words are looked up by join
 COUNTED = 300_000  # distinct words a task counts before it passes them on
-WIDTH = 24  # components of a class vector
+CONTEXT = 4  # tokens before the predicted one
+WIDTH = 32  # components of a class vector
 NOISE = 16  # noise samples for each training token
-STEPS = 500
 BATCH = 2048
-RATE = 0.08
+RATE = 0.1
+FIRST_ROUND = 8  # one document in so many is learned from in the first round, the others in the second
+PIECE = 1 << 16  # components of a parameter block that travels as one row
+SALTS = 32  # partial sums of a block
 
 KINDS = 6  # shapes of words that are not classes of their own
 END = b""  # key of the end of text among the words; no word is empty
@@ -54,59 +62,139 @@ def kind_of(word: bytes) -> int:
 
 @dataclass
 class LogBilinear:
-    """Vectors of context classes by position, of predicted classes, and biases."""
-
-    contexts: np.ndarray  # 2 x (classes + 1) x WIDTH; the last class stands before the text
-    outputs: np.ndarray
-    biases: np.ndarray
-
-    def table(self) -> np.ndarray:
-        """log10 P(class | two classes before), by classes before and class."""
-        classes = len(self.biases)
-        out = np.empty((classes + 1, classes + 1, classes), np.float32)
-        for first in range(classes + 1):
-            scores = (self.contexts[0, first] + self.contexts[1]) @ self.outputs.T + self.biases
-            scores -= scores.max(1, keepdims=True)
-            out[first] = (scores - np.log(np.exp(scores).sum(1, keepdims=True))) / np.log(10)
-        return out.reshape(-1, classes)
-
-
-def train(triples: np.ndarray, counts: np.ndarray, classes: int, seed: int = 11, steps: int = STEPS) -> LogBilinear:
-    """Noise-contrastive estimation on class triples drawn by their counts; noise is the classes' own distribution."""
-    rng = np.random.default_rng(seed)
-    total = np.bincount(triples[:, 2], counts, classes) + 0.5
-    noise = total / total.sum()
-    contexts = rng.normal(0, 0.1, (2, classes + 1, WIDTH))
-    outputs = rng.normal(0, 0.1, (classes, WIDTH))
-    biases = np.log(noise)
-    model = LogBilinear(contexts, outputs, biases)
-    if not len(counts):
-        return model
-    cumulated, noise_cumulated = np.cumsum(counts / counts.sum()), np.cumsum(noise)
-    draw = lambda sums, n: np.minimum(np.searchsorted(sums, rng.random(n)), len(sums) - 1)
-    log_noise = np.log(NOISE * noise)
-    squares = [np.full_like(x, 1e-6) for x in (contexts, outputs, biases)]
-    for step in range(steps):
-        rows = triples[draw(cumulated, BATCH)]
-        negative = draw(noise_cumulated, NOISE * BATCH)  # one pool of noise, which all examples of the batch share
-        hidden = contexts[0, rows[:, 0]] + contexts[1, rows[:, 1]]
-        # Data against noise: the gradient of the logistic loss by example.
-        positive = 1 / (1 + np.exp(np.clip((hidden * outputs[rows[:, 2]]).sum(1) + biases[rows[:, 2]] - log_noise[rows[:, 2]], -30, 30)))
-        by_class = np.bincount(negative, minlength=classes) / len(negative) * NOISE
-        scores = hidden @ outputs.T + biases - log_noise
-        against = by_class / (1 + np.exp(-np.clip(scores, -30, 30)))
-        signal = -against
-        signal[np.arange(BATCH), rows[:, 2]] += positive
-        signal /= BATCH
+    """Vectors of context classes by place, outputs and biases of groups and, within them, of classes.
+
+    Classes 0 (the end) to `inner` - 1 (the rarest frequent word) lie in groups of `group` each; the kinds, which follow,
+    are outputs beside the groups.
+    """
+
+    contexts: np.ndarray  # CONTEXT x (classes + 1) x WIDTH; the last class stands before the text
+    tops: np.ndarray
+    top_biases: np.ndarray
+    inner: np.ndarray
+    inner_biases: np.ndarray
+    top_noise: np.ndarray  # the groups' and kinds' share of the training tokens
+    inner_noise: np.ndarray  # the classes' share within their group
+    group: int
+
+    @classmethod
+    def fresh(cls, counts: np.ndarray, seed: int = 11) -> LogBilinear:
+        """Before training; `counts` are those of the classes, the kinds last."""
+        rng = np.random.default_rng(seed)
+        size, inner = len(counts), len(counts) - KINDS
+        group = isqrt(inner - 1) + 1
+        counts = counts + 0.5
+        starts = np.arange(0, inner, group)
+        tops = np.concatenate((np.add.reduceat(counts[:inner], starts), counts[inner:]))
+        within = counts[:inner] / np.repeat(tops[: len(starts)], group)[:inner]
+        top_noise = tops / tops.sum()
+        drawn = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        return cls(
+            drawn(CONTEXT, size + 1, WIDTH),
+            drawn(len(tops), WIDTH),
+            np.log(top_noise).astype(np.float32),
+            drawn(inner, WIDTH),
+            np.log(within).astype(np.float32),
+            top_noise,
+            within,
+            group,
+        )
+
+    @property
+    def parameters(self) -> list[np.ndarray]:
+        return [self.contexts, self.tops, self.top_biases, self.inner, self.inner_biases]
+
+    def hidden(self, before: np.ndarray) -> np.ndarray:
+        return sum(self.contexts[k][before[:, k]] for k in range(CONTEXT))
+
+    def places(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """The output each class has among groups and kinds; rows of the targets by group."""
+        groups = len(self.tops) - KINDS
+        top = np.where(targets < len(self.inner), targets // self.group, targets - len(self.inner) + groups)
+        order = np.argsort(top, kind="stable")
+        ends = np.searchsorted(top[order], np.arange(groups + 1))
+        return top, [(g, order[a:b]) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+
+    def log_probabilities(self, before: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log10 P(class | classes before), by target."""
+        out = np.empty(len(targets))
+        for at in range(0, len(targets), 16_384):
+            part = slice(at, at + 16_384)
+            hidden, own = self.hidden(before[part]), targets[part]
+            top, by_group = self.places(own)
+            logs = _log_softmax(hidden @ self.tops.T + self.top_biases)[np.arange(len(own)), top]
+            for g, rows in by_group:
+                some = slice(g * self.group, (g + 1) * self.group)
+                scores = _log_softmax(hidden[rows] @ self.inner[some].T + self.inner_biases[some])
+                logs[rows] += scores[np.arange(len(rows)), own[rows] - g * self.group]
+            out[part] = logs
+        return out / np.log(10)
+
+
+def _log_softmax(scores: np.ndarray) -> np.ndarray:
+    scores = scores - scores.max(1, keepdims=True)
+    return scores - np.log(np.exp(scores).sum(1, keepdims=True))
+
+
+class Learner:
+    """Noise-contrastive updates of one task's copy of the model, with the use of each parameter."""
+
+    def __init__(self, model: LogBilinear, seed: int):
+        self.model = LogBilinear(*(p.copy() for p in model.parameters), model.top_noise, model.inner_noise, model.group)
+        self.rng = np.random.default_rng(seed)
+        self.squares = [np.full(p.shape, 0.1, np.float32) for p in self.model.parameters]
+        self.used = [np.zeros(p.shape[:-1] if p.ndim > 1 else p.shape, np.float32) for p in self.model.parameters]
+
+    def learn(self, before: np.ndarray, targets: np.ndarray) -> None:
+        order = self.rng.permutation(len(targets))
+        for at in range(0, len(order), BATCH):
+            self._step(before[order[at : at + BATCH]], targets[order[at : at + BATCH]])
+
+    def _step(self, before: np.ndarray, targets: np.ndarray) -> None:
+        model = self.model
+        hidden = model.hidden(before)
+        top, by_group = model.places(targets)
+        back = self._against_noise(1, slice(None), hidden, top, model.top_noise)
+        for g, rows in by_group:
+            some = slice(g * model.group, (g + 1) * model.group)
+            back[rows] += self._against_noise(3, some, hidden[rows], targets[rows] - g * model.group, model.inner_noise[some])
+        for k in range(CONTEXT):
+            order = np.argsort(before[:, k], kind="stable")
+            own, starts, uses = np.unique(before[order, k], return_index=True, return_counts=True)
+            self._move(0, (k, own), np.add.reduceat(back[order], starts), uses)
+
+    def _against_noise(self, which: int, some: slice, hidden: np.ndarray, own: np.ndarray, noise: np.ndarray) -> np.ndarray:
+        """Tell the targets from a pool of noise all examples share; moves outputs, returns what moves the contexts."""
+        outputs, biases = self.model.parameters[which][some], self.model.parameters[which + 1][some]
+        drawn = (self.rng.multinomial(NOISE * len(own), noise / noise.sum()) / len(own)).astype(np.float32)
+        scores = hidden @ outputs.T + (biases - np.log(NOISE * noise)).astype(np.float32)
+        signal = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        rows = np.arange(len(own))
+        positive = 1 - signal[rows, own]
+        signal *= -drawn
+        signal[rows, own] += positive
         back = signal @ outputs
-        grads = [np.zeros_like(contexts), signal.T @ hidden, signal.sum(0)]
-        np.add.at(grads[0][0], rows[:, 0], back)
-        np.add.at(grads[0][1], rows[:, 1], back)
-        rate = RATE * (1 - step / steps) + RATE / 50
-        for value, grad, square in zip((contexts, outputs, biases), grads, squares):
-            square += grad * grad
-            value += rate * grad / np.sqrt(square)
-    return model
+        self._move(which, some, signal.T @ hidden, len(own))
+        self._move(which + 1, some, signal.sum(0), len(own))
+        return back
+
+    def _move(self, which: int, some, gradient: np.ndarray, uses) -> None:
+        self.squares[which][some] += gradient * gradient
+        self.model.parameters[which][some] += RATE * gradient / np.sqrt(self.squares[which][some])
+        self.used[which][some] += uses
+
+    def blocks(self):
+        """Number, sums weighted by use, and uses of each block of PIECE components, all parameters in a row."""
+        values = _flat(self.model.parameters)
+        uses = _flat([np.repeat(u.ravel(), p.size // u.size) for p, u in zip(self.model.parameters, self.used)])
+        for number, at in enumerate(range(0, len(values), PIECE)):
+            part = slice(at, at + PIECE)
+            if uses[part].any():
+                yield number, (values[part].astype("f8") * uses[part]).astype("f4"), uses[part]
+
+
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.ravel(a) for a in arrays])
 
 
 @dataclass
@@ -121,6 +209,7 @@ class Vocabulary:
     distinct: int
     end_count: int
     kind_logs: np.ndarray  # log10 of the divisor within a kind
+    class_counts: np.ndarray
     index: dict[bytes, int] = field(default_factory=dict)
 
     def ready(self) -> Vocabulary:
@@ -169,7 +258,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ddl).groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
-def _vocabulary(counts: DataFrame, head: int, frequent: int) -> Vocabulary:
+def _vocabulary(counts: DataFrame, head: int | None, frequent: int) -> Vocabulary:
     short = F.octet_length("word").between(1, LONGEST_FREQUENT)
     level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     # Levels of counts: a few hundred rows say from which level on all words fit.
@@ -184,7 +273,8 @@ def _vocabulary(counts: DataFrame, head: int, frequent: int) -> Vocabulary:
     kinds = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()
     by_kind = {r.kind: (r.n, r.distinct) for r in kinds}
     end_count = by_kind.get(-1, (0, 0))[0]
-    top = rows[:head]
+    tokens = sum(n for n, _ in by_kind.values())
+    top = rows[: min(isqrt(tokens), MOST_HEAD) if head is None else head]
     size = 1 + len(top) + KINDS
     for r in top:
         n, distinct = by_kind[r.kind]
@@ -195,69 +285,106 @@ def _vocabulary(counts: DataFrame, head: int, frequent: int) -> Vocabulary:
         counts=np.array([r.n for r in rows], np.int64),
         classes=np.array([i + 1 if i < len(top) else size - KINDS + r.kind for i, r in enumerate(rows)], np.int64),
         size=size,
-        tokens=sum(r.n for r in kinds),
+        tokens=tokens,
         distinct=sum(r.distinct for r in kinds),
         end_count=end_count,
         kind_logs=np.array(logs),
+        class_counts=np.array([end_count, *(r.n for r in top), *(by_kind.get(k, (0, 0))[0] for k in range(KINDS))], float),
     )
 
 
-def _codes(classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the number of the pair of classes before it, and its class."""
-    padded = np.concatenate(([size, size], classes))
-    return padded[:-2] * (size + 1) + padded[1:-1], classes
+def _contexts(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tokens of all texts in a row: the classes before, the nearest first, and their own."""
+    start = np.full(CONTEXT, size)
+    row = np.concatenate([piece for classes in texts for piece in (start, classes)])
+    lengths = np.array([len(classes) for classes in texts])
+    at = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(texts) + 1) * CONTEXT, lengths)
+    return np.stack([row[at - k - 1] for k in range(CONTEXT)], 1), row[at]
 
 
-def _triples(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Class triples of all rows with their counts; at most as many as there are triples of classes."""
-    ddl, size = "code long, n long", vocabulary.size
+def _summed(blocks: DataFrame, keys: list[str], ddl: str) -> DataFrame:
+    """Sums of the blocks by number (and salt), one at a time, in memory for the blocks of one task alone."""
     schema = arrow_schema(ddl)
 
     def run(batches):
-        known, total = vocabulary.ready(), np.zeros((size + 1) ** 2 * size, np.int64)
+        sums: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            rows = batch.to_pydict()
+            for *key, values, uses in zip(*(rows[k] for k in keys), rows["weighted"], rows["uses"]):
+                values, uses = np.frombuffer(values, "f4"), np.frombuffer(uses, "f4")
+                held = sums.setdefault(tuple(key), [np.zeros(len(values)), np.zeros(len(values))])
+                held[0] += values
+                held[1] += uses
+        for key, held in sums.items():
+            row = dict(zip(keys, key)) | {"weighted": held[0].astype("f4").tobytes(), "uses": held[1].astype("f4").tobytes()}
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+
+    return blocks.repartition(*keys).mapInArrow(run, ddl)
+
+
+def _round(texts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) -> LogBilinear:
+    """Every task learns from all its texts, starting from `model`; the average by use of what they come to."""
+    ddl = "salt int, number int, weighted binary, uses binary"
+    schema, size = arrow_schema(ddl), vocabulary.size
+
+    def run(batches):
+        known, task = vocabulary.ready(), TaskContext.get().partitionId()
+        learner = Learner(model, task)
         for batch in sliced(batches):
-            codes = []
-            for text in batch.to_pydict()["text"]:
-                pairs, classes = _codes(known.looked_up(tokens_of(text))[1], size)
-                codes.append(pairs * size + classes)
-            if codes:
-                some, n = np.unique(np.concatenate(codes), return_counts=True)
-                total[some] += n
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 100_000):
-            part = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], schema=schema)
-
-    found = docs.mapInArrow(run, ddl).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = found["code"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(code)  # the same order whatever the shuffle
-    code, n = code[order], n[order]
-    return np.stack([code // size // (size + 1), code // size % (size + 1), code % size], 1), n.astype(float)
+            found = [known.looked_up(tokens_of(text))[1] for text in batch.to_pydict()["text"]]
+            if found:
+                learner.learn(*_contexts(found, size))
+        for number, weighted, uses in learner.blocks():
+            row = [task % SALTS, number, weighted.tobytes(), uses.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
+    partial = _summed(texts.mapInArrow(run, ddl), ["salt", "number"], ddl)
+    whole = _summed(partial.drop("salt"), ["number"], "number int, weighted binary, uses binary")
+    flat = _flat(model.parameters).astype("f8")
+    for row in whole.toArrow().to_pylist():  # as many components as the model has
+        part = slice(row["number"] * PIECE, (row["number"] + 1) * PIECE)
+        weighted, uses = np.frombuffer(row["weighted"], "f4"), np.frombuffer(row["uses"], "f4")
+        flat[part] = np.where(uses > 0, weighted / np.maximum(uses, 1), flat[part])
+    values, at = [], 0
+    for p in model.parameters:
+        values.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
+        at += p.size
+    return LogBilinear(*values, model.top_noise, model.inner_noise, model.group)
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
+    """Learn from every row once: a small part of the rows first, the others from there."""
+    model = LogBilinear.fresh(vocabulary.class_counts)
+    first = F.pmod(F.xxhash64("text"), F.lit(FIRST_ROUND)) == 0
+    for part in (first, ~first):
+        model = _round(texts.where(part), vocabulary, model)
+    return model
 
 
 def score_texts(
-    docs: DataFrame, training: Column, head: int = HEAD, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, training: Column, head: int | None = None, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     `training` is a condition on doc_id; rows that meet it are learned from, all rows are scored. Scores are log10
     probabilities of the whole text with its end. Null and empty texts have the end alone; null ids and repeated
     rows stay, each its own text (and counted as often as they occur); without training rows every token is
-    unknown and equally likely. Other columns are not read. `head` sets the number of classes, `frequent` the
-    counts each task holds; neither changes base_score, and only `head` the model.
+    unknown and equally likely. Other columns are not read. `head` sets the number of words with vectors (by default the
+    root of the training tokens, at most MOST_HEAD), `frequent` the counts each task holds; neither changes base_score.
+    What the model comes to depends on how the rows lie in tasks, as with any averaging over tasks.
     """
     docs = documents_of(docs, id_col, text_col)
     learned = docs.where(training).select("text")
     counts = saved(count_words(learned), "word-counts")
     vocabulary = _vocabulary(counts, head, frequent)
-    model = train(*_triples(learned, vocabulary), vocabulary.size)
+    model = train(learned, vocabulary)
     ddl = (
         "row long, doc_id long, n_tokens long, n_known long, base double, model double, "
         "rare array<struct<word: binary, n: int>>"
     )
 
     def make():
-        known, table = vocabulary.ready(), model.table()
+        known = vocabulary.ready()
         size, first_kind = known.size, known.size - KINDS
         logs, is_tail = np.log10(known.counts + 0.5), known.classes >= first_kind
         end_log, total_log = np.log10(known.end_count + 0.5), np.log10(known.tokens + 0.5 * (known.distinct + 1))
@@ -266,10 +393,11 @@ def score_texts(
 
         def step(rows):
             out = {name: [] for name in ("row", "doc_id", "n_tokens", "n_known", "base", "model", "rare")}
-            for doc_id, text in zip(rows["doc_id"], rows["text"]):
-                words = tokens_of(text)
-                places, classes, rare = known.looked_up(words)
-                pairs, _ = _codes(classes, size)
+            texts = [tokens_of(text) for text in rows["text"]]
+            found = [known.looked_up(words) for words in texts]
+            logged = model.log_probabilities(*_contexts([classes for _, classes, _ in found], size)) if found else []
+            ends = np.cumsum([len(words) + 1 for words in texts]).tolist()
+            for doc_id, words, (places, classes, rare), end in zip(rows["doc_id"], texts, found, ends):
                 held = places[places >= 0]
                 tail = classes[classes >= first_kind] - first_kind
                 out["row"].append(part + seen[0])
@@ -279,7 +407,7 @@ def score_texts(
                 out["n_known"].append(len(held) + (known.end_count > 0))
                 out["base"].append(float(logs[held].sum() + end_log - (len(words) + 1) * total_log))
                 out["model"].append(
-                    float(table[pairs, classes].sum(dtype=np.float64) + logs[held[is_tail[held]]].sum() - known.kind_logs[tail].sum())
+                    float(logged[end - len(words) - 1 : end].sum() + logs[held[is_tail[held]]].sum() - known.kind_logs[tail].sum())
                 )
                 out["rare"].append([{"word": w, "n": n} for w, n in Counter(words[i] for i in rare.tolist()).items()])
             return out

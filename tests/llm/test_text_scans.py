@@ -224,13 +224,71 @@ def test_base_scores_are_those_of_plain_counts_whatever_is_frequent(spark):
             assert row.base_score == pytest.approx(want) and row.score <= 0
 
 
-def test_class_probabilities_sum_to_one_and_learn_the_order():
+def learned_model(steps=60):
+    """Classes 0 to 10 follow each other in a ring; kinds do not occur."""
     rng = np.random.default_rng(1)
-    triples = np.array([(a, b, (b + 1) % 5) for a in range(6) for b in range(5)])
-    model = lm.train(triples, rng.integers(50, 100, len(triples)).astype(float), 5)
-    table = 10 ** model.table().astype(float)
-    assert np.allclose(table.sum(1), 1, atol=1e-5)
-    assert all(table[a * 6 + b].argmax() == (b + 1) % 5 for a, b in triples[:, :2])
+    learner = lm.Learner(lm.LogBilinear.fresh(np.array([400.0] * 11 + [0] * lm.KINDS)), seed=1)
+    for _ in range(steps):
+        starts = rng.integers(0, 11, 40)
+        learner.learn(*lm._contexts([(start + np.arange(12)) % 11 for start in starts], 17))
+    return learner.model
+
+
+def test_class_probabilities_sum_to_one_and_learn_the_order():
+    model, rng = learned_model(), np.random.default_rng(2)
+    before = np.concatenate((rng.integers(0, 18, (50, lm.CONTEXT)), [[(c - k) % 11 for k in range(lm.CONTEXT)] for c in range(11)]))
+    logs = np.stack([model.log_probabilities(before, np.full(len(before), c)) for c in range(17)], 1)
+    assert np.allclose((10**logs).sum(1), 1, atol=1e-5)
+    assert (logs[50:].argmax(1) == (np.arange(11) + 1) % 11).all() and (10 ** logs[50:].max(1) > 0.5).all()
+
+
+def test_log_probabilities_are_those_of_a_plain_recomputation():
+    model = learned_model(steps=3)
+    texts = [np.array([3, 16, 0]), np.array([0]), np.array([5, 5, 5, 11, 7, 2, 0])]
+    want = []
+    for text in texts:
+        row = [17] * lm.CONTEXT + text.tolist()
+        for at in range(lm.CONTEXT, len(row)):
+            hidden = sum(model.contexts[k][row[at - 1 - k]].astype(float) for k in range(lm.CONTEXT))
+            tops = np.exp(model.tops.astype(float) @ hidden + model.top_biases)
+            group, within = divmod(row[at], model.group)
+            if row[at] >= 11:
+                want.append(np.log10(tops[-lm.KINDS :][row[at] - 11] / tops.sum()))
+                continue
+            members = range(group * model.group, min(11, (group + 1) * model.group))
+            inner = np.exp([model.inner[m].astype(float) @ hidden + model.inner_biases[m] for m in members])
+            want.append(np.log10(tops[group] / tops.sum() * inner[within] / inner.sum()))
+    assert np.allclose(model.log_probabilities(*lm._contexts(texts, 17)), want, atol=1e-5)
+
+
+def test_words_of_the_model_grow_and_every_training_token_is_learned_from(spark):
+    from pyspark.sql import functions as F
+
+    for copies in (1, 9):
+        docs = documents(spark, texts() * copies).repartition(3)
+        vocabulary = lm._vocabulary(lm.count_words(docs.select("text")), None, 1000)
+        total = sum(len(lm.tokens_of(t)) + 1 for t in texts()) * copies
+        assert vocabulary.tokens == total and vocabulary.size == 1 + min(int(total**0.5), vocabulary.distinct - 1) + lm.KINDS
+        blocks = lm._summed  # what arrives is weighted by the tokens each parameter was used for
+        seen = []
+
+        def kept(rows, keys, ddl, blocks=blocks, seen=seen):
+            out = blocks(rows, keys, ddl)
+            if keys == ["number"]:
+                seen.append(out)
+            return out
+
+        lm._summed = kept
+        try:
+            model = lm.train(docs.select(F.coalesce("text", F.lit("")).alias("text")), vocabulary)
+        finally:
+            lm._summed = blocks
+        place = model.contexts.size // lm.PIECE, model.contexts.size % lm.PIECE  # the first component of the groups' outputs
+        learned = 0
+        for out in seen:
+            row = out.where(F.col("number") == place[0]).first()
+            learned += np.frombuffer(row.uses, "f4")[place[1]]
+        assert learned == total
 
 
 def test_model_beats_counts_on_held_out_text(spark):
