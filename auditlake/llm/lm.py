@@ -1,8 +1,8 @@
 """Scoring texts by a log-bilinear language model, next to smoothed unigram counts.
 
 Counts of all training tokens are one aggregation. The most frequent words, up to a fixed number, go to every task;
-the others meet their counts in a join. The neural model predicts a token's class from the classes of the four
-tokens before it: a class is one of the frequent words, whose number grows with the root of the training tokens, the
+the others meet their counts in a join. The neural model predicts a token's class from the classes of the three
+tokens before it: a class is one of the frequent words, half as many as the root of the training tokens, the
 end of text, or one of a few kinds of other words by their shape; within a kind a word has its smoothed share.
 
 Classes lie in groups of like frequency. The sum of the context's vectors, one table for each place, predicts the group,
@@ -31,10 +31,10 @@ MOST_HEAD = 32_768  # words with vectors of their own, at most: some 25 MB of pa
 FREQUENT = 100_000  # words whose counts every task holds, at most
 LONGEST_FREQUENT = 64  # bytes; longer words are looked up by join
 COUNTED = 300_000  # distinct words a task counts before it passes them on
-CONTEXT = 4  # tokens before the predicted one
-WIDTH = 32  # components of a class vector
+CONTEXT = 3  # tokens before the predicted one
+WIDTH = 24  # components of a class vector
 NOISE = 16  # noise samples for each training token
-BATCH = 2048
+BATCH = 8192
 RATE = 0.1
 FIRST_ROUND = 8  # one document in so many is learned from in the first round, the others in the second
 PIECE = 1 << 16  # components of a parameter block that travels as one row
@@ -107,33 +107,35 @@ class LogBilinear:
     def hidden(self, before: np.ndarray) -> np.ndarray:
         return sum(self.contexts[k][before[:, k]] for k in range(CONTEXT))
 
-    def places(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """The output each class has among groups and kinds; rows of the targets by group."""
+    def by_group(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """An order of the targets by group, the output each has then among groups and kinds, and each group's slice."""
         groups = len(self.tops) - KINDS
-        top = np.where(targets < len(self.inner), targets // self.group, targets - len(self.inner) + groups)
+        top = np.where(targets < len(self.inner), targets // self.group, targets - len(self.inner) + groups).astype(np.int32)
         order = np.argsort(top, kind="stable")
-        ends = np.searchsorted(top[order], np.arange(groups + 1))
-        return top, [(g, order[a:b]) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+        top = top[order]
+        ends = np.searchsorted(top, np.arange(groups + 1)).tolist()
+        return order, top, [(g, slice(a, b)) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
 
     def log_probabilities(self, before: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 P(class | classes before), by target."""
         out = np.empty(len(targets))
         for at in range(0, len(targets), 16_384):
-            part = slice(at, at + 16_384)
-            hidden, own = self.hidden(before[part]), targets[part]
-            top, by_group = self.places(own)
-            logs = _log_softmax(hidden @ self.tops.T + self.top_biases)[np.arange(len(own)), top]
-            for g, rows in by_group:
+            order, top, slices = self.by_group(targets[at : at + 16_384])
+            order += at
+            hidden, own = self.hidden(before[order]), targets[order]
+            logs = _log_softmax_at(hidden @ self.tops.T + self.top_biases, top)
+            for g, rows in slices:
                 some = slice(g * self.group, (g + 1) * self.group)
-                scores = _log_softmax(hidden[rows] @ self.inner[some].T + self.inner_biases[some])
-                logs[rows] += scores[np.arange(len(rows)), own[rows] - g * self.group]
-            out[part] = logs
+                logs[rows] += _log_softmax_at(hidden[rows] @ self.inner[some].T + self.inner_biases[some], own[rows] - some.start)
+            out[order] = logs
         return out / np.log(10)
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(1, keepdims=True))
+def _log_softmax_at(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    scores -= scores.max(1, keepdims=True)
+    wanted = scores[np.arange(len(own)), own]
+    np.exp(scores, out=scores)
+    return wanted - np.log(scores.sum(1))
 
 
 class Learner:
@@ -143,6 +145,10 @@ class Learner:
         self.model = LogBilinear(*(p.copy() for p in model.parameters), model.top_noise, model.inner_noise, model.group)
         self.rng = np.random.default_rng(seed)
         self.squares = [np.full(p.shape, 0.1, np.float32) for p in self.model.parameters]
+        # The noise of groups and classes: its share, which sums to one in each group, and what it takes from scores.
+        shares = (model.top_noise, model.inner_noise)
+        self.noise = {which: share for which, share in zip((1, 3), shares)}
+        self.shift = {which: np.log(NOISE * share).astype(np.float32) for which, share in zip((1, 3), shares)}
         self.used = [np.zeros(p.shape[:-1] if p.ndim > 1 else p.shape, np.float32) for p in self.model.parameters]
 
     def learn(self, before: np.ndarray, targets: np.ndarray) -> None:
@@ -152,26 +158,34 @@ class Learner:
 
     def _step(self, before: np.ndarray, targets: np.ndarray) -> None:
         model = self.model
+        order, top, slices = model.by_group(targets)
+        before, targets = before[order], targets[order]
         hidden = model.hidden(before)
-        top, by_group = model.places(targets)
-        back = self._against_noise(1, slice(None), hidden, top, model.top_noise)
-        for g, rows in by_group:
+        back = self._against_noise(1, slice(0, len(model.tops)), hidden, top)
+        for g, rows in slices:
             some = slice(g * model.group, (g + 1) * model.group)
-            back[rows] += self._against_noise(3, some, hidden[rows], targets[rows] - g * model.group, model.inner_noise[some])
+            back[rows] += self._against_noise(3, some, hidden[rows], targets[rows] - some.start)
         for k in range(CONTEXT):
-            order = np.argsort(before[:, k], kind="stable")
-            own, starts, uses = np.unique(before[order, k], return_index=True, return_counts=True)
-            self._move(0, (k, own), np.add.reduceat(back[order], starts), uses)
+            order = np.argsort(before[:, k])
+            row = before[order, k]
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            self._move(0, (k, row[starts]), np.add.reduceat(back[order], starts), np.diff(starts, append=len(row)))
 
-    def _against_noise(self, which: int, some: slice, hidden: np.ndarray, own: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    def _against_noise(self, which: int, some: slice, hidden: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Tell the targets from a pool of noise all examples share; moves outputs, returns what moves the contexts."""
-        outputs, biases = self.model.parameters[which][some], self.model.parameters[which + 1][some]
-        drawn = (self.rng.multinomial(NOISE * len(own), noise / noise.sum()) / len(own)).astype(np.float32)
-        scores = hidden @ outputs.T + (biases - np.log(NOISE * noise)).astype(np.float32)
-        signal = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        parameters = self.model.parameters
+        outputs, biases = parameters[which][some], parameters[which + 1][some]
+        drawn = self.rng.multinomial(NOISE * len(own), self.noise[which][some]).astype(np.float32) / -np.float32(len(own))
+        signal = hidden @ outputs.T
+        signal += biases - self.shift[which][some]
+        np.negative(signal, out=signal)
+        np.minimum(signal, 30, out=signal)
+        np.exp(signal, out=signal)
+        signal += 1
+        np.reciprocal(signal, out=signal)  # the chance that an example is data, not noise
         rows = np.arange(len(own))
         positive = 1 - signal[rows, own]
-        signal *= -drawn
+        signal *= drawn
         signal[rows, own] += positive
         back = signal @ outputs
         self._move(which, some, signal.T @ hidden, len(own))
@@ -179,8 +193,9 @@ class Learner:
         return back
 
     def _move(self, which: int, some, gradient: np.ndarray, uses) -> None:
-        self.squares[which][some] += gradient * gradient
-        self.model.parameters[which][some] += RATE * gradient / np.sqrt(self.squares[which][some])
+        squares = self.squares[which][some] + gradient * gradient
+        self.squares[which][some] = squares
+        self.model.parameters[which][some] += RATE * gradient / np.sqrt(squares)
         self.used[which][some] += uses
 
     def blocks(self):
@@ -274,7 +289,7 @@ def _vocabulary(counts: DataFrame, head: int | None, frequent: int) -> Vocabular
     by_kind = {r.kind: (r.n, r.distinct) for r in kinds}
     end_count = by_kind.get(-1, (0, 0))[0]
     tokens = sum(n for n, _ in by_kind.values())
-    top = rows[: min(isqrt(tokens), MOST_HEAD) if head is None else head]
+    top = rows[: min(isqrt(tokens // 4), MOST_HEAD) if head is None else head]
     size = 1 + len(top) + KINDS
     for r in top:
         n, distinct = by_kind[r.kind]
@@ -299,7 +314,7 @@ def _contexts(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarra
     row = np.concatenate([piece for classes in texts for piece in (start, classes)])
     lengths = np.array([len(classes) for classes in texts])
     at = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(texts) + 1) * CONTEXT, lengths)
-    return np.stack([row[at - k - 1] for k in range(CONTEXT)], 1), row[at]
+    return np.stack([row[at - k - 1] for k in range(CONTEXT)], 1).astype(np.int32), row[at]
 
 
 def _summed(blocks: DataFrame, keys: list[str], ddl: str) -> DataFrame:
@@ -369,8 +384,8 @@ def score_texts(
     `training` is a condition on doc_id; rows that meet it are learned from, all rows are scored. Scores are log10
     probabilities of the whole text with its end. Null and empty texts have the end alone; null ids and repeated
     rows stay, each its own text (and counted as often as they occur); without training rows every token is
-    unknown and equally likely. Other columns are not read. `head` sets the number of words with vectors (by default the
-    root of the training tokens, at most MOST_HEAD), `frequent` the counts each task holds; neither changes base_score.
+    unknown and equally likely. Other columns are not read. `head` sets the number of words with vectors (by default half
+    the root of the training tokens, at most MOST_HEAD), `frequent` the counts each task holds; neither changes base_score.
     What the model comes to depends on how the rows lie in tasks, as with any averaging over tasks.
     """
     docs = documents_of(docs, id_col, text_col)
