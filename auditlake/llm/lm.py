@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import arrow_schema, by_rows, documents_of, saved, sliced
 
-MOST_HEAD = 32_768  # words with vectors of their own, at most: some 25 MB of parameters in every task
+MOST_HEAD = 32_768  # words with vectors of their own, at most: some 13 MB of parameters in every task
 FREQUENT = 100_000  # words whose counts every task holds, at most
 LONGEST_FREQUENT = 64  # bytes; longer words are looked up by join
 COUNTED = 300_000  # distinct words a task counts before it passes them on
