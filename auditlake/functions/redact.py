@@ -34,7 +34,7 @@ def _longest_first(values: Column, text_of) -> Column:
         values,
         lambda v, i: F.struct((-F.length(text_of(v))).alias("k"), i.alias("i"), v.alias("v")),
     )
-    return F.transform(F.array_sort(keyed), lambda s: s["v"])
+    return F.transform(F.sort_array(keyed), lambda s: s["v"])
 
 
 def mask_values(text: Column, values: Column) -> Column:

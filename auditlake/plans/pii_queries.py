@@ -169,7 +169,7 @@ SELECT c_custkey, field, regexp_matches(field, '{rd.SENSITIVE_KEY}', 'i') AS sen
 
 def _records(spark, sf):
     """Customers as nested tool results; a run per market segment."""
-    c = src.table(spark, sf, "customer")
+    c = src.texts(spark, sf, "customer")
     number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
     doc = F.concat(
         F.lit('{"profile": {"name": "'), F.col("c_name"), F.lit('", "account_id": "AC-'), number,
