@@ -9,10 +9,12 @@ may let a wrong window through, never lose a right one.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -153,3 +155,7 @@ def occurrences(texts: DataFrame, keys: Sequence[str], group: str, strings: str,
 
     offered = texts.select(*carried, F.col(strings).alias("_strings"), F.xxhash64(F.col(group)).cast(LongType()).alias("_group"))
     return offered.mapInArrow(run, out).join(wanted, [group, "value"], "left_semi").distinct()
+
+
+# The scan travels with the queries, to executors that do not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
