@@ -105,16 +105,11 @@ def run_configuration(
 ) -> DataFrame:
     """Configuration summary per run. ``selected``: run_id, file_name, scenario_id, tags."""
     ids = F.array_sort(F.collect_list(F.struct("file_name", "scenario_id")))
-    tags = (
-        selected.select("run_id", F.explode("tags").alias("tag"))
-        .distinct()
-        .groupBy("run_id")
-        .agg(F.array_sort(F.collect_list("tag")).alias("scenario_tags"))
-    )
+    # One pass over a run's scenarios. A null run has no tags.
+    tags = F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_list("tags")))))
     return (
         selected.groupBy("run_id")
-        .agg(F.transform(ids, lambda s: s["scenario_id"]).alias("scenario_ids"))
-        .join(tags, "run_id", "left")
+        .agg(F.transform(ids, lambda s: s["scenario_id"]).alias("scenario_ids"), F.when(F.col("run_id").isNotNull(), tags).alias("scenario_tags"))
         .select(
             "run_id",
             F.lit(suite_version).alias("suite_version"),

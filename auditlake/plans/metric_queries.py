@@ -14,7 +14,7 @@ from auditlake.operators import transcripts as tr
 from auditlake.plans import check_queries as cq
 from auditlake.plans import inputs as src
 from auditlake.schemas import ATTEMPT_KEY
-from auditlake.session import checkpointed
+from auditlake.session import checkpointed, spread, tasks_for
 
 K = list(ATTEMPT_KEY)
 
@@ -39,7 +39,8 @@ CONVERSATION_ATTEMPTS_SQL = f"""{cq.OUTCOMES_SQL}, attempts AS (
 
 def item_attempts(spark, sf):
     """Orders of line items as attempts: outcome and label of each (run, part, order)."""
-    summary = ck.summarize_results(src.results(spark, sf))
+    # Nearly every row is a group of its own: dealt out by group first, no task holds groups of more rows than its share.
+    summary = ck.summarize_results(spread(src.results(spark, sf), *K))
     labels = src.scenarios(spark, sf).select("scenario_id", "label")
     return summary.join(labels, "scenario_id")
 
@@ -333,7 +334,10 @@ def run_configuration(spark, sf):
     items = src.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("run_id"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("scenario_id")
     )
-    selected = items.distinct().join(src.scenarios(spark, sf).select("scenario_id", "file_name", "tags"), "scenario_id")
+    # Nearly all rows differ: dealt out by run, the hash tables of a task hold its share of the rows, however many there are.
+    tasks = tasks_for(items)
+    selected = items.repartition(tasks, "run_id").distinct().join(src.scenarios(spark, sf).select("scenario_id", "file_name", "tags"), "scenario_id")
+    selected = selected.repartition(tasks, "run_id")
     out = gt.run_configuration(selected, k=3, max_cost_usd=2.5)
     return out.withColumns({c: F.array_join(c, ",") for c in ("scenario_ids", "scenario_tags")})
 
