@@ -5,8 +5,10 @@ at threshold t. Sets that share a chosen shingle meet in a bucket; two sets abov
 c shingles together on average. A bucket that is too large splits again by other shingles of its members, which every
 bucket chooses anew from a pool of each member's, unless one of these keeps more than half of it: such a bucket holds
 copies of one another and is compared as it is, as are buckets at the last depth. Runs with new hashes are added until
-pairs at the threshold meet with the target probability even if every bucket that they share splits at every depth. Buckets are compared in blocks, first by small sketches and by which bucket a pair counts in, then exactly,
-with the sets of those members only that have a pair left.
+pairs at the threshold meet with the target probability even if every bucket that they share splits at every depth. Buckets are
+compared in blocks, first by small sketches and by which bucket a pair counts in, the largest one, then exactly, with the sets of
+those members only that have a pair left. Copies share many large buckets; pairs that one larger bucket has are left out of the blocks
+of the others.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import by_rows, documents_of, saved
-from auditlake.llm.links import by_group, components, in_blocks, reached
+from auditlake.llm.links import BLOCK, by_group, components, in_blocks, reached
 from auditlake.llm.shingles import WORDS, mixed, shingle_set
 
 THRESHOLD = 0.8
@@ -136,31 +138,41 @@ def _onward(threshold: float, level: int):
     return F.when(threshold * F.col("size") <= level, F.array_append(onward, F.lit(0).cast("long"))).otherwise(onward)
 
 
+def _mostly(per_child: DataFrame, parent: str) -> DataFrame:
+    """The buckets of which a child has most of the members."""
+    return per_child.groupBy(parent).agg(F.max(F.col("m") / F.col("n")).alias("most")).where("most > 0.5").select(parent)
+
+
 def _split(members: DataFrame, sizes: DataFrame, classes: DataFrame, depth: int, large: int, threshold: float, level: int = 1) -> DataFrame:
     """Members (bucket, id) of the buckets that are compared, after splitting large ones.
 
     `members` has the path of a bucket, the `level` shingles chosen so far.
     """
     kept = members.join(sizes.where(F.col("n") <= large).select("bucket"), "bucket").select("bucket", "id")
-    big = saved(members.join(sizes.where(F.col("n") > large), "bucket"), "large-buckets")
-    if not big.take(1):
-        return kept
+    big = members.join(sizes.where(F.col("n") > large), "bucket")
     if depth == 0:
         return kept.union(big.select("bucket", "id"))
-    onward = F.explode(_onward(threshold, level)).alias("t")
-    children = big.join(classes.select("id", "size", "pool"), "id").select("id", "path", "n", F.col("bucket").alias("parent"), onward)
+    big = big.join(classes.select("id", "size", "pool"), "id").select("bucket", "id", "path", "n", _onward(threshold, level).alias("onward"))
+    big = saved(big, "large-buckets")
+    if not big.take(1):
+        return kept
+    # A child that keeps most of its parent says that splitting does not help. Where most members are alike, most have one
+    # shingle that hashes least among those they go on by, and the bucket is known before its children are made.
+    least = F.array_min(F.transform("onward", lambda t: F.xxhash64("bucket", t)))
+    per_child = big.groupBy("bucket", "n", least.alias("least")).agg(F.count(F.lit(1)).alias("m")).where("least is not null")
+    alike_ = saved(_mostly(per_child, "bucket"), "alike-buckets")
+    onward = F.explode("onward").alias("t")
+    children = big.join(F.broadcast(alike_), "bucket", "left_anti").select("id", "path", "n", F.col("bucket").alias("parent"), onward)
     children = saved(children.select("id", "parent", "n", F.xxhash64("parent", "t").alias("bucket"), F.array_append("path", F.col("t")).alias("path")), "child-buckets")
     per_child = children.groupBy("parent", "n", "bucket").agg(F.count(F.lit(1)).alias("m"))
-    # A child that keeps most of its parent says that splitting does not help.
-    whole = per_child.groupBy("parent").agg(F.max(F.col("m") / F.col("n")).alias("most")).where("most > 0.5").select("parent")
-    whole = saved(whole, "whole-buckets")
-    kept = kept.union(big.join(whole.withColumnRenamed("parent", "bucket"), "bucket").select("bucket", "id"))
+    whole = saved(_mostly(per_child, "parent"), "whole-buckets")
+    kept = kept.union(big.join(alike_.union(whole.withColumnRenamed("parent", "bucket")), "bucket").select("bucket", "id"))
     below = saved(children.join(whole, "parent", "left_anti").select("bucket", "id", "path"), "buckets-below")
     return kept.union(_split(below, saved(_bucketed(below, large), "bucket-sizes"), classes, depth - 1, large, threshold, level + 1))
 
 
 def _own_pairs(group, threshold: float) -> np.ndarray:
-    """The pairs of the group's two blocks that count in this bucket, as a matrix: no smaller bucket holds both."""
+    """The pairs of the group's two blocks that count in this bucket, as a matrix: none numbered before it holds both."""
     bucket, left, right = (group[k][0].as_py() for k in ("bucket", "left", "right"))
     ids, side, size = (group[k].to_numpy() for k in ("id", "side", "size"))
     pairs = (side == left)[:, None] & (side == right)[None, :]
@@ -201,7 +213,7 @@ def _candidates(threshold: float):
 
 
 def _compare(threshold: float):
-    """Comparison of the members of a pair of blocks: links counted in the smallest bucket that a pair shares."""
+    """Comparison of the members of a pair of blocks: links counted in the first bucket that a pair shares."""
 
     def shared_counts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -311,13 +323,28 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return by_rows(rows, "id long, weight long, size long, tokens array<long>", make)
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """`sizes` (bucket, n) with the number of each bucket: those beyond a block come first, the largest one first."""
+    large = -F.least("n", F.lit((1 << 21) - 1)) * (1 << 41) + F.pmod("bucket", F.lit(1 << 41))
+    return sizes.withColumn("number", F.when(F.col("n") > BLOCK, large).otherwise(F.pmod("bucket", F.lit(1 << 62))))
+
+
+def _paired_before(members: DataFrame) -> DataFrame:
+    """bucket, before, m of buckets beyond a block: the first bucket of so many members that they are paired in already."""
+    firsts = members.where((F.col("n") > BLOCK) & (F.col("first") < F.col("bucket"))).groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("m"))
+    return firsts.groupBy("bucket").agg(F.max_by("first", F.struct("m", "first")).alias("before"), F.max("m").alias("m"))
+
+
 def _links(docs: DataFrame, compared: DataFrame, classes: DataFrame, threshold: float, words: int) -> DataFrame:
     """id, links, low: for members of a bucket the documents linked there, and the smallest member reached."""
     keys = ["bucket", "left", "right"]
-    sizes = saved(compared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "compared-sizes")
-    own = compared.join(sizes.select("bucket"), "bucket").groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
-    own = saved(own, "own-buckets")
-    rows = in_blocks(compared, sizes).join(own.join(classes.select("id", "size", "sketch"), "id"), "id")
+    sizes = saved(_numbered(compared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "compared-sizes")
+    numbered = saved(compared.join(sizes, "bucket").select(F.col("number").alias("bucket"), "n", "id"), "numbered-buckets")
+    own = saved(numbered.groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "own-buckets")
+    members = own.join(classes.select("id", "size", "sketch"), "id").withColumn("first", F.col("buckets")[0])
+    members = saved(numbered.join(members, "id"), "bucket-members")
+    sizes = sizes.select(F.col("number").alias("bucket"), "n").join(F.broadcast(saved(_paired_before(members), "paired-before")), "bucket", "left")
+    rows = in_blocks(members.drop("n"), sizes)
     left = by_group(rows, keys, "bucket long, left int, right int, side int, id long", _candidates(threshold))
     left = saved(left, "candidates")
     wanted = left.select("id").distinct().join(classes.select("id", "weight", "high", "low"), "id")

@@ -23,13 +23,22 @@ BLOCK = 512
 def in_blocks(members: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     """`members` (bucket, id, ..) with `sizes` (bucket, n): a row for each pair of blocks that a member is part of.
 
-    Adds left and right, the two blocks of the pair, and side, the member's own block.
+    Adds left and right, the two blocks of the pair, and side, the member's own block. Where `sizes` also has `before` and
+    m, the m members of a bucket whose `first` is `before` are paired with one another elsewhere: they lie in blocks of their
+    own, which meet only the blocks of the others.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = members.join(sizes, "bucket").withColumn("side", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = rows.withColumn("other", other)
-    return rows.withColumn("left", F.least("side", "other")).withColumn("right", F.greatest("side", "other")).drop("other", "n")
+    rows = members.join(sizes, "bucket")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    part = F.xxhash64("id", "bucket")
+    if "before" in sizes.columns:
+        m, paired = F.coalesce("m", F.lit(0)), F.coalesce(F.col("first") == F.col("before"), F.lit(False))
+        others, theirs = blocks(F.col("n") - m), blocks(m)
+        rows = rows.withColumn("side", F.when(paired, others + F.pmod(part, theirs)).otherwise(F.pmod(part, others)).cast("int"))
+        rows = rows.withColumn("meets", F.when(paired, others).otherwise(others + theirs)).where("meets > 0").drop("before", "m", "first")
+    else:
+        rows = rows.withColumn("side", F.pmod(part, blocks(F.col("n"))).cast("int")).withColumn("meets", blocks(F.col("n")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    return rows.withColumn("left", F.least("side", "other")).withColumn("right", F.greatest("side", "other")).drop("other", "meets", "n")
 
 
 def by_group(rows: DataFrame, keys: list[str], ddl: str, compare: Callable[[pa.Table], dict[str, object] | None]) -> DataFrame:

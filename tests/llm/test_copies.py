@@ -73,6 +73,36 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert [tuple(r) for r in rows] == plain_join(given)
 
 
+def test_pairs_of_copies_are_compared_in_one_of_their_buckets(spark, monkeypatch):
+    made, original, kept = {}, links.in_blocks, chosen_path.saved
+
+    def in_blocks(members, sizes):
+        rows = original(members, sizes, 16)
+        made["blocks"] = rows.count()
+        return rows
+
+    def saved(rows, name, *folder):
+        out = kept(rows, name, *folder)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(chosen_path, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(chosen_path, "in_blocks", in_blocks)
+    monkeypatch.setattr(chosen_path, "saved", saved)
+    rng = random.Random(23)
+    given = []
+    for _ in range(160):
+        own = [f"w{i}" for i in range(120)]
+        own[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        given.append(" ".join(own))
+    given += texts()
+    rows = chosen_path.similar_texts(documents(spark, given), large=24).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == plain_join(given)
+    # Ten blocks of the largest bucket meet; the nine others of the copies have few pairs of their own.
+    assert made["blocks"] < 160 * 10 * 4
+    assert made["child-buckets"] < made["large-buckets"]
+
+
 def test_runs_reach_the_recall():
     assert chosen_path.runs_for(0.9999) * chosen_path.CHOSEN >= 9.2
 
