@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import by_rows, documents_of, saved
+from auditlake.llm.common import by_rows, documents_of, parted, saved
 from auditlake.llm.links import BLOCK, by_group, components, in_blocks, reached
 from auditlake.llm.shingles import WORDS, mixed, shingle_set
 
@@ -363,7 +363,9 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     classes = saved(similar_texts(docs, threshold, id_col=id_col, text_col=text_col), "classes")
     # Any other column may have the name of ours, so the id is compared under a name of its own.
     others = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_other"))
-    kept = docs.join(others, docs[id_col].cast("long") == F.col("_other"), "left_anti")
+    # Only rows that may go are shuffled, not every text.
+    may, rest = parted(docs, docs[id_col].cast("long"), others)
+    kept = may.join(others, may[id_col].cast("long") == F.col("_other"), "left_anti").union(rest)
     again = saved(kept.select(kept[id_col].alias("_again")).groupBy("_again").count().where("count > 1 and _again is not null").select("_again"), "repeated-ids")
     if not again.take(1):
         return kept

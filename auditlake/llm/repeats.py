@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import arrow_schema, by_rows, discard, new_folder, saved, text_or_empty
+from auditlake.llm.common import arrow_schema, by_rows, discard, new_folder, parted, saved, text_or_empty
 from auditlake.llm.shingles import mixed
 
 LENGTH = 400
@@ -271,9 +271,12 @@ def _cut(keyed: DataFrame, length: int, with_text: bool, large: int) -> DataFram
     found = for_now(by_rows(long_enough.select("key", "body"), "key long, places array<int>, cores array<long>", make), "anchors")
     found = found.select("key", F.explode(F.arrays_zip("places", "cores")).alias("a")).select("key", "a.places", "a.cores")
     often = for_now(found.groupBy("cores").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cores"), "beginnings")
-    places = found.join(often, "cores").groupBy("key").agg(F.collect_set("places").alias("places"))
-    texts = for_now(long_enough.select("key", "body").join(places, "key"), "repeating-texts")
+    places = for_now(found.join(often, "cores").groupBy("key").agg(F.collect_set("places").alias("places")), "places")
     done("anchors", "beginnings")
+    # Texts without a repeated beginning stay where they are read.
+    may, _ = parted(long_enough.select("key", "body"), F.col("key"), places.select("key"))
+    texts = for_now(may.join(places, "key"), "repeating-texts")
+    done("places")
     contexts = for_now(_contexts(texts, length), "contexts")
 
     names = ["c1", "c2", "x1", "x2"]
@@ -351,6 +354,7 @@ def replace_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     """
     cut = _cut(_keyed(docs, id_col, text_col), length, True, large).select("key", "kept")
     key = F.xxhash64(docs[id_col].cast("long"), text_or_empty(docs[text_col])).alias("key")
-    rows = docs.select(key, F.struct("*").alias("row")).join(cut, "key", "left")
+    may, rest = parted(docs.select(key, F.struct("*").alias("row")), F.col("key"), cut.select("key"))
+    rows = may.join(cut, "key", "left").unionByName(rest.withColumn("kept", F.lit(None).cast("string")))
     text = F.coalesce(F.col("kept"), F.col("row")[text_col]).alias(text_col)
     return rows.select(*[text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

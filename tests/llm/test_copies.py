@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from corpus import documents, edge_texts, texts
+from pyspark.sql import functions as F
 
-from auditlake.llm import chosen_path, decontaminate, hamming, links, repeats
+from auditlake.llm import chosen_path, common, decontaminate, hamming, links, repeats
 
 # components
 
@@ -152,6 +153,31 @@ def test_join_of_odd_rows(spark):
     assert sorted((r.doc_id or 0 for r in kept.collect())) == [0, 1, 3, 4]
 
 
+def test_rows_are_parted_by_keys(spark):
+    rows = spark.createDataFrame([(i - 50,) for i in range(20_000)] + [(None,)], "id long")
+    keys = spark.createDataFrame([(7 * i - 70,) for i in range(500)] + [(None,)], "k long")
+    may, rest = common.parted(rows, F.col("id"), keys)
+    wanted = {7 * i - 70 for i in range(500)} & {r.id for r in rows.collect()}
+    assert may.columns == rest.columns == ["id"] and may.count() + rest.count() == rows.count()
+    assert wanted <= {r.id for r in may.collect()} and may.count() < len(wanted) + 20
+    may, rest = common.parted(rows, F.col("id"), keys.limit(0))
+    assert (may.count(), rest.count()) == (0, rows.count())
+
+
+@pytest.mark.parametrize("cut", [chosen_path.keep_one_of_each, repeats.replace_repeats])
+def test_texts_that_stay_as_they_are_are_not_shuffled(spark, monkeypatch, cut):
+    # Every exchange that is planned with the text has been narrowed to rows that may change.
+    seen = []
+    for module in (chosen_path, repeats):
+        original = common.parted
+        monkeypatch.setattr(module, "parted", lambda *a: seen.append(original(*a)) or seen[-1], raising=False)
+    given = texts(n=24)
+    docs = documents(spark, given + [given[0] + " " + " ".join(f"own{i}" for i in range(400))])
+    result = cut(docs)
+    assert result.columns == docs.columns and result.count() >= 24
+    assert seen and seen[-1][1].count() > 0 and seen[-1][0].count() + seen[-1][1].count() == docs.count()
+
+
 # repeats
 
 
