@@ -110,7 +110,7 @@ class LogBilinear:
     def by_group(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
         """An order of the targets by group, the output each has then among groups and kinds, and each group's slice."""
         groups = len(self.tops) - KINDS
-        top = np.where(targets < len(self.inner), targets // self.group, targets - len(self.inner) + groups).astype(np.int32)
+        top = np.where(targets < len(self.inner), targets // self.group, targets - len(self.inner) + groups).astype(np.uint16)  # which are sorted by radix
         order = np.argsort(top, kind="stable")
         top = top[order]
         ends = np.searchsorted(top, np.arange(groups + 1)).tolist()
@@ -132,10 +132,11 @@ class LogBilinear:
 
 
 def _log_softmax_at(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
-    scores -= scores.max(1, keepdims=True)
+    if scores.max() > 60 or scores.min() < -60:  # beyond what sums of exponentials hold
+        scores -= scores.max(1, keepdims=True)
     wanted = scores[np.arange(len(own)), own]
     np.exp(scores, out=scores)
-    return wanted - np.log(scores.sum(1))
+    return wanted - np.log(scores @ np.ones(scores.shape[1], scores.dtype))
 
 
 class Learner:
@@ -144,6 +145,8 @@ class Learner:
     def __init__(self, model: LogBilinear, seed: int):
         self.model = LogBilinear(*(p.copy() for p in model.parameters), model.top_noise, model.inner_noise, model.group)
         self.rng = np.random.default_rng(seed)
+        # Numbers of two bytes are sorted by radix.
+        self.sorted_as = np.uint16 if model.contexts.shape[1] <= 1 << 16 else np.int32
         self.squares = [np.full(p.shape, 0.1, np.float32) for p in self.model.parameters]
         # The noise of groups and classes: its share, which sums to one in each group, and what it takes from scores.
         shares = (model.top_noise, model.inner_noise)
@@ -166,7 +169,7 @@ class Learner:
             some = slice(g * model.group, (g + 1) * model.group)
             back[rows] += self._against_noise(3, some, hidden[rows], targets[rows] - some.start)
         for k in range(CONTEXT):
-            order = np.argsort(before[:, k])
+            order = np.argsort(before[:, k].astype(self.sorted_as), kind="stable")
             row = before[order, k]
             starts = np.flatnonzero(np.diff(row, prepend=-1))
             self._move(0, (k, row[starts]), np.add.reduceat(back[order], starts), np.diff(starts, append=len(row)))
@@ -176,20 +179,19 @@ class Learner:
         parameters = self.model.parameters
         outputs, biases = parameters[which][some], parameters[which + 1][some]
         drawn = self.rng.multinomial(NOISE * len(own), self.noise[which][some]).astype(np.float32) / -np.float32(len(own))
-        signal = hidden @ outputs.T
-        signal += biases - self.shift[which][some]
-        np.negative(signal, out=signal)
-        np.minimum(signal, 30, out=signal)
-        np.exp(signal, out=signal)
-        signal += 1
-        np.reciprocal(signal, out=signal)  # the chance that an example is data, not noise
+        # The chance that an example is data, not noise, is (1 + tanh(x / 2)) / 2; of scores x halved before they are made.
+        signal = hidden @ (outputs * np.float32(0.5)).T
+        signal += np.float32(0.5) * (biases - self.shift[which][some])
+        np.tanh(signal, out=signal)
         rows = np.arange(len(own))
-        positive = 1 - signal[rows, own]
+        positive = np.float32(0.5) - np.float32(0.5) * signal[rows, own]
+        drawn *= np.float32(0.5)
         signal *= drawn
+        signal += drawn
         signal[rows, own] += positive
         back = signal @ outputs
         self._move(which, some, signal.T @ hidden, len(own))
-        self._move(which + 1, some, signal.sum(0), len(own))
+        self._move(which + 1, some, np.ones(len(own), signal.dtype) @ signal, len(own))
         return back
 
     def _move(self, which: int, some, gradient: np.ndarray, uses) -> None:
@@ -238,8 +240,7 @@ class Vocabulary:
         classes = np.empty(len(words) + 1, np.int64)
         classes[:-1] = self.classes[places] if len(self.classes) else 0
         first_kind = self.size - KINDS
-        for i in rare.tolist():
-            classes[i] = first_kind + kind_of(words[i])
+        classes[rare] = np.fromiter((first_kind + kind_of(words[i]) for i in rare.tolist()), np.int64, len(rare))
         classes[-1] = 0
         return places, classes, rare
 
@@ -397,6 +398,7 @@ def score_texts(
         "row long, doc_id long, n_tokens long, n_known long, base double, model double, "
         "rare array<struct<word: binary, n: int>>"
     )
+    rare_type = arrow_schema(ddl).field("rare").type
 
     def make():
         known = vocabulary.ready()
@@ -407,7 +409,8 @@ def score_texts(
         seen = [0]
 
         def step(rows):
-            out = {name: [] for name in ("row", "doc_id", "n_tokens", "n_known", "base", "model", "rare")}
+            out = {name: [] for name in ("row", "doc_id", "n_tokens", "n_known", "base", "model")}
+            rare_words, rare_counts, rare_ends = [], [], [0]
             texts = [tokens_of(text) for text in rows["text"]]
             found = [known.looked_up(words) for words in texts]
             logged = model.log_probabilities(*_contexts([classes for _, classes, _ in found], size)) if found else []
@@ -424,7 +427,12 @@ def score_texts(
                 out["model"].append(
                     float(logged[end - len(words) - 1 : end].sum() + logs[held[is_tail[held]]].sum() - known.kind_logs[tail].sum())
                 )
-                out["rare"].append([{"word": w, "n": n} for w, n in Counter(words[i] for i in rare.tolist()).items()])
+                times = Counter(map(words.__getitem__, rare.tolist()))
+                rare_words.extend(times)
+                rare_counts.extend(times.values())
+                rare_ends.append(len(rare_words))
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], fields=list(rare_type.value_type))
+            out["rare"] = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pairs, type=rare_type)
             return out
 
         return step

@@ -308,3 +308,25 @@ def test_scoring_odd_rows(spark):
     rows = lm.score_texts(documents(spark, given, [None, 1, 1, *range(3, len(given))]), F.lit(False)).collect()
     assert len(rows) == len(given) and {r.train_tokens for r in rows} == {0} and all(abs(r.base_score) < 1e-9 for r in rows)
     assert lm.score_texts(documents(spark, []), F.lit(True)).count() == 0
+
+
+def test_frequent_classes_of_any_number_are_learned():
+    # More classes than two bytes hold; the noise's and the texts' shares are of any size.
+    counts = np.ones(70_000 + lm.KINDS)
+    model = lm.LogBilinear.fresh(counts)
+    learner = lm.Learner(model, 3)
+    targets = np.array([1, 69_999, 4_463, 1, 70_001] * 40)
+    before = np.stack([np.roll(targets, k) for k in range(1, lm.CONTEXT + 1)], 1).astype(np.int32)
+    was = model.log_probabilities(before, targets).sum()
+    for _ in range(5):
+        learner.learn(before, targets)
+    assert learner.used[0][0][69_999] == 5 * 40 and learner.used[0][0][4_463] == 5 * 40
+    assert learner.model.log_probabilities(before, targets).sum() > was
+
+
+@pytest.mark.parametrize("shift", [0, 50, 90, -200])
+def test_log_softmax_of_any_scores(shift):
+    scores = np.random.default_rng(1).normal(0, 12, (50, 7)) + shift
+    own = np.arange(50) % 7
+    wanted = scores[np.arange(50), own] - scores.max(1) - np.log(np.exp(scores - scores.max(1, keepdims=True)).sum(1))
+    assert np.allclose(lm._log_softmax_at(scores.astype(np.float32), own), wanted, atol=1e-4)
