@@ -3,7 +3,7 @@
 Both kinds of byte-pair tokenizers known here cut a text at white space before any merge, so a piece of text between
 cuts has the same ids wherever it stands. Pieces repeat, and a bounded table of them saves most of the work. A piece
 that is not in the table is cut further, at the borders of letters, digits and signs, where it has simple characters
-only. For any other tokenizer the whole text goes to the tokenizer as it is.
+only; the parts are pieces too. For any other tokenizer the whole text goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _SIMPLE = re.compile(f" ?[!-~{_LETTER}]+")
+_LETTERS = re.compile(f"[{_LETTER}]+")
 _SIMPLE_WITH_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+")
 _SIMPLE_WITHOUT_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ {_LETTER}0-9]+")
 
@@ -31,35 +32,41 @@ _SIMPLE_WITHOUT_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|
 _PRINTS = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
 _BYTES = [chr(b) if _PRINTS[b] else chr(256 + b - sum(_PRINTS[:b])) for b in range(256)]
 
-REMEMBERED = 300_000  # pieces in each table of one Python worker
-CORES = 1_000_000  # runs of letters, digits or signs in its table of those; each costs the tokenizer a call
+REMEMBERED = 800_000  # pieces in the tables of one Python worker, and as many that have stepped back
 LONGEST_REMEMBERED = 64  # characters; longer pieces hardly come again
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class _Table(dict):
-    """Ids by piece; a missing piece is made, and kept while there is room."""
+    """Ids by piece; a missing piece is made and kept. The pieces of a full table step back: those that come again
+    return, the others are forgotten when the table is full again."""
 
-    def __init__(self, make, most: int = REMEMBERED):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
+        ids = self.older.pop(piece, None) or self.make(piece)
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+class _OddSpace(Exception):
+    """A word that holds white space, or none at all: the text has more than single spaces and line feeds."""
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
         # As in the library: the strings of special tokens become these tokens, unless they shall be ordinary text.
@@ -73,9 +80,13 @@ class Encoder:
         self.kind = self._kind(spec) if plain else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.model = self.tokenizer.model
-        self.cores = _Table(self._core, CORES)
-        self.plain = _Table(self._piece)
-        self.spaced = _Table(lambda piece: self._piece(" " + piece))
+        if self.kind and isinstance(self.model, BPE):
+            self.model._resize_cache(0)  # the model's own small cache hardly has what the tables do not hold
+        self.tokenize = self.model.tokenize
+        # Where the space stays with the word after it, few pieces are not such words.
+        most = REMEMBERED // 4 if self.kind == "with space" else REMEMBERED
+        self.plain = _Table(self._piece, most)
+        self.following = _Table(self._following, REMEMBERED - REMEMBERED // 4)
 
     @staticmethod
     def _kind(spec: dict) -> str | None:
@@ -95,28 +106,43 @@ class Encoder:
     def _core(self, core: str) -> bytes:
         """Ids of a single unit of the merges, by the model alone."""
         text = core.encode("utf-8").decode("latin-1").translate(_BYTES)
-        return array("I", [token.id for token in self.model.tokenize(text)]).tobytes()
+        return array("I", [token.id for token in self.tokenize(text)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not _SIMPLE.fullmatch(piece):
             return self._direct(piece)
         if self.kind == "with space":
-            return b"".join(map(self.cores.__getitem__, _SIMPLE_WITH_SPACE.findall(piece)))
-        return b"".join(map(self.cores.__getitem__, _SIMPLE_WITHOUT_SPACE.findall(piece.lower())))
+            parts = _SIMPLE_WITH_SPACE.findall(piece)
+        else:
+            parts = _SIMPLE_WITHOUT_SPACE.findall(piece.lower())
+        if parts == [piece]:
+            return self._core(piece)
+        return b"".join([self.following[part[1:]] if part[0] == " " else self.plain[part] for part in parts])
+
+    def _following(self, word: str) -> bytes:
+        """Ids of a word after a space; of one with a line feed before it, which stands in the space's place."""
+        if word.isascii() and word.isalpha():  # bytes that print stand for themselves
+            return array("I", [token.id for token in self.tokenize(_BYTES[0x20] + word)]).tobytes()
+        if _LETTERS.fullmatch(word):
+            return self._core(" " + word)
+        own = word.removeprefix("\n")
+        if own.split() != [own]:
+            raise _OddSpace
+        return self.plain["\n"] + self.plain[own] if word[0] == "\n" else self._piece(" " + word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = {"with space": self._with_space, "without space": self._without_space}.get(self.kind, self._direct)
         return [self._direct(text) if any(o in text for o in self.openings) else pieces(text) for text in texts]
 
     def _with_space(self, text: str) -> bytes:
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return b"".join(map(self.plain.__getitem__, _WITH_SPACE.findall(text)))
-        # All white space is single spaces and line feeds, each between two words.
-        plain, spaced, lines = self.plain, self.spaced.__getitem__, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            lines.append(b"".join([plain[words[0]], *map(spaced, words[1:])]))
-        return plain["\n"].join(lines) if len(lines) > 1 else lines[0]
+        # If all white space is single spaces and line feeds, each between two words, every word is in the table of those.
+        first, *words = text.replace("\n", " \n").split(" ")
+        if first.split() == [first]:
+            try:
+                return self.plain[first] + b"".join(map(self.following.__getitem__, words))
+            except _OddSpace:
+                pass
+        return b"".join(map(self.plain.__getitem__, _WITH_SPACE.findall(text)))
 
     def _without_space(self, text: str) -> bytes:
         odd = any(c in text for c in _SEPARATORS)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from corpus import documents, edge_texts, texts
 
-from auditlake.llm import licenses, lm, packing, quality, token_files
+from auditlake.llm import encoding, licenses, lm, packing, quality, token_files
 from auditlake.llm.common import open_filesystem
 from auditlake.llm.encoding import Encoder
 from auditlake.llm.queries import tokenizer_file
@@ -81,6 +81,24 @@ def test_pieces_give_the_ids_of_the_whole_text(path):
     assert [x + end for x in encoder.encode(given)] == [x.tobytes() for x in direct(path, given, 7)]
 
 
+def test_a_piece_that_comes_again_is_made_once_however_many_others_pass():
+    made = []
+    table = encoding._Table(lambda piece: made.append(piece) or piece.encode(), 10)
+    for i in range(1000):
+        assert table["again"] == b"again" and table[f"other {i}"] == f"other {i}".encode()
+        assert len(table) <= 10
+    assert made.count("again") == 1 and len(made) == 1001
+
+
+def test_other_white_space_between_known_words_is_seen():
+    words, rng = ["a", "b,", "Über", "c's", "x1"], random.Random(9)
+    gaps = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\t\n", "\x1c", "\u3000", "\n\t\n"]
+    regular = [" ".join(rng.choices(words, k=9)).replace(" a", "\na") for _ in range(50)]
+    odd = ["".join(x for _ in range(6) for x in (rng.choice(words), rng.choice(gaps))) for _ in range(2000)]
+    odd += [gap + text for gap in gaps for text in ("", "a b", "\na")]
+    assert Encoder(BYTE).encode(regular + odd + regular) == [x.tobytes()[:-4] for x in direct(BYTE, regular + odd + regular, 7)]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_strings_of_special_tokens(path):
     given = ["a <|endoftext|> b", "a<|startoftext|>b <| x", "<|endoftext|>" * 2000, "<|EndOfText|>"]
