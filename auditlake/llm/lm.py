@@ -33,7 +33,7 @@ LONGEST_FREQUENT = 64  # bytes; longer words are looked up by join
 COUNTED = 300_000  # distinct words a task counts before it passes them on
 CONTEXT = 3  # tokens before the predicted one
 WIDTH = 24  # components of a class vector
-NOISE = 16  # noise samples for each training token
+NOISE = 16  # noise tokens for each training token
 BATCH = 8192
 RATE = 0.1
 FIRST_ROUND = 8  # one document in so many is learned from in the first round, the others in the second
@@ -105,7 +105,18 @@ class LogBilinear:
         return [self.contexts, self.tops, self.top_biases, self.inner, self.inner_biases]
 
     def hidden(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.contexts[k][before[:, k]] for k in range(CONTEXT))
+        """Sums of the contexts' vectors and, as the last component, the one that biases are multiplied by."""
+        out = np.ones((len(before), WIDTH + 1), np.float32)
+        sums = out[:, :WIDTH]
+        sums[:] = self.contexts[0].take(before[:, 0], axis=0)
+        for k in range(1, CONTEXT):
+            sums += self.contexts[k].take(before[:, k], axis=0)
+        return out
+
+    @property
+    def outputs(self) -> list[np.ndarray]:
+        """Of groups and kinds, and of classes: vectors with the bias as their last component."""
+        return [np.column_stack(x) for x in ((self.tops, self.top_biases), (self.inner, self.inner_biases))]
 
     def by_group(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
         """An order of the targets by group, the output each has then among groups and kinds, and each group's slice."""
@@ -119,22 +130,26 @@ class LogBilinear:
     def log_probabilities(self, before: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 P(class | classes before), by target."""
         out = np.empty(len(targets))
+        tops, inner = self.outputs
+        longest = [np.linalg.norm(x, axis=1).max(initial=0) for x in (tops, inner)]
         for at in range(0, len(targets), 16_384):
             order, top, slices = self.by_group(targets[at : at + 16_384])
             order += at
-            hidden, own = self.hidden(before[order]), targets[order]
-            logs = _log_softmax_at(hidden @ self.tops.T + self.top_biases, top)
+            hidden, own = self.hidden(before.take(order, axis=0)), targets[order]
+            # No score is larger than the product of the longest vectors.
+            small = [np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max()) * x < 60 for x in longest]
+            logs = _log_softmax_at(hidden @ tops.T, top, small[0])
             for g, rows in slices:
                 some = slice(g * self.group, (g + 1) * self.group)
-                logs[rows] += _log_softmax_at(hidden[rows] @ self.inner[some].T + self.inner_biases[some], own[rows] - some.start)
+                logs[rows] += _log_softmax_at(hidden[rows] @ inner[some].T, own[rows] - some.start, small[1])
             out[order] = logs
         return out / np.log(10)
 
 
-def _log_softmax_at(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
-    if scores.max() > 60 or scores.min() < -60:  # beyond what sums of exponentials hold
+def _log_softmax_at(scores: np.ndarray, own: np.ndarray, small: bool = False) -> np.ndarray:
+    if not small and (scores.max() > 60 or scores.min() < -60):  # beyond what sums of exponentials hold
         scores -= scores.max(1, keepdims=True)
-    wanted = scores[np.arange(len(own)), own]
+    wanted = scores.reshape(-1)[np.arange(0, scores.size, scores.shape[1]) + own]
     np.exp(scores, out=scores)
     return wanted - np.log(scores @ np.ones(scores.shape[1], scores.dtype))
 
@@ -143,73 +158,97 @@ class Learner:
     """Noise-contrastive updates of one task's copy of the model, with the use of each parameter."""
 
     def __init__(self, model: LogBilinear, seed: int):
-        self.model = LogBilinear(*(p.copy() for p in model.parameters), model.top_noise, model.inner_noise, model.group)
+        # Outputs move with their biases, so the copy's parameters are views of both in one.
+        self.contexts, self.outputs = model.contexts.copy(), model.outputs
+        views = [part for x in self.outputs for part in (x[:, :WIDTH], x[:, WIDTH])]
+        self.model = LogBilinear(self.contexts, *views, model.top_noise, model.inner_noise, model.group)
         self.rng = np.random.default_rng(seed)
         # Numbers of two bytes are sorted by radix.
         self.sorted_as = np.uint16 if model.contexts.shape[1] <= 1 << 16 else np.int32
-        self.squares = [np.full(p.shape, 0.1, np.float32) for p in self.model.parameters]
-        # The noise of groups and classes: its share, which sums to one in each group, and what it takes from scores.
-        shares = (model.top_noise, model.inner_noise)
-        self.noise = {which: share for which, share in zip((1, 3), shares)}
-        self.shift = {which: np.log(NOISE * share).astype(np.float32) for which, share in zip((1, 3), shares)}
-        self.used = [np.zeros(p.shape[:-1] if p.ndim > 1 else p.shape, np.float32) for p in self.model.parameters]
+        # The noise of groups and classes sums to NOISE in each group; what it takes from scores, and its weight.
+        noise = [NOISE * share for share in (model.top_noise, model.inner_noise)]
+        self.shift = [np.log(x).astype(np.float32) for x in noise]
+        self.weight = [(-0.5 * x).astype(np.float32) for x in noise]
+        self.squares = [np.full(p.shape, 0.1, np.float32) for p in (self.contexts, *self.outputs)]
+        self.used = [np.zeros(p.shape[:-1], np.float32) for p in self.squares]
 
     def learn(self, before: np.ndarray, targets: np.ndarray) -> None:
         order = self.rng.permutation(len(targets))
         for at in range(0, len(order), BATCH):
-            self._step(before[order[at : at + BATCH]], targets[order[at : at + BATCH]])
+            some = order[at : at + BATCH]
+            self._step(before.take(some, axis=0), targets.take(some))
 
     def _step(self, before: np.ndarray, targets: np.ndarray) -> None:
         model = self.model
         order, top, slices = model.by_group(targets)
-        before, targets = before[order], targets[order]
+        before, targets = before.take(order, axis=0), targets.take(order)
         hidden = model.hidden(before)
-        back = self._against_noise(1, slice(0, len(model.tops)), hidden, top)
-        for g, rows in slices:
-            some = slice(g * model.group, (g + 1) * model.group)
-            back[rows] += self._against_noise(3, some, hidden[rows], targets[rows] - some.start)
+        back = self._against_noise(0, hidden, top, [(slice(0, len(model.tops)), slice(0, len(top)))])
+        if slices:
+            inner = slices[-1][1].stop
+            parts = [(slice(g * model.group, (g + 1) * model.group), rows) for g, rows in slices]
+            back[:inner] += self._against_noise(1, hidden, targets[:inner], parts)
         for k in range(CONTEXT):
             order = np.argsort(before[:, k].astype(self.sorted_as), kind="stable")
-            row = before[order, k]
+            row = before[:, k].take(order)
             starts = np.flatnonzero(np.diff(row, prepend=-1))
-            self._move(0, (k, row[starts]), np.add.reduceat(back[order], starts), np.diff(starts, append=len(row)))
+            state = (self.contexts[k], self.squares[0][k], self.used[0][k])
+            _move(*state, row[starts], np.add.reduceat(back.take(order, axis=0), starts), np.diff(starts, append=len(row)))
+
+    def _against_noise(self, which: int, hidden: np.ndarray, own: np.ndarray, parts: list[tuple[slice, slice]]) -> np.ndarray:
+        """Tell the targets from noise, of which each output has its expected share; moves outputs, returns what moves the contexts.
 
-    def _against_noise(self, which: int, some: slice, hidden: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Tell the targets from a pool of noise all examples share; moves outputs, returns what moves the contexts."""
-        parameters = self.model.parameters
-        outputs, biases = parameters[which][some], parameters[which + 1][some]
-        drawn = self.rng.multinomial(NOISE * len(own), self.noise[which][some]).astype(np.float32) / -np.float32(len(own))
+        `parts` are the outputs that stand against each other and the rows whose targets are among them.
+        """
+        outputs, weight = self.outputs[which], self.weight[which]
         # The chance that an example is data, not noise, is (1 + tanh(x / 2)) / 2; of scores x halved before they are made.
-        signal = hidden @ (outputs * np.float32(0.5)).T
-        signal += np.float32(0.5) * (biases - self.shift[which][some])
-        np.tanh(signal, out=signal)
-        rows = np.arange(len(own))
-        positive = np.float32(0.5) - np.float32(0.5) * signal[rows, own]
-        drawn *= np.float32(0.5)
-        signal *= drawn
-        signal += drawn
-        signal[rows, own] += positive
-        back = signal @ outputs
-        self._move(which, some, signal.T @ hidden, len(own))
-        self._move(which + 1, some, np.ones(len(own), signal.dtype) @ signal, len(own))
+        half = outputs * np.float32(0.5)
+        half[:, WIDTH] -= np.float32(0.5) * self.shift[which]
+        # What an output is told is its weight times (1 + tanh), and for the target the chance that it is noise on top of
+        # that. The weights, the same for all rows, are brought in where the arrays are small.
+        vectors = outputs[:, :WIDTH] * weight[:, None]
+        share = (1 / weight).take(own)
+        kept = 1 - np.float32(0.5) * share
+        back = np.empty((len(own), WIDTH), np.float32)
+        gradient, uses = np.zeros_like(outputs), np.zeros(len(outputs), np.float32)
+        for some, rows in parts:
+            signal = hidden[rows] @ half[some].T
+            np.tanh(signal, out=signal)
+            signal += 1
+            at = np.arange(0, signal.size, signal.shape[1]) + (own[rows] - some.start)
+            flat = signal.reshape(-1)
+            flat[at] = flat[at] * kept[rows] + share[rows]
+            np.matmul(signal, vectors[some], out=back[rows])
+            np.matmul(signal.T, hidden[rows], out=gradient[some])
+            uses[some] = len(at)
+        gradient *= weight[:, None]
+        _move(outputs, self.squares[1 + which], self.used[1 + which], slice(None), gradient, uses)
         return back
 
-    def _move(self, which: int, some, gradient: np.ndarray, uses) -> None:
-        squares = self.squares[which][some] + gradient * gradient
-        self.squares[which][some] = squares
-        self.model.parameters[which][some] += RATE * gradient / np.sqrt(squares)
-        self.used[which][some] += uses
-
     def blocks(self):
         """Number, sums weighted by use, and uses of each block of PIECE components, all parameters in a row."""
         values = _flat(self.model.parameters)
-        uses = _flat([np.repeat(u.ravel(), p.size // u.size) for p, u in zip(self.model.parameters, self.used)])
+        contexts, top, inner = self.used
+        used = [contexts, top, top, inner, inner]
+        uses = _flat([np.repeat(u.ravel(), p.size // u.size) for p, u in zip(self.model.parameters, used)])
         for number, at in enumerate(range(0, len(values), PIECE)):
             part = slice(at, at + PIECE)
             if uses[part].any():
                 yield number, (values[part].astype("f8") * uses[part]).astype("f4"), uses[part]
 
 
+def _move(values: np.ndarray, squares: np.ndarray, used: np.ndarray, rows, gradient: np.ndarray, uses) -> None:
+    """One step along the gradient of these rows, shorter the larger the gradients have been."""
+    own = gradient * gradient
+    own += squares[rows]
+    squares[rows] = own
+    np.sqrt(own, out=own)
+    gradient *= np.float32(RATE)
+    gradient /= own
+    values[rows] += gradient
+    used[rows] += uses
+
+
 def _flat(arrays: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.ravel(a) for a in arrays])
 

@@ -222,6 +222,36 @@ def test_quality_of_odd_rows(spark):
 # language model
 
 
+def test_one_step_is_that_of_a_plain_comparison_with_the_expected_noise():
+    rng = np.random.default_rng(6)
+    model = lm.LogBilinear.fresh(np.array([*range(90, 79, -1), *[3] * lm.KINDS], float))
+    before, targets = rng.integers(0, 18, (300, lm.CONTEXT)).astype(np.int32), rng.integers(0, 17, 300)
+    learners = [lm.Learner(model, seed) for seed in (1, 2)]
+    for learner in learners:
+        learner.learn(before, targets)
+    for x, y in zip(*(learner.model.parameters for learner in learners)):  # no draw of noise tells them apart
+        assert np.allclose(x, y, atol=1e-5)
+    hidden = sum(model.contexts[k][before[:, k]].astype(float) for k in range(lm.CONTEXT))
+    back, groups = np.zeros((300, lm.WIDTH)), len(model.tops) - lm.KINDS
+    top = np.where(targets < 11, targets // model.group, targets - 11 + groups)
+    sets = [(1, np.arange(len(model.tops)), np.arange(300), top)]
+    for g in range(groups):
+        sets.append((3, np.arange(11)[g * model.group : (g + 1) * model.group], np.flatnonzero(top == g), targets))
+    moved = lambda old, g: old + lm.RATE * g / np.sqrt(0.1 + g * g)
+    for which, members, rows, own in sets:
+        vectors, biases = model.parameters[which][members].astype(float), model.parameters[which + 1][members]
+        noise = lm.NOISE * (model.top_noise if which == 1 else model.inner_noise)[members]
+        is_data = 1 / (1 + np.exp(np.log(noise) - hidden[rows] @ vectors.T - biases))
+        wanted = (own[rows][:, None] == members) * (1 - is_data) - noise * is_data
+        back[rows] += wanted @ vectors
+        assert np.allclose(learners[0].model.parameters[which][members], moved(vectors, wanted.T @ hidden[rows]), atol=1e-4)
+        assert np.allclose(learners[0].model.parameters[which + 1][members], moved(biases, wanted.sum(0)), atol=1e-4)
+    for k in range(lm.CONTEXT):
+        gradient = np.zeros((18, lm.WIDTH))
+        np.add.at(gradient, before[:, k], back)
+        assert np.allclose(learners[0].contexts[k], moved(model.contexts[k], gradient), atol=1e-4)
+
+
 def test_base_scores_are_those_of_plain_counts_whatever_is_frequent(spark):
     from collections import Counter
 
