@@ -1,13 +1,14 @@
 import hashlib
 import random
 from collections import Counter
+from string import ascii_lowercase
 
 import numpy as np
 import pytest
 from corpus import documents, edge_texts, texts
 from pyspark.sql import functions as F
 
-from auditlake.llm import chosen_path, common, decontaminate, hamming, links, repeats
+from auditlake.llm import chosen_path, common, decontaminate, hamming, links, queries, repeats
 
 # components
 
@@ -204,6 +205,31 @@ def test_repeats_are_those_of_all_windows(spark, length, large):
     assert [tuple(r)[1:] for r in rows] == plain_repeats(given, length)
 
 
+@pytest.mark.parametrize("length, passage", [(100, 40), (400, 240)])
+@pytest.mark.parametrize("large", [repeats.LARGE, 1])
+def test_shorter_passages_are_counted_beside_what_is_removed(spark, length, passage, large):
+    given = texts(n=24) + edge_texts() + ["abcab" * 300, "is " * 400 + "end", "ab" * 250, "xy" * 130]
+    given += [t[: len(t) - 150] for t in given if t and len(t) > 600][:6]
+    rows = repeats.remove_repeats(documents(spark, given).repartition(4), length, large=large, passage=passage).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in rows] == plain_repeats(given, length)
+    assert [(r.n_repeated, r.n_passages) for r in rows] == [t[1:3] for t in plain_repeats(given, passage)]
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(documents(spark, given), length, passage=length)
+
+
+def test_op4_tells_texts_that_share_a_passage_of_over_fifty_words(spark, tmp_path):
+    rng = random.Random(3)
+    own = lambda n: " ".join("".join(rng.choice(ascii_lowercase) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    passages = [own(n) for n in (51, 55, 60) for _ in range(4)]
+    assert all(repeats.PASSAGE <= len(p) < 400 for p in passages)
+    given = [f"{own(80)} {p} {own(80)}" for p in passages for _ in range(2)] + [own(200) for _ in range(24)]
+    documents(spark, given).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_repeated_strings(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in rows] == plain_repeats(given, 400)
+    assert [r.n_repeated > 0 for r in rows] == [i < 24 for i in range(48)]
+    assert [r.n_passages for r in rows] == [int(i < 24) for i in range(48)]
+
+
 def test_rounds_agree_with_comparing_contexts():
     rng = np.random.default_rng(2)
     rows, rounds = 60, 9
